@@ -3,10 +3,12 @@
 from __future__ import annotations
 
 import atexit
+import pickle
 import sys
 import types
 import uuid
 
+from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -66,6 +68,23 @@ def worker_cache(name: str) -> dict:
     return module.__dict__.setdefault(name, {})
 
 
+class Shipped:
+    """An object broadcast to the workers with its class (pickled by value), unpacked once in each worker."""
+
+    def __init__(self, spark: SparkSession, value: object) -> None:
+        self.key = uuid.uuid4().hex
+        self.data = spark.sparkContext.broadcast(cloudpickle.dumps(value))
+
+    @property
+    def value(self) -> object:
+        held = worker_cache("shipped")
+        if self.key not in held:
+            if len(held) > 4:
+                held.clear()
+            held[self.key] = pickle.loads(self.data.value)
+        return held[self.key]
+
+
 def fresh(name: str, columns: list[str]) -> str:
     """name, lengthened until it clashes with no column (Spark compares names without case)."""
     taken = {c.lower() for c in columns}
