@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarry.llm import decontaminate, fingerprint, langid, quality, simhash, toxicity
-from quarry.llm.common import crc_bucket
+from quarry.llm import decontaminate, fingerprint, html, langid, quality, simhash, toxicity, warc
+from quarry.llm.common import crc_bucket, shared_path
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -26,6 +26,19 @@ def op2_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.report(decontaminate.find(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark")))
 
 
+def op4_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html.extract(_table(spark, sf_dir, "pages"))
+
+
+def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    archives = shared_path(spark, "warc")
+    pages = _table(spark, sf_dir, "pages")
+    warc.write(pages, archives)
+    kind = pages.schema["page_id"].dataType.simpleString()
+    found = warc.read(spark, archives, payload=False)
+    return found.select(F.col("page_id").cast(kind).alias("page_id"), "payload_bytes", "payload_digest", "record_type", F.col("refers_to").cast(kind).alias("refers_to"))
+
+
 def op7_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprint.fingerprint_documents(_table(spark, sf_dir, "documents"))
 
@@ -51,8 +64,8 @@ def op10_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_toxicity, op2_decontaminate, op7_fingerprint, op8_simhash, op9_quality, op10_langid)}
+    return {f.__name__: f for f in (op1_toxicity, op2_decontaminate, op4_html, op6_warc, op7_fingerprint, op8_simhash, op9_quality, op10_langid)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_decontaminate": decontaminate.ORACLE_SQL}
+    return {"op2_decontaminate": decontaminate.ORACLE_SQL, "op6_warc": warc.ORACLE_SQL}
