@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarry.llm import decontaminate, fingerprint, html, langid, quality, simhash, toxicity, warc
+from quarry.llm import decontaminate, fingerprint, html, langid, lines, packing, quality, simhash, toxicity, warc
 from quarry.llm.common import crc_bucket, shared_path
 
 
@@ -26,10 +27,19 @@ def op2_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.report(decontaminate.find(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark")))
 
 
+def op3_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    return lines.remove(docs, keep_empty=True, counts=("n_lines", "n_removed"))
+
+
 def op4_html(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html.extract(_table(spark, sf_dir, "pages"))
 
 
+def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), ids=False)
+
+
 def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     archives = shared_path(spark, "warc")
     pages = _table(spark, sf_dir, "pages")
@@ -64,7 +74,7 @@ def op10_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_toxicity, op2_decontaminate, op4_html, op6_warc, op7_fingerprint, op8_simhash, op9_quality, op10_langid)}
+    return {f.__name__: f for f in (op1_toxicity, op2_decontaminate, op3_lines, op4_html, op5_packing, op6_warc, op7_fingerprint, op8_simhash, op9_quality, op10_langid)}
 
 
 def oracle_sql() -> dict[str, str]:
