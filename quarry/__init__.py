@@ -1 +1,11 @@
-"""quarry: text-corpus, retrieval and evaluation analytics as lazy Spark DataFrame transforms."""
+"""quarry: text-corpus, retrieval and evaluation analytics as lazy Spark DataFrame transforms.
+
+Functions that run in Python workers are pickled by value, so executors need no copy of
+this package on their own path.
+"""
+
+import sys
+
+from pyspark import cloudpickle
+
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
