@@ -9,8 +9,7 @@ letters are read as those.
 The machine is trained on sentences with their document's label, as multiple instances:
 a toxic sentence is toxic by its worst word, a clean sentence by none. Words are mapped
 to kernel values with LANDMARKS landmark words, whitened (Nystroem), and separated by a
-linear machine; rounds of training move words of toxic sentences in and take in the
-hardest words of clean ones. As the map is linear in the kernel, the trained machine is
+linear machine; rounds of training take in the hardest words of clean sentences. As the map is linear in the kernel, the trained machine is
 one weight for each triple. A text scores by its worst word.
 
 Fitting reads at most about 2 * PER_LABEL labelled documents and MOST_WORDS different
@@ -33,13 +32,16 @@ from quarry.llm.common import Shipped, worker_cache
 from quarry.llm.sampling import labelled_documents
 
 PER_LABEL, MOST_WORDS = 2500, 60_000
-LANDMARKS, ROUNDS = 192, 4
+LANDMARKS, ROUNDS, COST = 256, 4, 12.0
 DECAY, MOST_SPAN = 0.7, 8
 LONGEST = 24  # longer words are scored in overlapping parts
 LIMIT = 0.7
 MOST_CACHED = 400_000
 
 _SENTENCE = re.compile(r"[.!?]+\s+|\n")
+_ENDS = ".,;:!?\"'()[]{}<>*&%#|~_-+=/\\"
+#: Words are also judged by the words that begin with the same so many letters.
+PREFIXES = (4, 5)
 # Signs read as letters
 LOOKALIKES = {"0": "o", "1": "i", "3": "e", "4": "a", "5": "s", "7": "t", "@": "a", "$": "s"}
 _CLASSES = 64
@@ -81,7 +83,7 @@ def encode(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
     """(parts x length codes, word of each part); code 0 fills up."""
     parts, owner = [], []
     for k, w in enumerate(words):
-        w = w.strip(".,;:!?\"'()[]{}<>*&%#|~_-+=/\\") or w
+        w = w.strip(_ENDS) or w
         for i in range(0, max(1, len(w) - LONGEST // 2), LONGEST // 2) if len(w) > LONGEST else (0,):
             parts.append(w[i : i + LONGEST])
             owner.append(k)
@@ -203,23 +205,47 @@ def worst_values(model: ToxicityModel, texts: list[str | None]) -> np.ndarray:
 
 
 def _word_counts(rows: DataFrame) -> list:
-    """(word, sentences of toxic documents, of clean documents), the commonest first; MOST_WORDS of either kind."""
+    """(word, sentences of toxic documents, of clean documents), the commonest first; MOST_WORDS of either kind.
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    Each different sentence counts once, so copies of a document don't add up; one that clean documents have too is clean.
+    """
+
+    def sentences(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            found = {(s.strip(), label) for text, label in zip(b.column("text").to_pylist(), b.column("label").to_pylist(), strict=True) for s in _SENTENCE.split(text or "")}
+            yield pa.RecordBatch.from_arrays([pa.array([s for s, _ in found], pa.string()), pa.array([x for _, x in found], pa.int32())], ["sentence", "label"])
+
+    def words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts = Counter()
         for b in batches:
-            for text, label in zip(b.column("text").to_pylist(), b.column("label").to_pylist(), strict=True):
-                for sentence in _SENTENCE.split(text or ""):
-                    counts.update((w.strip(".,;:!?\"'()"), label) for w in words_of(sentence))
+            for sentence, label in zip(b.column("sentence").to_pylist(), b.column("label").to_pylist(), strict=True):
+                counts.update({(w.strip(_ENDS), label) for w in words_of(sentence)})
         keys = list(counts)
         yield pa.RecordBatch.from_arrays([pa.array([w for w, _ in keys], pa.string()), pa.array([x for _, x in keys], pa.int32()), pa.array([counts[k] for k in keys], pa.int64())], ["word", "label", "n"])
 
-    counts = rows.mapInArrow(run, "word string, label int, n long").where("word <> ''").groupBy("word").agg(F.sum(F.when(F.col("label") == 1, F.col("n")).otherwise(0)).alias("toxic"), F.sum(F.when(F.col("label") == 0, F.col("n")).otherwise(0)).alias("clean"))
+    different = rows.mapInArrow(sentences, "sentence string, label int").groupBy("sentence").agg(F.min("label").alias("label"))
+    total = lambda c: F.sum(F.when(F.col("label") == c, F.col("n")).otherwise(0))
+    counts = different.mapInArrow(words, "word string, label int, n long").where("word <> ''").groupBy("word").agg(total(1).alias("toxic"), total(0).alias("clean"))
     one = counts.where("toxic > 0").orderBy(F.desc(F.col("toxic") - F.col("clean")), "word").limit(MOST_WORDS)
     two = counts.where("clean > 0").orderBy(F.desc("clean"), "word").limit(MOST_WORDS)
     return sorted({(r.word, r.toxic, r.clean) for x in (one, two) for r in x.collect()})
 
 
+def _telling(words: list[str], toxic: np.ndarray, clean: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Which words tell toxic sentences: by themselves or with the words that begin alike; and how strongly."""
+    share = toxic.sum() / (toxic.sum() + clean.sum())
+    groups: dict[str, list[float]] = {}
+    keys = [[w] + [w[:n] + "~" for n in PREFIXES if len(w) > n] for w in words]
+    for k, t, c in zip(keys, toxic.tolist(), clean.tolist(), strict=True):
+        for x in k:
+            g = groups.setdefault(x, [0.0, 0.0])
+            g[0] += t
+            g[1] += c
+    strength = {x: (t - share * (t + c)) / np.sqrt(share * (t + c) + 0.5) if t >= 3 and c <= 0.02 * t else 0.0 for x, (t, c) in groups.items()}
+    best = np.array([max(strength[x] for x in k) for k in keys])
+    return best >= 3.0, best
+
+
 def _landmarks(words: list[str], n: int) -> list[str]:
     """n words far from one another: each next one is that least like those chosen."""
     words = words[: 8 * n]
@@ -242,15 +268,12 @@ def train(counts: list[tuple[str, int, int]]) -> tuple[np.ndarray, float] | None
     toxic, clean = (np.array([c[k] for c in counts], float) for k in (1, 2))
     if not toxic.sum() or not clean.sum():
         return None
-    expected = (toxic + clean) * toxic.sum() / (toxic.sum() + clean.sum())
-    surplus = (toxic - expected) / np.sqrt(expected + 1)
-    positive = (clean <= 0.02 * toxic) & (toxic >= 4) & (surplus >= 2.5)
+    positive, surplus = _telling(words, toxic, clean)
+    positive &= clean <= 0.02 * toxic
     strong = np.flatnonzero(positive)
     if not len(strong):
-        positive = (clean == 0) & (toxic >= 2)
-        strong = np.flatnonzero(positive)
-        if not len(strong):
-            return None
+        return None
+    told = positive
     negative = clean > 0
     by_surplus = sorted(strong, key=lambda i: -surplus[i])
     marks = _landmarks([words[i] for i in by_surplus], LANDMARKS // 2)
@@ -266,31 +289,32 @@ def train(counts: list[tuple[str, int, int]]) -> tuple[np.ndarray, float] | None
     keep = value > 1e-6 * value[-1]
     white = vector[:, keep] / np.sqrt(value[keep])
     rng = np.random.default_rng(11)
-    w = None
-    x = None
+    mapped: dict[int, np.ndarray] = {}
     hard = np.array([], np.int64)
     for _ in range(ROUNDS):
-        plus = np.flatnonzero(positive)
-        minus = np.array(common[:3000] + list(rng.choice(common, min(3000, len(common)), replace=False)), np.int64)
+        minus = np.array(common[:2500] + list(rng.choice(common, min(2500, len(common)), replace=False)), np.int64)
         minus = np.unique(np.concatenate((minus, hard)))
         minus = minus[~positive[minus]]
-        if x is None:
-            x = project(words, basis) @ white
-            x = np.hstack((x, np.ones((len(x), 1))))
-        plus = np.array(sorted(plus, key=lambda i: -toxic[i])[:6000])
+        plus = np.array(sorted(np.flatnonzero(positive), key=lambda i: -toxic[i])[:5000])
         rows = np.concatenate((plus, minus))
+        new = [i for i in rows.tolist() if i not in mapped]
+        if new:
+            mapped.update(zip(new, np.hstack((project([words[i] for i in new], basis) @ white, np.ones((len(new), 1)))), strict=True))
+        x = np.array([mapped[i] for i in rows.tolist()])
         y = np.where(np.arange(len(rows)) < len(plus), 1.0, -1.0)
-        cost = np.where(y > 0, 5.0 * len(minus) / max(len(plus), 1), 5.0).clip(max=50.0)
-        w = svm(x[rows], y, cost)
-        f = x @ w
-        # Words of toxic sentences only that look like the positives join them; clean words that do are hard negatives.
-        positive = (clean == 0) & (f > 0) | (clean <= 0.02 * toxic) & (toxic >= 4) & (f > -0.5)
-        hard = np.array(sorted(np.flatnonzero(negative & ~positive), key=lambda i: -f[i])[:4000], np.int64)
+        # A word weighs as often as it occurs, within bounds, and both sides alike
+        cost = np.where(y > 0, np.sqrt(toxic[rows]), np.sqrt(clean[rows])).clip(1.0, 20.0)
+        cost[y > 0] *= max(1.0, cost[y < 0].sum() / cost[y > 0].sum())
+        w = svm(x, y, COST * cost)
+        # Back to one weight for each triple: f(word) = its normed triples times these
+        weights, constant = basis @ (white @ w[:-1]).astype(np.float32), float(w[-1])
+        f = project(words, weights[:, None])[:, 0] + constant
+        # Telling words that the machine can't hold are dropped; clean words that it takes for toxic are hard negatives.
+        positive = told & (f > -1.0)
+        hard = np.union1d(hard, np.array(sorted(np.flatnonzero(negative & ~told), key=lambda i: -f[i])[:2000], np.int64))
         if not positive.any():
             break
-    # Back to one weight for each triple: f(word) = sum of its normed triples times these
-    weights = basis @ (white @ w[:-1]).astype(np.float32)
-    return weights, float(w[-1])
+    return weights, constant
 
 
 def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", per_label: int = PER_LABEL) -> ToxicityModel:
