@@ -27,24 +27,28 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from quarry.llm.common import Shipped, stored, worker_cache
+from quarry.llm.common import Shipped, slices, stored, worker_cache
 
 WINDOW, END_ID = 2048, 1
 #: Triples are enumerated from this many of the most frequent lengths.
 FREQUENT = 40
 SWEEPS = 60
 LEAST_SALTS, ROWS_PER_SALT = 16, 150_000
-MOST_CACHED = 300_000
+MOST_CACHED = 500_000
 
 _CUT = re.compile(r"(?<=\S) (?=\S)")
-_ODD = re.compile(r"^ | $| \s|\s ")
+_OTHER_SPACE = [chr(c) for c in range(0x3001) if chr(c).isspace() and chr(c) not in " \n"]
+# Marks that a tokenizer's pattern never joins to letters and digits before them
+_MARKS = ".,;:!?%&*$#|-()[]{}\"/+=<>@^_~"
 
 
 class Encoder:
-    """Token ids of whole texts, from the ids of their parts between single blanks.
+    """Token ids of whole texts, put together from the ids of their words.
 
-    The tokenizer's pattern never joins a blank to what stands before it if both its
-    neighbours are visible, so parts are encoded on their own and kept by text.
+    Texts are cut where the tokenizer's pattern always cuts: before a single blank between visible
+    characters, around a line feed between such, and between a letter or digit and marks other than
+    the apostrophe. Unknown words are encoded together in one text, from which their ids are told
+    apart: a word after a blank begins with the only token that has one; others stand on lines.
     """
 
     def __init__(self, path: str) -> None:
@@ -55,34 +59,91 @@ class Encoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
-        self.known: dict[str, bytes] = {}
-
-    def _parts(self, text: str) -> list[str] | None:
-        if not text:
-            return []
-        if any(s in text for s in self.special):
-            return None
-        parts = _CUT.split(text) if _ODD.search(text) else text.split(" ")
-        return [parts[0], *[" " + p for p in parts[1:]]]
+        self.kind = np.dtype("<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4")
+        self.blank = np.zeros(self.tokenizer.get_vocab_size(), bool)
+        for token, k in self.tokenizer.get_vocab().items():
+            self.blank[k] = token.startswith("\u0120")
+        # Texts with one of these aren't split into words: runs of white space, and white space of other kinds
+        self.odd = [*self.special, "  ", "\n\n", " \n", "\n ", *_OTHER_SPACE]
+        self.feed = self._plain("\n")
+        self.bare: dict[str, bytes] = {}
+        self.spaced: dict[str, bytes] = {}  # the word after a blank, the blank counted
+
+    def _ids(self, text: str) -> np.ndarray:
+        return np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, self.kind)
+
+    def _plain(self, text: str) -> bytes:
+        return self._ids(text).tobytes()
+
+    def _encode_words(self, words: list[str], known: dict[str, bytes], spaced: bool) -> None:
+        """Put the ids of words without white space into known."""
+        width, feed = self.kind.itemsize, np.frombuffer(self.feed, self.kind)[0]
+        for i in range(0, len(words), 5000):
+            some = words[i : i + 5000]
+            ids = self._ids(" " + " ".join(some) if spaced else "\n".join(some))
+            ends = np.flatnonzero(self.blank[ids])[1:] if spaced else np.flatnonzero(ids == feed)
+            at = [0, *ends.tolist(), len(ids)]
+            if len(at) != len(some) + 1:
+                known.update((w, self._plain(" " + w if spaced else w)) for w in some)
+                continue
+            data, skip = ids.tobytes(), 0 if spaced else 1
+            known[some[0]] = data[: at[1] * width]
+            known.update((w, data[(a + skip) * width : b * width]) for w, a, b in zip(some[1:], at[1:], at[2:], strict=False))
+
+    def _learn(self, new: set[str], known: dict[str, bytes], spaced: bool) -> None:
+        whole, cut = [], []
+        for w in new:
+            core = w.rstrip(_MARKS)
+            if len(core) < len(w) and core and core[-1].isalnum():
+                cut.append((w, core, w[len(core) :]))
+            else:
+                whole.append(w)
+        cores = {c for _, c, _ in cut if c not in known}
+        cores.difference_update(whole)
+        self._encode_words([*whole, *cores], known, spaced)
+        self._encode_words(list({t for _, _, t in cut if t not in self.bare}), self.bare, False)
+        bare = self.bare
+        known.update([(w, known[c] + bare[t]) for w, c, t in cut])
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
-        """Ids of each text as little-endian unsigned 32-bit numbers."""
-        parts = [self._parts(t or "") for t in texts]
-        if len(self.known) > MOST_CACHED:
-            self.known.clear()
-        new = list({p for x in parts if x for p in x if p not in self.known})
-        long = {}
-        for i in range(0, len(new), 20_000):
-            some = new[i : i + 20_000]
-            for p, e in zip(some, self.tokenizer.encode_batch_fast(some, add_special_tokens=False), strict=True):
-                (self.known if len(p) < 64 else long)[p] = np.array(e.ids, "<u4").tobytes()
-        known = {**self.known, **long} if long and len(long) > 1000 else None
-        get = known.__getitem__ if known else (lambda p: self.known.get(p) or long[p]) if long else self.known.__getitem__
+        """Ids of each text as little-endian unsigned numbers of self.kind."""
+        # Of a text whose words stand between single blanks and line feeds: its lines of words. Of others: the text itself
+        split: list[list[list[str]] | str] = []
+        for t in texts:
+            t = t or ""
+            plain = t and not (t[0] in " \n" or t[-1] in " \n" or any([s in t for s in self.odd]))
+            split.append([line.split(" ") for line in t.split("\n")] if plain else t)
+        first, later = set(), set()
+        for x in split:
+            if not isinstance(x, str):
+                first.update([line[0] for line in x])
+                for line in x:
+                    later.update(line[1:])
+        new = first - self.bare.keys(), later - self.spaced.keys()
+        self._learn(new[0], self.bare, False)
+        self._learn(new[1], self.spaced, True)
+        bare, get, feed = self.bare.__getitem__, self.spaced.__getitem__, self.feed
         out = []
-        for t, x in zip(texts, parts, strict=True):
-            out.append(np.array(self.tokenizer.encode(t, add_special_tokens=False).ids, "<u4").tobytes() if x is None else b"".join(map(get, x)))
+        for x in split:
+            if isinstance(x, str):
+                out.append(self._odd(x))
+            else:
+                out.append(feed.join([bare(line[0]) + b"".join(map(get, line[1:])) for line in x]))
+        for words, known in zip(new, (self.bare, self.spaced), strict=True):
+            for w in [w for w in words if len(w) > 64]:  # long words aren't kept
+                del known[w]
+        if len(self.bare) + len(self.spaced) > MOST_CACHED:  # the words of this batch stay
+            self.bare = {w: x for w, x in self.bare.items() if w in first}
+            self.spaced = {w: x for w, x in self.spaced.items() if w in later}
         return out
 
+    def _odd(self, text: str) -> bytes:
+        """A text with other white space: its parts between single blanks."""
+        if not text or any(s in text for s in self.special):
+            return self._plain(text)
+        parts = _CUT.split(text)
+        return self._plain(parts[0]) + b"".join(self.spaced.get(p) or self._plain(" " + p) for p in parts[1:])
+
 
 def encoder(path: str) -> Encoder:
     held = worker_cache("tokenizers")
@@ -212,17 +273,12 @@ def pack(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str
     spark = docs.sparkSession
     kind = docs.schema[id_col].dataType.simpleString()
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
-    end = np.array([end_id], "<u4").tobytes()
-
     def tokenise(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         made = encoder(tokenizer)
-        for whole in batches:
-            for i in range(0, whole.num_rows, 500):
-                b = whole.slice(i, 500)
-                data = [x + end for x in made.encode(b.column("text").to_pylist())]
-                n = [len(x) // 4 for x in data]
-                wide = [x if np.frombuffer(x, "<u4").max() > 0xFFFF else np.frombuffer(x, "<u4").astype("<u2").tobytes() for x in data]  # two bytes an id, where that does
-                yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(n, pa.int64()), pa.array(wide, pa.binary())], ["doc_id", "n", "ids"])
+        end, width = np.array([end_id], made.kind).tobytes(), made.kind.itemsize
+        for b in slices(batches):
+            data = [x + end for x in made.encode(b.column("text").to_pylist())]
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array([len(x) // width for x in data], pa.int64()), pa.array(data, pa.binary())], ["doc_id", "n", "ids"])
 
     tokens = rows.mapInArrow(tokenise, f"doc_id {kind}, n long, ids binary").withColumns({"rest": (F.col("n") % window).cast("int"), "mark": F.xxhash64("doc_id", "ids")})
     tokens = stored(tokens, "tokens")
