@@ -27,7 +27,7 @@ from quarry.llm.common import stored
 EXACT_HASHES = 8  # of 64 bits each: two lanes a hash
 WORDS = 32  # packed sums; each holds two sketch lanes
 LANES = 2 * WORDS
-PHRASE = r"[^\s.!?|]+(?:[\s|]+[^\s.!?|]+){0,3}"
+PHRASE = r"[^\s.!?|]+(?:[\s|&&[^\n]]+[^\s.!?|]+){0,3}"
 PAIR_MASK = (1 << 32) | 1
 LOW32 = (1 << 32) - 1
 
