@@ -7,7 +7,9 @@ import pickle
 import sys
 import types
 import uuid
+from collections.abc import Iterator
 
+import pyarrow as pa
 from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -63,11 +65,28 @@ def discard(df: DataFrame) -> None:
 
 
 def worker_cache(name: str) -> dict:
-    """A dict that lives as long as the Python worker, shared by its tasks."""
+    """A dict that lives as long as the Python worker, shared by its tasks.
+
+    An operator's cache goes when another operator asks for its own, so a worker that serves
+    one stage after another holds one of them.
+    """
     module = sys.modules.setdefault("_quarry_worker_cache", types.ModuleType("_quarry_worker_cache"))
+    if name != _MODELS:
+        for other in [k for k, v in module.__dict__.items() if isinstance(v, dict) and k not in (name, _MODELS) and not k.startswith("__")]:
+            del module.__dict__[other]
     return module.__dict__.setdefault(name, {})
 
 
+_MODELS = "models"
+
+
+def slices(batches: Iterator[pa.RecordBatch], rows: int = 1000) -> Iterator[pa.RecordBatch]:
+    """The batches in parts of at most so many rows: texts are held as Python objects for one part at a time."""
+    for b in batches:
+        for i in range(0, b.num_rows, rows):
+            yield b.slice(i, rows)
+
+
 class Shipped:
     """An object broadcast to the workers with its class (pickled by value), unpacked once in each worker."""
 
@@ -77,9 +96,9 @@ class Shipped:
 
     @property
     def value(self) -> object:
-        held = worker_cache("shipped")
+        held = worker_cache(_MODELS)
         if self.key not in held:
-            if len(held) > 4:
+            if len(held) > 8:
                 held.clear()
             held[self.key] = pickle.loads(self.data.value)
         return held[self.key]

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quarry.llm.common import Shipped
+from quarry.llm.common import Shipped, slices
 
 WINDOW = 10
 #: A document of which more than this part is hit is removed whole.
@@ -195,7 +195,7 @@ def find(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col
     automata = _automata(benchmark, item_col, item_text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in slices(batches):
             n_words, n_hit, ids, spans = [], [], [], []
             for text in b.column("text").to_pylist():
                 words, found, items = _scan(automata, text)
@@ -250,7 +250,7 @@ def remove(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", length
     at, length_at = docs.columns.index(text_col), docs.columns.index(length_col) if length_col else None
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in slices(batches):
             texts = b.column(at).to_pylist()
             new = [clean(t) for t in texts]
             keep = pa.array([t is None or n is not None for t, n in zip(texts, new, strict=True)], pa.bool_())

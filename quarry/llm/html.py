@@ -22,6 +22,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from quarry.llm.common import slices
+
 DEEPEST = 256
 WIDEST_PAD = 40  # columns are padded to this width at most
 MOST_SPAN = 100
@@ -390,7 +392,7 @@ def extract(pages: DataFrame, id_col: str = "page_id", html_col: str = "html") -
     kind = pages.schema[id_col].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in slices(batches):
             text = [to_text(h) for h in b.column("html").to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column("page_id"), pa.array(text, pa.string()), pa.array([None if t is None else len(t) for t in text], pa.int64())], ["page_id", "text", "n_chars"])
 

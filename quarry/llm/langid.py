@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quarry.llm.common import Shipped, worker_cache
+from quarry.llm.common import Shipped, slices, worker_cache
 from quarry.llm.sampling import bounded_sample
 
 PER_LANGUAGE = 1500
@@ -188,7 +188,7 @@ def fit(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", key: tu
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         grams, scripts = Counter(), Counter()
-        for b in batches:
+        for b in slices(batches):
             words = Counter()
             for lang, text in zip(b.column("lang").to_pylist(), b.column("text").to_pylist(), strict=True):
                 words.update((lang, w) for w in words_of(text))
@@ -218,7 +218,7 @@ def predict(docs: DataFrame, model: LanguageModel, text_col: str = "text", colum
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = shared.value
-        for b in batches:
+        for b in slices(batches):
             texts = b.column("_text").to_pylist()
             found = [label(m, t) for t in texts]
             out = [*b.columns[:-1], pa.array([x[0] for x in found], pa.string()), pa.array([x[1] for x in found], pa.float64())]
@@ -251,7 +251,7 @@ def keep_identified(docs: DataFrame, model: LanguageModel, text_col: str = "text
     at = docs.columns.index(text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in slices(batches):
             found = [label(shared.value, t) for t in b.column(at).to_pylist()]
             yield b.filter(pa.array([lang != UNDETERMINED and score >= least for lang, score, _ in found], pa.bool_()))
 

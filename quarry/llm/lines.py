@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from quarry.llm.common import fresh, stored
+from quarry.llm.common import fresh, slices, stored
 
 GRAM, WINDOW = 30, 50
 NO_ID = -(1 << 63)
@@ -99,7 +99,7 @@ def own_repeats(hashes: np.ndarray, grams: list[tuple[int, int, int, int, int]])
 
 
 def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for b in batches:
+    for b in slices(batches):
         own, grams = [], []
         for text in b.column("text").to_pylist():
             hashes, found = selected(lines_of(text))
@@ -160,7 +160,7 @@ def remove(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", leng
         schema = T.StructType([*schema.fields, *(T.StructField(c, T.LongType()) for c in counts)])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in slices(batches):
             texts, cuts = b.column(at).to_pylist(), b.column(b.num_columns - 1).to_pylist()
             new = [(t, len(lines_of(t)) if counts else 0, 0) if not r else without(t, r) for t, r in zip(texts, cuts, strict=True)]
             columns = list(b.columns)[:-1]

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quarry.llm.common import fresh, stored
+from quarry.llm.common import fresh, slices, stored
 from quarry.llm.graph import components
 
 SHINGLE, SEED, FAR = 3, 42, 3
@@ -67,7 +67,7 @@ def simhash(text: str | None) -> int:
 
 
 def _simhash_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for b in batches:
+    for b in slices(batches):
         fps = np.fromiter((simhash(t) for t in b.column("text").to_pylist()), np.uint64, b.num_rows).view(np.int64)
         yield pa.RecordBatch.from_arrays([b.column("id"), b.column("text_hash"), pa.array(fps)], ["id", "text_hash", "fp"])
 

@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quarry.llm.common import Shipped, worker_cache
+from quarry.llm.common import Shipped, slices, worker_cache
 from quarry.llm.sampling import labelled_documents
 
 PER_LABEL, MOST_WORDS = 2500, 60_000
@@ -211,13 +211,13 @@ def _word_counts(rows: DataFrame) -> list:
     """
 
     def sentences(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in slices(batches):
             found = {(s.strip(), label) for text, label in zip(b.column("text").to_pylist(), b.column("label").to_pylist(), strict=True) for s in _SENTENCE.split(text or "")}
             yield pa.RecordBatch.from_arrays([pa.array([s for s, _ in found], pa.string()), pa.array([x for _, x in found], pa.int32())], ["sentence", "label"])
 
     def words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts = Counter()
-        for b in batches:
+        for b in slices(batches):
             for sentence, label in zip(b.column("sentence").to_pylist(), b.column("label").to_pylist(), strict=True):
                 counts.update({(w.strip(_ENDS), label) for w in words_of(sentence)})
         keys = list(counts)
@@ -327,7 +327,7 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", per_label: int
     shared = Shipped(docs.sparkSession, model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in slices(batches):
             worst = worst_values(shared.value, b.column("text").to_pylist())
             yield pa.RecordBatch.from_arrays([pa.array(worst), b.column("label").cast(pa.int32())], ["worst", "label"])
 
@@ -357,7 +357,7 @@ def predict(docs: DataFrame, model: ToxicityModel, id_col: str = "doc_id", text_
     shared = Shipped(docs.sparkSession, model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in slices(batches):
             score = shared.value.score(worst_values(shared.value, b.column("text").to_pylist()))
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(score, pa.float64())], ["doc_id", "score"])
 

@@ -23,6 +23,8 @@ from pyarrow import fs as pafs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quarry.llm.common import slices
+
 #: Payloads from this size on are stored once and revisited.
 LEAST_SHARED = 100
 RANGE_BYTES = 4 << 20
@@ -66,7 +68,7 @@ def record(page: object, uri: str | None, digest: str, size: int, payload: bytes
 
 
 def _members(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for b in batches:
+    for b in slices(batches):
         ids, uris, sizes, digests, out = b.column("id").to_pylist(), b.column("uri").to_pylist(), [], [], []
         for page, uri, html in zip(ids, uris, b.column("html").to_pylist(), strict=True):
             payload = (html or "").encode("utf-8")
