@@ -9,6 +9,7 @@ from functools import reduce
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from quarry.functions.text import first_filled, remove_invisible, squeeze, strip
 
@@ -72,7 +73,7 @@ def lenient_json(text: str | None) -> dict | list | None:
     return None
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def lenient_object(c: pd.Series) -> pd.Series:
     """The first balanced object, else the whole text, leniently parsed; as strict JSON, or null. A regex can't balance brackets."""
 

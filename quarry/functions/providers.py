@@ -115,7 +115,7 @@ def l2_normalise(v: Column) -> Column:
 
 def hash_embedding(text: Column, dims: int = 64) -> Column:
     """A normed vector of signed token hashes (native)."""
-    toks = F.transform(X.tokens(text), F.xxhash64)
+    toks = F.transform(X.tokens(text), lambda t: F.xxhash64(t))
     return l2_normalise(F.transform(F.sequence(F.lit(0), F.lit(dims - 1)), lambda d: F.aggregate(toks, F.lit(0.0), lambda s, h: s + F.when(F.pmod(h, F.lit(dims)) == d, F.when(F.shiftrightunsigned(h, 32).bitwiseAND(F.lit(1)) == 1, 1.0).otherwise(-1.0)).otherwise(0.0))))
 
 

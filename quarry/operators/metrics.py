@@ -14,7 +14,7 @@ def _ratio(a: Column, b: Column) -> Column:
     return F.coalesce(F.try_divide(a.cast("double"), b.cast("double")), F.lit(0.0))
 
 
-def _prf(counts: DataFrame) -> DataFrame:
+def ratios(counts: DataFrame) -> DataFrame:
     """counts: label, tp, fp, fn; ratios without a denominator are 0."""
     out = counts.withColumns({"precision": _ratio(F.col("tp"), F.col("tp") + F.col("fp")), "recall": _ratio(F.col("tp"), F.col("tp") + F.col("fn"))})
     return out.withColumn("f1", _ratio(2 * F.col("precision") * F.col("recall"), F.col("precision") + F.col("recall")))
@@ -31,7 +31,7 @@ def prf_all_predictions(df: DataFrame, truth: str, pred: str, classes: list) ->
     sides = pairs.select(F.explode(F.array(F.struct(F.col("t").alias("label"), F.lit(True).alias("is_truth")), F.struct(F.col("p").alias("label"), F.lit(False).alias("is_truth")))).alias("x"), "t", "p", "n").select("x.*", (F.col("t").eqNullSafe(F.col("p"))).alias("hit"), "n")
     total = lambda c: F.coalesce(F.sum(F.when(c, F.col("n"))), F.lit(0))
     counts = sides.groupBy("label").agg(total(F.col("is_truth") & F.col("hit")).alias("tp"), total(~F.col("is_truth") & ~F.col("hit")).alias("fp"), total(F.col("is_truth") & ~F.col("hit")).alias("fn"))
-    return _prf(F.broadcast(_classes(df, classes)).join(counts, "label", "left").fillna(0))
+    return ratios(F.broadcast(_classes(df, classes)).join(counts, "label", "left").fillna(0))
 
 
 def confusion(df: DataFrame, truth: str, pred: str, classes: list) -> DataFrame:
@@ -47,7 +47,7 @@ def prf_matrix(df: DataFrame, truth: str, pred: str, classes: list) -> DataFrame
     m = confusion(df, truth, pred, classes)
     rows = m.select(F.explode(F.array(F.struct(F.col("gt").alias("label"), F.lit(True).alias("is_gt")), F.struct(F.col("pred").alias("label"), F.lit(False).alias("is_gt")))).alias("x"), (F.col("gt") == F.col("pred")).alias("hit"), "n").select("x.*", "hit", "n")
     total = lambda c: F.sum(F.when(c, F.col("n")).otherwise(0))
-    return _prf(rows.groupBy("label").agg(total(F.col("is_gt") & F.col("hit")).alias("tp"), total(~F.col("is_gt") & ~F.col("hit")).alias("fp"), total(F.col("is_gt") & ~F.col("hit")).alias("fn")))
+    return ratios(rows.groupBy("label").agg(total(F.col("is_gt") & F.col("hit")).alias("tp"), total(~F.col("is_gt") & ~F.col("hit")).alias("fp"), total(F.col("is_gt") & ~F.col("hit")).alias("fn")))
 
 
 def summary(per_class: DataFrame, df: DataFrame, truth: str, pred: str, classes: list | None = None) -> DataFrame:

@@ -3,8 +3,13 @@
 from pyspark.sql import types as T
 
 
+_TYPES = {"string": T.StringType(), "int": T.IntegerType(), "array<string>": T.ArrayType(T.StringType())}
+
+
 def _schema(spec: str) -> T.StructType:
-    return T.StructType.fromDDL(spec)
+    """Fields written as `name type, ...` (parsed here: Spark's parser needs a session)."""
+    pairs = (x.strip().rsplit(" ", 1) for x in spec.split(","))
+    return T.StructType([T.StructField(n.strip("`"), _TYPES[t]) for n, t in pairs])
 
 
 CORPUS_DOC = _schema("doc_id string, title string, rel_path string, law_group string, text string, text_len int, file_sha1 string")
@@ -22,8 +27,6 @@ LAW_ARTICLE = _schema("law_title string, content string")
 SFT = _schema("instruction string, input string, output string")
 DPO_CANDIDATE = _schema("id string, instruction string, input string, cand_a string, cand_b string")
 DPO_PAIR = _schema("instruction string, input string, chosen string, rejected string")
-WRAPPED = "data array<{0}>, items array<{0}>, samples array<{0}>, examples array<{0}>"
-
 #: Dataset registry for post-training: name -> file and roles of columns.
 REGISTRY = {
     "sft_law": {"file_name": "sft_law.json"},

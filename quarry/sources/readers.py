@@ -12,7 +12,7 @@ from quarry.functions import text as X
 from quarry.operators.corpus import path_columns, require_columns
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def decode_ignore(content: pd.Series) -> pd.Series:
     """UTF-8 without the bytes that aren't (Spark's own decoder would put replacement characters)."""
     return content.map(lambda b: None if b is None else b.decode("utf-8", "ignore"))
