@@ -52,11 +52,12 @@ def bm25(index: TextIndex, queries: DataFrame, cfg: RetrievalConfig = RetrievalC
     terms = queries.select(F.col(id_col).alias("query_id"), F.explode(X.tokens(F.col(text_col))).alias("term")).groupBy("query_id", "term").agg(F.count(F.lit(1)).alias("qtf"))
     hint = F.broadcast if small(terms) else lambda x: x
     weight = F.log(1.0 + (F.col("n_docs") - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    asked = hint(terms.select("term").distinct())
-    weighed = index.postings.join(asked, "term", "left_semi").groupBy("term").agg(F.count(F.lit(1)).alias("df")).join(F.broadcast(index.stats)).select("term", "avgdl", weight.alias("idf"))
+    # The semi-join goes below the counting of an index that isn't stored, so other tokens are never counted or shuffled.
+    relevant = index.postings.join(hint(terms.select("term").distinct()), "term", "left_semi")
+    weighed = relevant.groupBy("term").agg(F.count(F.lit(1)).alias("df")).join(F.broadcast(index.stats)).select("term", "avgdl", weight.alias("idf"))
     q = hint(terms.join(weighed, "term"))
     tf = F.col("tf") / (F.col("tf") + cfg.k1 * (1.0 - cfg.b + cfg.b * F.col("dl") / F.col("avgdl")))
-    scored = index.postings.join(q, "term").groupBy("query_id", "doc_id").agg(F.round(F.sum(F.col("qtf") * F.col("idf") * tf), 6).alias("score"))
+    scored = relevant.join(q, "term").groupBy("query_id", "doc_id").agg(F.round(F.sum(F.col("qtf") * F.col("idf") * tf), 6).alias("score"))
     return top_k(scored, "query_id", [F.desc("score"), F.col("doc_id")], k or cfg.bm25_k)
 
 
