@@ -119,7 +119,7 @@ class Encoder:
                 first.update([line[0] for line in x])
                 for line in x:
                     later.update(line[1:])
-        new = first - self.bare.keys(), later - self.spaced.keys()
+        new = {w for w in first if w not in self.bare}, {w for w in later if w not in self.spaced}
         self._learn(new[0], self.bare, False)
         self._learn(new[1], self.spaced, True)
         bare, get, feed = self.bare.__getitem__, self.spaced.__getitem__, self.feed
