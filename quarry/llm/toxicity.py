@@ -193,7 +193,7 @@ def worst_values(model: ToxicityModel, texts: list[str | None]) -> np.ndarray:
     while at < len(sets):  # a few texts at a time, so that new words are scored together but don't pile up
         end, new = at, set()
         while end < len(sets) and len(new) < 50_000:
-            new |= sets[end] - values.keys()
+            new.update([w for w in sets[end] if w not in values])
             end += 1
         fresh = list(new)
         values.update(zip(fresh, model.values(fresh).tolist(), strict=True))
