@@ -8,9 +8,10 @@ letters are read as those.
 
 The machine is trained on sentences with their document's label, as multiple instances:
 a toxic sentence is toxic by its worst word, a clean sentence by none. Words are mapped
-to kernel values with LANDMARKS landmark words, whitened (Nystroem), and separated by a
-linear machine; rounds of training take in the hardest words of clean sentences. As the map is linear in the kernel, the trained machine is
-one weight for each triple. A text scores by its worst word.
+to powers of kernel values with LANDMARKS landmark words, whitened (Nystroem), and
+separated by a linear machine; rounds of training take in the hardest words of clean
+sentences. A first machine that is linear in the triples, and so one weight for each,
+rules most words out. A text scores by its worst word.
 
 Fitting reads at most about 2 * PER_LABEL labelled documents and MOST_WORDS different
 words of them.
@@ -32,8 +33,11 @@ from quarry.llm.common import Shipped, slices, worker_cache
 from quarry.llm.sampling import labelled_documents
 
 PER_LABEL, MOST_WORDS = 2500, 60_000
-LANDMARKS, ROUNDS, COST = 256, 4, 12.0
+#: Landmarks (half of them toxic, LEADING of these the strongest words), rounds of training, cost, power of the kernel.
+LANDMARKS, LEADING, ROUNDS, COST, POWER = 192, 24, 3, 5.0, 3
 DECAY, MOST_SPAN = 0.7, 8
+#: So many words of either side are also learned with a character put in.
+DISTURBED = 400
 LONGEST = 24  # longer words are scored in overlapping parts
 LIMIT = 0.7
 MOST_CACHED = 400_000
@@ -60,11 +64,13 @@ _TABLE = np.array([_class(chr(c)) for c in range(0x3000)], np.int64)
 
 
 def words_of(text: str | None) -> set[str]:
-    """The different words of a text, lower-case, without marks at their ends; runs of single characters joined."""
+    """The different words of a text, lower-case: as they are, without marks inside, and runs of single characters joined."""
     if not text:
         return set()
     parts = text.lower().split()
     out = set(parts)
+    out.update(["".join([c for c in p if c.isalnum()]) for p in out if not p.strip(_ENDS).isalnum()])
+    out.discard("")
     run: list[str] = []
     for k, p in enumerate(parts if any(len(p) == 1 for p in out) else ()):
         if len(p) == 1:
@@ -164,21 +170,56 @@ def svm(x: np.ndarray, y: np.ndarray, cost: np.ndarray, epochs: int = 25, seed:
     return w
 
 
+class Landmarks:
+    """Triple weights of the landmark words, for the triples that occur in them."""
+
+    def __init__(self, words: list[str]) -> None:
+        self.words, maps = words, kernel_map(words)
+        self.place = np.zeros(_CLASSES**3, np.int32)  # row of a triple in the table; 0: in no landmark
+        triples = sorted({t for m in maps for t in m})
+        self.place[triples] = np.arange(1, len(triples) + 1)
+        self.table = np.zeros((len(triples) + 1, len(words)), np.float32)
+        for k, m in enumerate(maps):
+            self.table[self.place[list(m)], k] = list(m.values())
+
+    def kernel(self, words: list[str]) -> np.ndarray:
+        """words x landmarks: normed kernel to the power POWER; of a long word the largest of its parts' values."""
+        out = np.zeros((len(words), len(self.words)), np.float32)
+        for at in range(0, len(words), 1024):
+            codes, owner = encode(words[at : at + 1024])
+            value = np.zeros((len(codes), len(self.words)), np.float32)
+            for weight, numbers, there in _triples(codes):
+                value += np.float32(weight) * (self.table[np.where(there, self.place[numbers], 0)]).sum(1)
+            value /= np.sqrt(_norms(codes))[:, None].astype(np.float32)
+            np.maximum.at(out, at + owner, value)
+        return out**POWER
+
+
 class ToxicityModel:
-    """Weights of triples; score = logistic curve of the worst word's value."""
+    """A linear machine on triples (`weights`) that passes what might be toxic to the machine on landmarks.
+
+    The score is a logistic curve of the worst word's value. Without landmarks every word is CLEAN.
+    """
 
-    def __init__(self, weights: np.ndarray, constant: float, slope: float = 1.0, middle: float = 0.0) -> None:
+    def __init__(self, weights: np.ndarray | None = None, constant: float = 0.0, least: float = np.inf, landmarks: Landmarks | None = None, alpha: np.ndarray | None = None, bias: float = 0.0) -> None:
         self.name = uuid.uuid4().hex
-        self.weights, self.constant, self.slope, self.middle = weights.astype(np.float32).reshape(-1, 1), constant, slope, middle
+        self.weights, self.constant, self.least, self.landmarks, self.alpha, self.bias = weights, constant, least, landmarks, alpha, bias
+        self.slope, self.middle = 1.0, 0.0
 
     def values(self, words: list[str]) -> np.ndarray:
-        return project(words, self.weights)[:, 0] + self.constant if words else np.zeros(0)
+        out = np.full(len(words), CLEAN)
+        if self.landmarks is not None and words:
+            might = np.flatnonzero(project(words, self.weights)[:, 0] + self.constant >= self.least)
+            if len(might):
+                out[might] = np.maximum(CLEAN, self.landmarks.kernel([words[k] for k in might]) @ self.alpha + self.bias)
+        return out
 
     def score(self, worst: np.ndarray) -> np.ndarray:
         z = np.clip(self.slope * (worst - self.middle) + np.log(LIMIT / (1 - LIMIT)), -40, 40)
         return 1 / (1 + np.exp(-z))
 
 
+CLEAN = -2.0  # value of a word that the first machine rules out
 NO_WORD = -3.0  # value of a text without words
 
 
@@ -262,68 +303,72 @@ def _landmarks(words: list[str], n: int) -> list[str]:
     return [words[i] for i in chosen]
 
 
-def train(counts: list[tuple[str, int, int]]) -> tuple[np.ndarray, float] | None:
-    """Triple weights and constant from the sentence counts of words; None if no word tells toxic sentences from clean ones."""
+def _disturb(word: str, rng: np.random.Generator, times: int = 3) -> list[str]:
+    out = []
+    for _ in range(times if len(word) > 3 else 0):
+        k = int(rng.integers(1, len(word)))
+        out.append(word[:k] + chr(97 + int(rng.integers(26))) + word[k:])
+    return out
+
+
+def train(counts: list[tuple[str, int, int]]) -> ToxicityModel | None:
+    """A model from the sentence counts of words; None if no word tells toxic sentences from clean ones."""
     words = [w for w, _, _ in counts]
     toxic, clean = (np.array([c[k] for c in counts], float) for k in (1, 2))
     if not toxic.sum() or not clean.sum():
         return None
-    positive, surplus = _telling(words, toxic, clean)
-    positive &= clean <= 0.02 * toxic
-    strong = np.flatnonzero(positive)
-    if not len(strong):
+    told, surplus = _telling(words, toxic, clean)
+    told &= clean <= 0.02 * toxic
+    plus = np.array(sorted(np.flatnonzero(told), key=lambda i: -surplus[i])[:5000], np.int64)
+    common = sorted(np.flatnonzero(clean > 0), key=lambda i: -clean[i])
+    if not len(plus):
         return None
-    told = positive
-    negative = clean > 0
-    by_surplus = sorted(strong, key=lambda i: -surplus[i])
-    marks = _landmarks([words[i] for i in by_surplus], LANDMARKS // 2)
-    common = sorted(np.flatnonzero(negative), key=lambda i: -clean[i])
-    marks += [w for w in _landmarks([words[i] for i in common], LANDMARKS // 2) if w not in marks]
-    maps = kernel_map(marks)
-    basis = np.zeros((_CLASSES**3, len(marks)), np.float32)
-    for k, m in enumerate(maps):
-        for t, v in m.items():
-            basis[t, k] = v
-    gram = np.array([[sum(v * b.get(t, 0.0) for t, v in a.items()) for b in maps] for a in maps])
-    value, vector = np.linalg.eigh(gram)
-    keep = value > 1e-6 * value[-1]
+    first = [words[i] for i in plus[:LEADING]]
+    marks = list(dict.fromkeys(first + _landmarks([words[i] for i in plus[LEADING:]], LANDMARKS // 2) + _landmarks([words[i] for i in common], LANDMARKS // 2 - LEADING)))
+    landmarks = Landmarks(marks)
+    value, vector = np.linalg.eigh(landmarks.kernel(marks).astype(np.float64))
+    keep = value > 1e-4 * value[-1]
     white = vector[:, keep] / np.sqrt(value[keep])
     rng = np.random.default_rng(11)
-    mapped: dict[int, np.ndarray] = {}
-    hard = np.array([], np.int64)
-    for _ in range(ROUNDS):
+    # Words with a character put in, so that the machines learn to see through it
+    extra = [(w, side) for side, group in ((1.0, plus), (-1.0, common)) for i in group[:DISTURBED] for w in _disturb(words[i], rng)]
+    one = lambda x: np.hstack((x, np.ones((len(x), 1))))
+    weights, constant, w, hard = None, 0.0, None, np.array([], np.int64)
+    mapped: dict[str, np.ndarray] = {}
+    for r in range(ROUNDS):
         minus = np.array(common[:2500] + list(rng.choice(common, min(2500, len(common)), replace=False)), np.int64)
-        minus = np.unique(np.concatenate((minus, hard)))
-        minus = minus[~positive[minus]]
-        plus = np.array(sorted(np.flatnonzero(positive), key=lambda i: -toxic[i])[:5000])
-        rows = np.concatenate((plus, minus))
-        new = [i for i in rows.tolist() if i not in mapped]
-        if new:
-            mapped.update(zip(new, np.hstack((project([words[i] for i in new], basis) @ white, np.ones((len(new), 1)))), strict=True))
-        x = np.array([mapped[i] for i in rows.tolist()])
-        y = np.where(np.arange(len(rows)) < len(plus), 1.0, -1.0)
+        minus = np.setdiff1d(np.concatenate((minus, hard)), plus)
+        names = [words[i] for i in plus] + [words[i] for i in minus] + [x for x, _ in extra]
+        y = np.concatenate((np.ones(len(plus)), -np.ones(len(minus)), [side for _, side in extra]))
         # A word weighs as often as it occurs, within bounds, and both sides alike
-        cost = np.where(y > 0, np.sqrt(toxic[rows]), np.sqrt(clean[rows])).clip(1.0, 20.0)
+        cost = np.concatenate((np.sqrt(toxic[plus]).clip(1, 20), np.sqrt(clean[minus]).clip(1, 20), np.ones(len(extra))))
         cost[y > 0] *= max(1.0, cost[y < 0].sum() / cost[y > 0].sum())
-        w = svm(x, y, COST * cost)
-        # Back to one weight for each triple: f(word) = its normed triples times these
-        weights, constant = basis @ (white @ w[:-1]).astype(np.float32), float(w[-1])
-        f = project(words, weights[:, None])[:, 0] + constant
-        # Telling words that the machine can't hold are dropped; clean words that it takes for toxic are hard negatives.
-        positive = told & (f > -1.0)
-        hard = np.union1d(hard, np.array(sorted(np.flatnonzero(negative & ~told), key=lambda i: -f[i])[:2000], np.int64))
-        if not positive.any():
-            break
-    return weights, constant
+        new = [n for n in dict.fromkeys(names) if n not in mapped]
+        mapped.update(zip(new, landmarks.kernel(new), strict=True))
+        x = np.array([mapped[n] for n in names])
+        w = svm(one(x @ white), y, COST * cost)
+        if r == 0:
+            # The first machine: linear in the triples, by the roots of the kernel values; all that is toxic must pass it
+            v = svm(one(x ** (1 / POWER)), y, cost)
+            weights = np.zeros(_CLASSES**3, np.float32)
+            weights[landmarks.place > 0] = (landmarks.table @ v[:-1].astype(np.float32))[landmarks.place[landmarks.place > 0]]
+            weights, constant = weights[:, None], float(v[-1])
+            passed = project([n for n, side in zip(names, y, strict=True) if side > 0], weights)[:, 0] + constant
+            least = float(np.quantile(passed, 0.02)) - 0.5
+        model = ToxicityModel(weights, constant, least, landmarks, white @ w[:-1], float(w[-1]))
+        f = model.values([words[i] for i in common])
+        hard = np.union1d(hard, np.array([common[k] for k in np.argsort(-f)[:2000] if f[k] > -1 and not told[common[k]]], np.int64))
+    return model
 
 
 def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", per_label: int = PER_LABEL) -> ToxicityModel:
     """Fit on a bounded sample of the labelled documents given. If they show no difference, every text scores low."""
     rows = labelled_documents(docs, labels, label, per_label)
-    learned = train(_word_counts(rows))
-    if learned is None:
-        return ToxicityModel(np.zeros(_CLASSES**3), NO_WORD)
-    model = ToxicityModel(*learned)
+    model = train(_word_counts(rows))
+    if model is None:
+        model = ToxicityModel()
+        model.middle = CLEAN + 3.0
+        return model
     shared = Shipped(docs.sparkSession, model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -332,9 +377,9 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", per_label: int
             yield pa.RecordBatch.from_arrays([pa.array(worst), b.column("label").cast(pa.int32())], ["worst", "label"])
 
     got = rows.mapInArrow(run, "worst double, label int").collect()
-    worst, y = np.array([r.worst for r in got]), np.array([r.label for r in got])
-    middle, spread = best_cut(worst, y)
-    return ToxicityModel(learned[0], learned[1], 4.0 / max(spread, 0.05), middle)
+    model.middle, spread = best_cut(np.array([r.worst for r in got]), np.array([r.label for r in got]))
+    model.slope = 4.0 / max(spread, 0.05)
+    return model
 
 
 def best_cut(worst: np.ndarray, y: np.ndarray) -> tuple[float, float]:
