@@ -349,8 +349,7 @@ def test_held_out_accuracy(spark):
 
 def test_insults_with_gaps():
     counts = [(w, 30, 0) for w in ("scoundrel", "blockhead", "nitwit")] + [(w, 3, 40) for w in ("table", "window", "garden", "little", "house", "bright", "water", "silver")]
-    weights, constant = toxicity.train(counts)
-    model = toxicity.ToxicityModel(weights, constant)
+    model = toxicity.train(counts)
     bad = toxicity.worst_values(model, ["you s-c-o-u-n-d-r-e-l", "a bl0ckhead!", "b l o c k h e a d", "nitwits"])
     fine = toxicity.worst_values(model, ["the garden table", "little house by the water", "", None])
     assert bad.min() > fine.max()
