@@ -94,7 +94,7 @@ def encode(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
             parts.append(w[i : i + LONGEST])
             owner.append(k)
     lengths = np.fromiter(map(len, parts), np.int64, len(parts))
-    codes = np.zeros((len(parts), int(lengths.max(initial=0)) + 2), np.int64)
+    codes = np.zeros((len(parts), int(lengths.max(initial=0)) + 2), np.int32)
     codes[:, 0] = _EDGE
     flat = np.array([ord(c) for p in parts for c in p], np.int64)
     flat = np.where(flat < len(_TABLE), _TABLE[np.minimum(flat, len(_TABLE) - 1)], 27 + flat % 35)
@@ -185,11 +185,20 @@ class Landmarks:
     def kernel(self, words: list[str]) -> np.ndarray:
         """words x landmarks: normed kernel to the power POWER; of a long word the largest of its parts' values."""
         out = np.zeros((len(words), len(self.words)), np.float32)
-        for at in range(0, len(words), 1024):
-            codes, owner = encode(words[at : at + 1024])
-            value = np.zeros((len(codes), len(self.words)), np.float32)
+        for at in range(0, len(words), 512):
+            codes, owner = encode(words[at : at + 512])
+            # The triples of this part that are in a landmark, as one matrix, times the landmarks' weights
+            entries = []
             for weight, numbers, there in _triples(codes):
-                value += np.float32(weight) * (self.table[np.where(there, self.place[numbers], 0)]).sum(1)
+                r, c = np.nonzero(there)
+                t = self.place[numbers[r, c]]
+                entries.append((r[t > 0], t[t > 0], np.full(int((t > 0).sum()), weight)))
+            if not entries:
+                continue
+            r, t, weight = (np.concatenate(x) for x in zip(*entries, strict=True))
+            used, column = np.unique(t, return_inverse=True)
+            own = np.bincount(r * len(used) + column, weights=weight, minlength=len(codes) * len(used))
+            value = own.reshape(len(codes), len(used)).astype(np.float32) @ self.table[used]
             value /= np.sqrt(_norms(codes))[:, None].astype(np.float32)
             np.maximum.at(out, at + owner, value)
         return out**POWER
@@ -236,8 +245,10 @@ def worst_values(model: ToxicityModel, texts: list[str | None]) -> np.ndarray:
         while end < len(sets) and len(new) < 50_000:
             new.update([w for w in sets[end] if w not in values])
             end += 1
-        fresh = list(new)
+        core = {w: w.strip(_ENDS) or w for w in new}
+        fresh = [w for w in set(core.values()) if w not in values]
         values.update(zip(fresh, model.values(fresh).tolist(), strict=True))
+        values.update([(w, values[c]) for w, c in core.items()])
         for k in range(at, end):
             if sets[k]:
                 out[k] = max(map(values.__getitem__, sets[k]))
@@ -354,7 +365,7 @@ def train(counts: list[tuple[str, int, int]]) -> ToxicityModel | None:
             weights[landmarks.place > 0] = (landmarks.table @ v[:-1].astype(np.float32))[landmarks.place[landmarks.place > 0]]
             weights, constant = weights[:, None], float(v[-1])
             passed = project([n for n, side in zip(names, y, strict=True) if side > 0], weights)[:, 0] + constant
-            least = float(np.quantile(passed, 0.02)) - 0.5
+            least = min(float(np.quantile(passed, 0.08)), float(np.quantile(passed[: len(plus)], 0.01)))
         model = ToxicityModel(weights, constant, least, landmarks, white @ w[:-1], float(w[-1]))
         f = model.values([words[i] for i in common])
         hard = np.union1d(hard, np.array([common[k] for k in np.argsort(-f)[:2000] if f[k] > -1 and not told[common[k]]], np.int64))
