@@ -2,13 +2,14 @@
 
 A document is the multiset of its paragraphs (runs between line feeds). Each
 paragraph is hashed to a wide vector, and the document's fingerprint is the sum
-of these vectors, each lane modulo a power of two:
+of these vectors, each lane modulo 2**32:
 
-* EXACT lanes, modulo 2**32: hashes of the whole paragraph. They settle equality.
-* SKETCH lanes, modulo 2**16: for every phrase of the paragraph (up to four words,
+* EXACT lanes: hashes of the whole paragraph. They settle equality.
+* SKETCH lanes: for every phrase of the paragraph (up to four words,
   counted from the start of a sentence) 64 hash bits. As sums of bits they form a
-  sign projection of the phrase multiset, from which likeness is estimated.
-* two counters, modulo 2**32: paragraphs and phrases.
+  sign projection of the phrase multiset, from which likeness is estimated. A
+  text of 2**31 characters has fewer phrases than wrap a lane.
+* two counters: paragraphs and phrases.
 
 Sums commute, so the order of paragraphs doesn't matter, and paragraphs can be
 inserted or removed by adding or subtracting the vector of the change
@@ -57,9 +58,8 @@ def fingerprints(texts: DataFrame, keys: list[str], text: str, carried: list[str
     sums += [F.sum(F.col(f"_e{k}").bitwiseAND(F.lit(LOW32))).alias(f"_a{k}") for k in range(EXACT_HASHES)]
     sums += [F.sum(F.shiftrightunsigned(f"_e{k}", 32)).alias(f"_b{k}") for k in range(EXACT_HASHES)]
     sums += [F.sum(F.shiftrightunsigned("_h", i).bitwiseAND(F.lit(PAIR_MASK))).alias(f"_w{i}") for i in range(WORDS)]
-    low16 = lambda c: c.bitwiseAND(F.lit(0xFFFF)).cast("int")
     lanes = [_low32(F.col(f"_{x}{k}")) for k in range(EXACT_HASHES) for x in "ab"]
-    lanes += [low16(x) for i in range(WORDS) for x in (F.col(f"_w{i}"), F.shiftrightunsigned(f"_w{i}", 32))]
+    lanes += [_low32(x) for i in range(WORDS) for x in (F.col(f"_w{i}"), F.shiftrightunsigned(f"_w{i}", 32))]
     return rows.groupBy(*keys).agg(*sums).select(*keys, *carried, F.array(*lanes, _low32(F.col("_np")), _low32(F.col("_ns"))).alias("fp"))
 
 
@@ -68,19 +68,14 @@ def _low32(c: Column) -> Column:
     return (c.bitwiseAND(F.lit(LOW32)).bitwiseXOR(F.lit(1 << 31)) - F.lit(1 << 31)).cast("int")
 
 
-def _is_sketch(i: Column) -> Column:
-    return (i >= 2 * EXACT_HASHES) & (i < 2 * EXACT_HASHES + LANES)
-
-
 def combine(a: Column, b: Column, sign: int = 1) -> Column:
     """Fingerprint of the multiset union (sign 1), or of a without the paragraphs of b (sign -1)."""
-    sums = F.zip_with(a, b, lambda x, y: x.cast("long") + sign * y.cast("long"))
-    return F.transform(sums, lambda x, i: F.when(_is_sketch(i), x.bitwiseAND(F.lit(0xFFFF)).cast("int")).otherwise(_low32(x)))
+    return F.zip_with(a, b, lambda x, y: _low32(x.cast("long") + sign * y.cast("long")))
 
 
 def to_hex(fp: Column) -> Column:
-    """Lower-case hex: 8 digits for a lane modulo 2**32, 4 for one modulo 2**16."""
-    digits = F.transform(fp, lambda x, i: F.lpad(F.hex(x.cast("long").bitwiseAND(F.lit(LOW32))), F.when(_is_sketch(i), 4).otherwise(8), F.lit("0")))
+    """Lower-case hex: 8 digits a lane."""
+    digits = F.transform(fp, lambda x: F.lpad(F.hex(x.cast("long").bitwiseAND(F.lit(LOW32))), 8, "0"))
     return F.lower(F.array_join(digits, ""))
 
 
@@ -88,9 +83,8 @@ def likeness(a: Column, b: Column) -> Column:
     """0 to 1: Tanimoto similarity of the phrase multisets as the sketch lanes estimate it; 1.0 for equal fingerprints."""
     lanes = lambda fp: F.slice(fp, 2 * EXACT_HASHES + 1, LANES)
     count = lambda fp: F.element_at(fp, -1).cast("long").bitwiseAND(F.lit(LOW32))
-    centred = lambda d: F.pmod(d + 32768, F.lit(65536)) - 32768
-    norm = lambda v, n: F.aggregate(v, F.lit(0.0), lambda s, x: s + F.pow(2.0 * centred(x) - n, F.lit(2.0)), lambda s: s / LANES)
-    apart = norm(F.zip_with(lanes(a), lanes(b), lambda x, y: x - y), count(a) - count(b))
+    norm = lambda v, n: F.aggregate(v, F.lit(0.0), lambda s, x: s + F.pow(2.0 * x - n, F.lit(2.0)), lambda s: s / LANES)
+    apart = norm(F.zip_with(lanes(a), lanes(b), lambda x, y: x.cast("long") - y.cast("long")), count(a) - count(b))
     both = norm(lanes(a), count(a)) + norm(lanes(b), count(b))
     estimate = F.when(both + apart > 0, (both - apart) / (both + apart)).otherwise(F.lit(0.0))
     return F.when(a == b, F.lit(1.0)).otherwise(F.least(F.lit(1.0), F.greatest(F.lit(0.0), estimate)))
