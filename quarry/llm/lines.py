@@ -6,11 +6,13 @@ that has WINDOW words. In each window the gram with the least hash is selected (
 one of equals). What a window selects depends on its lines only, so every run of
 WINDOW words and more that two documents share has a selected gram in both.
 
-Each gram's first occurrence, by document id and line, is its source. Every later one is
-matched with it and the match extended both ways: the lines before and after, as far as a
-window reaches, travel with the gram, and beyond that another selected gram takes over.
-Lines of matches are deleted, so the first occurrence of a passage stays. Repeats inside
-one document are found and extended while it is read.
+Occurrences of a gram are ordered by document id and line. The lines before and after, as
+far as a window reaches, travel with the gram; beyond that another selected gram takes
+over. A gram with its k lines before (or after) is a key, for every k, and the first
+occurrence of a key its source. So each occurrence is extended, on either side, as far as
+any earlier one agrees with it, and no pairs are made. Lines of matches are deleted, so
+the first occurrence of a passage stays. Repeats inside one document are also found and
+extended while it is read.
 
 Rows are keyed by id and a hash of the text; rows that repeat (equal id and text) count
 as one document and share its result.
@@ -104,19 +106,13 @@ def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for text in b.column("text").to_pylist():
             hashes, found = selected(lines_of(text))
             own.append([{"first": x, "last": y} for x, y in own_repeats(hashes, found)])
-            firsts = {}
-            for g, first, last, low, high in found:
-                if g not in firsts:
-                    firsts[g] = {"gram": g, "first": first, "last": last, "before": hashes[low:first][::-1].tolist(), "after": hashes[last + 1 : high + 1].tolist()}
-            grams.append(list(firsts.values()))
+            grams.append([{"gram": g, "first": first, "last": last, "before": hashes[low:first][::-1].tolist(), "after": hashes[last + 1 : high + 1].tolist()} for g, first, last, low, high in found])
         yield pa.RecordBatch.from_arrays([b.column("id"), b.column("text_hash"), pa.array(own, pa.list_(_RUN)), pa.array(grams, pa.list_(_GRAM))], ["id", "text_hash", "own", "grams"])
 
 
-def _same_prefix(a: str, b: str):
-    """Number of leading elements in which two arrays agree."""
-    pairs = F.zip_with(F.slice(a, 1, F.least(F.size(a), F.size(b))), F.slice(b, 1, F.least(F.size(a), F.size(b))), lambda x, y: x == y)
-    differs = F.array_position(pairs, F.lit(False)).cast("int")
-    return F.when(differs > 0, differs - 1).otherwise(F.size(pairs))
+def _keys(side: str):
+    """(side, depth, key) for each number of lines, from 0 on, that a gram has on that side."""
+    return F.transform(F.sequence(F.lit(0), F.size(side)), lambda k: F.struct(F.lit(side).alias("side"), k.alias("depth"), F.xxhash64("gram", F.lit(side), F.slice(side, F.lit(1), k)).alias("key")))
 
 
 def repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -127,10 +123,14 @@ def repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     rows = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID)).alias("id"), F.xxhash64(F.col(text_col)).alias("text_hash"), F.col(text_col).alias("text"))
     scanned = stored(rows.mapInArrow(_scan, "id long, text_hash long, own array<struct<first:int,last:int>>, grams array<struct<gram:long,first:int,last:int,before:array<long>,after:array<long>>>"), "lines")
     grams = scanned.select("id", "text_hash", F.explode("grams").alias("g")).select("id", "text_hash", "g.*")
-    sources = grams.groupBy("gram").agg(F.min(F.struct("id", "text_hash", "first", "before", "after")).alias("s"), F.count(F.lit(1)).alias("n")).where("n > 1").select("gram", "s")
-    later = grams.join(sources, "gram").where((F.col("id") != F.col("s.id")) | (F.col("text_hash") != F.col("s.text_hash")))
-    back, on = _same_prefix("before", "s.before"), _same_prefix("after", "s.after")
-    crossed = later.select("id", "text_hash", (F.col("first") - back).alias("first"), (F.col("last") + on).alias("last"), F.col("s.id").alias("source_id"), (F.col("s.first") - back).alias("source_first"))
+    shared = grams.groupBy("gram").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("gram")
+    keyed = grams.join(shared, "gram").select("id", "text_hash", "first", "last", F.explode(F.concat(_keys("before"), _keys("after"))).alias("k")).select("id", "text_hash", "first", "last", "k.*")
+    sources = keyed.groupBy("key").agg(F.min(F.struct("id", "text_hash", "first")).alias("s"))
+    later = keyed.join(sources, "key").where(F.struct("id", "text_hash", "first") != F.col("s"))
+    deepest = later.groupBy("id", "text_hash", "first", "last", "side").agg(F.max(F.struct("depth", "s")).alias("x"))
+    back, on = (F.when(F.col("side") == x, F.col("x.depth")).otherwise(0) for x in ("before", "after"))
+    outside = (F.col("id") != F.col("x.s.id")) | (F.col("text_hash") != F.col("x.s.text_hash"))
+    crossed = deepest.select("id", "text_hash", (F.col("first") - back).alias("first"), (F.col("last") + on).alias("last"), F.when(outside, F.col("x.s.id")).alias("source_id"), F.when(outside, F.col("x.s.first") - back).alias("source_first"))
     own = scanned.select("id", "text_hash", F.explode("own").alias("r")).select("id", "text_hash", "r.first", "r.last", F.lit(None).cast("long").alias("source_id"), F.lit(None).cast("int").alias("source_first"))
     return crossed.unionByName(own)
 
