@@ -10,8 +10,7 @@ The machine is trained on sentences with their document's label, as multiple ins
 a toxic sentence is toxic by its worst word, a clean sentence by none. Words are mapped
 to powers of kernel values with LANDMARKS landmark words, whitened (Nystroem), and
 separated by a linear machine; rounds of training take in the hardest words of clean
-sentences. A first machine that is linear in the triples, and so one weight for each,
-rules most words out. A text scores by its worst word.
+sentences. Every word is compared with the landmarks. A text scores by its worst word.
 
 Fitting reads at most about 2 * PER_LABEL labelled documents and MOST_WORDS different
 words of them.
@@ -137,22 +136,6 @@ def _norms(codes: np.ndarray) -> np.ndarray:
     return np.maximum(total, 1e-12)
 
 
-def project(words: list[str], weights: np.ndarray) -> np.ndarray:
-    """words x columns: kernel values with each column of triple weights; a long word's are those of its part with the largest first column."""
-    out = np.full((len(words), weights.shape[1]), -np.inf)
-    for at in range(0, len(words), 4096):
-        codes, owner = encode(words[at : at + 4096])
-        value = np.zeros((len(codes), weights.shape[1]))
-        for weight, numbers, there in _triples(codes):
-            value += weight * (weights[numbers] * there[..., None]).sum(1)
-        value /= np.sqrt(_norms(codes))[:, None]
-        if len(owner) and len(owner) == owner[-1] + 1:
-            out[at : at + 4096] = value
-        else:
-            np.maximum.at(out, at + owner, value)
-    return out
-
-
 def svm(x: np.ndarray, y: np.ndarray, cost: np.ndarray, epochs: int = 25, seed: int = 3) -> np.ndarray:
     """Linear machine with hinge loss (last column of x: the constant), by dual coordinate ascent."""
     rng, w, alpha = np.random.default_rng(seed), np.zeros(x.shape[1]), np.zeros(len(x))
@@ -196,7 +179,11 @@ class Landmarks:
             if not entries:
                 continue
             r, t, weight = (np.concatenate(x) for x in zip(*entries, strict=True))
-            used, column = np.unique(t, return_inverse=True)
+            column = np.zeros(len(self.table), np.int64)
+            column[t] = 1
+            used = np.flatnonzero(column)
+            column[used] = np.arange(len(used))
+            column = column[t]
             own = np.bincount(r * len(used) + column, weights=weight, minlength=len(codes) * len(used))
             value = own.reshape(len(codes), len(used)).astype(np.float32) @ self.table[used]
             value /= np.sqrt(_norms(codes))[:, None].astype(np.float32)
@@ -205,30 +192,28 @@ class Landmarks:
 
 
 class ToxicityModel:
-    """A linear machine on triples (`weights`) that passes what might be toxic to the machine on landmarks.
+    """A linear machine on kernel values with landmarks.
 
     The score is a logistic curve of the worst word's value. Without landmarks every word is CLEAN.
     """
 
-    def __init__(self, weights: np.ndarray | None = None, constant: float = 0.0, least: float = np.inf, landmarks: Landmarks | None = None, alpha: np.ndarray | None = None, bias: float = 0.0) -> None:
+    def __init__(self, landmarks: Landmarks | None = None, alpha: np.ndarray | None = None, bias: float = 0.0) -> None:
         self.name = uuid.uuid4().hex
-        self.weights, self.constant, self.least, self.landmarks, self.alpha, self.bias = weights, constant, least, landmarks, alpha, bias
+        self.landmarks, self.alpha, self.bias = landmarks, alpha, bias
         self.slope, self.middle = 1.0, 0.0
 
     def values(self, words: list[str]) -> np.ndarray:
-        out = np.full(len(words), CLEAN)
-        if self.landmarks is not None and words:
-            might = np.flatnonzero(project(words, self.weights)[:, 0] + self.constant >= self.least)
-            if len(might):
-                out[might] = np.maximum(CLEAN, self.landmarks.kernel([words[k] for k in might]) @ self.alpha + self.bias)
-        return out
+        if self.landmarks is None or not words:
+            return np.full(len(words), CLEAN)
+        parts = [self.landmarks.kernel(words[i : i + 4096]) @ self.alpha for i in range(0, len(words), 4096)]
+        return np.maximum(CLEAN, np.concatenate(parts) + self.bias)
 
     def score(self, worst: np.ndarray) -> np.ndarray:
         z = np.clip(self.slope * (worst - self.middle) + np.log(LIMIT / (1 - LIMIT)), -40, 40)
         return 1 / (1 + np.exp(-z))
 
 
-CLEAN = -2.0  # value of a word that the first machine rules out
+CLEAN = -2.0  # least value of a word
 NO_WORD = -3.0  # value of a text without words
 
 
@@ -341,12 +326,12 @@ def train(counts: list[tuple[str, int, int]]) -> ToxicityModel | None:
     keep = value > 1e-4 * value[-1]
     white = vector[:, keep] / np.sqrt(value[keep])
     rng = np.random.default_rng(11)
-    # Words with a character put in, so that the machines learn to see through it
+    # Words with a character put in, so that the machine learns to see through it
     extra = [(w, side) for side, group in ((1.0, plus), (-1.0, common)) for i in group[:DISTURBED] for w in _disturb(words[i], rng)]
     one = lambda x: np.hstack((x, np.ones((len(x), 1))))
-    weights, constant, w, hard = None, 0.0, None, np.array([], np.int64)
+    hard = np.array([], np.int64)
     mapped: dict[str, np.ndarray] = {}
-    for r in range(ROUNDS):
+    for _ in range(ROUNDS):
         minus = np.array(common[:2500] + list(rng.choice(common, min(2500, len(common)), replace=False)), np.int64)
         minus = np.setdiff1d(np.concatenate((minus, hard)), plus)
         names = [words[i] for i in plus] + [words[i] for i in minus] + [x for x, _ in extra]
@@ -358,15 +343,7 @@ def train(counts: list[tuple[str, int, int]]) -> ToxicityModel | None:
         mapped.update(zip(new, landmarks.kernel(new), strict=True))
         x = np.array([mapped[n] for n in names])
         w = svm(one(x @ white), y, COST * cost)
-        if r == 0:
-            # The first machine: linear in the triples, by the roots of the kernel values; all that is toxic must pass it
-            v = svm(one(x ** (1 / POWER)), y, cost)
-            weights = np.zeros(_CLASSES**3, np.float32)
-            weights[landmarks.place > 0] = (landmarks.table @ v[:-1].astype(np.float32))[landmarks.place[landmarks.place > 0]]
-            weights, constant = weights[:, None], float(v[-1])
-            passed = project([n for n, side in zip(names, y, strict=True) if side > 0], weights)[:, 0] + constant
-            least = min(float(np.quantile(passed, 0.08)), float(np.quantile(passed[: len(plus)], 0.01)))
-        model = ToxicityModel(weights, constant, least, landmarks, white @ w[:-1], float(w[-1]))
+        model = ToxicityModel(landmarks, white @ w[:-1], float(w[-1]))
         f = model.values([words[i] for i in common])
         hard = np.union1d(hard, np.array([common[k] for k in np.argsort(-f)[:2000] if f[k] > -1 and not told[common[k]]], np.int64))
     return model

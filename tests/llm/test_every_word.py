@@ -1,0 +1,15 @@
+"""No word is ruled out before the kernel machine has seen it."""
+
+import numpy as np
+
+from quarry.llm import toxicity
+
+
+def test_kernel_machine_sees_every_word():
+    insults = ("scoundrel", "blockhead", "nitwit", "muttonhead", "dunderhead", "rapscallion", "lickspittle", "ninnyhammer")
+    plain = ("table", "window", "garden", "little", "house", "bright", "water", "silver", "orchard", "lantern", "meadow", "harbour")
+    model = toxicity.train([(w, 30, 0) for w in insults] + [(w, 3, 40) for w in plain])
+    rng = np.random.default_rng(4)
+    words = [*insults, *plain, *(v for w in (*insults, *plain) for v in toxicity._disturb(w, rng, 100))]
+    want = np.maximum(toxicity.CLEAN, model.landmarks.kernel(words) @ model.alpha + model.bias)
+    assert np.abs(model.values(words) - want).max() < 1e-4
