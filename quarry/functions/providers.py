@@ -138,4 +138,4 @@ class TemplateProvider:
     """Answers with the first line of the prompt: stands for a generator."""
 
     def __call__(self, prompts: list[str]) -> list[str]:
-        return [p.strip().split("\n")[0][:200] if p.strip() else "" for p in prompts]
+        return [p.strip().split("\n")[0] for p in prompts]

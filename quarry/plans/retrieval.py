@@ -150,7 +150,7 @@ def ir_recall_precision(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def rewrite_rag_offline(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The whole flow with offline stand-ins: rewrite, two rankings, fusion, rerank, prompt, answer, judgement."""
-    items = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), X.first_filled(F.substring("text", 1, 60), F.col("text")).alias("q"), F.col("text").alias("reference"))
+    items = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), F.trim(F.regexp_replace(F.coalesce("text", F.lit("")), r"\s+", " ")).alias("q"), F.col("text").alias("reference"))
     fused = R.rrf(_lists(spark, sf_dir)).join(items, "query_id")
     best = R.contexts(R.rerank(fused, M.coverage(F.col("q"), F.col("text")), 10), RetrievalConfig().context_top).join(items, "query_id")
     prompts = best.select("query_id", "reference", X.render("{contexts}\n\n{query}", {"contexts": X.number_contexts(F.col("contexts")), "query": F.col("q")}).alias("prompt"))
