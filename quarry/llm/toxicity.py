@@ -1,23 +1,33 @@
-"""Toxicity: a support vector machine on a subsequence string kernel with Nystroem landmarks.
-
-Words are compared by the character triples they hold in order, gaps allowed: a triple
-that spans s characters weighs DECAY**s, up to MOST_SPAN. So an insult is still close to
-its stem with another ending, with characters put in (l-o-s-e-r) or left out. Runs of
-single characters (l o s e r) are joined and scored too; digits and signs that stand for
-letters are read as those.
-
-The machine is trained on sentences with their document's label, as multiple instances:
-a toxic sentence is toxic by its worst word, a clean sentence by none. Words are mapped
-to powers of kernel values with LANDMARKS landmark words, whitened (Nystroem), and
-separated by a linear machine; rounds of training take in the hardest words of clean
-sentences. Every word is compared with the landmarks. A text scores by its worst word.
-
-Fitting reads at most about 2 * PER_LABEL labelled documents and MOST_WORDS different
-words of them.
+"""Toxicity: a support vector machine on a subsequence string kernel with Nystroem landmarks, trained on labelled sentences.
+
+Kernel. A word is seen through windows of WIDTH characters (whole, if it has at most one
+more), with marks for its two ends. Two windows are compared by the runs of ORDER
+characters they hold in order, gaps allowed: a run that spans s characters weighs
+DECAY**s in each. The kernel is normed (1 for equal windows) and raised to POWER. So an
+insult is still close to its stem with another ending, and with characters put in, left
+out or doubled. Marks inside a word are taken out (l-o-s-e-r), runs of single characters
+joined (l o s e r), digits and signs that stand for letters read as those.
+
+Training. The examples are sentences with their document's label, each different one once
+(one that clean documents have too is clean; it counts for its least document). A toxic
+sentence is a bag: it needs one toxic window, not only such, so the machine labels the
+windows of toxic sentences itself (mi-SVM): at first by whether a window, or the words
+that begin like it, help on both halves of the documents, then by its own value, round by
+round. Windows are mapped to kernel values with LANDMARKS windows, whitened (Nystroem), and
+separated by a linear machine with squared hinge loss; words with characters put in,
+doubled and left out are learned too, on both sides.
+
+Scores. A text is judged by its TOP highest different words, through an additive logistic
+curve fitted on labelled documents that the machine was not trained on. Every word of a
+whole text is compared with the landmarks.
+
+Fitting reads at most about 2 * PER_LABEL labelled documents and of these at most
+3 * MOST_WINDOWS different windows.
 """
 
 from __future__ import annotations
 
+import itertools
 import re
 import uuid
 from collections import Counter
@@ -31,29 +41,38 @@ from pyspark.sql import functions as F
 from quarry.llm.common import Shipped, slices, worker_cache
 from quarry.llm.sampling import labelled_documents
 
-PER_LABEL, MOST_WORDS = 2500, 60_000
-#: Landmarks (half of them toxic, LEADING of these the strongest words), rounds of training, cost, power of the kernel.
-LANDMARKS, LEADING, ROUNDS, COST, POWER = 192, 24, 3, 5.0, 3
-DECAY, MOST_SPAN = 0.7, 8
-#: So many words of either side are also learned with a character put in.
-DISTURBED = 400
-LONGEST = 24  # longer words are scored in overlapping parts
-LIMIT = 0.7
+PER_LABEL, MOST_WINDOWS = 2500, 40_000
+WIDTH, ORDER, DECAY, POWER = 8, 4, 0.7, 3
+#: Landmarks (half of them the most telling windows), rounds of training, cost, weight of the toxic side.
+LANDMARKS, ROUNDS, COST, TOXIC_SHARE = 128, 4, 0.3, 0.05
+#: Windows are also judged by those that begin a word with the same so many characters (the mark for the word's start counts).
+HEADS = (4, 5, 6, 7)
+#: So many standard deviations more often in toxic documents than by chance, in both halves: a telling window.
+TELLING = 2.0
+#: So many windows of either side (twice as many clean ones) are also learned disturbed, TIMES each.
+DISTURBED, TIMES = 400, 4
+#: One labelled document in so many calibrates instead of training.
+CALIBRATE = 4
+TOP, LIMIT = 3, 0.7
+#: Values below the floor tell nothing; the curve has a ramp from each step on.
+FLOOR = -0.8
+STEPS = np.arange(FLOOR, 1.0, 0.2)
 MOST_CACHED = 400_000
 
 _SENTENCE = re.compile(r"[.!?]+\s+|\n")
 _ENDS = ".,;:!?\"'()[]{}<>*&%#|~_-+=/\\"
-#: Words are also judged by the words that begin with the same so many letters.
-PREFIXES = (4, 5)
-# Signs read as letters
-LOOKALIKES = {"0": "o", "1": "i", "3": "e", "4": "a", "5": "s", "7": "t", "@": "a", "$": "s"}
-_CLASSES = 64
-_EDGE = 63
+_SIGNS = str.maketrans({"@": "a", "$": "s"})
+_DIGITS = {"0": "o", "1": "i", "3": "e", "4": "a", "5": "s", "7": "t"}
+_REPEATED = re.compile(r"(.)\1{2,}")
+_START, _END, _EDGE = "^", "$", 63
+_LONGEST = WIDTH + 3
 
 
 def _class(ch: str) -> int:
-    """1 to 26: a to z; 27 to 61: other letters; 62: other characters; 63: the word's edge."""
-    ch = LOOKALIKES.get(ch, ch)
+    """1 to 26: a to z; 27 to 61: other letters; 62: other characters; 63: a word's edge."""
+    if ch in (_START, _END):
+        return _EDGE
+    ch = _DIGITS.get(ch, ch)
     if "a" <= ch <= "z":
         return ord(ch) - 96
     return 27 + ord(ch) % 35 if ch.isalpha() else 62
@@ -62,336 +81,359 @@ def _class(ch: str) -> int:
 _TABLE = np.array([_class(chr(c)) for c in range(0x3000)], np.int64)
 
 
-def words_of(text: str | None) -> set[str]:
-    """The different words of a text, lower-case: as they are, without marks inside, and runs of single characters joined."""
-    if not text:
-        return set()
-    parts = text.lower().split()
+def core(token: str) -> str:
+    """A lower-case token without marks; a character repeated three times and more stands once."""
+    token = token.strip(_ENDS)
+    if not token.isalnum():
+        token = "".join([c for c in token.translate(_SIGNS) if c.isalnum()])
+    return _REPEATED.sub(r"\1", token)
+
+
+def tokens_of(text: str | None) -> set[str]:
+    """The different tokens of a text, lower-case, and its runs of three and more single characters, joined."""
+    parts = (text or "").lower().split()
     out = set(parts)
-    out.update(["".join([c for c in p if c.isalnum()]) for p in out if not p.strip(_ENDS).isalnum()])
-    out.discard("")
-    run: list[str] = []
-    for k, p in enumerate(parts if any(len(p) == 1 for p in out) else ()):
-        if len(p) == 1:
-            run.append(p)
-        if run and (len(p) > 1 or k == len(parts) - 1):
-            if len(run) > 2:
-                out.update("".join(run[i : i + LONGEST]) for i in range(0, len(run), LONGEST // 2))
-            run = []
+    if sum(len(p) == 1 for p in out) > 1:
+        for single, run in itertools.groupby(parts, lambda p: len(p) == 1):
+            joined = "".join(run) if single else ""
+            if len(joined) > 2:
+                out.add(joined)
     return out
 
 
-_PAD = np.zeros(LONGEST + 2, np.int64)
+def windows(word: str) -> list[str]:
+    if not word:
+        return []
+    if len(word) <= WIDTH + 1:
+        return [_START + word + _END]
+    return [_START + word[:WIDTH], *[word[i : i + WIDTH] for i in range(WIDTH // 2, len(word) - WIDTH, WIDTH // 2)], word[-WIDTH:] + _END]
+
+
+_PLACES = np.array(list(itertools.combinations(range(_LONGEST), ORDER)))
+_WEIGHTS = (DECAY ** (_PLACES[:, -1] - _PLACES[:, 0] + 1)).astype(np.float32)
+#: Numbers of subsequences: their codes, folded into so many (two different ones seldom meet).
+_NUMBERS = 1 << 22
 
 
-def encode(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
-    """(parts x length codes, word of each part); code 0 fills up."""
-    parts, owner = [], []
-    for k, w in enumerate(words):
-        w = w.strip(_ENDS) or w
-        for i in range(0, max(1, len(w) - LONGEST // 2), LONGEST // 2) if len(w) > LONGEST else (0,):
-            parts.append(w[i : i + LONGEST])
-            owner.append(k)
-    lengths = np.fromiter(map(len, parts), np.int64, len(parts))
-    codes = np.zeros((len(parts), int(lengths.max(initial=0)) + 2), np.int32)
-    codes[:, 0] = _EDGE
-    flat = np.array([ord(c) for p in parts for c in p], np.int64)
+def encode(some: list[str]) -> np.ndarray:
+    """Windows as rows of character classes; 0 fills up."""
+    lengths = np.fromiter(map(len, some), np.int64, len(some))
+    out = np.zeros((len(some), _LONGEST), np.int64)
+    flat = np.frombuffer("".join(some).encode("utf-32-le", "replace"), np.uint32).astype(np.int64)
     flat = np.where(flat < len(_TABLE), _TABLE[np.minimum(flat, len(_TABLE) - 1)], 27 + flat % 35)
-    row, col = np.repeat(np.arange(len(parts)), lengths), np.arange(len(flat)) - np.repeat(np.cumsum(lengths) - lengths, lengths)
-    codes[row, col + 1] = flat
-    codes[np.arange(len(parts)), lengths + 1] = _EDGE
-    return codes, np.array(owner, np.int64)
-
-
-_GAPS = [(j, k) for k in range(2, MOST_SPAN) for j in range(1, k)]
-
-
-def _triples(codes: np.ndarray) -> Iterator[tuple[float, np.ndarray, np.ndarray]]:
-    """(weight, triple numbers, which are there) for each pair of gaps."""
-    n = codes.shape[1]
-    for j, k in _GAPS:
-        if k < n:
-            last = codes[:, k:]
-            yield DECAY ** (k + 1), (codes[:, : n - k] * _CLASSES + codes[:, j : n - k + j]) * _CLASSES + last, last > 0
-
-
-def kernel_map(words: list[str]) -> list[dict[int, float]]:
-    """The normed triple weights of each word (of its first part, if it is long)."""
-    codes, owner = encode(words)
-    first = np.concatenate(([True], owner[1:] != owner[:-1])) if len(owner) else np.zeros(0, bool)
-    out: list[dict[int, float]] = [{} for _ in words]
-    for weight, numbers, there in _triples(codes[first]):
-        for r, c in zip(*np.nonzero(there), strict=True):
-            t = int(numbers[r, c])
-            out[r][t] = out[r].get(t, 0.0) + weight
-    norms = np.sqrt(_norms(codes[first]))
-    return [{t: v / norms[r] for t, v in x.items()} for r, x in enumerate(out)]
-
-
-def _norms(codes: np.ndarray) -> np.ndarray:
-    """Sum of squared weights of the triples of each part."""
-    total = np.zeros(len(codes))
-    for weight, _, there in _triples(codes):
-        total += weight * weight * there.sum(1)
-    return np.maximum(total, 1e-12)
-
-
-def svm(x: np.ndarray, y: np.ndarray, cost: np.ndarray, epochs: int = 25, seed: int = 3) -> np.ndarray:
-    """Linear machine with hinge loss (last column of x: the constant), by dual coordinate ascent."""
-    rng, w, alpha = np.random.default_rng(seed), np.zeros(x.shape[1]), np.zeros(len(x))
-    square = np.maximum((x * x).sum(1), 1e-9)
-    for _ in range(epochs):
-        moved = 0.0
-        for i in rng.permutation(len(x)):
-            new = min(max(alpha[i] - (y[i] * (x[i] @ w) - 1) / square[i], 0.0), cost[i])
-            if new != alpha[i]:
-                moved = max(moved, abs(new - alpha[i]))
-                w += (new - alpha[i]) * y[i] * x[i]
-                alpha[i] = new
-        if moved < 1e-3:
-            break
-    return w
+    out[np.repeat(np.arange(len(some)), lengths), np.arange(len(flat)) - np.repeat(np.cumsum(lengths) - lengths, lengths)] = flat
+    return out
+
+
+def subsequences(codes: np.ndarray) -> np.ndarray:
+    """The number of the subsequence at each of _PLACES; 0 where the window is too short."""
+    number = codes[:, _PLACES[:, 0]]
+    for k in range(1, ORDER):
+        number = number * 64 + codes[:, _PLACES[:, k]]
+    number = np.maximum((number * 2654435761 >> 9) & (_NUMBERS - 1), 1)
+    return np.where(codes[:, _PLACES[:, -1]] > 0, number, 0).astype(np.int32)
+
+
+def norms(found: np.ndarray) -> np.ndarray:
+    """The kernel of each window with itself: weights of a subsequence's occurrences are summed, then squared."""
+    order = np.argsort(found, axis=1)
+    sorted_ = np.take_along_axis(found, order, 1)
+    weights = np.where(sorted_ > 0, _WEIGHTS[order], 0)
+    new = np.ones(sorted_.shape, bool)
+    new[:, 1:] = sorted_[:, 1:] != sorted_[:, :-1]
+    sums = np.bincount(np.cumsum(new.ravel()) - 1, weights.ravel())
+    return np.maximum(np.bincount(np.nonzero(new)[0], sums * sums, len(found)), 1e-12)
 
 
 class Landmarks:
-    """Triple weights of the landmark words, for the triples that occur in them."""
-
-    def __init__(self, words: list[str]) -> None:
-        self.words, maps = words, kernel_map(words)
-        self.place = np.zeros(_CLASSES**3, np.int32)  # row of a triple in the table; 0: in no landmark
-        triples = sorted({t for m in maps for t in m})
-        self.place[triples] = np.arange(1, len(triples) + 1)
-        self.table = np.zeros((len(triples) + 1, len(words)), np.float32)
-        for k, m in enumerate(maps):
-            self.table[self.place[list(m)], k] = list(m.values())
-
-    def kernel(self, words: list[str]) -> np.ndarray:
-        """words x landmarks: normed kernel to the power POWER; of a long word the largest of its parts' values."""
-        out = np.zeros((len(words), len(self.words)), np.float32)
-        for at in range(0, len(words), 512):
-            codes, owner = encode(words[at : at + 512])
-            # The triples of this part that are in a landmark, as one matrix, times the landmarks' weights
-            entries = []
-            for weight, numbers, there in _triples(codes):
-                r, c = np.nonzero(there)
-                t = self.place[numbers[r, c]]
-                entries.append((r[t > 0], t[t > 0], np.full(int((t > 0).sum()), weight)))
-            if not entries:
+    """Weights of the subsequences that occur in the landmark windows."""
+
+    def __init__(self, marks: list[str]) -> None:
+        self.marks = marks
+        found = subsequences(encode(marks))
+        self.used = np.unique(found[found > 0])
+        self.table = np.zeros((len(self.used) + 1, len(marks)), np.float32)
+        r, c = np.nonzero(found)
+        np.add.at(self.table, (np.searchsorted(self.used, found[r, c]) + 1, r), _WEIGHTS[c] / np.sqrt(norms(found))[r])
+        self._place: np.ndarray | None = None
+
+    def __getstate__(self) -> dict:
+        return self.__dict__ | {"_place": None}
+
+    def kernel(self, some: list[str]) -> np.ndarray:
+        """windows x landmarks: normed kernel to the power POWER."""
+        if self._place is None:
+            self._place = np.zeros(_NUMBERS, np.int32)
+            self._place[self.used] = np.arange(1, len(self.used) + 1)
+        out = np.zeros((len(some), len(self.marks)), np.float32)
+        for at in range(0, len(some), 512):
+            found = subsequences(encode(some[at : at + 512]))
+            place = self._place[found]
+            r, c = np.nonzero(place)
+            if not len(r):
                 continue
-            r, t, weight = (np.concatenate(x) for x in zip(*entries, strict=True))
-            column = np.zeros(len(self.table), np.int64)
-            column[t] = 1
-            used = np.flatnonzero(column)
-            column[used] = np.arange(len(used))
-            column = column[t]
-            own = np.bincount(r * len(used) + column, weights=weight, minlength=len(codes) * len(used))
-            value = own.reshape(len(codes), len(used)).astype(np.float32) @ self.table[used]
-            value /= np.sqrt(_norms(codes))[:, None].astype(np.float32)
-            np.maximum.at(out, at + owner, value)
+            rows = self.table[place[r, c]]
+            rows *= _WEIGHTS[c][:, None]
+            starts = np.flatnonzero(np.concatenate(([True], r[1:] != r[:-1])))
+            mine = r[starts]
+            out[at + mine] = np.add.reduceat(rows, starts, axis=0) / np.sqrt(norms(found[mine]))[:, None]
         return out**POWER
 
 
-class ToxicityModel:
-    """A linear machine on kernel values with landmarks.
+def svm(x: np.ndarray, y: np.ndarray, cost: np.ndarray, rounds: int = 30) -> np.ndarray:
+    """Linear machine with squared hinge loss (last column of x: the constant), by Newton steps on the primal."""
+    w, small = np.zeros(x.shape[1]), np.ones(x.shape[1])
+    small[-1] = 1e-3
+
+    def loss(w: np.ndarray) -> float:
+        short = np.maximum(0, 1 - y * (x @ w))
+        return float((small * w * w).sum() + (cost * short * short).sum()) / 2
+
+    now = loss(w)
+    for _ in range(rounds):
+        short = 1 - y * (x @ w)
+        inside = short > 0
+        xi, ci = x[inside], cost[inside]
+        step = np.linalg.solve(np.diag(small) + (xi * ci[:, None]).T @ xi, small * w - xi.T @ (ci * y[inside] * short[inside]))
+        share = 1.0
+        while share > 1e-4 and loss(w - share * step) >= now:
+            share /= 2
+        then = loss(w - share * step)
+        if then >= now:
+            break
+        w, gain, now = w - share * step, now - then, then
+        if gain < 1e-5 * now:
+            break
+    return w
 
-    The score is a logistic curve of the worst word's value. Without landmarks every word is CLEAN.
-    """
 
-    def __init__(self, landmarks: Landmarks | None = None, alpha: np.ndarray | None = None, bias: float = 0.0) -> None:
-        self.name = uuid.uuid4().hex
-        self.landmarks, self.alpha, self.bias = landmarks, alpha, bias
-        self.slope, self.middle = 1.0, 0.0
+def _disturb(window: str, rng: np.random.Generator, times: int = TIMES) -> list[str]:
+    """The window with a character put in, doubled, or (of longer ones) left out."""
+    out = []
+    for _ in range(times):
+        k, kind = int(rng.integers(2, max(3, len(window) - 1))), int(rng.integers(3))
+        other = chr(97 + int(rng.integers(26)))
+        out.append((window[:k] + window[k + 1 :] if kind == 2 and len(window) > 6 else window[:k] + (window[k - 1] if kind == 1 else other) + window[k:])[:_LONGEST])
+    return out
+
+
+def _far(some: list[str], n: int, chosen: list[str]) -> list[str]:
+    """n windows far from one another and from those chosen: each next one is that least like them."""
+    if not some:
+        return []
+    best = Landmarks(chosen).kernel(some).max(1) if chosen else np.zeros(len(some), np.float32)
+    out: list[str] = []
+    for _ in range(n):
+        k = int(best.argmin())
+        if best[k] > 0.9:
+            break
+        out.append(some[k])
+        best = np.maximum(best, Landmarks([some[k]]).kernel(some)[:, 0])
+    return out
 
-    def values(self, words: list[str]) -> np.ndarray:
-        if self.landmarks is None or not words:
-            return np.full(len(words), CLEAN)
-        parts = [self.landmarks.kernel(words[i : i + 4096]) @ self.alpha for i in range(0, len(words), 4096)]
-        return np.maximum(CLEAN, np.concatenate(parts) + self.bias)
 
-    def score(self, worst: np.ndarray) -> np.ndarray:
-        z = np.clip(self.slope * (worst - self.middle) + np.log(LIMIT / (1 - LIMIT)), -40, 40)
-        return 1 / (1 + np.exp(-z))
+def train(counts: dict[str, tuple[int, int, int, int]], documents: tuple[int, int, int, int]) -> ToxicityModel | None:
+    """A machine from numbers of documents: of each window (and beginning, written with a ~ behind), toxic and clean, of either half.
 
+    None if nothing tells toxic sentences from clean ones.
+    """
+    names = sorted(k for k in counts if not k.endswith("~"))
+    if not names or not documents[0] + documents[2] or not documents[1] + documents[3]:
+        return None
+
+    def strength(n: np.ndarray) -> np.ndarray:
+        halves = []
+        for t, c, all_t, all_c in ((n[:, 0], n[:, 1], *documents[:2]), (n[:, 2], n[:, 3], *documents[2:])):
+            share = max(all_t, 0.5) / max(all_t + all_c, 1)
+            halves.append((t - share * (t + c)) / np.sqrt(share * (t + c) + 0.5))
+        return np.minimum(*halves)
+
+    n = np.array([counts[k] for k in names], float)
+    toxic, clean, own = n[:, 0] + n[:, 2], n[:, 1] + n[:, 3], strength(n)
+    starts = sorted(k for k in counts if k.endswith("~"))
+    told = dict(zip([k[:-1] for k in starts], strength(np.array([counts[k] for k in starts], float)).tolist(), strict=True)) if starts else {}
+    best = np.array([max([s, *(told.get(w[:h], 0.0) for h in HEADS if w[0] == _START and len(w) > h)]) for w, s in zip(names, own.tolist(), strict=True)])
+    if not (best >= TELLING).any():
+        return None
+    rng = np.random.default_rng(11)
+    strongest = np.argsort(-own, kind="stable")[: LANDMARKS // 2]
+    lead = list(dict.fromkeys([names[i] for i in strongest] + [k for k in sorted(told, key=lambda k: (-told[k], k))[: LANDMARKS // 4] if told[k] >= TELLING]))
+    common = np.argsort(-clean, kind="stable")
+    others = [names[i] for i in common[:2000]] + [names[i] for i in rng.choice(len(names), min(len(names), 1500), replace=False)]
+    landmarks = Landmarks(lead + _far(others, LANDMARKS // 2, lead))
+    value, vector = np.linalg.eigh(landmarks.kernel(landmarks.marks).astype(np.float64))
+    keep = value > 1e-2 * value[-1]
+    white = vector[:, keep] / np.sqrt(value[keep])
+    taken = np.unique(np.concatenate((np.argsort(-best, kind="stable")[: MOST_WINDOWS // 2], common[: MOST_WINDOWS // 2], rng.choice(len(names), min(len(names), MOST_WINDOWS // 2), replace=False))))
+    names, toxic, clean, best = [names[i] for i in taken], toxic[taken], clean[taken], best[taken]
+
+    def mapped(some: list[str]) -> np.ndarray:
+        return np.hstack((landmarks.kernel(some) @ white, np.ones((len(some), 1))))
+
+    x = mapped(names)
+    f, w = np.zeros(len(names)), np.zeros(x.shape[1])
+    for k in range(ROUNDS):
+        plus = (toxic > 0) & (clean <= toxic / 4) & ((best >= TELLING) | (f > 0))
+        if k:  # a telling window must not be far on the other side
+            plus &= (f > -0.5) | (best >= 1.5 * TELLING)
+        if not plus.any():
+            return None
+        heaviest = np.flatnonzero(plus)[np.argsort(-toxic[plus], kind="stable")][:DISTURBED]
+        disturbed = [[v for i in some for v in _disturb(names[i], rng)] for some in (heaviest, np.flatnonzero(~plus)[np.argsort(-clean[~plus], kind="stable")][: 2 * DISTURBED])]
+        both = plus & (clean > 0)
+        sides = [(x[plus], 1, np.sqrt(toxic[plus]).clip(1, 20)), (mapped(disturbed[0]), 1, np.full(len(disturbed[0]), 0.5))]
+        sides += [(x[~plus], -1, np.sqrt(clean + toxic)[~plus].clip(1, 20)), (x[both], -1, np.sqrt(clean[both])), (mapped(disturbed[1]), -1, np.ones(len(disturbed[1])))]
+        y, cost = np.concatenate([np.full(len(a), float(s)) for a, s, _ in sides]), np.concatenate([c for _, _, c in sides])
+        cost[y > 0] *= TOXIC_SHARE * max(cost[y < 0].sum(), 1.0) / cost[y > 0].sum()
+        w = svm(np.vstack([a for a, _, _ in sides]), y, COST * cost)
+        f = x @ w
+    return ToxicityModel(landmarks, white @ w[:-1], float(w[-1]))
+
+
+def ramps(top: np.ndarray) -> np.ndarray:
+    """For each of a text's highest values, how far it is above each of STEPS (0 to 1)."""
+    return np.clip((top[:, :, None] - STEPS) / (STEPS[1] - STEPS[0]), 0, 1).reshape(len(top), -1)
+
+
+def curve(x: np.ndarray, y: np.ndarray, small: float = 1.0, rounds: int = 2000) -> tuple[np.ndarray, float]:
+    """Logistic regression with weights that are not negative, both classes weighing alike, by projected gradient steps."""
+    cost = np.where(y == 1, 0.5 / max(1, (y == 1).sum()), 0.5 / max(1, (y == 0).sum())) * len(y)
+    w, b = np.zeros(x.shape[1]), 0.0
+    rate = 1 / (0.25 * np.linalg.eigvalsh((x * cost[:, None]).T @ x)[-1] + 0.25 * len(y) + small)
+    for _ in range(rounds):
+        error = cost * (1 / (1 + np.exp(-np.clip(x @ w + b, -30, 30))) - y)
+        w, b = np.maximum(0, w - rate * (x.T @ error + small * w)), b - rate * error.sum()
+    return w, float(b)
 
-CLEAN = -2.0  # least value of a word
-NO_WORD = -3.0  # value of a text without words
 
+class ToxicityModel:
+    """A linear machine on kernel values with landmarks, and the curve from a text's highest values to its score.
 
-def worst_values(model: ToxicityModel, texts: list[str | None]) -> np.ndarray:
+    Without landmarks every window is clean. Uncalibrated, one window at the middle of the margin reaches LIMIT.
+    """
+
+    def __init__(self, landmarks: Landmarks | None = None, alpha: np.ndarray | None = None, bias: float = 0.0) -> None:
+        self.name = uuid.uuid4().hex
+        self.landmarks, self.alpha, self.bias = landmarks, alpha, bias
+        self.weights, self.cut, self.scale = np.zeros(TOP * len(STEPS)), 0.0, 1.0
+        self.weights[: len(STEPS)] = 1.0
+        self.cut = float((ramps(np.array([[0.0] + [-1.0] * (TOP - 1)])) @ self.weights)[0])
+
+    def values(self, some: list[str]) -> np.ndarray:
+        if self.landmarks is None or not some:
+            return np.full(len(some), -1.0)
+        return np.concatenate([self.landmarks.kernel(some[i : i + 4096]) @ self.alpha for i in range(0, len(some), 4096)]) + self.bias
+
+    def calibrate(self, top: np.ndarray, y: np.ndarray) -> None:
+        """Fit the curve; the cut has the fewest errors and stays near the clean side of the gap, so that a single insult counts."""
+        if not (0 < y.sum() < len(y)):
+            return
+        x = ramps(top)
+        self.weights, _ = curve(x, y)
+        z = x @ self.weights
+        cuts = np.unique(z)
+        errors = np.array([((z >= c) & (y == 0)).sum() + ((z < c) & (y == 1)).sum() for c in cuts])
+        k = int(np.argmin(errors))
+        below = cuts[k - 1] if k else cuts[0] - 1.0
+        self.cut = float(below + 0.3 * (cuts[k] - below))
+        self.scale = float(max(np.median(z[y == 1]) - self.cut, 0.05)) / 3
+
+    def score(self, top: np.ndarray) -> np.ndarray:
+        z = (ramps(top) @ self.weights - self.cut) / self.scale + np.log(LIMIT / (1 - LIMIT))
+        return 1 / (1 + np.exp(-np.clip(z, -40, 40)))
+
+
+def top_values(model: ToxicityModel, texts: list[str | None]) -> np.ndarray:
+    """The TOP highest values of different words of each text, the highest first; -1 fills up and stands for all below FLOOR."""
     cache = worker_cache("toxicity")
-    if cache.get("name") != model.name or len(cache["values"]) > MOST_CACHED:
-        cache.update(name=model.name, values={})
-    values = cache["values"]
-    sets = [words_of(t) for t in texts]
-    out = np.full(len(texts), NO_WORD)
+    if cache.get("name") != model.name or len(cache["known"]) > MOST_CACHED:
+        cache.update(name=model.name, known=set(), high={})
+    known, high = cache["known"], cache["high"]
+    sets = [tokens_of(t) for t in texts]
+    out = np.full((len(texts), TOP), -1.0)
     at = 0
-    while at < len(sets):  # a few texts at a time, so that new words are scored together but don't pile up
+    while at < len(sets):  # a few texts at a time, so that new words are valued together but don't pile up
         end, new = at, set()
         while end < len(sets) and len(new) < 50_000:
-            new.update([w for w in sets[end] if w not in values])
+            new |= sets[end] - known
             end += 1
-        core = {w: w.strip(_ENDS) or w for w in new}
-        fresh = [w for w in set(core.values()) if w not in values]
-        values.update(zip(fresh, model.values(fresh).tolist(), strict=True))
-        values.update([(w, values[c]) for w, c in core.items()])
+        cores = {t: core(t) for t in new}
+        parts = {c: windows(c) for c in set(cores.values())}
+        some = list({w for p in parts.values() for w in p})
+        valued = {w: v for w, v in zip(some, model.values(some).tolist(), strict=True) if v > FLOOR}
+        if valued:
+            best = {c: max([valued.get(w, -1.0) for w in p], default=-1.0) for c, p in parts.items()}
+            high.update({t: (best[c], c) for t, c in cores.items() if best[c] > FLOOR})
+        known |= new
         for k in range(at, end):
-            if sets[k]:
-                out[k] = max(map(values.__getitem__, sets[k]))
+            found = {high[t] for t in (sets[k] & high.keys() if len(high) < len(sets[k]) else [t for t in sets[k] if t in high])}
+            for j, (v, _) in enumerate(sorted(found, reverse=True)[:TOP]):
+                out[k, j] = v
         at = end
     return out
 
 
-def _word_counts(rows: DataFrame) -> list:
-    """(word, sentences of toxic documents, of clean documents), the commonest first; MOST_WORDS of either kind.
+def _counts(rows: DataFrame) -> tuple[dict[str, tuple[int, int, int, int]], tuple[int, int, int, int]]:
+    """Numbers of documents by half and label, for each window and beginning, and in all.
 
-    Each different sentence counts once, so copies of a document don't add up; one that clean documents have too is clean.
+    Each different sentence counts for one document (clean ones before toxic ones, the least
+    id), so copies of a document don't add up.
     """
+    kind = rows.schema["doc_id"].dataType.simpleString()
 
     def sentences(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches):
-            found = {(s.strip(), label) for text, label in zip(b.column("text").to_pylist(), b.column("label").to_pylist(), strict=True) for s in _SENTENCE.split(text or "")}
-            yield pa.RecordBatch.from_arrays([pa.array([s for s, _ in found], pa.string()), pa.array([x for _, x in found], pa.int32())], ["sentence", "label"])
+            found = [(i, label, s) for i, text, label in zip(*(b.column(c).to_pylist() for c in ("doc_id", "text", "label")), strict=True) for s in {s.strip() for s in _SENTENCE.split(text or "")} if s]
+            yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in found], b.column("doc_id").type), pa.array([x[1] for x in found], pa.int32()), pa.array([x[2] for x in found], pa.string())], ["doc_id", "label", "sentence"])
 
-    def words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts = Counter()
+    def seen(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counts: Counter = Counter()
         for b in slices(batches):
-            for sentence, label in zip(b.column("sentence").to_pylist(), b.column("label").to_pylist(), strict=True):
-                counts.update({(w.strip(_ENDS), label) for w in words_of(sentence)})
+            for half, label, some in zip(*(b.column(c).to_pylist() for c in ("half", "label", "sentences")), strict=True):
+                found = {w for s in some for t in tokens_of(s) for w in windows(core(t))}
+                starts = {w[:h] + "~" for w in found if w[0] == _START for h in HEADS if len(w) > h}
+                counts.update((x, 2 * half + 1 - label) for x in itertools.chain(found, starts, ("",)))
         keys = list(counts)
-        yield pa.RecordBatch.from_arrays([pa.array([w for w, _ in keys], pa.string()), pa.array([x for _, x in keys], pa.int32()), pa.array([counts[k] for k in keys], pa.int64())], ["word", "label", "n"])
-
-    different = rows.mapInArrow(sentences, "sentence string, label int").groupBy("sentence").agg(F.min("label").alias("label"))
-    total = lambda c: F.sum(F.when(F.col("label") == c, F.col("n")).otherwise(0))
-    counts = different.mapInArrow(words, "word string, label int, n long").where("word <> ''").groupBy("word").agg(total(1).alias("toxic"), total(0).alias("clean"))
-    one = counts.where("toxic > 0").orderBy(F.desc(F.col("toxic") - F.col("clean")), "word").limit(MOST_WORDS)
-    two = counts.where("clean > 0").orderBy(F.desc("clean"), "word").limit(MOST_WORDS)
-    return sorted({(r.word, r.toxic, r.clean) for x in (one, two) for r in x.collect()})
-
-
-def _telling(words: list[str], toxic: np.ndarray, clean: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Which words tell toxic sentences: by themselves or with the words that begin alike; and how strongly."""
-    share = toxic.sum() / (toxic.sum() + clean.sum())
-    groups: dict[str, list[float]] = {}
-    keys = [[w] + [w[:n] + "~" for n in PREFIXES if len(w) > n] for w in words]
-    for k, t, c in zip(keys, toxic.tolist(), clean.tolist(), strict=True):
-        for x in k:
-            g = groups.setdefault(x, [0.0, 0.0])
-            g[0] += t
-            g[1] += c
-    strength = {x: (t - share * (t + c)) / np.sqrt(share * (t + c) + 0.5) if t >= 3 and c <= 0.02 * t else 0.0 for x, (t, c) in groups.items()}
-    best = np.array([max(strength[x] for x in k) for k in keys])
-    return best >= 3.0, best
-
-
-def _landmarks(words: list[str], n: int) -> list[str]:
-    """n words far from one another: each next one is that least like those chosen."""
-    words = words[: 8 * n]
-    maps = kernel_map(words)
-    best, chosen, k = np.full(len(words), -1.0), [], 0
-    for _ in range(min(n, len(words))):
-        chosen.append(k)
-        mine = maps[k]
-        like = np.array([sum(v * mine.get(t, 0.0) for t, v in m.items()) for m in maps])
-        best = np.maximum(best, like)
-        k = int(best.argmin())
-        if best[k] > 0.98:
-            break
-    return [words[i] for i in chosen]
-
+        yield pa.RecordBatch.from_arrays([pa.array([k for k, _ in keys], pa.string()), pa.array([c for _, c in keys], pa.int32()), pa.array([counts[k] for k in keys], pa.int64())], ["key", "cell", "n"])
 
-def _disturb(word: str, rng: np.random.Generator, times: int = 3) -> list[str]:
-    out = []
-    for _ in range(times if len(word) > 3 else 0):
-        k = int(rng.integers(1, len(word)))
-        out.append(word[:k] + chr(97 + int(rng.integers(26))) + word[k:])
-    return out
-
-
-def train(counts: list[tuple[str, int, int]]) -> ToxicityModel | None:
-    """A model from the sentence counts of words; None if no word tells toxic sentences from clean ones."""
-    words = [w for w, _, _ in counts]
-    toxic, clean = (np.array([c[k] for c in counts], float) for k in (1, 2))
-    if not toxic.sum() or not clean.sum():
-        return None
-    told, surplus = _telling(words, toxic, clean)
-    told &= clean <= 0.02 * toxic
-    plus = np.array(sorted(np.flatnonzero(told), key=lambda i: -surplus[i])[:5000], np.int64)
-    common = sorted(np.flatnonzero(clean > 0), key=lambda i: -clean[i])
-    if not len(plus):
-        return None
-    first = [words[i] for i in plus[:LEADING]]
-    marks = list(dict.fromkeys(first + _landmarks([words[i] for i in plus[LEADING:]], LANDMARKS // 2) + _landmarks([words[i] for i in common], LANDMARKS // 2 - LEADING)))
-    landmarks = Landmarks(marks)
-    value, vector = np.linalg.eigh(landmarks.kernel(marks).astype(np.float64))
-    keep = value > 1e-4 * value[-1]
-    white = vector[:, keep] / np.sqrt(value[keep])
-    rng = np.random.default_rng(11)
-    # Words with a character put in, so that the machine learns to see through it
-    extra = [(w, side) for side, group in ((1.0, plus), (-1.0, common)) for i in group[:DISTURBED] for w in _disturb(words[i], rng)]
-    one = lambda x: np.hstack((x, np.ones((len(x), 1))))
-    hard = np.array([], np.int64)
-    mapped: dict[str, np.ndarray] = {}
-    for _ in range(ROUNDS):
-        minus = np.array(common[:2500] + list(rng.choice(common, min(2500, len(common)), replace=False)), np.int64)
-        minus = np.setdiff1d(np.concatenate((minus, hard)), plus)
-        names = [words[i] for i in plus] + [words[i] for i in minus] + [x for x, _ in extra]
-        y = np.concatenate((np.ones(len(plus)), -np.ones(len(minus)), [side for _, side in extra]))
-        # A word weighs as often as it occurs, within bounds, and both sides alike
-        cost = np.concatenate((np.sqrt(toxic[plus]).clip(1, 20), np.sqrt(clean[minus]).clip(1, 20), np.ones(len(extra))))
-        cost[y > 0] *= max(1.0, cost[y < 0].sum() / cost[y > 0].sum())
-        new = [n for n in dict.fromkeys(names) if n not in mapped]
-        mapped.update(zip(new, landmarks.kernel(new), strict=True))
-        x = np.array([mapped[n] for n in names])
-        w = svm(one(x @ white), y, COST * cost)
-        model = ToxicityModel(landmarks, white @ w[:-1], float(w[-1]))
-        f = model.values([words[i] for i in common])
-        hard = np.union1d(hard, np.array([common[k] for k in np.argsort(-f)[:2000] if f[k] > -1 and not told[common[k]]], np.int64))
-    return model
+    owned = rows.mapInArrow(sentences, f"doc_id {kind}, label int, sentence string").groupBy("sentence").agg(F.min(F.struct("label", "doc_id")).alias("x"))
+    whole = owned.groupBy("x").agg(F.collect_list("sentence").alias("sentences"))
+    cells = whole.select(F.pmod(F.xxhash64("x.doc_id", F.lit("half")), F.lit(2)).cast("int").alias("half"), "x.label", "sentences").mapInArrow(seen, "key string, cell int, n long")
+    counts = cells.groupBy("key").agg(*[F.sum(F.when(F.col("cell") == k, F.col("n")).otherwise(0)).alias(f"n{k}") for k in range(4)])
+    toxic, clean = F.col("n0") + F.col("n2"), F.col("n1") + F.col("n3")
+    one = counts.where(toxic > 0).orderBy(toxic.desc(), "key").limit(2 * MOST_WINDOWS)
+    two = counts.where(~F.col("key").endswith("~") & (clean > 0)).orderBy(clean.desc(), "key").limit(MOST_WINDOWS)
+    three = counts.where(~F.col("key").endswith("~") & (toxic == 0)).orderBy(F.xxhash64("key"), "key").limit(MOST_WINDOWS)
+    out = {r[0]: tuple(r[1:]) for r in itertools.chain(one.collect(), two.collect(), three.collect())}
+    return out, out.pop("", (0, 0, 0, 0))
 
 
 def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", per_label: int = PER_LABEL) -> ToxicityModel:
     """Fit on a bounded sample of the labelled documents given. If they show no difference, every text scores low."""
     rows = labelled_documents(docs, labels, label, per_label)
-    model = train(_word_counts(rows))
+    aside = F.pmod(F.xxhash64("doc_id", F.lit("calibrate")), F.lit(CALIBRATE)) == 0
+    model = train(*_counts(rows.where(~aside)))
     if model is None:
-        model = ToxicityModel()
-        model.middle = CLEAN + 3.0
-        return model
+        return ToxicityModel()
     shared = Shipped(docs.sparkSession, model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches):
-            worst = worst_values(shared.value, b.column("text").to_pylist())
-            yield pa.RecordBatch.from_arrays([pa.array(worst), b.column("label").cast(pa.int32())], ["worst", "label"])
+            top = top_values(shared.value, b.column("text").to_pylist())
+            yield pa.RecordBatch.from_arrays([pa.array(top.tolist(), pa.list_(pa.float64())), b.column("label").cast(pa.int32())], ["top", "label"])
 
-    got = rows.mapInArrow(run, "worst double, label int").collect()
-    model.middle, spread = best_cut(np.array([r.worst for r in got]), np.array([r.label for r in got]))
-    model.slope = 4.0 / max(spread, 0.05)
+    got = rows.where(aside).mapInArrow(run, "top array<double>, label int").collect()
+    model.calibrate(np.array([r.top for r in got]).reshape(-1, TOP), np.array([r.label for r in got]))
     return model
 
 
-def best_cut(worst: np.ndarray, y: np.ndarray) -> tuple[float, float]:
-    """The cut with the fewest errors (half way between its neighbours) and the distance of the classes' medians to it."""
-    order = np.argsort(worst, kind="stable")
-    v, t = worst[order], y[order]
-    errors = np.concatenate(([0], np.cumsum(t == 1))) + np.concatenate((np.cumsum((t == 0)[::-1])[::-1], [0]))
-    inner = np.flatnonzero(np.concatenate(([False], v[1:] > v[:-1], [False])))
-    if not len(inner):
-        return float(v.mean()) if len(v) else 0.0, 1.0
-    least = inner[errors[inner] == errors[inner].min()]
-    k = least[np.argmax(v[least] - v[least - 1])]
-    middle = (v[k - 1] + v[k]) / 2
-    gaps = [abs(np.median(v[t == c]) - middle) for c in (0, 1) if (t == c).any()]
-    return float(middle), float(min(gaps))
-
-
 def predict(docs: DataFrame, model: ToxicityModel, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, score for each row; null and empty texts have no word and score as such. Other columns are ignored."""
     shared = Shipped(docs.sparkSession, model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches):
-            score = shared.value.score(worst_values(shared.value, b.column("text").to_pylist()))
+            score = shared.value.score(top_values(shared.value, b.column("text").to_pylist()))
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(score, pa.float64())], ["doc_id", "score"])
 
     kind = docs.schema[id_col].dataType.simpleString()

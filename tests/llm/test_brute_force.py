@@ -347,14 +347,6 @@ def test_held_out_accuracy(spark):
     assert not [r for r in toxic if r.predicted and not labels.toxic[r.doc_id]][2:]
 
 
-def test_insults_with_gaps():
-    counts = [(w, 30, 0) for w in ("scoundrel", "blockhead", "nitwit")] + [(w, 3, 40) for w in ("table", "window", "garden", "little", "house", "bright", "water", "silver")]
-    model = toxicity.train(counts)
-    bad = toxicity.worst_values(model, ["you s-c-o-u-n-d-r-e-l", "a bl0ckhead!", "b l o c k h e a d", "nitwits"])
-    fine = toxicity.worst_values(model, ["the garden table", "little house by the water", "", None])
-    assert bad.min() > fine.max()
-
-
 def test_mixed_language_spans(spark):
     en, fr = "the window of this house was there", "les maisons que vous avez dans cette rue"
     docs = spark.createDataFrame([(i, t * 8, x) for i in range(10) for t, x in ((en + " ", "en"), (fr + " ", "fr"))], "doc_id long, text string, lang string")
