@@ -23,8 +23,6 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quarry.llm.common import stored
-
 EXACT_HASHES = 8  # of 64 bits each: two lanes a hash
 WORDS = 32  # packed sums; each holds two sketch lanes
 LANES = 2 * WORDS
@@ -32,35 +30,34 @@ PHRASE = r"[^\s.!?|]+(?:[\s|&&[^\n]]+[^\s.!?|]+){0,3}"
 PAIR_MASK = (1 << 32) | 1
 LOW32 = (1 << 32) - 1
 
-#: Rows of one window partition when neighbours are looked up, and the most partitions.
-ROWS_PER_BUCKET, MAX_BUCKETS = 512, 8192
+#: Rows of one window partition when neighbours are looked up, and the most partitions (beyond, they grow, and Spark's windows spill).
+ROWS_PER_BUCKET, MAX_BUCKETS = 512, 1 << 16
 
 
-def fingerprints(texts: DataFrame, keys: list[str], text: str, carried: list[str] = ()) -> DataFrame:
-    """keys, carried and fp, array<int>: EXACT lanes, SKETCH lanes, paragraph count, phrase count.
+def fingerprints(texts: DataFrame, keys: list[str], text: str) -> DataFrame:
+    """keys and fp, array<int>: EXACT lanes, SKETCH lanes, paragraph count, phrase count.
 
     keys must tell the rows of texts apart. Paragraphs and phrases are exploded and summed
-    again in generated code; a document's sums are complete before the shuffle.
+    again in generated code; a document's sums are complete before any shuffle, and there is
+    none if texts are clustered by some of the keys.
     """
     whole = F.coalesce(F.col(text), F.lit(""))
     # A phrase never starts with a line feed, so that marks the paragraphs.
     units = F.concat(F.transform(F.split(whole, "\n"), lambda p: F.concat(F.lit("\n"), p)), F.regexp_extract_all(whole, F.lit(PHRASE), F.lit(0)))
-    rows = texts.select(*keys, *carried, F.explode(units).alias("_u")).withColumn("_p", F.col("_u").startswith("\n"))
+    rows = texts.select(*keys, F.explode(units).alias("_u")).withColumn("_p", F.col("_u").startswith("\n"))
     rows = rows.select(
         *keys,
-        *carried,
         F.when(F.col("_p"), 1).otherwise(0).alias("_np"),
         F.when(F.col("_p"), F.lit(0)).otherwise(F.xxhash64("_u")).alias("_h"),
         *[F.when(F.col("_p"), F.xxhash64(F.lit(k), "_u")).otherwise(F.lit(0)).alias(f"_e{k}") for k in range(EXACT_HASHES)],
     )
-    sums = [F.max(c).alias(c) for c in carried]
-    sums += [F.sum("_np").alias("_np"), F.sum(1 - F.col("_np")).alias("_ns")]
+    sums = [F.sum("_np").alias("_np"), F.sum(1 - F.col("_np")).alias("_ns")]
     sums += [F.sum(F.col(f"_e{k}").bitwiseAND(F.lit(LOW32))).alias(f"_a{k}") for k in range(EXACT_HASHES)]
     sums += [F.sum(F.shiftrightunsigned(f"_e{k}", 32)).alias(f"_b{k}") for k in range(EXACT_HASHES)]
     sums += [F.sum(F.shiftrightunsigned("_h", i).bitwiseAND(F.lit(PAIR_MASK))).alias(f"_w{i}") for i in range(WORDS)]
     lanes = [_low32(F.col(f"_{x}{k}")) for k in range(EXACT_HASHES) for x in "ab"]
     lanes += [_low32(x) for i in range(WORDS) for x in (F.col(f"_w{i}"), F.shiftrightunsigned(f"_w{i}", 32))]
-    return rows.groupBy(*keys).agg(*sums).select(*keys, *carried, F.array(*lanes, _low32(F.col("_np")), _low32(F.col("_ns"))).alias("fp"))
+    return rows.groupBy(*keys).agg(*sums).select(*keys, F.array(*lanes, _low32(F.col("_np")), _low32(F.col("_ns"))).alias("fp"))
 
 
 def _low32(c: Column) -> Column:
@@ -91,18 +88,18 @@ def likeness(a: Column, b: Column) -> Column:
 
 
 def with_next(docs: DataFrame, key: str, order: list[Column], carried: list[str]) -> DataFrame:
-    """Add row_id, next_row_id and next_<c> for each carried column: those of the following row by ascending key, of the first row after the last.
+    """Add bucket, place, guest and next_<c> for each carried column: those of the following row by ascending key, of the first row after the last.
 
     Rows are dealt by quantiles of the key into buckets of about ROWS_PER_BUCKET rows; the
-    rows that begin a bucket also go, as guests, to the bucket before it. So one shuffle
-    and a small window in each bucket do, and no task holds all rows. Rows with equal keys
+    rows that begin a bucket also go, as guests, to the bucket before it (their own next is
+    not set). So one shuffle and a small window in each bucket do, and no task holds all
+    rows. place numbers the rows of a bucket from 1, its guests last. Rows with equal keys
     follow one another in the given order. Null keys come first.
     """
     at = F.coalesce(F.col(key).cast("long"), F.lit(-(1 << 63)))
-    probes = [i / MAX_BUCKETS for i in range(MAX_BUCKETS)]
-    n, low, cuts = docs.agg(F.count(F.lit(1)), F.min(at), F.percentile_approx(at, probes, 10 * MAX_BUCKETS)).first()
-    buckets = max(1, min(MAX_BUCKETS, -(-n // ROWS_PER_BUCKET)))
-    starts = sorted({low, *(cuts[i * MAX_BUCKETS // buckets] for i in range(buckets))}) if n else [0]
+    buckets = max(1, min(MAX_BUCKETS, -(-docs.count() // ROWS_PER_BUCKET)))
+    low, cuts = docs.agg(F.min(at), F.percentile_approx(at, [i / buckets for i in range(buckets)], 10 * max(buckets, 1000))).first()
+    starts = sorted({low, *cuts}) if cuts else [0]
     steps = max(1, len(starts).bit_length())
     bounds = F.array(*map(F.lit, starts)) if len(starts) < 64 else F.from_json(F.lit(str(starts)), "array<bigint>")
     # Number of starts <= key, by halving
@@ -118,11 +115,9 @@ def with_next(docs: DataFrame, key: str, order: list[Column], carried: list[str]
     rows = docs.withColumns({"_at": at, "_b": halving}).withColumn(
         "_go", F.explode(F.when(begins & (F.col("_b") > 1), F.array(home, before)).when(begins, F.array(home, around)).otherwise(F.array(home)))
     )
-    w = Window.partitionBy("_go.b").orderBy("_go.wrap", "_at", *order)
-    here = F.shiftleft(F.col("_go.b").cast("long"), 32) + F.row_number().over(w)
-    led = rows.withColumns({"row_id": here, "_guest": F.lead("_go.guest").over(w), "_home": F.lead("_b").over(w)} | {f"next_{c}": F.lead(c).over(w) for c in carried})
-    led = led.where(~F.col("_go.guest")).withColumn("next_row_id", F.when(F.col("_guest"), F.shiftleft(F.col("_home").cast("long"), 32) + 1).otherwise(F.col("row_id") + 1))
-    return led.drop("_at", "_b", "_go", "_guest", "_home")
+    rows = rows.withColumns({"bucket": F.col("_go.b"), "guest": F.col("_go.guest"), "_wrap": F.col("_go.wrap")}).drop("_go", "_b")
+    w = Window.partitionBy("bucket").orderBy("_wrap", "guest", "_at", *order)
+    return rows.withColumns({"place": F.row_number().over(w)} | {f"next_{c}": F.lead(c).over(w) for c in carried}).drop("_at", "_wrap")
 
 
 def edited(text: Column, following: Column) -> Column:
@@ -138,17 +133,17 @@ def fingerprint_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str
     Rows that repeat (equal id and text) each get their row. Other columns are ignored. Empty table: no rows.
     """
     base = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    led = with_next(base, "doc_id", [F.col("text")], ["text"])
-    change = edited(F.col("text"), F.col("next_text"))
-    facts = F.struct("doc_id", F.length("text").cast("long").alias("n_chars"), F.sha2(F.encode(change, "utf-8"), 256).alias("edited_sha256"), "next_row_id")
-    both = led.select("row_id", F.explode(F.array(F.struct(F.lit(0).alias("edit"), F.col("text").alias("t"), facts.alias("facts")), F.struct(F.lit(1).alias("edit"), change.alias("t"), F.lit(None).alias("facts")))).alias("x"))
-    both = both.select("row_id", "x.edit", F.col("x.facts").alias("facts"), F.col("x.t").alias("t"))
-    fps = stored(fingerprints(both, ["row_id", "edit"], "t", ["facts"]), "fingerprints")
-    own = fps.where("edit = 0").select("row_id", "facts.*", "fp")
-    changed = fps.where("edit = 1").select("row_id", F.col("fp").alias("efp"))
-    following = fps.where("edit = 0").select(F.col("row_id").alias("next_row_id"), F.col("fp").alias("next_fp"))
-    return own.join(changed, "row_id").join(following, "next_row_id").select(
-        "doc_id", "n_chars", "edited_sha256",
+    led = with_next(base, "doc_id", [F.col("text")], ["text"]).withColumn("change", edited(F.col("text"), F.coalesce("next_text", F.lit(""))))
+    here = F.struct(F.lit(0).alias("edit"), F.col("text").alias("t"), F.length("text").cast("long").alias("n_chars"), F.unhex(F.sha2(F.encode("change", "utf-8"), 256)).alias("sha"))
+    there = F.struct(F.lit(1).alias("edit"), F.col("change").alias("t"), F.lit(None).cast("long").alias("n_chars"), F.lit(None).cast("binary").alias("sha"))
+    both = led.select("bucket", "place", "guest", "doc_id", F.explode(F.when(F.col("guest"), F.array(here)).otherwise(F.array(here, there))).alias("x"))
+    both = both.select("bucket", "place", "guest", "doc_id", "x.*")
+    fps = fingerprints(both, ["bucket", "place", "edit", "guest", "doc_id", "n_chars", "sha"], "t")
+    # Behind a document's fingerprint stands that of its edited text, then that of the next document
+    w = Window.partitionBy("bucket").orderBy("place", "edit")
+    fps = fps.withColumns({"efp": F.lead("fp", 1).over(w), "next_fp": F.lead("fp", 2).over(w)}).where((F.col("edit") == 0) & ~F.col("guest"))
+    return fps.select(
+        "doc_id", "n_chars", F.lower(F.hex("sha")).alias("edited_sha256"),
         to_hex(F.col("fp")).alias("fingerprint"), to_hex(F.col("efp")).alias("edited_fingerprint"),
         likeness(F.col("fp"), F.col("efp")).alias("near_edited"), likeness(F.col("fp"), F.col("next_fp")).alias("near_next"),
     )

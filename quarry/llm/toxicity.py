@@ -22,7 +22,7 @@ curve fitted on labelled documents that the machine was not trained on. Every wo
 whole text is compared with the landmarks.
 
 Fitting reads at most about 2 * PER_LABEL labelled documents and of these at most
-3 * MOST_WINDOWS different windows.
+4 * MOST_WINDOWS different windows.
 """
 
 from __future__ import annotations
@@ -41,7 +41,7 @@ from pyspark.sql import functions as F
 from quarry.llm.common import Shipped, slices, worker_cache
 from quarry.llm.sampling import labelled_documents
 
-PER_LABEL, MOST_WINDOWS = 2500, 40_000
+PER_LABEL, MOST_WINDOWS = 2500, 30_000
 WIDTH, ORDER, DECAY, POWER = 8, 4, 0.7, 3
 #: Landmarks (half of them the most telling windows), rounds of training, cost, weight of the toxic side.
 LANDMARKS, ROUNDS, COST, TOXIC_SHARE = 128, 4, 0.3, 0.05
@@ -57,12 +57,13 @@ TOP, LIMIT = 3, 0.7
 #: Values below the floor tell nothing; the curve has a ramp from each step on.
 FLOOR = -0.8
 STEPS = np.arange(FLOOR, 1.0, 0.2)
-MOST_CACHED = 400_000
+MOST_CACHED = 600_000
 
 _SENTENCE = re.compile(r"[.!?]+\s+|\n")
 _ENDS = ".,;:!?\"'()[]{}<>*&%#|~_-+=/\\"
 _SIGNS = str.maketrans({"@": "a", "$": "s"})
 _DIGITS = {"0": "o", "1": "i", "3": "e", "4": "a", "5": "s", "7": "t"}
+_SINGLES = re.compile(r"(?<!\S)\S(?:\s+\S){2,}(?!\S)")
 _REPEATED = re.compile(r"(.)\1{2,}")
 _START, _END, _EDGE = "^", "$", 63
 _LONGEST = WIDTH + 3
@@ -91,13 +92,10 @@ def core(token: str) -> str:
 
 def tokens_of(text: str | None) -> set[str]:
     """The different tokens of a text, lower-case, and its runs of three and more single characters, joined."""
-    parts = (text or "").lower().split()
-    out = set(parts)
-    if sum(len(p) == 1 for p in out) > 1:
-        for single, run in itertools.groupby(parts, lambda p: len(p) == 1):
-            joined = "".join(run) if single else ""
-            if len(joined) > 2:
-                out.add(joined)
+    lower = (text or "").lower()
+    out = set(lower.split())
+    if sum([len(p) == 1 for p in out]) > 1:
+        out.update(["".join(run.split()) for run in _SINGLES.findall(lower)])
     return out
 
 
@@ -109,40 +107,56 @@ def windows(word: str) -> list[str]:
     return [_START + word[:WIDTH], *[word[i : i + WIDTH] for i in range(WIDTH // 2, len(word) - WIDTH, WIDTH // 2)], word[-WIDTH:] + _END]
 
 
-_PLACES = np.array(list(itertools.combinations(range(_LONGEST), ORDER)))
-_WEIGHTS = (DECAY ** (_PLACES[:, -1] - _PLACES[:, 0] + 1)).astype(np.float32)
 #: Numbers of subsequences: their codes, folded into so many (two different ones seldom meet).
 _NUMBERS = 1 << 22
 
 
+def _places(n: int) -> tuple[np.ndarray, ...]:
+    """For windows of n characters: the pairs of places; of each subsequence its first and its last pair, and its weight."""
+    pairs = {x: k for k, x in enumerate(itertools.combinations(range(n), 2))}
+    some = list(itertools.combinations(range(n), ORDER))
+    at = lambda k: np.array([pairs[x[k : k + 2]] for x in some], np.int64)
+    left, right = (np.array([x[k] for x in pairs], np.int64) for k in (0, 1))
+    return left, right, at(0), at(2), np.array([DECAY ** (x[-1] - x[0] + 1) for x in some], np.float32)
+
+
+_PLACES = [_places(n) for n in range(_LONGEST + 1)]
+#: The least norm of windows of n characters: that without repeated subsequences.
+_LEAST_NORM = [float(np.sqrt((x[4].astype(float) ** 2).sum())) for x in _PLACES]
+
+
 def encode(some: list[str]) -> np.ndarray:
-    """Windows as rows of character classes; 0 fills up."""
-    lengths = np.fromiter(map(len, some), np.int64, len(some))
-    out = np.zeros((len(some), _LONGEST), np.int64)
+    """Windows of equal length as rows of character classes."""
     flat = np.frombuffer("".join(some).encode("utf-32-le", "replace"), np.uint32).astype(np.int64)
     flat = np.where(flat < len(_TABLE), _TABLE[np.minimum(flat, len(_TABLE) - 1)], 27 + flat % 35)
-    out[np.repeat(np.arange(len(some)), lengths), np.arange(len(flat)) - np.repeat(np.cumsum(lengths) - lengths, lengths)] = flat
-    return out
+    return flat.reshape(len(some), -1).astype(np.uint32)
 
 
 def subsequences(codes: np.ndarray) -> np.ndarray:
-    """The number of the subsequence at each of _PLACES; 0 where the window is too short."""
-    number = codes[:, _PLACES[:, 0]]
-    for k in range(1, ORDER):
-        number = number * 64 + codes[:, _PLACES[:, k]]
-    number = np.maximum((number * 2654435761 >> 9) & (_NUMBERS - 1), 1)
-    return np.where(codes[:, _PLACES[:, -1]] > 0, number, 0).astype(np.int32)
+    """The numbers of the subsequences of each window, in the order of _PLACES."""
+    left, right, first, last, _ = _PLACES[codes.shape[1]]
+    pairs = codes[:, left] * np.uint32(64) + codes[:, right]
+    return (pairs[:, first] * np.uint32(4096) + pairs[:, last]) * np.uint32(2654435761) >> np.uint32(10)
 
 
-def norms(found: np.ndarray) -> np.ndarray:
-    """The kernel of each window with itself: weights of a subsequence's occurrences are summed, then squared."""
+def norms(found: np.ndarray, weights: np.ndarray) -> np.ndarray:
+    """The square root of each window's kernel with itself: weights of a subsequence's occurrences are summed, then squared."""
     order = np.argsort(found, axis=1)
     sorted_ = np.take_along_axis(found, order, 1)
-    weights = np.where(sorted_ > 0, _WEIGHTS[order], 0)
     new = np.ones(sorted_.shape, bool)
     new[:, 1:] = sorted_[:, 1:] != sorted_[:, :-1]
-    sums = np.bincount(np.cumsum(new.ravel()) - 1, weights.ravel())
-    return np.maximum(np.bincount(np.nonzero(new)[0], sums * sums, len(found)), 1e-12)
+    sums = np.bincount(np.cumsum(new.ravel()) - 1, weights[order].ravel())
+    return np.sqrt(np.bincount(np.nonzero(new)[0], sums * sums, len(found)))
+
+
+def _parts(some: list[str], size: int = 1024) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """(indexes of windows of one length, their subsequences, these' weights), a bounded number at a time; none for shorter ones than ORDER."""
+    lengths = np.fromiter(map(len, some), np.int64, len(some))
+    for n in np.unique(lengths[lengths >= ORDER]).tolist():
+        at = np.flatnonzero(lengths == n)
+        for k in range(0, len(at), size):
+            mine = at[k : k + size]
+            yield mine, subsequences(encode([some[i] for i in mine.tolist()])), _PLACES[n][4]
 
 
 class Landmarks:
@@ -150,35 +164,52 @@ class Landmarks:
 
     def __init__(self, marks: list[str]) -> None:
         self.marks = marks
-        found = subsequences(encode(marks))
-        self.used = np.unique(found[found > 0])
+        found = [(mine, x, weights, norms(x, weights)) for mine, x, weights in _parts(marks)]
+        self.used = np.unique(np.concatenate([x.ravel() for _, x, _, _ in found])) if found else np.zeros(0, np.uint32)
         self.table = np.zeros((len(self.used) + 1, len(marks)), np.float32)
-        r, c = np.nonzero(found)
-        np.add.at(self.table, (np.searchsorted(self.used, found[r, c]) + 1, r), _WEIGHTS[c] / np.sqrt(norms(found))[r])
+        for mine, x, weights, norm in found:
+            np.add.at(self.table, (np.searchsorted(self.used, x) + 1, mine[:, None]), weights / norm[:, None])
         self._place: np.ndarray | None = None
 
     def __getstate__(self) -> dict:
         return self.__dict__ | {"_place": None}
 
-    def kernel(self, some: list[str]) -> np.ndarray:
-        """windows x landmarks: normed kernel to the power POWER."""
+    def place(self, found: np.ndarray) -> np.ndarray:
+        """Rows of the table; 0: in no landmark."""
         if self._place is None:
-            self._place = np.zeros(_NUMBERS, np.int32)
+            self._place = np.zeros(_NUMBERS, np.int32 if len(self.used) > 32_000 else np.int16)
             self._place[self.used] = np.arange(1, len(self.used) + 1)
+        return self._place[found]
+
+    def kernel(self, some: list[str]) -> np.ndarray:
+        """windows x landmarks: normed kernel to the power POWER."""
         out = np.zeros((len(some), len(self.marks)), np.float32)
-        for at in range(0, len(some), 512):
-            found = subsequences(encode(some[at : at + 512]))
-            place = self._place[found]
+        for mine, found, weights in _parts(some):
+            place = self.place(found)
             r, c = np.nonzero(place)
-            if not len(r):
-                continue
-            rows = self.table[place[r, c]]
-            rows *= _WEIGHTS[c][:, None]
-            starts = np.flatnonzero(np.concatenate(([True], r[1:] != r[:-1])))
-            mine = r[starts]
-            out[at + mine] = np.add.reduceat(rows, starts, axis=0) / np.sqrt(norms(found[mine]))[:, None]
+            if len(r):
+                rows = self.table[place[r, c]]
+                rows *= weights[c][:, None]
+                starts = np.flatnonzero(np.concatenate(([True], r[1:] != r[:-1])))
+                some_of = r[starts]
+                out[mine[some_of]] = np.add.reduceat(rows, starts, axis=0) / norms(found[some_of], weights)[:, None]
         return out**POWER
 
+    def within(self, some: list[str], alpha: np.ndarray, least: float) -> np.ndarray:
+        """Indexes of windows whose kernel values times alpha can exceed least: an upper bound, so that no other can.
+
+        Each kernel value is at most the sum of its subsequences' largest weights, over the least norm.
+        """
+        plus = np.maximum(alpha, 0).astype(np.float32)
+        largest, total = self.table.max(1), self.table @ plus
+        out = []
+        for mine, found, weights in _parts(some):
+            place = self.place(found)
+            norm = np.float32(_LEAST_NORM[len(some[int(mine[0])])])
+            most = np.minimum(largest[place] @ weights / norm, 1)
+            out.append(mine[most ** (POWER - 1) * (total[place] @ weights / norm) > least])
+        return np.concatenate(out) if out else np.zeros(0, np.int64)
+
 
 def svm(x: np.ndarray, y: np.ndarray, cost: np.ndarray, rounds: int = 30) -> np.ndarray:
     """Linear machine with squared hinge loss (last column of x: the constant), by Newton steps on the primal."""
@@ -186,15 +217,19 @@ def svm(x: np.ndarray, y: np.ndarray, cost: np.ndarray, rounds: int = 30) -> np.
     small[-1] = 1e-3
 
     def loss(w: np.ndarray) -> float:
-        short = np.maximum(0, 1 - y * (x @ w))
+        short = np.maximum(0, 1 - y * (x @ w.astype(x.dtype)))
         return float((small * w * w).sum() + (cost * short * short).sum()) / 2
 
     now = loss(w)
     for _ in range(rounds):
-        short = 1 - y * (x @ w)
+        short = 1 - y * (x @ w.astype(x.dtype))
         inside = short > 0
-        xi, ci = x[inside], cost[inside]
-        step = np.linalg.solve(np.diag(small) + (xi * ci[:, None]).T @ xi, small * w - xi.T @ (ci * y[inside] * short[inside]))
+        hessian, slope = np.diag(small), small * w
+        for rows in np.array_split(np.flatnonzero(inside), inside.sum() // 8192 + 1):
+            xi = x[rows].astype(np.float64)
+            hessian += (xi * cost[rows, None]).T @ xi
+            slope -= xi.T @ (cost[rows] * y[rows] * short[rows])
+        step = np.linalg.solve(hessian, slope)
         share = 1.0
         while share > 1e-4 and loss(w - share * step) >= now:
             share /= 2
@@ -263,12 +298,12 @@ def train(counts: dict[str, tuple[int, int, int, int]], documents: tuple[int, in
     landmarks = Landmarks(lead + _far(others, LANDMARKS // 2, lead))
     value, vector = np.linalg.eigh(landmarks.kernel(landmarks.marks).astype(np.float64))
     keep = value > 1e-2 * value[-1]
-    white = vector[:, keep] / np.sqrt(value[keep])
+    white = (vector[:, keep] / np.sqrt(value[keep])).astype(np.float32)
     taken = np.unique(np.concatenate((np.argsort(-best, kind="stable")[: MOST_WINDOWS // 2], common[: MOST_WINDOWS // 2], rng.choice(len(names), min(len(names), MOST_WINDOWS // 2), replace=False))))
     names, toxic, clean, best = [names[i] for i in taken], toxic[taken], clean[taken], best[taken]
 
     def mapped(some: list[str]) -> np.ndarray:
-        return np.hstack((landmarks.kernel(some) @ white, np.ones((len(some), 1))))
+        return np.hstack((landmarks.kernel(some) @ white, np.ones((len(some), 1), np.float32)))
 
     x = mapped(names)
     f, w = np.zeros(len(names)), np.zeros(x.shape[1])
@@ -286,7 +321,7 @@ def train(counts: dict[str, tuple[int, int, int, int]], documents: tuple[int, in
         y, cost = np.concatenate([np.full(len(a), float(s)) for a, s, _ in sides]), np.concatenate([c for _, _, c in sides])
         cost[y > 0] *= TOXIC_SHARE * max(cost[y < 0].sum(), 1.0) / cost[y > 0].sum()
         w = svm(np.vstack([a for a, _, _ in sides]), y, COST * cost)
-        f = x @ w
+        f = x @ w.astype(np.float32)
     return ToxicityModel(landmarks, white @ w[:-1], float(w[-1]))
 
 
@@ -320,9 +355,14 @@ class ToxicityModel:
         self.cut = float((ramps(np.array([[0.0] + [-1.0] * (TOP - 1)])) @ self.weights)[0])
 
     def values(self, some: list[str]) -> np.ndarray:
-        if self.landmarks is None or not some:
-            return np.full(len(some), -1.0)
-        return np.concatenate([self.landmarks.kernel(some[i : i + 4096]) @ self.alpha for i in range(0, len(some), 4096)]) + self.bias
+        """The value of each window; -1 for those that can't exceed FLOOR."""
+        out = np.full(len(some), -1.0)
+        if self.landmarks is not None and some:
+            at = self.landmarks.within(some, self.alpha, FLOOR - self.bias)
+            for k in range(0, len(at), 4096):
+                part = at[k : k + 4096]
+                out[part] = self.landmarks.kernel([some[i] for i in part.tolist()]) @ self.alpha + self.bias
+        return out
 
     def calibrate(self, top: np.ndarray, y: np.ndarray) -> None:
         """Fit the curve; the cut has the fewest errors and stays near the clean side of the gap, so that a single insult counts."""
@@ -366,7 +406,7 @@ def top_values(model: ToxicityModel, texts: list[str | None]) -> np.ndarray:
             high.update({t: (best[c], c) for t, c in cores.items() if best[c] > FLOOR})
         known |= new
         for k in range(at, end):
-            found = {high[t] for t in (sets[k] & high.keys() if len(high) < len(sets[k]) else [t for t in sets[k] if t in high])}
+            found = {high[t] for t in high.keys() & sets[k]}
             for j, (v, _) in enumerate(sorted(found, reverse=True)[:TOP]):
                 out[k, j] = v
         at = end

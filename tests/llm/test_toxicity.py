@@ -3,6 +3,7 @@
 import itertools
 
 import numpy as np
+
 from quarry.llm import queries, toxicity
 
 INSULTS = ("scoundrel", "blockhead", "nitwit", "muttonhead", "rapscallion", "ninnyhammer")
@@ -13,7 +14,7 @@ def plain_kernel(a, b):
     """Sum over shared subsequences of the products of their weights, normed, to the power."""
 
     def weights(window):
-        codes = [int(x) for x in toxicity.encode([window])[0] if x]
+        codes = [int(x) for x in toxicity.encode([window])[0]]
         out = {}
         for at in itertools.combinations(range(len(codes)), toxicity.ORDER):
             key = tuple(codes[i] for i in at)
@@ -35,6 +36,16 @@ def test_kernel_equals_its_definition():
     assert abs(got[0, 0] - 1) < 1e-5 and abs(got[2, 1] - 1) < 1e-5  # repeated characters too
 
 
+def test_bound_rules_out_only_low_windows():
+    model, rng = machine(), np.random.default_rng(4)
+    some = [w for x in (*INSULTS, *PLAIN) for w in toxicity.windows(x)]
+    some += [v for w in some for v in toxicity._disturb(w, rng, 60)]
+    want = model.landmarks.kernel(some) @ model.alpha + model.bias
+    got = model.values(some)
+    high = want > toxicity.FLOOR
+    assert np.abs(got[high] - want[high]).max() < 1e-4 and (got[~high] <= toxicity.FLOOR).all() and 0 < high.sum() < len(some)
+
+
 def machine():
     counts = {}
     for word, cell in [(w, (15, 0, 15, 0)) for w in INSULTS] + [(w, (1, 40, 1, 40)) for w in PLAIN]:
