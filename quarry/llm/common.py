@@ -46,7 +46,7 @@ def _remove_all() -> None:
         try:
             drop_path(spark, path)
         except Exception:  # noqa: BLE001, the JVM may be gone already
-            return
+            continue
 
 
 def stored(df: DataFrame, name: str) -> DataFrame:
@@ -80,11 +80,25 @@ def worker_cache(name: str) -> dict:
 _MODELS = "models"
 
 
-def slices(batches: Iterator[pa.RecordBatch], rows: int = 1000) -> Iterator[pa.RecordBatch]:
-    """The batches in parts of at most so many rows: texts are held as Python objects for one part at a time."""
+def slices(batches: Iterator[pa.RecordBatch], rows: int = 1000, name: str = "") -> Iterator[pa.RecordBatch]:
+    """The batches in parts of at most so many rows: texts are held as Python objects for one part at a time.
+
+    name: the operator's; what other operators cached in this worker is dropped.
+    """
+    if name:
+        worker_cache(name)
     for b in batches:
         for i in range(0, b.num_rows, rows):
             yield b.slice(i, rows)
+    pa.default_memory_pool().release_unused()
+
+
+def bounded_batches(spark: SparkSession, rows: int = 1000, size: str = "8m") -> None:
+    """Send texts to Python workers in small Arrow batches, so that memory doesn't follow their length; a session's own settings stay."""
+    for key, usual, value in (("maxRecordsPerBatch", "10000", str(rows)), ("maxBytesPerBatch", "67108864b", size)):
+        key = f"spark.sql.execution.arrow.{key}"
+        if spark.conf.get(key, usual) == usual:
+            spark.conf.set(key, value)
 
 
 class Shipped:

@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 from quarry.llm.common import discard, stored
 
+EDGES_A_FILE = 250_000
+
 
 def _check(edges: DataFrame) -> tuple:
     return tuple(edges.agg(F.count(F.lit(1)), F.bit_xor(F.xxhash64("a", "b"))).first())
@@ -43,7 +45,8 @@ def components(edges: DataFrame, a: str = "a", b: str = "b", most_rounds: int =
     for _ in range(most_rounds):
         if not before[0]:
             break
-        then = stored(_small_star(_large_star(now)), "edges")
+        # Edges shrink from round to round: few files for few edges
+        then = stored(_small_star(_large_star(now)).coalesce(-(-before[0] // EDGES_A_FILE)), "edges")
         after = _check(then)
         discard(now)
         now = then

@@ -13,6 +13,7 @@ from __future__ import annotations
 
 import math
 import re
+import sys
 import uuid
 from collections import Counter
 from collections.abc import Iterator
@@ -46,7 +47,9 @@ SCRIPTS = [
     (0x3130, "hangul"), (0x3190, "other"), (0x3400, "han"), (0xA000, "other"), (0xAC00, "hangul"), (0xD7B0, "other"), (0xF900, "han"), (0xFB00, "latin"), (0xFB07, "other"), (0xFF21, "latin"), (0xFF5B, "other"), (0x20000, "han"), (0x30000, "other"),
 ]
 _STARTS = [s for s, _ in SCRIPTS]
-_WORD = re.compile(r"[^\W\d_]+")
+# Letters only: Python's \\w has number signs too (superscripts, fractions, numbers in circles)
+_SIGNS = "".join(c for c in map(chr, range(sys.maxunicode + 1)) if c.isalnum() and not c.isalpha() and not c.isdecimal())
+_WORD = re.compile(rf"[^\W\d_{_SIGNS}]+")
 
 
 def script_of(word: str) -> str:

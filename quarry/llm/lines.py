@@ -101,7 +101,7 @@ def own_repeats(hashes: np.ndarray, grams: list[tuple[int, int, int, int, int]])
 
 
 def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for b in slices(batches):
+    for b in slices(batches, name="lines"):
         own, grams = [], []
         for text in b.column("text").to_pylist():
             hashes, found = selected(lines_of(text))

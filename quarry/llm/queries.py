@@ -9,10 +9,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quarry.llm import decontaminate, fingerprint, html, langid, lines, packing, quality, simhash, toxicity, warc
-from quarry.llm.common import crc_bucket, shared_path
+from quarry.llm.common import bounded_batches, crc_bucket, shared_path
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    bounded_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 

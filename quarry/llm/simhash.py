@@ -238,22 +238,26 @@ def links(fps: DataFrame) -> DataFrame:
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, text_hash, fp, component_id): a row for each row of docs; component_id is the smallest id reachable by links.
+    """(id, text_hash, fp, component, component_id): a row for each row of docs.
 
-    Null text counts as empty (fingerprint 0); a null id counts as the least id. Rows that
-    repeat give repeated rows. Other columns are ignored. Empty table: no rows.
+    Fingerprints are linked, not ids: component is the least fingerprint reachable, and
+    component_id the smallest id of its rows. Null text counts as empty (fingerprint 0). A
+    null id is NO_ID, and no component is named by it unless it has no other id. Rows that
+    repeat give repeated rows; rows that share an id but not a text are rows of their own.
+    Other columns are ignored. Empty table: no rows.
     """
     rows = stored(fingerprints(docs, id_col, text_col), "simhash")
-    fps = rows.groupBy("fp").agg(F.min("id").alias("id"))
-    label = components(links(fps)).select(F.col("node").alias("id"), F.col("component").alias("least"))
-    label = fps.join(label, "id", "left").select("fp", F.coalesce("least", "id").alias("component_id"))
-    return rows.join(label, "fp").select("id", "text_hash", "fp", "component_id")
+    fps = rows.groupBy("fp").agg(F.min(F.when(F.col("id") != NO_ID, F.col("id"))).alias("id"))
+    label = components(links(fps.select(F.col("fp").alias("id"), "fp"))).select(F.col("node").alias("fp"), "component")
+    named = fps.join(label, "fp", "left").select("fp", "id", F.coalesce("component", "fp").alias("component"))
+    least = named.groupBy("component").agg(F.coalesce(F.min("id"), F.lit(NO_ID)).alias("component_id"))
+    return rows.join(named.select("fp", "component").join(least, "component"), "fp").select("id", "text_hash", "fp", "component", "component_id")
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """docs with one row of each component: that of its smallest id (then the smallest text hash); all columns, as they are."""
     found = near_duplicates(docs, id_col, text_col)
-    least = found.groupBy("component_id").agg(F.min(F.struct("id", "text_hash")).alias("x"))
+    least = found.groupBy("component").agg(F.min(F.struct("id", "text_hash")).alias("x"))
     key, hashed = fresh("_id", docs.columns), fresh("_text_hash", docs.columns)
     chosen = least.select(F.col("x.id").alias(key), F.col("x.text_hash").alias(hashed))
     rows = docs.withColumns({key: F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID)), hashed: F.xxhash64(F.col(text_col))})

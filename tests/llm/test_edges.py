@@ -122,3 +122,29 @@ def test_stages(spark, docs, items, tmp_path):
         if name != "packing":
             assert now.where("text is not null and n_chars <> length(text) and length(text) < 1000").count() == 0, name
     assert now.where("doc_id is null").count() >= 1  # a row without id is kept like any other
+
+
+def test_simhash_links_fingerprints_not_ids(spark):
+    a, b, c = "one two three four five six seven", "alpha beta gamma delta epsilon zeta eta", "red green blue white black brown grey"
+    docs = spark.createDataFrame([(1, a), (1, b), (2, a), (3, b), (None, c), (None, b), (7, c)], "doc_id long, text string")
+    got = sorted((r.id, r.component_id) for r in simhash.near_duplicates(docs).collect())
+    assert got == [(simhash.NO_ID, 1), (simhash.NO_ID, 7), (1, 1), (1, 1), (2, 1), (3, 1), (7, 7)]
+    groups = {frozenset(r.ids) for r in simhash.near_duplicates(docs).groupBy("component").agg(F.collect_list("id").alias("ids")).collect()}
+    assert len(groups) == 3
+    assert simhash.keep_one(docs).count() == 3
+
+
+def test_quality_takes_integer_and_text_ids(spark):
+    for kind in ("int", "string"):
+        rows = spark.createDataFrame([(k, "a fine text with many words here " * 9 if k % 2 else "x x x x") for k in range(40)], "doc_id int, text string")
+        docs = rows.withColumn("doc_id", F.col("doc_id").cast(kind))
+        labels = docs.select("doc_id", (F.length("text") > 20).cast("int").alias("quality"))
+        got = {r.doc_id: r.score for r in quality.predict(docs, quality.fit(docs, labels)).collect()}
+        assert len(got) == 40 and got[type(next(iter(got)))(1)] > got[type(next(iter(got)))(2)]
+        assert got[type(next(iter(got)))(2)] == got[type(next(iter(got)))(4)]  # ties
+
+
+def test_number_signs_are_no_letters(spark):
+    assert langid.words_of("² ½ ① Ⅷ 12 _ x²y") == ["x", "y"]
+    model = langid.fit(spark.createDataFrame([(1, "the house", "en")], "doc_id long, text string, lang string"))
+    assert langid.label(model, "² ½ ①")[0] == "und"
