@@ -34,7 +34,9 @@ WINDOW, END_ID = 2048, 1
 FREQUENT = 40
 SWEEPS = 60
 LEAST_SALTS, ROWS_PER_SALT = 16, 150_000
-MOST_CACHED = 500_000
+MOST_CACHED = 600_000
+#: Unknown words encoded as one text.
+TOGETHER = 200
 
 _CUT = re.compile(r"(?<=\S) (?=\S)")
 _OTHER_SPACE = [chr(c) for c in range(0x3001) if chr(c).isspace() and chr(c) not in " \n"]
@@ -78,23 +80,27 @@ class Encoder:
     def _encode_words(self, words: list[str], known: dict[str, bytes], spaced: bool) -> None:
         """Put the ids of words without white space into known."""
         width, feed = self.kind.itemsize, np.frombuffer(self.feed, self.kind)[0]
-        for i in range(0, len(words), 5000):
-            some = words[i : i + 5000]
-            ids = self._ids(" " + " ".join(some) if spaced else "\n".join(some))
-            ends = np.flatnonzero(self.blank[ids])[1:] if spaced else np.flatnonzero(ids == feed)
-            at = [0, *ends.tolist(), len(ids)]
-            if len(at) != len(some) + 1:
-                known.update((w, self._plain(" " + w if spaced else w)) for w in some)
-                continue
-            data, skip = ids.tobytes(), 0 if spaced else 1
-            known[some[0]] = data[: at[1] * width]
-            known.update((w, data[(a + skip) * width : b * width]) for w, a, b in zip(some[1:], at[1:], at[2:], strict=False))
+        skip = 0 if spaced else 1
+        for i in range(0, len(words), 100 * TOGETHER):
+            parts = [words[j : j + TOGETHER] for j in range(i, min(i + 100 * TOGETHER, len(words)), TOGETHER)]
+            texts = [" " + " ".join(some) if spaced else "\n".join(some) for some in parts]
+            for some, found in zip(parts, self.tokenizer.encode_batch_fast(texts, add_special_tokens=False), strict=True):
+                ids = np.array(found.ids, self.kind)
+                ends = np.flatnonzero(self.blank[ids])[1:] if spaced else np.flatnonzero(ids == feed)
+                at = [0, *(ends * width).tolist(), len(ids) * width]
+                if len(at) != len(some) + 1:
+                    known.update([(w, self._plain(" " + w if spaced else w)) for w in some])
+                    continue
+                data = ids.tobytes()
+                starts = [0, *[a + skip * width for a in at[1:-1]]]
+                known.update(zip(some, [data[a:b] for a, b in zip(starts, at[1:], strict=True)], strict=True))
 
     def _learn(self, new: set[str], known: dict[str, bytes], spaced: bool) -> None:
-        whole, cut = [], []
-        for w in new:
+        marks = set(_MARKS)
+        whole, cut = [w for w in new if w[-1:] not in marks], []
+        for w in new.difference(whole):
             core = w.rstrip(_MARKS)
-            if len(core) < len(w) and core and core[-1].isalnum():
+            if core and core[-1].isalnum():
                 cut.append((w, core, w[len(core) :]))
             else:
                 whole.append(w)
@@ -119,7 +125,7 @@ class Encoder:
                 first.update([line[0] for line in x])
                 for line in x:
                     later.update(line[1:])
-        new = {w for w in first if w not in self.bare}, {w for w in later if w not in self.spaced}
+        new = first.difference(self.bare), later.difference(self.spaced)
         self._learn(new[0], self.bare, False)
         self._learn(new[1], self.spaced, True)
         bare, get, feed = self.bare.__getitem__, self.spaced.__getitem__, self.feed
