@@ -112,7 +112,7 @@ class Shipped:
     def value(self) -> object:
         held = worker_cache(_MODELS)
         if self.key not in held:
-            if len(held) > 8:
+            if len(held) > 1:  # two at most, so that many broadcast objects in turn don't pile up
                 held.clear()
             held[self.key] = pickle.loads(self.data.value)
         return held[self.key]

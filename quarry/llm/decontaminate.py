@@ -7,8 +7,9 @@ item is known. A window is WINDOW consecutive words of an item, or a whole item
 fewer words; every word inside an occurrence of a window is a hit.
 
 The automaton is sent to the executors, so its size is bounded: items are dealt into
-shards of SHARD_WORDS words at most on average, and documents stream through one
-shard's automaton after another.
+shards of SHARD_WORDS words at most on average (an automaton of about 70 MB), and each
+batch of documents streams through one shard's automaton after another. The driver
+builds one shard at a time, and a worker holds at most two of them.
 """
 
 from __future__ import annotations
@@ -27,7 +28,7 @@ from quarry.llm.common import Shipped, slices
 WINDOW = 10
 #: A document of which more than this part is hit is removed whole.
 COVERAGE = 0.8
-SHARD_WORDS = 1_000_000
+SHARD_WORDS = 100_000
 
 _LETTERS = b"0123456789abcdefghijklmnopqrstuvwxyz" + bytes(range(128, 256))
 _NORMAL = bytes(c if c in _LETTERS else c + 32 if 65 <= c <= 90 else 32 for c in range(256))
@@ -177,13 +178,17 @@ def _merge(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return out
 
 
-def _scan(automata: list, text: str | None) -> tuple[list[bytes], list[tuple[int, int]], set]:
-    words = words_of(text)
-    spans, items = automata[0].value.hits(words)
-    for a in automata[1:]:
-        more, others = a.value.hits(words)
-        spans, items = _merge(spans + more), items | others
-    return words, spans, items
+def _scan(automata: list, texts: list[str | None]) -> list[tuple[list[bytes], list[tuple[int, int]], set]]:
+    """(words, merged spans, items) of each text. All texts pass one shard's automaton before the next is unpacked."""
+    words = [words_of(t) for t in texts]
+    found: list[tuple[list[tuple[int, int]], set]] = [([], set()) for _ in texts]
+    for a in automata:
+        hits = a.value.hits
+        for k, w in enumerate(words):
+            spans, items = hits(w)
+            if spans:
+                found[k] = (_merge(found[k][0] + spans) if found[k][0] else spans, found[k][1] | items)
+    return [(w, *x) for w, x in zip(words, found, strict=True)]
 
 
 def find(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
@@ -197,8 +202,7 @@ def find(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches):
             n_words, n_hit, ids, spans = [], [], [], []
-            for text in b.column("text").to_pylist():
-                words, found, items = _scan(automata, text)
+            for words, found, items in _scan(automata, b.column("text").to_pylist()):
                 n_words.append(len(words))
                 n_hit.append(sum(e - s for s, e in found))
                 ids.append(sorted(i for i in items if i is not None))
@@ -223,19 +227,24 @@ def cut(text: str, spans: list[tuple[int, int]]) -> str:
     return " ".join(x for x in (p.strip() for p in out) if x)
 
 
-def cleaner(automata: list, coverage: float) -> Callable[[str | None], str | None]:
-    def clean(text: str | None) -> str | None:
-        """The text without hits; None if it was hit beyond the coverage limit or nothing is left."""
-        first = True
-        while True:  # what a cut brings together may hit again
-            words, spans, _ = _scan(automata, text)
-            if not spans:
-                return text
-            if first and sum(e - s for s, e in spans) > coverage * len(words):
-                return None
-            first, text = False, cut(text, spans)
-            if not text:
-                return None
+def cleaner(automata: list, coverage: float) -> Callable[[list[str | None]], list[str | None]]:
+    def clean(texts: list[str | None]) -> list[str | None]:
+        """The texts without hits; None for one that was hit beyond the coverage limit or of which nothing is left."""
+        out, at, first = list(texts), list(range(len(texts))), True
+        while at:  # what a cut brings together may hit again
+            again = []
+            for k, (words, spans, _) in zip(at, _scan(automata, [out[k] for k in at]), strict=True):
+                if not spans:
+                    continue
+                if first and sum(e - s for s, e in spans) > coverage * len(words):
+                    out[k] = None
+                elif new := cut(out[k], spans):
+                    out[k] = new
+                    again.append(k)
+                else:
+                    out[k] = None
+            at, first = again, False
+        return out
 
     return clean
 
@@ -252,7 +261,7 @@ def remove(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", length
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches):
             texts = b.column(at).to_pylist()
-            new = [clean(t) for t in texts]
+            new = clean(texts)
             keep = pa.array([t is None or n is not None for t, n in zip(texts, new, strict=True)], pa.bool_())
             columns = list(b.columns)
             columns[at] = pa.array(new, b.schema.field(at).type)

@@ -26,10 +26,10 @@ from quarry.llm.common import slices
 
 DEEPEST = 256
 WIDEST_PAD = 40  # columns are padded to this width at most
-MOST_SPAN = 100
+MOST_SPAN = 1000  # HTML's own limit of colspan
 
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-HIDDEN = frozenset("head script style template noscript title iframe object audio video canvas svg math noframes noembed datalist".split())
+HIDDEN = frozenset("head script style template noscript title iframe object audio video canvas defs desc metadata annotation annotation-xml rp noframes noembed datalist".split())
 RAW = frozenset("script style xmp iframe noembed noframes".split())  # text up to their end tag
 RAW_ESCAPED = frozenset("textarea title".split())
 # Blocks with a margin, and blocks on lines of their own
@@ -53,7 +53,9 @@ _NAME = re.compile(r"[a-zA-Z][^\s/>]*")
 _ATTRIBUTE = re.compile(r"""[\s/]*([^\s/>=][^\s/>=]*)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>"'][^\s>]*)?))?""")
 _TAG_END = re.compile(r"[\s/]*>")
 _RAW_END = {t: re.compile(rf"</{t}(?=[\s/>])", re.I) for t in RAW | RAW_ESCAPED}
-_UNSEEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*(?:hidden|collapse)", re.I)
+_UNSEEN = re.compile(r"display\s*:\s*none", re.I)
+_VISIBILITY = re.compile(r"visibility\s*:\s*(visible|hidden|collapse)", re.I)
+_LABELLED = frozenset("submit reset button".split())  # inputs whose value is shown
 _SPACE = re.compile(r"[ \t\n\r\f]+")
 
 
@@ -185,8 +187,24 @@ def parse(text: str) -> Node:
 
 
 def hidden(node: Node) -> bool:
-    a = node.attributes
-    return node.tag in HIDDEN or bool(a) and ("hidden" in a or "style" in a and bool(_UNSEEN.search(a["style"])) or node.tag == "input" or node.tag == "dialog" and "open" not in a)
+    a, tag = node.attributes, node.tag
+    if tag in HIDDEN or tag == "dialog" and "open" not in a or tag == "input" and (a.get("type", "").strip().lower() not in _LABELLED or not a.get("value")):
+        return True
+    return bool(a) and ("hidden" in a or "style" in a and bool(_UNSEEN.search(a["style"])))
+
+
+def _blank_invisible(root: Node) -> None:
+    """Take out the text of elements that `visibility` hides; it is inherited, and an element inside may be visible again."""
+    stack = [(root, True)]
+    while stack:
+        node, seen = stack.pop()
+        if m := _VISIBILITY.search(node.attributes.get("style", "")):
+            seen = m[1].lower() == "visible"
+        if not seen:
+            node.children = [x for x in node.children if isinstance(x, Node)]
+            if node.tag == "input":
+                node.attributes.pop("value", None)
+        stack += [(x, seen) for x in node.children if isinstance(x, Node)]
 
 
 class Layout:
@@ -319,6 +337,8 @@ def _render(top: Node, out: Layout, depth: int = 0) -> None:
 
     def enter(node: Node) -> None:
         tag = node.tag
+        if tag == "input":
+            out.text(node.attributes["value"])
         if tag == "br":
             out.parts.append("")
             out.break_line()
@@ -381,8 +401,10 @@ def _render(top: Node, out: Layout, depth: int = 0) -> None:
 def to_text(html: str | None) -> str | None:
     if html is None:
         return None
-    out = Layout()
-    _render(parse(html), out)
+    out, root = Layout(), parse(html)
+    if "visibility" in html.lower():
+        _blank_invisible(root)
+    _render(root, out)
     out.break_line()
     return "\n".join(out.lines)
 

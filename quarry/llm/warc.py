@@ -95,7 +95,9 @@ def write(pages: DataFrame, directory: str, id_col: str = "page_id", uri_col: st
     salted = shared.select("digest", "first", F.explode(F.array(*map(F.lit, range(SALTS)))).alias("salt"))
     made = rows.mapInArrow(_members, f"id {kind}, uri string, size long, digest string, member binary")
     made = made.withColumn("salt", F.pmod(F.xxhash64("id", "uri"), F.lit(SALTS)).cast("int"))
-    joined = made.join(salted, ["digest", "salt"], "left").select("id", "uri", "size", "digest", "first", F.when(F.col("first").isNull() | F.col("id").isNull() | (F.col("id") == F.col("first")), F.col("member")).alias("member"))
+    # A small payload matches nothing: a key of its own keeps its many copies apart
+    made = made.withColumn("key", F.when(F.col("size") >= LEAST_SHARED, F.col("digest")).otherwise(F.concat(F.lit("-"), F.xxhash64("id", "uri").cast("string"))))
+    joined = made.join(salted.withColumnRenamed("digest", "key"), ["key", "salt"], "left").select("id", "uri", "size", "digest", "first", F.when(F.col("first").isNull() | F.col("id").isNull() | (F.col("id") == F.col("first")), F.col("member")).alias("member"))
     target, path = open_fs(directory)
     target.create_dir(path, recursive=True)
 
@@ -135,17 +137,25 @@ class _Bytes:
         return True
 
 
+class DamagedRecord(ValueError):
+    """A member that begins like a record and can't be decoded, or bytes between members that are neither padding nor a member."""
+
+
 def _decode(view: _Bytes, at: int) -> tuple[bytes, int] | None:
     """Content and end of the member at offset `at` of the view, or None if no record starts there."""
     z, out, done = zlib.decompressobj(31), [], at
     checked = False
     while not z.eof:
         if done == len(view.data) and not view.more():
+            if checked:
+                raise DamagedRecord(f"record at byte {view.start + at} ends before its time")
             return None
         part = bytes(view.data[done : done + (256 if not checked else 1 << 16)])
         try:
             out.append(z.decompress(part))
-        except zlib.error:
+        except zlib.error as e:
+            if checked:
+                raise DamagedRecord(f"record at byte {view.start + at}: {e}") from e
             return None
         done += len(part) - len(z.unused_data)
         if not checked:
@@ -153,28 +163,62 @@ def _decode(view: _Bytes, at: int) -> tuple[bytes, int] | None:
             if head != b"WARC/1."[: len(head)]:
                 return None
             checked = len(head) == 7
-    while len(view.data) < done + 3 and view.more():
-        pass
-    follows = bytes(view.data[done : done + 3])
-    if not checked or follows and not MAGIC.startswith(follows):
-        return None
-    return b"".join(out), done
+    return (b"".join(out), done) if checked else None
+
+
+def _padding(view: _Bytes, at: int) -> int:
+    """The offset after zeros that may stand behind a member."""
+    while True:
+        while at < len(view.data) and not view.data[at]:
+            at += 1
+        if at < len(view.data) or not view.more():
+            return at
 
 
-def records_in(source, start: int, end: int, size: int) -> Iterator[bytes]:
-    """The decoded members that start in [start, end) of an open file."""
+def records_in(source, start: int, end: int, size: int, damaged: list[str] | None = None) -> Iterator[bytes]:
+    """The decoded members that start in [start, end) of an open file.
+
+    A damaged record raises; with a list for it, it is told there instead, and reading goes on
+    with the next member that decodes.
+    """
     view = _Bytes(source, start, end + len(MAGIC) - 1, size)
-    at = 0
+
+    def tell(trouble: str) -> None:
+        if damaged is None:
+            raise DamagedRecord(trouble)
+        damaged.append(trouble)
+
+    at, due = 0, -1  # due: where the next record must begin, once one has been read
     while True:
         at = view.data.find(MAGIC, at)
-        if at < 0 or view.start + at >= end:
-            return
-        found = _decode(view, at)
-        if found is None:
+        mine = at >= 0 and view.start + at < end
+        found = None
+        if mine:
+            try:
+                found = _decode(view, at)
+            except DamagedRecord as e:
+                tell(str(e))
+                at, due = at + 1, -1
+                continue
+        if found is None and mine:
             at += 1
-        else:
-            yield found[0]
-            at = found[1]
+            continue
+        if due >= 0 and at != due and (due < len(view.data) and (mine or view.start + due < end or not _begins(view, due))):
+            tell(f"no record at byte {view.start + due}, where one ends")
+        if not mine:
+            return
+        yield found[0]
+        at = due = _padding(view, found[1])
+        while len(view.data) < at + 512 and view.more():
+            pass
+
+
+def _begins(view: _Bytes, at: int) -> bool:
+    """Whether a record seems to begin at that offset of the view."""
+    try:
+        return zlib.decompressobj(31).decompress(bytes(view.data[at : at + 512])).startswith(b"WARC/1.")
+    except zlib.error:
+        return False
 
 
 def parse(data: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
@@ -195,9 +239,12 @@ def _bare(uri: str | None) -> str | None:
     return uri.strip("<>").removeprefix("urn:page:") if uri is not None else None
 
 
-def read(spark: SparkSession, directory: str, payload: bool = True, range_bytes: int = RANGE_BYTES) -> DataFrame:
+def read(spark: SparkSession, directory: str, payload: bool = True, range_bytes: int = RANGE_BYTES, damaged: str = "raise") -> DataFrame:
     """RECORD rows of all *.gz files of a directory, read in ranges of bytes.
 
+    A record that can't be decoded raises; with damaged="keep" it gives a row of record_type
+    `damaged` instead, whose record_id says where and why. Zeros after a member are padding.
+
     payload_bytes and payload_digest are those of the full payload: computed from the payload of a
     response (a digest that differs from the header's is an error), taken from the header of a revisit.
     """
@@ -213,9 +260,11 @@ def read(spark: SparkSession, directory: str, payload: bool = True, range_bytes:
         for b in batches:
             for r in b.to_pylist():
                 rows: list[tuple] = []
+                trouble: list[str] | None = None if damaged == "raise" else []
                 with source.open_input_file(r["path"]) as f:
-                    for data in records_in(f, r["start"], min(r["start"] + range_bytes, r["size"]), r["size"]):
+                    for data in records_in(f, r["start"], min(r["start"] + range_bytes, r["size"]), r["size"], trouble):
                         rows += map(_row, parse(data))
+                rows += [(f"{r['path']}: {x}", "damaged", *[None] * (len(_NAMES) - 2)) for x in trouble or ()]
                 for i in range(0, len(rows), 512):
                     columns = list(zip(*rows[i : i + 512], strict=True))
                     if not payload:
