@@ -2,18 +2,30 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# Characters that count as white space at the ends of a text (Java syntax).
+# Fixed value: the characters that count as white space at the ends of a text.
+SPACE_CHARS = " \t\n\x0b\f\r\x1c\x1d\x1e\x1f\x85\xa0\u1680" + "".join(map(chr, range(0x2000, 0x200B))) + "\u2028\u2029\u202f\u205f\u3000"
+# The same in Java's regex syntax.
 SPACE = r"[\s\x1c-\x1f\x85   -     　]"
 
 
 def strip(c: Column) -> Column:
-    """Remove Unicode white space from both ends."""
-    return F.regexp_replace(c, f"^{SPACE}+|{SPACE}+$", "")
+    """Remove Unicode white space from both ends (looks at the ends only, not at the whole text)."""
+    return F.btrim(c, F.lit(SPACE_CHARS))
+
+
+def where_found(c: Column, signs: tuple[str, ...], f: Callable[[Column], Column]) -> Column:
+    """f(c) where c has one of the signs, else c itself: a search for bytes spares most texts the regex.
+
+    The lambda binds c, so that it is evaluated once however often it is named.
+    """
+    has = lambda x: reduce(lambda a, b: a | b, [F.contains(x, F.lit(s)) for s in signs])
+    return F.element_at(F.transform(F.array(c), lambda x: F.when(has(x), f(x)).otherwise(x)), 1)
 
 
 def blank_to_null(c: Column) -> Column:
@@ -27,25 +39,26 @@ def first_filled(*columns: Column) -> Column:
 
 
 def normalise_newlines(c: Column) -> Column:
-    return F.regexp_replace(c, "\r\n?", "\n")
+    return where_found(c, ("\r",), lambda x: F.regexp_replace(x, "\r\n?", "\n"))
 
 
 def drop_code_fences(c: Column) -> Column:
-    return F.regexp_replace(c, r"(?s)```.*?```", "")
+    return where_found(c, ("```",), lambda x: F.regexp_replace(x, r"(?s)```.*?```", ""))
 
 
 def unlink(c: Column) -> Column:
-    return F.regexp_replace(c, r"\[([^\]]+)\]\([^)]+\)", "$1")
+    return where_found(c, ("](",), lambda x: F.regexp_replace(x, r"\[([^\]]+)\]\([^)]+\)", "$1"))
 
 
 def drop_noise_lines(c: Column) -> Column:
     """Without lines that say `Back to top` or `Raw` only; stripped."""
-    kept = F.filter(F.split(c, "\n"), lambda x: ~x.rlike(r"^\s*(?:Back to top|Raw)\s*$"))
-    return strip(F.array_join(kept, "\n"))
+    kept = lambda t: F.array_join(F.filter(F.split(t, "\n"), lambda x: ~x.rlike(r"^\s*(?:Back to top|Raw)\s*$")), "\n")
+    return strip(where_found(c, ("Back to top", "Raw"), kept))
 
 
 def collapse_space(c: Column) -> Column:
-    return strip(F.regexp_replace(F.regexp_replace(c, r"[ \t]+", " "), "\n{3,}", "\n\n"))
+    single = where_found(c, ("  ", "\t"), lambda x: F.regexp_replace(x, r"[ \t]+", " "))
+    return strip(where_found(single, ("\n\n\n",), lambda x: F.regexp_replace(x, "\n{3,}", "\n\n")))
 
 
 def clean_markdown(c: Column) -> Column:
@@ -168,7 +181,7 @@ ARTICLE = "第[一二三四五六七八九十百千万零〇两]+条"
 
 def article_source(title: Column, piece: Column) -> Column:
     """`title article`, or the one of them that is there, or `unknown`."""
-    head = F.nullif(F.regexp_extract(strip(piece), f"^({ARTICLE})", 1), F.lit(""))
+    head = F.nullif(F.regexp_extract(piece, rf"\A{SPACE}*({ARTICLE})", 1), F.lit(""))
     named = F.nullif(F.coalesce(title, F.lit("")), F.lit(""))
     return F.coalesce(F.nullif(F.concat_ws(" ", named, head), F.lit("")), F.lit("unknown"))
 

@@ -19,8 +19,12 @@ def first_wins(df: DataFrame, key: Column, *order: Column) -> DataFrame:
 
 
 def clean(df: DataFrame, text_col: str = "text", least: int = 20) -> DataFrame:
-    """text cleaned, text_len and text_hash added; too short texts are dropped before anything is shuffled."""
-    out = df.withColumn(text_col, X.clean_markdown(F.col(text_col)))
+    """text cleaned, text_len and text_hash added; too short texts are dropped before anything is shuffled.
+
+    explode of one element is a fence: the optimizer would push the length filter below a plain
+    projection and clean every text twice.
+    """
+    out = df.withColumn("_cleaned", F.explode(F.array(X.clean_markdown(F.col(text_col))))).withColumn(text_col, F.col("_cleaned")).drop("_cleaned")
     return out.where(F.length(text_col) >= least).withColumns({"text_len": F.length(text_col), "text_hash": X.short_sha1(F.col(text_col), 16)})
 
 
@@ -60,9 +64,44 @@ def ordered_distinct(df: DataFrame, value: str, position: str) -> DataFrame:
     return df.groupBy(value).agg(F.min(position).alias(position))
 
 
-def upsert_latest(df: DataFrame, key: str, *newest: Column) -> DataFrame:
-    """The last row of each key: rows without a key are skipped. newest: order of writing, unique within a key."""
-    return first_wins(df.where(F.col(key).isNotNull() & (X.strip(F.col(key).cast("string")) != "")), F.col(key), *newest)
+def distinct_until(df: DataFrame, value: str, position: str, n: int) -> DataFrame:
+    """The first n different values by the position where each came first; a top-k plan."""
+    return ordered_distinct(df, value, position).orderBy(position, value).limit(n)
+
+
+def head(df: DataFrame, n: int, *order: str | Column) -> DataFrame:
+    """The first n rows in an order (a limit for dry runs); a top-k plan, no global sort."""
+    return df.orderBy(*order).limit(n)
+
+
+def sorted_corpus(df: DataFrame, *more: str) -> DataFrame:
+    """Rows by group and path, chunks also by piece and chunk number: strings in code-point order (range-partitioned)."""
+    ordinals = [c for c in ("piece_idx", "chunk_idx") if c in df.columns]
+    return df.orderBy("law_group", "rel_path", *ordinals, *more)
+
+
+def filled(df: DataFrame, *columns: str) -> DataFrame:
+    """Rows in which none of the columns is null or blank."""
+    for c in columns:
+        df = df.where(X.blank_to_null(F.col(c).cast("string")).isNotNull())
+    return df
+
+
+def upsert_latest(df: DataFrame, key: str, *newest: Column, text: str | None = None) -> DataFrame:
+    """The last row of each key: rows without a key, or with a blank text if its column is named, are skipped. newest: order of writing, unique within a key."""
+    return first_wins(filled(df, key, *([text] if text else [])), F.col(key), *newest)
+
+
+def upsert_counts(df: DataFrame, key: str, text: str | None = None, error: str | None = None) -> DataFrame:
+    """One row about a bulk upsert: rows, indexed (written rows), failed (rows with an error), skipped (no key or blank text), documents (different keys)."""
+    usable = F.lit(True)
+    for c in (key, *([text] if text else [])):
+        usable = usable & X.blank_to_null(F.col(c).cast("string")).isNotNull()
+    failed = F.col(error).isNotNull() if error else F.lit(False)
+    return df.agg(
+        F.count(F.lit(1)).alias("rows"), F.count_if(usable & ~failed).alias("indexed"), F.count_if(usable & failed).alias("failed"),
+        F.count_if(~usable).alias("skipped"), F.count_distinct(F.when(usable & ~failed, F.col(key))).alias("documents"),
+    )
 
 
 def resume(todo: DataFrame, done: DataFrame, key: str) -> DataFrame:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 
 import numpy as np
@@ -35,15 +36,25 @@ class TextIndex:
     stats: DataFrame
 
 
-def index_text(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> TextIndex:
-    """Postings of documents with a token. A document's counts are complete inside its row, so only (term, doc, tf) moves."""
-    toks = docs.select(F.col(id_col).alias("doc_id"), X.tokens(F.col(text_col)).alias("toks")).where(F.size("toks") > 0).withColumn("dl", F.size("toks"))
+def tokenised(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(doc_id, toks, dl) of documents with a token: what an index is made of."""
+    toks = docs.select(F.col(id_col).alias("doc_id"), F.explode(F.array(X.tokens(F.col(text_col)))).alias("toks"))  # explode of one element: tokens are made once
+    return toks.where(F.size("toks") > 0).withColumn("dl", F.size("toks"))
+
+
+def of_tokens(toks: DataFrame) -> TextIndex:
+    """The index over tokenised documents. A document's counts are complete inside its task, so only (term, doc, tf) moves."""
     postings = toks.select("doc_id", "dl", F.explode("toks").alias("term")).groupBy("doc_id", "dl", "term").agg(F.count(F.lit(1)).alias("tf"))
     terms = postings.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
     stats = toks.agg(F.count(F.lit(1)).alias("n_docs"), F.avg("dl").alias("avgdl"))
     return TextIndex(postings, terms, stats)
 
 
+def index_text(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> TextIndex:
+    """A lazy index; store it (quarry.sources.sinks) where it is read more than once."""
+    return of_tokens(tokenised(docs, id_col, text_col))
+
+
 def bm25(index: TextIndex, queries: DataFrame, cfg: RetrievalConfig = RetrievalConfig(), id_col: str = "query_id", text_col: str = "text", k: int | None = None) -> DataFrame:
     """(query_id, doc_id, score, rank): BM25 with exact lengths; ties go to the smaller doc_id. Repeated query terms count again.
 
@@ -66,38 +77,48 @@ def cosine(a: Column, b: Column) -> Column:
     return dot(a, b) / F.sqrt(dot(a, a) * dot(b, b))
 
 
-def knn(vectors: DataFrame, queries: DataFrame, k: int = 10, id_col: str = "vec_id", vector_col: str = "embedding", exclude_self: bool = True, block: int = 1024) -> DataFrame:
+#: Query vectors broadcast at once, and the part of them that a batch of vectors is multiplied with.
+BLOCK_BYTES, BLOCK_ROWS = 64 << 20, 1024
+
+
+def knn(vectors: DataFrame, queries: DataFrame, k: int = 10, id_col: str = "vec_id", vector_col: str = "embedding", exclude_self: bool = True, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """(query_id, vec_id, score, rank): exact cosine neighbours; ties go to the smaller vec_id.
 
-    Queries are taken in blocks; a block is broadcast and each Arrow batch of vectors multiplied with it. A task keeps k
-    candidates for each query, so what is shuffled grows with tasks and queries, not with pairs.
+    Query vectors are broadcast, block_bytes at once (one scan of the vectors for each such block:
+    131,072 queries of 64 numbers), and each Arrow batch of vectors is multiplied with BLOCK_ROWS of
+    them at a time. A task keeps k candidates for each query, so what is shuffled grows with tasks and
+    queries, not with pairs.
     """
     spark = vectors.sparkSession
     rows = queries.select(F.col(id_col).alias("id"), F.col(vector_col).cast("array<double>").alias("v")).where(F.col("v").isNotNull())
-    n_blocks = max(1, -(-rows.count() // block))
+    n, width = rows.agg(F.count(F.lit(1)), F.max(F.size("v"))).first()
+    n_blocks = max(1, -(-n * (width or 1) * 8 // block_bytes))
     out = None
     for i in range(n_blocks):
         part = rows if n_blocks == 1 else rows.where(F.pmod(F.xxhash64("id"), F.lit(n_blocks)) == i)
-        got = part.toPandas().sort_values("id")  # about `block` vectors
+        got = part.toPandas().sort_values("id")  # about block_bytes
         ids, m = got["id"].to_numpy(), np.array(got["v"].tolist(), dtype=np.float64).reshape(len(got), -1)
         shared = spark.sparkContext.broadcast((ids, m / np.maximum(np.linalg.norm(m, axis=1, keepdims=True), 1e-300)))
 
         def best(batches, shared=shared):
-            ids, m = shared.value
-            held = pd.DataFrame({"query_id": [], "vec_id": [], "score": []})
+            all_ids, all_m = shared.value
+            parts = [(all_ids[j : j + BLOCK_ROWS], all_m[j : j + BLOCK_ROWS]) for j in range(0, len(all_ids), BLOCK_ROWS)]
+            held = [pd.DataFrame({"query_id": [], "vec_id": [], "score": []}) for _ in parts]
             for b in batches:
-                if not len(b) or not len(ids):
+                if not len(b) or not len(all_ids):
                     continue
                 v = np.array(b["v"].tolist(), dtype=np.float64)
-                s = np.round(v @ m.T / np.maximum(np.linalg.norm(v, axis=1, keepdims=True), 1e-300), 6)
-                vid = b["id"].to_numpy()
-                pos, at = np.nonzero(np.isfinite(s)) if len(b) <= k else _candidates(s, k + 1)
-                found = pd.DataFrame({"query_id": ids[at], "vec_id": vid[pos], "score": s[pos, at]})
-                if exclude_self:
-                    found = found[found["query_id"] != found["vec_id"]]
-                held = pd.concat([held, found]) if len(held) else found
-                held = held.sort_values(["query_id", "score", "vec_id"], ascending=[True, False, True]).groupby("query_id").head(k)
-            yield held.astype({"query_id": "int64", "vec_id": "int64", "score": "float64"})
+                v, vid = v / np.maximum(np.linalg.norm(v, axis=1, keepdims=True), 1e-300), b["id"].to_numpy()
+                for j, (ids, m) in enumerate(parts):
+                    s = np.round(v @ m.T, 6)
+                    pos, at = np.nonzero(np.isfinite(s)) if len(b) <= k else _candidates(s, k + 1)
+                    found = pd.DataFrame({"query_id": ids[at], "vec_id": vid[pos], "score": s[pos, at]})
+                    if exclude_self:
+                        found = found[found["query_id"] != found["vec_id"]]
+                    both = pd.concat([held[j], found]) if len(held[j]) else found
+                    held[j] = both.sort_values(["query_id", "score", "vec_id"], ascending=[True, False, True]).groupby("query_id").head(k)
+            for x in held:
+                yield x.astype({"query_id": "int64", "vec_id": "int64", "score": "float64"})
 
         found = vectors.select(F.col(id_col).alias("id"), F.col(vector_col).alias("v")).where(F.col("v").isNotNull()).mapInPandas(best, "query_id long, vec_id long, score double")
         out = found if out is None else out.unionAll(found)
@@ -179,7 +200,7 @@ def context_metrics(verdicts: DataFrame, claims: DataFrame | None = None) -> Dat
     return out.drop("context_recall").join(recall, "query_id", "left").fillna(0.0, ["context_recall"])
 
 
-#: Names of retrievers and what they stand for; unknown names are refused.
+#: Names of retrievers and what they stand for; unknown names are refused.
 RETRIEVERS = {"bm25": "bm25", "bge": "dense", "bge_large": "dense", "bge-large": "dense", "bgelarge": "dense", "qwen3": "dense"}
 
 
@@ -187,3 +208,15 @@ def retriever(name: str) -> str:
     if name.lower() not in RETRIEVERS:
         raise ValueError(f"unknown retriever: {name}")
     return RETRIEVERS[name.lower()]
+
+
+def retrieve(name: str, queries: DataFrame, backends: dict[str, Callable[[DataFrame, int], DataFrame]], k: int = 10) -> DataFrame:
+    """(retriever, query_id, doc_id, score, rank) from the backend that the name stands for: one of its own name, else one of its kind.
+
+    backends: (queries, k) -> (query_id, doc_id, score, rank), by name or by kind (`bm25`, `dense`).
+    """
+    kind = retriever(name)
+    backend = backends.get(name.lower()) or backends.get(kind)
+    if backend is None:
+        raise ValueError(f"no backend for {name}")
+    return backend(queries, k).select(F.lit(name.lower()).alias("retriever"), "query_id", "doc_id", "score", "rank")

@@ -10,9 +10,7 @@ from quarry.functions import providers as M
 from quarry.functions import text as X
 from quarry.operators import retrieve as R
 from quarry.plans.base import query, strip_sql, table, values_sql
-
-#: The second ranking of the fusion queries: BM25 without regard to length. It stands for a dense retriever.
-FLAT = RetrievalConfig(k1=0.5, b=0.0)
+from quarry.sources.sinks import scratch_index
 
 
 def tokens_sql(t: str) -> str:
@@ -32,26 +30,34 @@ SELECT query_id, doc_id, score, row_number() OVER (PARTITION BY query_id ORDER B
 
 
 _BM25 = bm25_sql(1.2, 0.75, 10)
+# Vectors stand for the documents and items of equal id.
+_DENSE = """(SELECT query_id, doc_id, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank FROM
+ (SELECT q.vec_id AS query_id, v.vec_id AS doc_id, round(list_cosine_similarity(CAST(q.embedding AS DOUBLE[]), CAST(v.embedding AS DOUBLE[])), 6) AS score
+  FROM embeddings AS q JOIN benchmark ON item_id = q.vec_id JOIN embeddings AS v ON q.vec_id <> v.vec_id) QUALIFY rank <= 10)"""
 _LISTS = f"""(SELECT query_id, 'bm25' AS src, 0 AS src_order, rank, text FROM {_BM25} JOIN documents USING (doc_id)
-UNION ALL SELECT query_id, 'dense', 1, rank, text FROM {bm25_sql(0.5, 0.0, 10)} JOIN documents USING (doc_id))"""
+UNION ALL SELECT query_id, 'dense', 1, rank, text FROM {_DENSE} JOIN documents USING (doc_id))"""
 
 
 def _bm25(spark: SparkSession, sf_dir: str, cfg: RetrievalConfig = RetrievalConfig()) -> DataFrame:
-    index = R.index_text(table(spark, sf_dir, "documents"))
+    index = scratch_index(table(spark, sf_dir, "documents"))
     return R.bm25(index, table(spark, sf_dir, "benchmark"), cfg, "item_id")
 
 
+def _dense(spark: SparkSession, sf_dir: str, k: int = 10) -> DataFrame:
+    """(query_id, doc_id, score, rank): neighbours of the items' vectors; a vector stands for the document or item of its id."""
+    vectors, items = table(spark, sf_dir, "embeddings"), table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("vec_id"))
+    return R.knn(vectors, vectors.join(F.broadcast(items) if R.small(items) else items, "vec_id", "left_semi"), k).withColumnRenamed("vec_id", "doc_id")
+
+
 def _with_text(ranked: DataFrame, spark: SparkSession, sf_dir: str) -> DataFrame:
     return ranked.join(table(spark, sf_dir, "documents").select("doc_id", "text"), "doc_id")
 
 
 def _lists(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Two rankings of each query; the index is built once for both, texts are looked up last."""
-    index = R.index_text(table(spark, sf_dir, "documents"))
-    items = table(spark, sf_dir, "benchmark")
-    both = [R.bm25(index, items, cfg, "item_id") for cfg in (RetrievalConfig(), FLAT)]
-    rows = both[0].select("*", F.lit("bm25").alias("src"), F.lit(0).alias("src_order")).unionAll(both[1].select("*", F.lit("dense").alias("src"), F.lit(1).alias("src_order")))
-    return _with_text(rows, spark, sf_dir).select("query_id", "src", "src_order", "rank", "text")
+    """The BM25 and the dense ranking of each query; texts are looked up last, once for both."""
+    both = [_bm25(spark, sf_dir), _dense(spark, sf_dir)]
+    rows = [x.select("query_id", "doc_id", "rank", F.lit(name).alias("src"), F.lit(i).alias("src_order")) for i, (name, x) in enumerate(zip(("bm25", "dense"), both, strict=True))]
+    return _with_text(rows[0].unionAll(rows[1]), spark, sf_dir).select("query_id", "src", "src_order", "rank", "text")
 
 
 @query(f"SELECT query_id, doc_id, score, CAST(rank AS INTEGER) AS rank FROM {_BM25}")
@@ -59,6 +65,13 @@ def bm25_top10(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _bm25(spark, sf_dir)
 
 
+@query(f"SELECT 'bge_large' AS retriever, query_id, doc_id, score, CAST(rank AS INTEGER) AS rank FROM {_DENSE} UNION ALL SELECT 'bm25', query_id, doc_id, score, CAST(rank AS INTEGER) FROM {_BM25}")
+def retriever_dispatch(spark: SparkSession, sf_dir: str) -> DataFrame:
+    items = table(spark, sf_dir, "benchmark")
+    backends = {"bm25": lambda q, k: R.bm25(scratch_index(table(spark, sf_dir, "documents")), q, id_col="item_id", k=k), "dense": lambda q, k: _dense(spark, sf_dir, k)}
+    return R.retrieve("bge_large", items, backends).unionAll(R.retrieve("bm25", items, backends))
+
+
 @query(
     """WITH v AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings),
 s AS (SELECT q.vec_id AS query_id, v.vec_id, round(list_cosine_similarity(q.e, v.e), 6) AS score FROM v AS q JOIN v ON q.vec_id <> v.vec_id WHERE q.vec_id % 25 = 0)

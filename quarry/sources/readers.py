@@ -45,6 +45,18 @@ def jsonl(spark: SparkSession, path: str | list[str], schema: T.StructType) -> D
     return spark.read.schema(schema).option("mode", "FAILFAST").json(path)
 
 
+def jsonl_no_blanks(spark: SparkSession, path: str | list[str], schema: T.StructType) -> DataFrame:
+    """Strictest: a blank line fails the query too."""
+    line = F.col("value")
+    checked = F.when(J.is_json_object(X.strip(line)), line).otherwise(F.raise_error(F.concat(F.lit("not a JSON object: "), F.left(line, F.lit(80)))))
+    return spark.read.text(path).select(F.from_json(checked, schema).alias("r")).select("r.*")
+
+
+def of_category(df: DataFrame, column: str, value: str) -> DataFrame:
+    """Rows of one category; a filter that reaches the scan."""
+    return df.where(F.col(column) == value)
+
+
 def jsonl_lenient(spark: SparkSession, path: str | list[str], schema: T.StructType) -> DataFrame:
     """Lines that aren't one whole JSON object are left out, also those with text after the object."""
     lines = spark.read.text(path).where(J.is_json_object(X.strip(F.col("value"))))

@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+import atexit
+import contextlib
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quarry.operators.corpus import resume, upsert_latest
-from quarry.operators.retrieve import TextIndex, index_text
+from quarry.operators.retrieve import TextIndex, index_text, of_tokens, tokenised
 from quarry.sources.readers import exists
 
 MOST_ROWS_ONE_FILE = 100_000
@@ -28,6 +32,50 @@ def json_document(df: DataFrame, path: str) -> None:
     spark.createDataFrame([(json.dumps(rows, ensure_ascii=False, indent=2),)], "value string").coalesce(1).write.mode("overwrite").text(path)
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that driver and executors share: spark.checkpoint.dir; in local mode a folder of the warehouse where that is unset."""
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+        base = spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_shared"
+    return base.rstrip("/")
+
+
+def cached(df: DataFrame, path: str, refresh: bool = False) -> DataFrame:
+    """The table at path; written from df first, if it isn't there (contexts of a retrieval, say, that many evaluations read)."""
+    spark = df.sparkSession
+    if refresh or not exists(spark, f"{path}/_SUCCESS"):
+        df.write.mode("overwrite").parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+_scratch: list[tuple[SparkSession, str]] = []
+
+
+def _sweep() -> None:
+    for spark, path in _scratch:
+        with contextlib.suppress(Exception):  # the JVM may be gone already
+            p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+            p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+
+
+def scratch(df: DataFrame, name: str) -> DataFrame:
+    """df written once to the shared folder and read back, for plans that use it several times; removed when the driver ends."""
+    spark = df.sparkSession
+    path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+    if not _scratch:
+        atexit.register(_sweep)
+    _scratch.append((spark, path))
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def scratch_index(docs: DataFrame, **columns: str) -> TextIndex:
+    """An index whose documents are tokenised once, for as many rankings as wanted."""
+    return of_tokens(scratch(tokenised(docs, **columns), "tokens"))
+
+
 def text_index(docs: DataFrame, path: str, recreate: bool = False, **columns: str) -> TextIndex:
     """An inverted index as Parquet tables, sorted by term so that term filters skip row groups; kept if it is there."""
     spark = docs.sparkSession
@@ -52,10 +100,10 @@ def vector_index(df: DataFrame, path: str, dims: int, vector_col: str = "embeddi
     return spark.read.parquet(path)
 
 
-def upsert(existing: DataFrame, incoming: DataFrame, key: str, order: str) -> DataFrame:
-    """The table after an upsert by key: the last write wins, rows without a key are skipped."""
-    kept = existing.join(incoming.select(key), key, "left_anti")
-    return kept.unionByName(upsert_latest(incoming, key, F.desc(order)).drop(order), allowMissingColumns=True)
+def upsert(existing: DataFrame, incoming: DataFrame, key: str, order: str, text: str | None = None) -> DataFrame:
+    """The table after an upsert by key: the last write wins; rows without a key (or, if its column is named, with a blank text) are skipped."""
+    latest = upsert_latest(incoming, key, F.desc(order), text=text)
+    return existing.join(latest.select(key), key, "left_anti").unionByName(latest.drop(order), allowMissingColumns=True)
 
 
 def append_missing(todo: DataFrame, path: str, key: str, transform) -> DataFrame:
