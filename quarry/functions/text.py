@@ -192,5 +192,7 @@ def chunk_id(doc_id: Column, piece: Column, chunk: Column, text: Column) -> Colu
 
 def tokens(c: Column) -> Column:
     """Lower-case runs of letters and digits; each Han character is a token of its own."""
-    spaced = F.regexp_replace(F.lower(c), r"(\p{IsHan})", " $1 ")
-    return F.filter(F.split(F.regexp_replace(spaced, r"[^\p{L}\p{N}]+", " "), " "), lambda t: t != "")
+    low = F.lower(c)
+    apart = lambda x: F.when(F.octet_length(x) > F.length(x), F.regexp_replace(x, r"(\p{IsHan})", " $1 ")).otherwise(x)
+    spaced = F.element_at(F.transform(F.array(low), apart), 1)  # ASCII texts have no Han character
+    return F.filter(F.split(spaced, r"[^\p{L}\p{N}]+"), lambda t: t != "")
