@@ -85,6 +85,12 @@ def lenient_object(c: pd.Series) -> pd.Series:
     return c.map(one)
 
 
+@F.pandas_udf(T.StringType())
+def balanced(c: pd.Series) -> pd.Series:
+    """The first {...} whose brackets balance; null without. A regex can't balance brackets."""
+    return c.map(balanced_object)
+
+
 def normalise_qa(query: Column, answer: Column) -> Column:
     """Struct of squeezed query and answer, or null if either is missing or blank."""
     q, a = squeeze(strip(query)), squeeze(strip(answer))

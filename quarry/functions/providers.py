@@ -12,10 +12,11 @@ from dataclasses import dataclass
 from typing import Protocol
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from quarry.functions import parse as J
 from quarry.functions import text as X
 
 
@@ -64,6 +65,118 @@ def generate(df: DataFrame, prompt: str, make: Callable[[], TextProvider], out:
     return df.mapInPandas(run, schema)
 
 
+@dataclass(frozen=True)
+class Generation:
+    """Settings of a generating model. Adapters are put on the base model in order: none, the tuned one, then the preference-tuned one."""
+
+    model: str
+    mode: str = "base"  # base, sft, dpo or sft+dpo
+    sft: str | None = None
+    dpo: str | None = None
+    temperature: float = 0.0
+    max_tokens: int = 512
+    system: str | None = None
+
+    def adapters(self) -> list[str]:
+        wanted = [] if self.mode == "base" else self.mode.split("+")
+        if not set(wanted) <= {"sft", "dpo"}:
+            raise ValueError(f"unknown mode: {self.mode}")
+        found = [getattr(self, x) for x in ("sft", "dpo") if x in wanted]
+        if None in found:
+            raise ValueError(f"mode {self.mode} lacks an adapter")
+        return found
+
+
+JUDGE = dict(temperature=0.0, max_tokens=8)
+PAIRWISE_JUDGE = dict(temperature=0.0, max_tokens=128)
+
+
+class ChatApi:
+    """A provider behind a chat-completions HTTP interface. endpoints: name -> base address; the caller gives addresses and key."""
+
+    def __init__(self, endpoints: dict[str, str], name: str, key: str, settings: Generation, timeout: float = 60.0) -> None:
+        if name not in endpoints:
+            raise ValueError(f"unknown provider: {name}")
+        self.url, self.key, self.settings, self.timeout = endpoints[name].rstrip("/") + "/chat/completions", key, settings, timeout
+
+    def _one(self, prompt: str) -> str:
+        import json
+        from urllib.request import Request, urlopen
+
+        s = self.settings
+        messages = [*([{"role": "system", "content": s.system}] if s.system else []), {"role": "user", "content": prompt}]
+        body = {"model": s.model, "messages": messages, "temperature": s.temperature, "max_tokens": s.max_tokens}
+        request = Request(self.url, json.dumps(body).encode("utf-8"), {"Content-Type": "application/json", "Authorization": f"Bearer {self.key}"})
+        with urlopen(request, timeout=self.timeout) as answer:
+            return json.load(answer)["choices"][0]["message"]["content"] or ""
+
+    def __call__(self, prompts: list[str]) -> list[str]:
+        return [self._one(p) for p in prompts]
+
+
+def candidates(df: DataFrame, prompt: str, make: Callable[[float], Callable[[], TextProvider]], temperatures: tuple[float, float] = (0.2, 0.9), retry: Retry = Retry()) -> DataFrame:
+    """df with two generations for each prompt, cand_a and cand_b, and their errors; make: temperature -> maker of a provider."""
+    for name, t in zip(("a", "b"), temperatures, strict=True):
+        df = generate(df, prompt, make(t), f"cand_{name}", f"error_{name}", retry=retry)
+    return df
+
+
+def pairwise_judge(df: DataFrame, template: str, make: Callable[[], TextProvider], retry: Retry = Retry()) -> DataFrame:
+    """df (instruction, input, cand_a, cand_b) with judge_raw, judge_error and verdict: A, B or null.
+
+    The template's places are {instruction}, {input}, {cand_a} and {cand_b}.
+    """
+    names = ("instruction", "input", "cand_a", "cand_b")
+    asked = df.withColumn("_prompt", X.render(template, {x: F.col(x) for x in names}))
+    return generate(asked, "_prompt", make, "judge_raw", "judge_error", retry=retry).withColumn("verdict", J.better_of_two(F.col("judge_raw"))).drop("_prompt")
+
+
+def judge(df: DataFrame, template: str, make: Callable[[], TextProvider], retry: Retry = Retry()) -> DataFrame:
+    """df (query, answer, LLM_answer) with judge_raw, judge_error and judge_label: 1, 0 or null."""
+    asked = df.withColumn("_prompt", X.render(template, {x: F.col(x) for x in ("query", "answer", "LLM_answer")}))
+    return generate(asked, "_prompt", make, "judge_raw", "judge_error", retry=retry).withColumn("judge_label", J.judge_label(F.col("judge_raw"))).drop("_prompt")
+
+
+def score_pairs(df: DataFrame, query: str, text: str, make: Callable[[], Callable[[list[tuple[str, str]]], list[float]]], out: str = "score", batch: int = 8) -> DataFrame:
+    """df with a cross-encoder's score for each (query, text), asked for in batches; made once in each task. Null texts count as empty."""
+    schema = T.StructType([*df.schema.fields, T.StructField(out, T.DoubleType())])
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        score = make()
+        for pdf in batches:
+            pairs = list(zip(pdf[query].fillna(""), pdf[text].fillna(""), strict=True))
+            yield pdf.assign(**{out: [float(x) for i in range(0, len(pairs), batch) for x in score(pairs[i : i + batch])]})
+
+    return df.mapInPandas(run, schema)
+
+
+def token_counter(make: Callable[[], Callable[[list[str]], list[int]]]):
+    """A Column function text -> number of tokens for a tokenizer (texts of a batch -> counts), made once in each task; null counts as empty."""
+
+    @F.pandas_udf("long")
+    def run(it: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        count = make()
+        for s in it:
+            yield pd.Series(count(s.fillna("").tolist()), dtype="int64")
+
+    return run
+
+
+def progress(df: DataFrame, error: str | None = None, name: str = "progress") -> tuple[DataFrame, Observation]:
+    """df, and an observation of its rows and errors, that is there when an action on df has run."""
+    seen = Observation(name)
+    failed = F.coalesce(F.col(error), F.lit("")) != "" if error else F.lit(False)
+    return df.observe(seen, F.count(F.lit(1)).alias("rows"), F.count_if(failed).alias("errors")), seen
+
+
+def throughput(run: Callable[[], int]) -> dict[str, float]:
+    """Rows, seconds and rows a second of an action that returns its number of rows."""
+    began = time.time()
+    rows = run()
+    seconds = max(time.time() - began, 1e-9)
+    return {"rows": rows, "time_sec": round(seconds, 3), "rows_per_sec": round(rows / seconds, 3)}
+
+
 def generate_valid(df: DataFrame, prompt: str, make: Callable[[], TextProvider], valid: Callable[[str], bool], tries: int = 5, out: str = "output") -> DataFrame:
     """df with the first valid text of up to `tries` generations, null without one; tried again inside the task."""
     schema = T.StructType([*df.schema.fields, T.StructField(out, T.StringType()), T.StructField("tries", T.IntegerType())])

@@ -74,6 +74,18 @@ def running_rate(df: DataFrame, flag: Column, position: str, by: str) -> DataFra
     return df.withColumns({"seen": F.count(F.lit(1)).over(w), "rate": F.avg(flag.cast("double")).over(w)})
 
 
+def running_every(df: DataFrame, flag: Column, position: str, every: int, warn: float = 0.3) -> DataFrame:
+    """(upto, seen, rate, warned): the share of flagged rows after every so many positions (from 1), and whether it is above warn.
+
+    Rows are summed by stretches first; only their sums, a row for each stretch, are run through.
+    """
+    stretch = F.floor((F.col(position) - 1) / every).cast("long")
+    sums = df.groupBy(stretch.alias("s")).agg(F.count(F.lit(1)).alias("n"), F.count_if(flag).alias("k"), F.max(position).alias("upto"))
+    w = Window.orderBy("s").rowsBetween(Window.unboundedPreceding, 0)
+    out = sums.select("upto", F.sum("n").over(w).alias("seen"), _ratio(F.sum("k").over(w), F.sum("n").over(w)).alias("rate"))
+    return out.withColumn("warned", F.col("rate") > warn)
+
+
 PERCENTILES = (0.5, 0.9, 0.95, 0.99)
 
 

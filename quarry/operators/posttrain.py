@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from quarry.functions import parse as J
 from quarry.functions import text as X
+from quarry.operators.corpus import filled
 
 
 def forum_answers(df: DataFrame) -> DataFrame:
@@ -34,8 +35,9 @@ def generated_sft(df: DataFrame, raw: str, keep: list[str]) -> DataFrame:
 
 
 def articles(df: DataFrame) -> DataFrame:
-    """(law_title, content) of rows (input, answer): the title is cut off the answer's start."""
-    return df.select(X.strip(F.col("input")).alias("law_title"), X.without_prefix(X.strip(F.col("answer")), X.strip(F.col("input"))).alias("content"))
+    """(law_title, content) of rows (input, answer): the title is cut off the answer's start; rows that lack either are left out."""
+    rows = df.select(X.strip(F.col("input")).alias("law_title"), X.without_prefix(X.strip(F.col("answer")), X.strip(F.col("input"))).alias("content"))
+    return filled(rows, "law_title", "content")
 
 
 def preference_pairs(df: DataFrame, verdict: Column) -> DataFrame:

@@ -44,32 +44,50 @@ def stratified(df: DataFrame, stratum: str, key: str, sizes: dict | int, seed: i
     return out.drop("_rn")
 
 
+def _bands(hashed: DataFrame) -> DataFrame:
+    """(_band, _k, _before): rows by the first four digits of the hash (65,536 bands at most), and the rows of lower bands."""
+    bands = hashed.groupBy(F.substring("_h", 1, 4).alias("_band")).agg(F.count(F.lit(1)).alias("_k"))
+    before = F.coalesce(F.sum("_k").over(Window.orderBy("_band").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    return bands.withColumn("_before", before)
+
+
+def positions(df: DataFrame, key: str, seed: int = 42, name: str = "position") -> DataFrame:
+    """df with each row's place in the shuffled order, from 0: counted by bands of the hash and ranked inside them, so no task holds all rows."""
+    hashed = df.withColumn("_h", shuffle_key(key, seed))
+    inside = Window.partitionBy("_band").orderBy("_h", key)
+    ranked = hashed.withColumn("_band", F.substring("_h", 1, 4)).withColumn("_rn", F.row_number().over(inside))
+    return ranked.join(F.broadcast(_bands(hashed)), "_band").withColumn(name, F.col("_before") + F.col("_rn") - 1).drop("_h", "_band", "_rn", "_k", "_before")
+
+
 def split_train_val(df: DataFrame, key: str, ratio: float = 0.1, seed: int = 42) -> DataFrame:
     """df with split = val for the first floor(n * ratio) rows of the shuffle, else train.
 
-    The cut is found by counting, not by ranking all rows in one task: the rows below the hash's
-    quantile are counted in bands, and only the band that holds the cut is ranked.
+    The cut is found by counting: rows are counted in bands of the hash, bands below and above the
+    cut are settled as they are, and only the band that holds the cut is ranked.
     """
     hashed = df.withColumn("_h", shuffle_key(key, seed))
-    band = F.substring("_h", 1, 4)
-    bands = hashed.groupBy(band.alias("_band")).agg(F.count(F.lit(1)).alias("_k"))  # 65,536 rows at most
+    bands = _bands(hashed)
     total = bands.agg(F.floor(F.sum("_k") * F.lit(ratio)).alias("_n"))
-    before = F.coalesce(F.sum("_k").over(Window.orderBy("_band").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    cut = bands.withColumn("_before", before).join(F.broadcast(total)).select("_band", F.greatest(F.lit(0), F.least("_k", F.col("_n") - F.col("_before"))).alias("_take"), "_k")
-    inside = Window.partitionBy("_b").orderBy("_h", key)
-    ranked = hashed.withColumn("_b", band).withColumn("_rn", F.row_number().over(inside))
-    out = ranked.join(F.broadcast(cut), F.col("_b") == F.col("_band"))
-    return out.withColumn("split", F.when(F.col("_rn") <= F.col("_take"), F.lit("val")).otherwise(F.lit("train"))).drop("_h", "_b", "_rn", "_band", "_k", "_take")
+    cut = bands.join(F.broadcast(total)).select("_band", F.greatest(F.lit(0), F.least("_k", F.col("_n") - F.col("_before"))).alias("_take"), "_k")
+    rows = hashed.withColumn("_band", F.substring("_h", 1, 4)).join(F.broadcast(cut), "_band")
+    split = F.col("_take") % F.col("_k") != 0
+    settled = rows.where(~split).withColumn("split", F.when(F.col("_take") > 0, F.lit("val")).otherwise(F.lit("train")))
+    ranked = rows.where(split).withColumn("_rn", F.row_number().over(Window.partitionBy("_band").orderBy("_h", key)))
+    ranked = ranked.withColumn("split", F.when(F.col("_rn") <= F.col("_take"), F.lit("val")).otherwise(F.lit("train"))).drop("_rn")
+    return settled.unionByName(ranked).drop("_h", "_band", "_take", "_k")
 
 
 def few_shot(draws: DataFrame, seeds: DataFrame, draw: str, key: str, k: int = 4, seed: int = 42) -> DataFrame:
-    """k different seeds for each draw, in order (shot). seeds is a hand-written pool; more than 10,000 of them are refused."""
-    pool = seeds.limit(10_001)
-    if pool.count() > 10_000:
-        raise ValueError("few_shot: the pool of seeds is meant to be small")
-    pairs = draws.select(draw).join(F.broadcast(pool))
-    w = Window.partitionBy(draw).orderBy(F.md5(F.encode(F.concat(F.lit(f"{seed}|"), F.col(draw).cast("string"), F.lit("|"), F.col(key).cast("string")), "utf-8")), key)
-    return pairs.withColumn("shot", F.row_number().over(w)).where(F.col("shot") <= k)
+    """k different seeds for each draw, in order (shot); all of them, if there are fewer.
+
+    The seeds stand in a shuffled ring; a draw takes k in a row from a hashed place on. An equi-join
+    on the place: no pairs of draws and seeds are made, and the pool may be of any size.
+    """
+    ring = positions(seeds, key, seed, "_place")
+    size = F.broadcast(seeds.agg(F.count(F.lit(1)).alias("_n")))
+    start = F.conv(F.substring(F.md5(F.encode(F.concat(F.lit(f"{seed}|"), F.col(draw).cast("string")), "utf-8")), 1, 8), 16, 10).cast("long")
+    wanted = draws.select(draw).join(size).where("_n > 0").withColumn("shot", F.explode(F.sequence(F.lit(1), F.least(F.lit(k), F.col("_n").cast("int")))))
+    return wanted.withColumn("_place", F.pmod(start + F.col("shot") - 1, F.col("_n"))).drop("_n").join(ring, "_place").drop("_place")
 
 
 def numbered_ids(df: DataFrame, order: list[str], name: str = "id", pattern: str = "q_%06d") -> DataFrame:

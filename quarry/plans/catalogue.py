@@ -1,6 +1,6 @@
 """All queries of the library; importing the modules registers them."""
 
-from quarry.plans import corpus, evaluation, retrieval  # noqa: F401
+from quarry.plans import corpus, evaluation, more, retrieval  # noqa: F401
 from quarry.plans.base import QUERIES, SQL
 
 

@@ -133,7 +133,7 @@ def train_val_split(spark: SparkSession, sf_dir: str) -> DataFrame:
     return N.split_train_val(table(spark, sf_dir, "documents").select("doc_id"), "doc_id").select("doc_id", "split")
 
 
-@query("SELECT conv_id, item_id, CAST(row_number() OVER (PARTITION BY conv_id ORDER BY md5('42|' || conv_id || '|' || item_id), item_id) AS INTEGER) AS shot FROM (SELECT DISTINCT conv_id FROM conversations), benchmark QUALIFY shot <= 4")
+@query("SELECT conv_id, item_id, CAST(shot AS INTEGER) AS shot FROM (SELECT conv_id, shot, (('0x' || left(md5('42|' || conv_id), 8))::BIGINT + shot - 1) % (SELECT count(*) FROM benchmark) AS place FROM (SELECT DISTINCT conv_id FROM conversations), generate_series(1, 4) AS g(shot)) JOIN (SELECT item_id, row_number() OVER (ORDER BY md5('42|' || item_id), item_id) - 1 AS place FROM benchmark) USING (place)")
 def fewshot_pick(spark: SparkSession, sf_dir: str) -> DataFrame:
     draws = table(spark, sf_dir, "conversations").select("conv_id").distinct()
     return N.few_shot(draws, table(spark, sf_dir, "benchmark").select("item_id"), "conv_id", "item_id").select("conv_id", "item_id", "shot")

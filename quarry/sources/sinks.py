@@ -60,13 +60,19 @@ def _sweep() -> None:
             p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
 
 
-def scratch(df: DataFrame, name: str) -> DataFrame:
-    """df written once to the shared folder and read back, for plans that use it several times; removed when the driver ends."""
-    spark = df.sparkSession
+def scratch_path(spark: SparkSession, name: str) -> str:
+    """A new path in the shared folder, removed when the driver ends."""
     path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
     if not _scratch:
         atexit.register(_sweep)
     _scratch.append((spark, path))
+    return path
+
+
+def scratch(df: DataFrame, name: str) -> DataFrame:
+    """df written once to the shared folder and read back, for plans that use it several times."""
+    spark = df.sparkSession
+    path = scratch_path(spark, name)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 

@@ -4,6 +4,7 @@ import json
 
 import pytest
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from quarry.config import ChunkConfig
 from quarry.functions import parse as J
@@ -196,3 +197,82 @@ def test_streaming(spark, tmp_path, small):
     assert table.count() == table.select("doc_id").distinct().count() > 100
     events = spark.createDataFrame([("2024-01-01 00:01:00", "a"), ("2024-01-01 00:02:00", "a")], "ts string, event_type string").withColumn("ts", F.to_timestamp("ts"))
     assert windowed_counts(events).first().n == 2
+
+
+def test_sorted_corpus(spark, small):
+    from quarry.plans import more
+
+    got = [tuple(r) for r in more.corpus_sorted(spark, small).collect()]
+    assert got == sorted(got, key=lambda r: (r[0].encode(), (r[1] or "").encode(), r[2]))
+
+
+def test_chat_interface_and_settings():
+    import json
+    import threading
+    from http.server import BaseHTTPRequestHandler, HTTPServer
+
+    class Handler(BaseHTTPRequestHandler):
+        def do_POST(self):
+            asked = json.loads(self.rfile.read(int(self.headers["Content-Length"])))
+            told = f"{asked['model']} {asked['temperature']} {asked['max_tokens']} {len(asked['messages'])} {asked['messages'][-1]['content']} {self.headers['Authorization']}"
+            body = json.dumps({"choices": [{"message": {"content": told}}]}).encode()
+            self.send_response(200)
+            self.end_headers()
+            self.wfile.write(body)
+
+        def log_message(self, *_):
+            pass
+
+    server = HTTPServer(("127.0.0.1", 0), Handler)
+    threading.Thread(target=server.serve_forever, daemon=True).start()
+    try:
+        settings = M.Generation("m", system="s", **M.JUDGE)
+        api = M.ChatApi({"here": f"http://127.0.0.1:{server.server_port}/v1"}, "here", "k", settings)
+        assert api(["a", "b"]) == ["m 0.0 8 2 a Bearer k", "m 0.0 8 2 b Bearer k"]
+    finally:
+        server.shutdown()
+    with pytest.raises(ValueError):
+        M.ChatApi({}, "here", "k", settings)
+    assert M.Generation("m", "sft+dpo", "s", "d").adapters() == ["s", "d"] and M.Generation("m").adapters() == []
+    for bad in (M.Generation("m", "other"), M.Generation("m", "dpo")):
+        with pytest.raises(ValueError):
+            bad.adapters()
+
+
+def test_progress_and_dispatch(spark):
+    df = spark.createDataFrame([(1, ""), (2, "x"), (3, None)], "id int, error string")
+    seen, watch = M.progress(df, "error")
+    assert seen.count() == 3 and watch.get == {"rows": 3, "errors": 1}
+    assert M.throughput(lambda: 4)["rows"] == 4
+    with pytest.raises(ValueError):
+        R.retrieve("bm26", df, {})
+    with pytest.raises(ValueError):
+        R.retrieve("qwen3", df, {"bm25": None})
+
+
+def test_strictest_jsonl(spark, tmp_path):
+    (tmp_path / "a.jsonl").write_text('{"a": 1}\n\n{"a": 2}\n')
+    schema = T.StructType([T.StructField("a", T.IntegerType())])
+    assert readers.jsonl(spark, str(tmp_path), schema).count() >= 2
+    with pytest.raises(Exception, match="not a JSON object"):
+        readers.jsonl_no_blanks(spark, str(tmp_path), schema).collect()
+
+
+def test_knn_blocks_agree(spark, small):
+    from quarry.operators import retrieve
+
+    v = spark.read.parquet(f"{small}/embeddings.parquet")
+    q = v.where("vec_id % 5 = 0")
+    one, many = (sorted(map(tuple, retrieve.knn(v, q, block_bytes=n).collect())) for n in (1 << 26, 20_000))
+    assert one == many
+
+
+def test_stream_takes_changed_texts(spark, tmp_path):
+    from quarry.streaming.ingest import current, stream_corpus
+
+    schema = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("text", T.StringType())])
+    for text in ("a text of more than twenty characters", "another text of more than twenty characters"):
+        spark.createDataFrame([(1, text), (2, "one that stays as it is for good")], schema).write.mode("append").parquet(str(tmp_path / "in"))
+        stream_corpus(spark, str(tmp_path / "in"), schema, str(tmp_path / "table"), str(tmp_path / "ck")).awaitTermination()
+    assert {r.doc_id: r.text[:7] for r in current(spark, str(tmp_path / "table")).collect()} == {1: "another", 2: "one tha"}
+    assert spark.read.parquet(str(tmp_path / "table")).count() == 3
