@@ -24,6 +24,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -35,6 +36,8 @@ FREQUENT = 40
 SWEEPS = 60
 LEAST_SALTS, ROWS_PER_SALT = 16, 150_000
 MOST_CACHED = 600_000
+#: Characters of texts that are cut into words at once.
+MOST_CHARACTERS = 8_000_000
 #: Unknown words encoded as one text.
 TOGETHER = 200
 
@@ -113,35 +116,65 @@ class Encoder:
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
         """Ids of each text as little-endian unsigned numbers of self.kind."""
-        # Of a text whose words stand between single blanks and line feeds: its lines of words. Of others: the text itself
-        split: list[list[list[str]] | str] = []
-        for t in texts:
-            t = t or ""
-            plain = t and not (t[0] in " \n" or t[-1] in " \n" or any([s in t for s in self.odd]))
-            split.append([line.split(" ") for line in t.split("\n")] if plain else t)
-        first, later = set(), set()
-        for x in split:
-            if not isinstance(x, str):
-                first.update([line[0] for line in x])
-                for line in x:
-                    later.update(line[1:])
-        new = first.difference(self.bare), later.difference(self.spaced)
+        out: list[bytes] = [b""] * len(texts)
+        split, size = [], 0  # texts whose words stand between single blanks and line feeds
+        for k, t in enumerate(texts):
+            if t and not (t[0] in " \n" or t[-1] in " \n" or any([s in t for s in self.odd])):
+                split.append(k)
+                size += len(t)
+                if size > MOST_CHARACTERS:
+                    self._encode_split(texts, split, out)
+                    split, size = [], 0
+        self._encode_split(texts, split, out)
+        for k, t in enumerate(texts):
+            if t and not out[k]:
+                out[k] = self._odd(t)
+        return out
+
+    def _encode_split(self, texts: list[str | None], at: list[int], out: list[bytes]) -> None:
+        """Arrow cuts the texts and numbers their different words; NumPy puts the words' ids together."""
+        if not at:
+            return
+        lines = pc.split_pattern(pa.array([texts[k] for k in at], pa.large_string()), "\n")
+        words = pc.split_pattern(lines.flatten(), " ")
+        line_at, word_at = np.asarray(lines.offsets), np.asarray(words.offsets)
+        numbered = words.flatten().dictionary_encode()
+        number, names = np.asarray(numbered.indices), numbered.dictionary.to_pylist()
+        # Entries of the table: each different word as one after a blank; then as the first of a text, as the first of a later line
+        n = len(names)
+        segment = number.astype(np.int32)
+        segment[word_at[:-1]] += 2 * n
+        segment[word_at[line_at[:-1]]] -= n
+        used = np.zeros(3 * n, bool)
+        used[segment] = True
+        spaced, first, later = (np.flatnonzero(x).tolist() for x in used.reshape(3, n))
+        after = [names[k] for k in spaced]
+        bare = [names[k] for k in (*first, *later)]
+        new = set(bare).difference(self.bare), set(after).difference(self.spaced)
         self._learn(new[0], self.bare, False)
         self._learn(new[1], self.spaced, True)
-        bare, get, feed = self.bare.__getitem__, self.spaced.__getitem__, self.feed
-        out = []
-        for x in split:
-            if isinstance(x, str):
-                out.append(self._odd(x))
-            else:
-                out.append(feed.join([bare(line[0]) + b"".join(map(get, line[1:])) for line in x]))
-        for words, known in zip(new, (self.bare, self.spaced), strict=True):
-            for w in [w for w in words if len(w) > 64]:  # long words aren't kept
+        parts = list(map(self.spaced.__getitem__, after))
+        starts = list(map(self.bare.__getitem__, bare))
+        parts += starts[: len(first)]
+        parts += [self.feed + x for x in starts[len(first) :]]
+        flat = np.frombuffer(b"".join(parts), self.kind)
+        lengths = np.zeros(3 * n, np.int32)
+        lengths[used] = np.fromiter(map(len, parts), np.int32, len(parts)) // self.kind.itemsize
+        begins = np.cumsum(lengths, dtype=np.int32) - lengths
+        sizes = lengths[segment]
+        ends = np.cumsum(sizes, dtype=np.int32)
+        places = np.arange(ends[-1], dtype=np.int32)
+        places += np.repeat(begins[segment] - ends + sizes, sizes)
+        ids = flat[places]
+        cuts = [0, *ends[word_at[line_at[1:]] - 1].tolist()]
+        for k, low, high in zip(at, cuts, cuts[1:], strict=False):
+            out[k] = ids[low:high].tobytes()
+        for some, known in zip(new, (self.bare, self.spaced), strict=True):
+            for w in [w for w in some if len(w) > 64]:  # long words aren't kept
                 del known[w]
-        if len(self.bare) + len(self.spaced) > MOST_CACHED:  # the words of this batch stay
-            self.bare = {w: x for w, x in self.bare.items() if w in first}
-            self.spaced = {w: x for w, x in self.spaced.items() if w in later}
-        return out
+        if len(self.bare) + len(self.spaced) > MOST_CACHED:  # the words of these texts stay
+            self.bare = {w: self.bare[w] for w in bare if w in self.bare}
+            self.spaced = {w: self.spaced[w] for w in after if w in self.spaced}
 
     def _odd(self, text: str) -> bytes:
         """A text with other white space: its parts between single blanks."""
