@@ -139,7 +139,7 @@ class Encoder:
         words = pc.split_pattern(lines.flatten(), " ")
         line_at, word_at = np.asarray(lines.offsets), np.asarray(words.offsets)
         numbered = words.flatten().dictionary_encode()
-        number, names = np.asarray(numbered.indices), numbered.dictionary.to_pylist()
+        number, names = np.asarray(numbered.indices), numbered.dictionary.to_numpy(zero_copy_only=False).tolist()
         # Entries of the table: each different word as one after a blank; then as the first of a text, as the first of a later line
         n = len(names)
         segment = number.astype(np.int32)
