@@ -47,9 +47,10 @@ SCRIPTS = [
     (0x3130, "hangul"), (0x3190, "other"), (0x3400, "han"), (0xA000, "other"), (0xAC00, "hangul"), (0xD7B0, "other"), (0xF900, "han"), (0xFB00, "latin"), (0xFB07, "other"), (0xFF21, "latin"), (0xFF5B, "other"), (0x20000, "han"), (0x30000, "other"),
 ]
 _STARTS = [s for s, _ in SCRIPTS]
-# Letters only: Python's \\w has number signs too (superscripts, fractions, numbers in circles)
+_WORD = re.compile(r"[^\W\d_]+")
+# Letters only: _WORD has number signs too (superscripts, fractions, numbers in circles). Slow, so for texts that have some
 _SIGNS = "".join(c for c in map(chr, range(sys.maxunicode + 1)) if c.isalnum() and not c.isalpha() and not c.isdecimal())
-_WORD = re.compile(rf"[^\W\d_{_SIGNS}]+")
+_LETTERS = re.compile(rf"[^\W\d_{_SIGNS}]+")
 
 
 def script_of(word: str) -> str:
@@ -59,7 +60,11 @@ def script_of(word: str) -> str:
 
 
 def words_of(text: str | None) -> list[str]:
-    return _WORD.findall(text.lower()) if text else []
+    if not text:
+        return []
+    low = text.lower()
+    words = _WORD.findall(low)
+    return words if "".join(words).isalpha() else _LETTERS.findall(low)
 
 
 class LanguageModel:
@@ -240,7 +245,8 @@ def _spans(model: LanguageModel, text: str | None, path: np.ndarray | None) -> l
     out: list[dict] = []
     if path is not None:
         low = text.lower()
-        for m, k in zip(_WORD.finditer(low), path.tolist(), strict=True):
+        pattern = _WORD if "".join(_WORD.findall(low)).isalpha() else _LETTERS
+        for m, k in zip(pattern.finditer(low), path.tolist(), strict=True):
             if out and out[-1]["lang"] == model.languages[k]:
                 out[-1]["end"] = m.end()
             else:
