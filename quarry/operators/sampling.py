@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from quarry.operators.order import numbered
+
 
 def shuffle_key(key: Column | str, seed: int | str = 42) -> Column:
     return F.md5(F.encode(F.concat(F.lit(f"{seed}|"), F.col(key).cast("string") if isinstance(key, str) else key.cast("string")), "utf-8"))
@@ -91,5 +93,5 @@ def few_shot(draws: DataFrame, seeds: DataFrame, draw: str, key: str, k: int = 4
 
 
 def numbered_ids(df: DataFrame, order: list[str], name: str = "id", pattern: str = "q_%06d") -> DataFrame:
-    """Ids from 1-based positions. For result tables of bounded size: positions are global."""
-    return df.withColumn(name, F.format_string(pattern, F.row_number().over(Window.orderBy(*order))))
+    """Ids from 1-based positions in an order that tells all rows apart; positions are counted by range partitions."""
+    return numbered(df, order, name="_position").withColumn(name, F.format_string(pattern, F.col("_position") + 1)).drop("_position")
