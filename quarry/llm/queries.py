@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarry.llm import decontaminate, fingerprint, html, langid, lines, packing, quality, simhash, toxicity, warc
+from quarry.llm import decontaminate, fingerprint, html, langid, lines, merkle, packing, quality, simhash, toxicity, warc
 from quarry.llm.common import bounded_batches, crc_bucket, shared_path
 
 
@@ -74,9 +74,15 @@ def op10_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.predict(docs, model).select("doc_id", held_out.alias("held_out"), "lang_pred", "score")
 
 
+def op11_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    found = merkle.verify(merkle.manifest(merkle.document_rows(docs, merkle.tampered(docs))), "claimed")
+    return found.select(F.col("id").alias("doc_id"), "leaf", "subroot", "root", "proof_sha256", "folded_root", "verified")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_toxicity, op2_decontaminate, op3_lines, op4_html, op5_packing, op6_warc, op7_fingerprint, op8_simhash, op9_quality, op10_langid)}
+    return {f.__name__: f for f in (op1_toxicity, op2_decontaminate, op3_lines, op4_html, op5_packing, op6_warc, op7_fingerprint, op8_simhash, op9_quality, op10_langid, op11_merkle)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_decontaminate": decontaminate.ORACLE_SQL, "op6_warc": warc.ORACLE_SQL}
+    return {"op2_decontaminate": decontaminate.ORACLE_SQL, "op6_warc": warc.ORACLE_SQL, "op11_merkle": merkle.ORACLE_SQL}
