@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarry.llm import decontaminate, fingerprint, html, langid, lines, merkle, packing, quality, simhash, toxicity, warc
+from quarry.llm import decontaminate, fingerprint, html, langid, lines, merkle, ngrams, packing, quality, simhash, toxicity, warc
 from quarry.llm.common import bounded_batches, crc_bucket, shared_path
 
 
@@ -80,8 +80,16 @@ def op11_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(F.col("id").alias("doc_id"), "leaf", "subroot", "root", "proof_sha256", "folded_root", "verified")
 
 
+def op12_ngram_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    held_out = crc_bucket(F.col("doc_id"), 5) == 1
+    model = ngrams.train(docs.where(~held_out))
+    found = ngrams.score(docs, model).withColumn("held_out", held_out)
+    return found.select("doc_id", "held_out", "n_tokens", "n_known", F.lit(model.tokens).cast("long").alias("train_tokens"), "base_score", "score")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_toxicity, op2_decontaminate, op3_lines, op4_html, op5_packing, op6_warc, op7_fingerprint, op8_simhash, op9_quality, op10_langid, op11_merkle)}
+    return {f.__name__: f for f in (op1_toxicity, op2_decontaminate, op3_lines, op4_html, op5_packing, op6_warc, op7_fingerprint, op8_simhash, op9_quality, op10_langid, op11_merkle, op12_ngram_lm)}
 
 
 def oracle_sql() -> dict[str, str]:
