@@ -7,7 +7,7 @@ from itertools import accumulate
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from quarry.sources.sinks import scratch
+from quarry.sources.storage import scratch
 
 _IN_PARTITION = (1 << 33) - 1  # low bits of monotonically_increasing_id
 

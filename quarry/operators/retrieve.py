@@ -5,13 +5,13 @@ from __future__ import annotations
 from collections.abc import Callable
 from dataclasses import dataclass
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quarry.config import RetrievalConfig
 from quarry.functions import text as X
+from quarry.operators.vectors import knn  # noqa: F401, the exact search belongs to the retrieval operators
+from quarry.sources.storage import scratch
 
 #: Query sides up to this many rows are broadcast; beyond it they are joined by shuffle or taken block by block.
 SMALL = 200_000
@@ -29,11 +29,28 @@ def top_k(df: DataFrame, by: str, order: list[Column], k: int, rank: str = "rank
 
 @dataclass(frozen=True)
 class TextIndex:
-    """postings (term, doc_id, tf, dl), and one row of statistics (n_docs, avgdl)."""
+    """postings (term, doc_id, tf, dl), terms (term, df), and one row of statistics (n_docs, avgdl).
+
+    buckets: a stored index keeps its postings and terms in so many folders (column bucket), by the hash of the term.
+    """
 
     postings: DataFrame
     terms: DataFrame
     stats: DataFrame
+    buckets: int | None = None
+
+
+def bucket_of(term: Column, buckets: int) -> Column:
+    return F.pmod(F.xxhash64(term), F.lit(buckets)).cast("int")
+
+
+@dataclass(frozen=True)
+class Corpus:
+    """Documents that an index isn't kept of: a search tokenises them once and keeps the tokens that the queries ask for."""
+
+    docs: DataFrame
+    id_col: str = "doc_id"
+    text_col: str = "text"
 
 
 def tokenised(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -55,17 +72,54 @@ def index_text(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     return of_tokens(tokenised(docs, id_col, text_col))
 
 
-def bm25(index: TextIndex, queries: DataFrame, cfg: RetrievalConfig = RetrievalConfig(), id_col: str = "query_id", text_col: str = "text", k: int | None = None) -> DataFrame:
+#: A search of documents without an index looks for so many different query terms inside each row.
+MOST_TERMS = 20_000
+
+
+def _relevant(source: TextIndex | Corpus, terms: DataFrame, few: bool) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Postings of the queries' terms, the terms' df, and the statistics."""
+    if isinstance(source, Corpus):
+        return _of_corpus(source, terms, few)
+    hint = F.broadcast if few else lambda x: x
+    wanted = terms.select("term").distinct()
+    if not source.buckets:
+        # The semi-join goes below the counting of an index that isn't stored, so other tokens are never counted or shuffled.
+        found = source.postings.join(hint(wanted), "term", "left_semi")
+        return found, found.groupBy("term").agg(F.count(F.lit(1)).alias("df")), source.stats
+    wanted = wanted.withColumn("bucket", bucket_of(F.col("term"), source.buckets))
+    postings, known = source.postings, source.terms
+    if few:  # the buckets are known before the scan is planned: other folders aren't read
+        named = sorted(r[0] for r in wanted.select("bucket").distinct().collect())
+        postings, known = (x.where(F.col("bucket").isin(named)) for x in (postings, known))
+    semi = lambda x: x.join(hint(wanted), ["bucket", "term"], "left_semi")
+    return semi(postings).drop("bucket"), semi(known).select("term", "df"), source.stats
+
+
+def _of_corpus(source: Corpus, terms: DataFrame, few: bool) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """One pass over the texts: lengths, and counts of the wanted tokens; what is stored grows with the hits."""
+    toks = tokenised(source.docs, source.id_col, source.text_col)
+    wanted = [r[0] for r in terms.select("term").distinct().limit(MOST_TERMS + 1).collect()] if few else []
+    if few and len(wanted) <= MOST_TERMS:
+        inside = F.filter("toks", lambda t: t.isin(wanted)) if wanted else F.array().cast("array<string>")
+        held = scratch(toks.select("doc_id", "dl", inside.alias("toks")), "tokens")
+        found = of_tokens(held)
+        return found.postings, found.terms, held.agg(F.count(F.lit(1)).alias("n_docs"), F.avg("dl").alias("avgdl"))
+    index = of_tokens(scratch(toks, "tokens"))
+    return _relevant(index, terms, few)
+
+
+def bm25(index: TextIndex | Corpus, queries: DataFrame, cfg: RetrievalConfig = RetrievalConfig(), id_col: str = "query_id", text_col: str = "text", k: int | None = None) -> DataFrame:
     """(query_id, doc_id, score, rank): BM25 with exact lengths; ties go to the smaller doc_id. Repeated query terms count again.
 
-    Postings are cut to the terms of the queries before anything is summed; the queries' terms are broadcast if they are few.
+    Postings are cut to the terms of the queries before anything is summed; few query terms are broadcast
+    to the postings. Of a stored index only the buckets of these terms are read, and its postings aren't shuffled.
     """
     terms = queries.select(F.col(id_col).alias("query_id"), F.explode(X.tokens(F.col(text_col))).alias("term")).groupBy("query_id", "term").agg(F.count(F.lit(1)).alias("qtf"))
-    hint = F.broadcast if small(terms) else lambda x: x
+    few = small(terms)
+    hint = F.broadcast if few else lambda x: x
     weight = F.log(1.0 + (F.col("n_docs") - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    # The semi-join goes below the counting of an index that isn't stored, so other tokens are never counted or shuffled.
-    relevant = index.postings.join(hint(terms.select("term").distinct()), "term", "left_semi")
-    weighed = relevant.groupBy("term").agg(F.count(F.lit(1)).alias("df")).join(F.broadcast(index.stats)).select("term", "avgdl", weight.alias("idf"))
+    relevant, known, stats = _relevant(index, terms, few)
+    weighed = known.join(F.broadcast(stats)).select("term", "avgdl", weight.alias("idf"))
     q = hint(terms.join(weighed, "term"))
     tf = F.col("tf") / (F.col("tf") + cfg.k1 * (1.0 - cfg.b + cfg.b * F.col("dl") / F.col("avgdl")))
     scored = relevant.join(q, "term").groupBy("query_id", "doc_id").agg(F.round(F.sum(F.col("qtf") * F.col("idf") * tf), 6).alias("score"))
@@ -77,60 +131,6 @@ def cosine(a: Column, b: Column) -> Column:
     return dot(a, b) / F.sqrt(dot(a, a) * dot(b, b))
 
 
-#: Query vectors broadcast at once, and the part of them that a batch of vectors is multiplied with.
-BLOCK_BYTES, BLOCK_ROWS = 64 << 20, 1024
-
-
-def knn(vectors: DataFrame, queries: DataFrame, k: int = 10, id_col: str = "vec_id", vector_col: str = "embedding", exclude_self: bool = True, block_bytes: int = BLOCK_BYTES) -> DataFrame:
-    """(query_id, vec_id, score, rank): exact cosine neighbours; ties go to the smaller vec_id.
-
-    Query vectors are broadcast, block_bytes at once (one scan of the vectors for each such block:
-    131,072 queries of 64 numbers), and each Arrow batch of vectors is multiplied with BLOCK_ROWS of
-    them at a time. A task keeps k candidates for each query, so what is shuffled grows with tasks and
-    queries, not with pairs.
-    """
-    spark = vectors.sparkSession
-    rows = queries.select(F.col(id_col).alias("id"), F.col(vector_col).cast("array<double>").alias("v")).where(F.col("v").isNotNull())
-    n, width = rows.agg(F.count(F.lit(1)), F.max(F.size("v"))).first()
-    n_blocks = max(1, -(-n * (width or 1) * 8 // block_bytes))
-    out = None
-    for i in range(n_blocks):
-        part = rows if n_blocks == 1 else rows.where(F.pmod(F.xxhash64("id"), F.lit(n_blocks)) == i)
-        got = part.toPandas().sort_values("id")  # about block_bytes
-        ids, m = got["id"].to_numpy(), np.array(got["v"].tolist(), dtype=np.float64).reshape(len(got), -1)
-        shared = spark.sparkContext.broadcast((ids, m / np.maximum(np.linalg.norm(m, axis=1, keepdims=True), 1e-300)))
-
-        def best(batches, shared=shared):
-            all_ids, all_m = shared.value
-            parts = [(all_ids[j : j + BLOCK_ROWS], all_m[j : j + BLOCK_ROWS]) for j in range(0, len(all_ids), BLOCK_ROWS)]
-            held = [pd.DataFrame({"query_id": [], "vec_id": [], "score": []}) for _ in parts]
-            for b in batches:
-                if not len(b) or not len(all_ids):
-                    continue
-                v = np.array(b["v"].tolist(), dtype=np.float64)
-                v, vid = v / np.maximum(np.linalg.norm(v, axis=1, keepdims=True), 1e-300), b["id"].to_numpy()
-                for j, (ids, m) in enumerate(parts):
-                    s = np.round(v @ m.T, 6)
-                    pos, at = np.nonzero(np.isfinite(s)) if len(b) <= k else _candidates(s, k + 1)
-                    found = pd.DataFrame({"query_id": ids[at], "vec_id": vid[pos], "score": s[pos, at]})
-                    if exclude_self:
-                        found = found[found["query_id"] != found["vec_id"]]
-                    both = pd.concat([held[j], found]) if len(held[j]) else found
-                    held[j] = both.sort_values(["query_id", "score", "vec_id"], ascending=[True, False, True]).groupby("query_id").head(k)
-            for x in held:
-                yield x.astype({"query_id": "int64", "vec_id": "int64", "score": "float64"})
-
-        found = vectors.select(F.col(id_col).alias("id"), F.col(vector_col).alias("v")).where(F.col("v").isNotNull()).mapInPandas(best, "query_id long, vec_id long, score double")
-        out = found if out is None else out.unionAll(found)
-    return top_k(out, "query_id", [F.desc("score"), F.col("vec_id")], k)
-
-
-def _candidates(s: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
-    """Places of all scores that reach a column's k-th best (ties stay, the final order decides)."""
-    least = np.partition(s, len(s) - min(k, len(s)), axis=0)[len(s) - min(k, len(s))]
-    return np.nonzero(s >= least)
-
-
 def ranked_lists(**lists: DataFrame) -> DataFrame:
     """One table (query_id, src, src_order, rank, text) of lists in the order given."""
     out = None
@@ -200,6 +200,44 @@ def context_metrics(verdicts: DataFrame, claims: DataFrame | None = None) -> Dat
     return out.drop("context_recall").join(recall, "query_id", "left").fillna(0.0, ["context_recall"])
 
 
+#: Words of the n-grams that align a claim with a context, and the part of a claim's words that one run must cover.
+ALIGN, ATTRIBUTED = 3, 0.6
+
+
+def claims_of(references: DataFrame, id_col: str = "query_id", text_col: str = "text") -> DataFrame:
+    """(query_id, claim, toks): the sentences of a reference that have a token, numbered from 0; sentences end at . ! ? and their wide forms, and at line ends."""
+    sentences = F.split(F.coalesce(F.col(text_col), F.lit("")), r"(?<=[.!?。！？])|[\r\n]+")
+    kept = F.filter(F.transform(sentences, X.tokens), lambda t: F.size(t) > 0)
+    return references.select(F.col(id_col).alias("query_id"), F.posexplode(kept).alias("claim", "toks"))
+
+
+def _grams(toks: Column, size: Column) -> Column:
+    """(at, gram) of all runs of `size` tokens."""
+    starts = F.when(F.size(toks) >= size, F.sequence(F.lit(1), F.size(toks) - size + 1)).otherwise(F.array().cast("array<int>"))
+    return F.transform(starts, lambda i: F.struct(i.alias("at"), F.xxhash64(F.array_join(F.slice(toks, i, size), " ")).alias("gram")))
+
+
+def attributed_claims(claims: DataFrame, contexts: DataFrame, align: int = ALIGN, least: float = ATTRIBUTED) -> DataFrame:
+    """(query_id, claim, n_words, longest, attributed): the longest run of a claim's words that stands in one context of its query, in order.
+
+    contexts: (query_id, rank, text). N-grams of claims and contexts meet by (query, gram); those on one diagonal, one
+    after another, make a run. A claim is attributed if the run covers `least` of its words. Claims of fewer
+    than `align` words are sought whole.
+    """
+    n = F.size("toks")
+    c = claims.select("query_id", "claim", n.alias("n_words"), F.least(n, F.lit(align)).alias("size"), F.explode(_grams(F.col("toks"), F.least(n, F.lit(align)))).alias("g"))
+    c = c.select("query_id", "claim", "n_words", "size", F.col("g.at").alias("at"), F.col("g.gram").alias("gram"))
+    words = contexts.select("query_id", "rank", F.explode(F.array(X.tokens(F.col("text")))).alias("toks"))
+    sized = words.select("query_id", "rank", "toks", F.explode(F.sequence(F.lit(1), F.lit(align))).alias("size"))
+    d = sized.select("query_id", "rank", "size", F.explode(_grams(F.col("toks"), F.col("size"))).alias("g")).select("query_id", "rank", "size", F.col("g.at").alias("there"), F.col("g.gram").alias("gram"))
+    met = c.join(d, ["query_id", "size", "gram"]).withColumn("diagonal", F.col("there") - F.col("at"))
+    run = Window.partitionBy("query_id", "claim", "rank", "diagonal").orderBy("at")
+    runs = met.withColumn("island", F.col("at") - F.row_number().over(run)).groupBy("query_id", "claim", "rank", "diagonal", "island").agg((F.count(F.lit(1)) + F.first("size") - 1).alias("words"))
+    longest = runs.groupBy("query_id", "claim").agg(F.max("words").alias("longest"))
+    out = claims.select("query_id", "claim", n.alias("n_words")).join(longest, ["query_id", "claim"], "left").fillna(0, ["longest"])
+    return out.withColumn("attributed", (F.col("longest") >= F.ceil(F.col("n_words") * F.lit(least))).cast("int"))
+
+
 #: Names of retrievers and what they stand for; unknown names are refused.
 RETRIEVERS = {"bm25": "bm25", "bge": "dense", "bge_large": "dense", "bge-large": "dense", "bgelarge": "dense", "qwen3": "dense"}
 

@@ -79,17 +79,29 @@ def split_train_val(df: DataFrame, key: str, ratio: float = 0.1, seed: int = 42)
     return settled.unionByName(ranked).drop("_h", "_band", "_take", "_k")
 
 
+def _draw(draw: Column, seed: int, j: Column) -> Column:
+    """A hashed number for a draw and a step."""
+    return F.conv(F.substring(F.md5(F.encode(F.concat(F.lit(f"{seed}|"), draw.cast("string"), F.lit("|"), j.cast("string")), "utf-8")), 1, 14), 16, 10).cast("long")
+
+
 def few_shot(draws: DataFrame, seeds: DataFrame, draw: str, key: str, k: int = 4, seed: int = 42) -> DataFrame:
     """k different seeds for each draw, in order (shot); all of them, if there are fewer.
 
-    The seeds stand in a shuffled ring; a draw takes k in a row from a hashed place on. An equi-join
-    on the place: no pairs of draws and seeds are made, and the pool may be of any size.
+    Each draw takes its own k places of the n there are, every set of places alike often: for j from n - k on,
+    a hashed place up to j, or j itself if that one is taken already. Places are joined with the seeds
+    by an equi-join, so no pairs of draws and seeds are made, and the pool may be of any size.
     """
     ring = positions(seeds, key, seed, "_place")
     size = F.broadcast(seeds.agg(F.count(F.lit(1)).alias("_n")))
-    start = F.conv(F.substring(F.md5(F.encode(F.concat(F.lit(f"{seed}|"), F.col(draw).cast("string")), "utf-8")), 1, 8), 16, 10).cast("long")
-    wanted = draws.select(draw).join(size).where("_n > 0").withColumn("shot", F.explode(F.sequence(F.lit(1), F.least(F.lit(k), F.col("_n").cast("int")))))
-    return wanted.withColumn("_place", F.pmod(start + F.col("shot") - 1, F.col("_n"))).drop("_n").join(ring, "_place").drop("_place")
+    wanted = draws.select(draw).join(size).where("_n > 0")
+
+    def take(held: Column, j: Column) -> Column:
+        place = _draw(F.col(draw), seed, j) % (j + 1)
+        return F.concat(held, F.array(F.when(F.array_contains(held, place), j).otherwise(place)))
+
+    places = F.aggregate(F.sequence(F.greatest(F.lit(0).cast("long"), F.col("_n") - k), F.col("_n") - 1), F.array().cast("array<bigint>"), take)
+    rows = wanted.select(draw, F.posexplode(places).alias("_shot", "_place"))
+    return rows.select(draw, "_place", (F.col("_shot") + 1).alias("shot")).join(ring, "_place").drop("_place")
 
 
 def numbered_ids(df: DataFrame, order: list[str], name: str = "id", pattern: str = "q_%06d") -> DataFrame:

@@ -133,7 +133,19 @@ def train_val_split(spark: SparkSession, sf_dir: str) -> DataFrame:
     return N.split_train_val(table(spark, sf_dir, "documents").select("doc_id"), "doc_id").select("doc_id", "split")
 
 
-@query("SELECT conv_id, item_id, CAST(shot AS INTEGER) AS shot FROM (SELECT conv_id, shot, (('0x' || left(md5('42|' || conv_id), 8))::BIGINT + shot - 1) % (SELECT count(*) FROM benchmark) AS place FROM (SELECT DISTINCT conv_id FROM conversations), generate_series(1, 4) AS g(shot)) JOIN (SELECT item_id, row_number() OVER (ORDER BY md5('42|' || item_id), item_id) - 1 AS place FROM benchmark) USING (place)")
+_PICK = "(('0x' || left(md5('42|' || conv_id || '|' || (n - {0})), 14))::BIGINT % (n - {0} + 1))"
+# One of four places after the other: a hashed one, or the last allowed if that is taken
+_TAKE = "SELECT *, CASE WHEN list_contains(p, {0}) THEN n - {1} ELSE {0} END AS x{1} FROM"
+
+
+def _four_places() -> str:
+    sql = "SELECT DISTINCT conv_id, n, CAST([] AS BIGINT[]) AS p FROM conversations, (SELECT count(*) AS n FROM benchmark)"
+    for j in (4, 3, 2, 1):
+        sql = f"SELECT conv_id, n, list_append(p, x{j}) AS p FROM ({_TAKE.format(_PICK.format(j), j)} ({sql}))"
+    return sql
+
+
+@query(f"SELECT conv_id, item_id, CAST(shot AS INTEGER) AS shot FROM (SELECT conv_id, unnest(p) AS place, generate_subscripts(p, 1) AS shot FROM ({_four_places()})) JOIN (SELECT item_id, row_number() OVER (ORDER BY md5('42|' || item_id), item_id) - 1 AS place FROM benchmark) USING (place)")
 def fewshot_pick(spark: SparkSession, sf_dir: str) -> DataFrame:
     draws = table(spark, sf_dir, "conversations").select("conv_id").distinct()
     return N.few_shot(draws, table(spark, sf_dir, "benchmark").select("item_id"), "conv_id", "item_id").select("conv_id", "item_id", "shot")

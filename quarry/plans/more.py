@@ -214,15 +214,31 @@ def jsonl_line_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("SELECT item_id, text FROM benchmark UNION ALL SELECT item_id, text FROM benchmark")
 def json_array_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One file, read in ranges of 4 kB, as an array and as one that may be wrapped."""
     path = _folder(spark, "array")
-    sinks.json_document(table(spark, sf_dir, "benchmark").select("item_id", "text"), path)
-    return readers.json_array(spark, path, _ITEM, ["item_id"]).select("item_id", "text").unionAll(readers.wrapped_array(spark, path, _ITEM))
+    sinks.json_document(table(spark, sf_dir, "benchmark").select("item_id", "text"), path, ["item_id"])
+    return readers.json_array(spark, path, _ITEM, ["item_id"], 4096).select("item_id", "text").unionAll(readers.wrapped_array(spark, path, _ITEM, 4096))
 
 
-@query("SELECT item_id, text FROM benchmark")
+@query("SELECT page_id, url, html FROM pages")
+def wrapped_array_of_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """An object with other lists around the pages' array, whose texts are full of brackets, quotes and backslashes."""
+    path = _folder(spark, "wrapped")
+    page = T.StructType([T.StructField("page_id", T.LongType()), T.StructField("url", T.StringType()), T.StructField("html", T.StringType())])
+    pages = table(spark, sf_dir, "pages").select("page_id", "url", "html")
+    sinks.json_document(pages, f"{path}/plain", ["page_id"])
+    lines = spark.read.text(f"{path}/plain").select("value", F.lit(1).alias("part"))
+    around = spark.createDataFrame([('{"examples": [1, "]"], "note": {"items": [{"no": "\\\\"}]}, "items":', 0), ("}", 2)], "value string, part int")
+    lines.unionByName(around).repartition(1).sortWithinPartitions("part", F.expr("CASE WHEN value = ']' THEN 2 WHEN value LIKE '[%' THEN 0 ELSE 1 END")).select("value").write.text(f"{path}/whole")
+    return readers.wrapped_array(spark, f"{path}/whole", page, 1 << 16)
+
+
+@query("SELECT page_id AS item_id, CASE WHEN page_id % 2 = 0 THEN 'say \"hi\", \"\"you\"' || chr(10) || html ELSE html END AS text FROM pages")
 def csv_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pages, which hold quotes, commas and line feeds."""
     path = _folder(spark, "csv")
-    table(spark, sf_dir, "benchmark").select("item_id", "text").write.option("header", True).option("escape", '"').csv(path)
+    quoted = F.when(F.col("page_id") % 2 == 0, F.concat(F.lit('say "hi", ""you"\n'), "html")).otherwise(F.col("html"))
+    table(spark, sf_dir, "pages").select(F.col("page_id").alias("item_id"), quoted.alias("text")).write.option("header", True).option("escape", '"').csv(path)
     return readers.csv(spark, path, _ITEM, ["item_id", "text"])
 
 
@@ -230,7 +246,7 @@ def csv_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
 def text_index_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = _folder(spark, "index")
     sinks.text_index(table(spark, sf_dir, "benchmark"), path, id_col="item_id")
-    return sinks.open_text_index(spark, path).terms
+    return sinks.open_text_index(spark, path).terms.select("term", "df")
 
 
 @query("SELECT vec_id, label FROM embeddings")

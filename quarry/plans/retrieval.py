@@ -10,7 +10,8 @@ from quarry.functions import providers as M
 from quarry.functions import text as X
 from quarry.operators import retrieve as R
 from quarry.plans.base import query, strip_sql, table, values_sql
-from quarry.sources.sinks import scratch_index
+from quarry.operators import vectors as V
+from quarry.sources import sinks
 
 
 def tokens_sql(t: str) -> str:
@@ -39,8 +40,7 @@ UNION ALL SELECT query_id, 'dense', 1, rank, text FROM {_DENSE} JOIN documents U
 
 
 def _bm25(spark: SparkSession, sf_dir: str, cfg: RetrievalConfig = RetrievalConfig()) -> DataFrame:
-    index = scratch_index(table(spark, sf_dir, "documents"))
-    return R.bm25(index, table(spark, sf_dir, "benchmark"), cfg, "item_id")
+    return R.bm25(R.Corpus(table(spark, sf_dir, "documents")), table(spark, sf_dir, "benchmark"), cfg, "item_id")
 
 
 def _dense(spark: SparkSession, sf_dir: str, k: int = 10) -> DataFrame:
@@ -65,10 +65,18 @@ def bm25_top10(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _bm25(spark, sf_dir)
 
 
+@query(f"SELECT query_id, doc_id, score, CAST(rank AS INTEGER) AS rank FROM {_BM25}")
+def bm25_stored_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The index written once, opened again and searched: only the folders of the items' terms are read."""
+    path = sinks.scratch_path(spark, "text-index")
+    sinks.text_index(table(spark, sf_dir, "documents"), path)
+    return R.bm25(sinks.open_text_index(spark, path), table(spark, sf_dir, "benchmark"), id_col="item_id")
+
+
 @query(f"SELECT 'bge_large' AS retriever, query_id, doc_id, score, CAST(rank AS INTEGER) AS rank FROM {_DENSE} UNION ALL SELECT 'bm25', query_id, doc_id, score, CAST(rank AS INTEGER) FROM {_BM25}")
 def retriever_dispatch(spark: SparkSession, sf_dir: str) -> DataFrame:
     items = table(spark, sf_dir, "benchmark")
-    backends = {"bm25": lambda q, k: R.bm25(scratch_index(table(spark, sf_dir, "documents")), q, id_col="item_id", k=k), "dense": lambda q, k: _dense(spark, sf_dir, k)}
+    backends = {"bm25": lambda q, k: R.bm25(R.Corpus(table(spark, sf_dir, "documents")), q, id_col="item_id", k=k), "dense": lambda q, k: _dense(spark, sf_dir, k)}
     return R.retrieve("bge_large", items, backends).unionAll(R.retrieve("bm25", items, backends))
 
 
@@ -82,6 +90,29 @@ def knn_top10(spark: SparkSession, sf_dir: str) -> DataFrame:
     return R.knn(v, v.where("vec_id % 25 = 0"))  # the query set, against all vectors
 
 
+#: Vectors of the probed cells for each query. Recall against the exact search is measured by ivf_recall.
+NUM_CANDIDATES = 1000
+
+
+def _ivf(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Neighbours by the inverted file, and exact ones, of every vector whose id is divisible by 100."""
+    v, path = table(spark, sf_dir, "embeddings"), sinks.scratch_path(spark, "vector-index")
+    queries = v.where("vec_id % 100 = 0")
+    V.ivf_index(v, path)
+    return V.ivf_search(spark, path, queries, num_candidates=NUM_CANDIDATES), V.knn(v, queries)
+
+
+@query()
+def ivf_top10(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _ivf(spark, sf_dir)[0]
+
+
+@query("SELECT count(*) AS queries, sum(least(10, n - 1))::BIGINT AS neighbours, true AS enough FROM (SELECT vec_id FROM embeddings WHERE vec_id % 100 = 0), (SELECT count(*) AS n FROM embeddings)")
+def ivf_recall(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whether the inverted file finds at least nine tenths of the exact ten neighbours."""
+    return V.recall(*_ivf(spark, sf_dir)).select("queries", "neighbours", (F.col("recall") >= 0.9).alias("enough"))
+
+
 _KEYED = f"(SELECT *, {strip_sql('text')} AS key FROM {_LISTS})"
 _MERGED = f"(SELECT query_id, src_order, rank, text FROM {_KEYED} WHERE key <> '' QUALIFY row_number() OVER (PARTITION BY query_id, key ORDER BY src_order, rank) = 1)"
 

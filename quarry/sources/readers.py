@@ -10,6 +10,7 @@ from pyspark.sql import types as T
 from quarry.functions import parse as J
 from quarry.functions import text as X
 from quarry.operators.corpus import path_columns, require_columns
+from quarry.sources import arrays
 
 
 @F.pandas_udf(T.StringType())
@@ -73,24 +74,19 @@ def jsonl_counted(spark: SparkSession, path: str | list[str], required: list[str
     return spark.read.text(path).agg(F.count(F.lit(1)).alias("lines"), F.count_if(~ok).alias("bad"), F.count_if(ok & ~F.coalesce(has, F.lit(False))).alias("missing"), F.count_if(ok & F.coalesce(has, F.lit(False))).alias("good"))
 
 
-def json_array(spark: SparkSession, path: str, schema: T.StructType, required: list[str] = ()) -> DataFrame:
-    """Rows of a file that holds one JSON array."""
-    return require_columns(spark.read.schema(schema).option("multiLine", True).option("mode", "FAILFAST").json(path), *required)
+def json_array(spark: SparkSession, path: str, schema: T.StructType, required: list[str] = (), range_bytes: int = arrays.RANGE_BYTES) -> DataFrame:
+    """Rows of a file that holds one JSON array, or of all files of a folder; a file is read by a task for each range of bytes."""
+    return require_columns(arrays.rows(spark, path, schema, range_bytes=range_bytes), *required)
 
 
-def wrapped_array(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
+def wrapped_array(spark: SparkSession, path: str, schema: T.StructType, range_bytes: int = arrays.RANGE_BYTES) -> DataFrame:
     """Rows of an array, or of an object's first list under data, items, samples or examples."""
-    keys = ("data", "items", "samples", "examples")
-    whole = spark.read.text(path, wholetext=True).select(X.strip(F.col("value")).alias("v"))
-    kind = T.ArrayType(schema)
-    lists = [F.when(F.get_json_object("v", f"$.{k}").startswith("["), F.from_json(F.get_json_object("v", f"$.{k}"), kind)) for k in keys]
-    rows = F.when(F.col("v").startswith("["), F.from_json("v", kind)).otherwise(F.coalesce(*lists))
-    checked = F.when(rows.isNull(), F.raise_error(F.lit("no list of rows found"))).otherwise(rows)
-    return whole.select(F.explode(checked).alias("r")).select("r.*")
+    return arrays.rows(spark, path, schema, True, range_bytes)
 
 
 def csv(spark: SparkSession, path: str, schema: T.StructType, required: list[str]) -> DataFrame:
-    header = spark.read.option("header", True).option("multiLine", True).csv(path)
+    """Rows of CSV files with a header; quotes inside a field are doubled, fields may hold line feeds."""
+    header = spark.read.option("header", True).option("multiLine", True).option("escape", '"').csv(path)
     require_columns(header, *required)
     names = [f for f in schema.fields if f.name in header.columns]
     return header.select(*[F.col(f.name).cast(f.dataType).alias(f.name) for f in names])

@@ -2,16 +2,13 @@
 
 from __future__ import annotations
 
-import atexit
-import contextlib
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quarry.operators.corpus import resume, upsert_latest
-from quarry.operators.retrieve import TextIndex, index_text, of_tokens, tokenised
+from quarry.operators.retrieve import TextIndex, bucket_of, of_tokens, small, tokenised
 from quarry.sources.readers import exists
+from quarry.sources.storage import scratch, scratch_path, shared_folder  # noqa: F401
 
 MOST_ROWS_ONE_FILE = 100_000
 
@@ -21,25 +18,27 @@ def jsonl(df: DataFrame, path: str, mode: str = "overwrite") -> None:
     df.write.mode(mode).json(path)
 
 
-def json_document(df: DataFrame, path: str) -> None:
-    """One pretty JSON array in one file, for results of at most MOST_ROWS_ONE_FILE rows."""
-    import json
+def json_document(df: DataFrame, path: str, order: list[str] | None = None) -> None:
+    """One JSON array in one file, a line for each row: for results of at most MOST_ROWS_ONE_FILE rows, written by one task as they come."""
+    from collections.abc import Iterator
 
-    rows = [json.loads(r[0]) for r in df.select(F.to_json(F.struct("*"))).limit(MOST_ROWS_ONE_FILE + 1).collect()]
-    if len(rows) > MOST_ROWS_ONE_FILE:
-        raise ValueError("too many rows for one document; write JSONL")
-    spark = df.sparkSession
-    spark.createDataFrame([(json.dumps(rows, ensure_ascii=False, indent=2),)], "value string").coalesce(1).write.mode("overwrite").text(path)
+    import pyarrow as pa
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        lead = "["
+        for b in batches:
+            lines = []
+            for row in b.column(0).to_pylist():
+                lines.append(lead + row)
+                lead = ","
+            yield pa.RecordBatch.from_arrays([pa.array(lines, pa.string())], ["value"])
+        yield pa.RecordBatch.from_arrays([pa.array(["[]" if lead == "[" else "]"], pa.string())], ["value"])
 
-def shared_folder(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir; in local mode a folder of the warehouse where that is unset."""
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
-        base = spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_shared"
-    return base.rstrip("/")
+    if not small(df, MOST_ROWS_ONE_FILE):
+        raise ValueError("too many rows for one document; write JSONL")
+    rows = df.select(F.to_json(F.struct("*")).alias("value"), *(order or []))
+    rows = (rows.repartition(1).sortWithinPartitions(*order) if order else rows.repartition(1)).select("value")
+    rows.mapInArrow(run, "value string").write.mode("overwrite").text(path)
 
 
 def cached(df: DataFrame, path: str, refresh: bool = False) -> DataFrame:
@@ -50,51 +49,36 @@ def cached(df: DataFrame, path: str, refresh: bool = False) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-_scratch: list[tuple[SparkSession, str]] = []
-
-
-def _sweep() -> None:
-    for spark, path in _scratch:
-        with contextlib.suppress(Exception):  # the JVM may be gone already
-            p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-            p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
-
-
-def scratch_path(spark: SparkSession, name: str) -> str:
-    """A new path in the shared folder, removed when the driver ends."""
-    path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
-    if not _scratch:
-        atexit.register(_sweep)
-    _scratch.append((spark, path))
-    return path
-
-
-def scratch(df: DataFrame, name: str) -> DataFrame:
-    """df written once to the shared folder and read back, for plans that use it several times."""
-    spark = df.sparkSession
-    path = scratch_path(spark, name)
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def scratch_index(docs: DataFrame, **columns: str) -> TextIndex:
     """An index whose documents are tokenised once, for as many rankings as wanted."""
     return of_tokens(scratch(tokenised(docs, **columns), "tokens"))
 
 
-def text_index(docs: DataFrame, path: str, recreate: bool = False, **columns: str) -> TextIndex:
-    """An inverted index as Parquet tables, sorted by term so that term filters skip row groups; kept if it is there."""
+#: Folders of a stored text index; a term's hash names its folder.
+TERM_BUCKETS = 64
+
+
+def text_index(docs: DataFrame, path: str, recreate: bool = False, buckets: int = TERM_BUCKETS, **columns: str) -> TextIndex:
+    """An inverted index as Parquet tables in folders by the term's hash, sorted by term so that term filters skip row groups too; kept if it is there.
+
+    Postings are dealt by range of (bucket, term, doc_id), so a term that most documents have is written by many tasks.
+    """
     spark = docs.sparkSession
-    if recreate or not exists(spark, f"{path}/stats"):
-        made = index_text(docs, **columns)
-        made.postings.repartition("term").sortWithinPartitions("term", "doc_id").write.mode("overwrite").parquet(f"{path}/postings")
-        made.terms.write.mode("overwrite").parquet(f"{path}/terms")
-        made.stats.write.mode("overwrite").parquet(f"{path}/stats")
+    if recreate or not exists(spark, f"{path}/stats/_SUCCESS"):
+        toks = scratch(tokenised(docs, **columns), "tokens")  # read for postings, terms and lengths
+        made = of_tokens(toks)
+        bucket = bucket_of(F.col("term"), buckets)
+        placed = made.postings.withColumn("bucket", bucket).repartitionByRange("bucket", "term", "doc_id").sortWithinPartitions("bucket", "term", "doc_id")
+        placed.write.mode("overwrite").partitionBy("bucket").parquet(f"{path}/postings")
+        counted = spark.read.parquet(f"{path}/postings").groupBy("bucket", "term").agg(F.count(F.lit(1)).alias("df"))
+        counted.repartitionByRange("bucket", "term").sortWithinPartitions("bucket", "term").write.mode("overwrite").partitionBy("bucket").parquet(f"{path}/terms")
+        made.stats.withColumn("buckets", F.lit(buckets)).write.mode("overwrite").parquet(f"{path}/stats")
     return open_text_index(spark, path)
 
 
 def open_text_index(spark: SparkSession, path: str) -> TextIndex:
-    return TextIndex(*(spark.read.parquet(f"{path}/{t}") for t in ("postings", "terms", "stats")))
+    postings, terms, stats = (spark.read.parquet(f"{path}/{t}") for t in ("postings", "terms", "stats"))
+    return TextIndex(postings, terms, stats.select("n_docs", "avgdl"), stats.first()["buckets"])
 
 
 def vector_index(df: DataFrame, path: str, dims: int, vector_col: str = "embedding", recreate: bool = False) -> DataFrame:
