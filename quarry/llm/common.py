@@ -14,7 +14,7 @@ from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarry.sources.sinks import shared_folder
+from quarry.sources.storage import shared_folder
 
 _written: list[tuple[SparkSession, str]] = []
 

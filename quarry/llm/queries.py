@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarry.llm import decontaminate, fingerprint, html, langid, lines, merkle, ngrams, packing, quality, simhash, toxicity, warc
+from quarry.llm import conversations, decontaminate, fingerprint, html, langid, lines, merkle, ngrams, packing, quality, simhash, toxicity, warc
 from quarry.llm.common import bounded_batches, crc_bucket, shared_path
 
 
@@ -88,8 +88,12 @@ def op12_ngram_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "held_out", "n_tokens", "n_known", F.lit(model.tokens).cast("long").alias("train_tokens"), "base_score", "score")
 
 
+def op13_conversations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return conversations.report(conversations.damaged(_table(spark, sf_dir, "conversations")))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_toxicity, op2_decontaminate, op3_lines, op4_html, op5_packing, op6_warc, op7_fingerprint, op8_simhash, op9_quality, op10_langid, op11_merkle, op12_ngram_lm)}
+    return {f.__name__: f for f in (op1_toxicity, op2_decontaminate, op3_lines, op4_html, op5_packing, op6_warc, op7_fingerprint, op8_simhash, op9_quality, op10_langid, op11_merkle, op12_ngram_lm, op13_conversations)}
 
 
 def oracle_sql() -> dict[str, str]:
