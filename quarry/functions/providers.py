@@ -30,39 +30,79 @@ class TextProvider(Protocol):
 class Retry:
     attempts: int = 6
     base: float = 2.0
-    pause: float = 0.0  # seconds between batches
 
 
-def call_with_retry(f: Callable[[list[str]], list[str]], batch: list[str], retry: Retry, sleep: Callable[[float], None] = time.sleep) -> tuple[list[str], str | None]:
-    """The batch's results, or empty texts and the last error after all attempts; waits base * 2**(attempt - 1)."""
-    error = None
+@dataclass(frozen=True)
+class Pace:
+    """A rate for a whole job: rows are dealt to `tasks` tasks, and each calls at its share of the rate.
+
+    However many tasks run at once, and however often one is tried again, their calls together don't
+    exceed calls_per_second (calls of batches, or of single prompts where a provider is asked for these).
+    """
+
+    calls_per_second: float
+    tasks: int = 1
+
+    def dealt(self, df: DataFrame) -> DataFrame:
+        return df.repartition(self.tasks)
+
+    def clock(self, sleep: Callable[[float], None] = time.sleep, now: Callable[[], float] = time.monotonic) -> Callable[[], None]:
+        """A function that waits until the next call of one task is due."""
+        step, due = self.tasks / self.calls_per_second, None
+
+        def wait() -> None:
+            nonlocal due
+            at = now()
+            due = at + step if due is None else max(due, at)  # a task that begins anew waits first
+            if due > at:
+                sleep(due - at)
+            due += step
+
+        return wait
+
+
+def call_with_retry(f: Callable[[list[str]], list[str]], batch: list[str], retry: Retry, sleep: Callable[[float], None] = time.sleep, wait: Callable[[], None] = lambda: None) -> tuple[list[str], list[str | None]]:
+    """A text and an error (or None) for each prompt; waits base * 2**(attempt - 1) before it asks again.
+
+    A provider with a method `each` (prompts -> texts or exceptions) is asked again only for the prompts that failed,
+    so no good answer is paid for twice; another one for the whole batch.
+    """
+    each = getattr(f, "each", None)
+    texts, errors, todo = [""] * len(batch), [None] * len(batch), list(range(len(batch)))
     for attempt in range(1, retry.attempts + 1):
+        if attempt > 1:
+            sleep(retry.base * 2 ** (attempt - 2))
+        wait()
+        asked = [batch[i] for i in todo]
         try:
-            return f(batch), None
+            got = each(asked) if each else f(asked)
         except Exception as e:  # noqa: BLE001, a provider's error becomes a column
-            error = f"{type(e).__name__}: {e}"
-            if attempt < retry.attempts:
-                sleep(retry.base * 2 ** (attempt - 1))
-    return [""] * len(batch), error
-
-
-def generate(df: DataFrame, prompt: str, make: Callable[[], TextProvider], out: str = "output", error: str = "error", batch: int = 32, retry: Retry = Retry()) -> DataFrame:
-    """df with the provider's text and error for each prompt."""
+            got = [e] * len(asked)
+        for i, x in zip(todo, got, strict=True):
+            failed = isinstance(x, Exception)
+            texts[i], errors[i] = ("", f"{type(x).__name__}: {x}") if failed else (x, None)
+        todo = [i for i in todo if errors[i] is not None]
+        if not todo:
+            break
+    return texts, errors
+
+
+def generate(df: DataFrame, prompt: str, make: Callable[[], TextProvider], out: str = "output", error: str = "error", batch: int = 32, retry: Retry = Retry(), pace: Pace | None = None) -> DataFrame:
+    """df with the provider's text and error for each prompt; pace bounds the calls of the whole job."""
     schema = T.StructType([*df.schema.fields, T.StructField(out, T.StringType()), T.StructField(error, T.StringType())])
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         provider = make()
+        wait = pace.clock() if pace else lambda: None
         for pdf in batches:
             texts, errors = [], []
             for i in range(0, len(pdf), batch):
-                got, e = call_with_retry(provider, pdf[prompt].iloc[i : i + batch].fillna("").tolist(), retry)
+                got, e = call_with_retry(provider, pdf[prompt].iloc[i : i + batch].fillna("").tolist(), retry, wait=wait)
                 texts += got
-                errors += [e] * len(got)
-                if retry.pause:
-                    time.sleep(retry.pause)
+                errors += e
             yield pdf.assign(**{out: texts, error: errors})
 
-    return df.mapInPandas(run, schema)
+    return (pace.dealt(df) if pace else df).mapInPandas(run, schema)
 
 
 @dataclass(frozen=True)
@@ -94,10 +134,11 @@ PAIRWISE_JUDGE = dict(temperature=0.0, max_tokens=128)
 class ChatApi:
     """A provider behind a chat-completions HTTP interface. endpoints: name -> base address; the caller gives addresses and key."""
 
-    def __init__(self, endpoints: dict[str, str], name: str, key: str, settings: Generation, timeout: float = 60.0) -> None:
+    def __init__(self, endpoints: dict[str, str], name: str, key: str, settings: Generation, timeout: float = 60.0, at_once: int = 8) -> None:
+        """at_once: prompts of a batch that are under way together."""
         if name not in endpoints:
             raise ValueError(f"unknown provider: {name}")
-        self.url, self.key, self.settings, self.timeout = endpoints[name].rstrip("/") + "/chat/completions", key, settings, timeout
+        self.url, self.key, self.settings, self.timeout, self.at_once = endpoints[name].rstrip("/") + "/chat/completions", key, settings, timeout, at_once
 
     def _one(self, prompt: str) -> str:
         import json
@@ -110,8 +151,24 @@ class ChatApi:
         with urlopen(request, timeout=self.timeout) as answer:
             return json.load(answer)["choices"][0]["message"]["content"] or ""
 
+    def each(self, prompts: list[str]) -> list[str | Exception]:
+        """An answer or an exception for each prompt."""
+        from concurrent.futures import ThreadPoolExecutor
+
+        def one(prompt: str) -> str | Exception:
+            try:
+                return self._one(prompt)
+            except Exception as e:  # noqa: BLE001, told to the caller
+                return e
+
+        with ThreadPoolExecutor(self.at_once) as pool:
+            return list(pool.map(one, prompts))
+
     def __call__(self, prompts: list[str]) -> list[str]:
-        return [self._one(p) for p in prompts]
+        for x in (found := self.each(prompts)):
+            if isinstance(x, Exception):
+                raise x
+        return found
 
 
 def candidates(df: DataFrame, prompt: str, make: Callable[[float], Callable[[], TextProvider]], temperatures: tuple[float, float] = (0.2, 0.9), retry: Retry = Retry()) -> DataFrame:

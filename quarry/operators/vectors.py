@@ -161,7 +161,7 @@ def probes(centres: DataFrame, queries: DataFrame, num_candidates: int, id_col:
     """(id, v, cell): each query with the cells nearest to it, until these hold num_candidates vectors."""
     got = sorted((r["cell"], r["v"], r["size"]) for r in centres.collect())  # MOST_CELLS rows
     kind = queries.schema[id_col].dataType.simpleString()
-    cells, m, sizes = np.array([x[0] for x in got], np.int32), np.array([x[1] for x in got]).reshape(len(got), -1), np.array([x[2] for x in got])
+    cells, m, sizes = np.array([x[0] for x in got], np.int32), np.array([x[1] for x in got] or [[0.0]]), np.array([x[2] for x in got])
     shared = queries.sparkSession.sparkContext.broadcast((cells, m, sizes))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

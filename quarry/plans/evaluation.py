@@ -29,10 +29,13 @@ _S = "replace(" + strip_sql("coalesce(t, '')") + ", ' ', '')"
 _ALIAS = "CASE s " + " ".join(f"WHEN '{a}' THEN '{b}'" for a, b in J.ALIASES.items()) + " ELSE s END"
 
 
-@query(f"SELECT id, coalesce(nullif(a, ''), '闲聊类') AS label, a AS plain FROM (SELECT id, {_ALIAS} AS a FROM (SELECT id, {_S} AS s FROM {values_sql(['id', 't'], _LABELS)}))")
+@query(f"SELECT id, coalesce(nullif(a, ''), '闲聊类') AS label, a AS plain FROM (SELECT id, {_ALIAS} AS a FROM (SELECT id, {_S} AS s FROM (SELECT * FROM {values_sql(['id', 't'], _LABELS)} UNION ALL SELECT 1000 + conv_id * 1000 + turn, CASE role WHEN 'user' THEN ' 闲 聊 ' WHEN 'assistant' THEN text ELSE '法律' END FROM conversations)))")
 def label_normalize(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fixed cases, and labels and texts of all conversations."""
     t = F.col("t")
-    return spark.createDataFrame(_LABELS, "id int, t string").select("id", J.normalise_label(t).alias("label"), J.normalise_label(t, False).alias("plain"))
+    told = F.when(F.col("role") == "user", F.lit(" 闲 聊 ")).when(F.col("role") == "assistant", F.col("text")).otherwise(F.lit("法律"))
+    rows = table(spark, sf_dir, "conversations").select(1000 + F.col("conv_id") * 1000 + F.col("turn"), told)
+    return spark.createDataFrame(_LABELS, "id long, t string").unionAll(rows).select("id", J.normalise_label(t).alias("label"), J.normalise_label(t, False).alias("plain"))
 
 
 _JUDGED = [(1, "1"), (2, " 0\n"), (3, "答案：1"), (4, "10"), (5, "0.9"), (6, "none"), (7, ""), (8, None)]
@@ -229,16 +232,32 @@ _JSON = [(1, '{"a": 1}'), (2, 'x {"a": "b"} y'), (3, '{"a":1}{"a":2}'), (4, "{'a
 _SPAN = "nullif(regexp_extract(t, '(?s)\\{.*\\}'), '')"
 
 
+# Props as they are, with text around them, twice, cut, and with blanks
+_DIRTY_SQL = "SELECT 1000 + event_id AS id, CASE event_id % 5 WHEN 0 THEN props WHEN 1 THEN 'see ' || props || ' there' WHEN 2 THEN props || props WHEN 3 THEN left(props, length(props) - 1) ELSE chr(10) || ' ' || props || ' ' END AS t FROM events"
+
+
+def _dirty_json(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fixed cases, and the JSON of all events in five states."""
+    p, k = F.col("props"), F.col("event_id") % 5
+    dirty = F.when(k == 0, p).when(k == 1, F.concat(F.lit("see "), p, F.lit(" there"))).when(k == 2, F.concat(p, p)).when(k == 3, F.expr("left(props, length(props) - 1)")).otherwise(F.concat(F.lit("\n "), p, F.lit(" ")))
+    return spark.createDataFrame(_JSON, "id long, t string").unionAll(table(spark, sf_dir, "events").select(1000 + F.col("event_id"), dirty))
+
+
 @query(
-    f"SELECT id, CASE WHEN is_object(t) THEN {strip_sql('t')} WHEN is_object({_SPAN}) THEN {_SPAN} END AS obj FROM {values_sql(['id', 't'], _JSON)}".replace(f"is_object({_SPAN})", f"(json_valid({_SPAN}) AND starts_with({_SPAN}, '{{'))").replace("is_object(t)", f"(json_valid(t) AND starts_with({strip_sql('t')}, '{{'))")
+    f"SELECT id, CASE WHEN json_valid(t) AND starts_with({strip_sql('t')}, '{{') THEN {strip_sql('t')} WHEN json_valid({_SPAN}) AND starts_with({_SPAN}, '{{') THEN {_SPAN} END AS obj FROM (SELECT * FROM {values_sql(['id', 't'], _JSON)} UNION ALL {_DIRTY_SQL})"
 )
 def json_object(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.createDataFrame(_JSON, "id int, t string").select("id", J.json_object(F.col("t")).alias("obj"))
+    return _dirty_json(spark, sf_dir).select("id", J.json_object(F.col("t")).alias("obj"))
+
+
+# Of the fixed cases two objects in a row give the first, single quotes and text behind the end are seen through.
+_FOUND = "CASE id WHEN 1 THEN '1' WHEN 2 THEN 'b' WHEN 3 THEN '1' WHEN 4 THEN '1' WHEN 9 THEN '1' END"
 
 
-@query()
+@query(f"SELECT id, {_FOUND} AS a, CASE WHEN id > 1000 AND id % 5 <> 3 THEN json_extract_string(props, '$.page') END AS page FROM (SELECT id, NULL AS props FROM {values_sql(['id', 't'], _JSON)} UNION ALL SELECT 1000 + event_id, props FROM events)")
 def json_lenient(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.createDataFrame(_JSON, "id int, t string").select("id", J.lenient_object(F.col("t")).alias("obj"))
+    found = _dirty_json(spark, sf_dir).select("id", J.lenient_object(F.col("t")).alias("obj"))
+    return found.select("id", F.get_json_object("obj", "$.a").alias("a"), F.get_json_object("obj", "$.page").alias("page"))
 
 
 @query("SELECT event_type, count(*) AS lines, count_if(NOT list_contains(json_keys(props), 'page'))::BIGINT AS missing FROM events GROUP BY event_type")
@@ -248,26 +267,40 @@ def required_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 _REWRITES = [(1, "q1", None), (2, "q2", "  "), (3, "q3", "```text\n“改写”\n```"), (4, "q4", '"a"\nsecond'), (5, "q5", "\n\n x \n y")]
-_CLEAN = [(1, ""), (2, ""), (3, "改写"), (4, 'a"'), (5, "x")]
+# Answers with a code fence, in quotes of both kinds, after blank lines, and blank ones
+_ANSWERED_SQL = "SELECT 1000 + conv_id * 1000 + turn AS id, role AS query, CASE turn % 5 WHEN 0 THEN '```text' || chr(10) || '“' || text || '”' || chr(10) || '```' WHEN 1 THEN '\"' || text || '\"' WHEN 2 THEN chr(10) || ' ' || chr(10) || text WHEN 3 THEN '  ' ELSE text END AS rewrite FROM conversations"
+_UNFENCED = f"regexp_replace(regexp_replace({strip_sql(chr(114))}, '(?s)^```.*?\n', ''), '\n```$', '')"
+_UNQUOTED = strip_sql(f"""regexp_replace(regexp_replace({strip_sql(_UNFENCED)}, '^"+|"+$', '', 'g'), '^[“”]+|[“”]+$', '', 'g')""")
+_LINES = rf"list_filter(list_transform(string_split_regex({_UNQUOTED}, '\r\n|[\n\r\x{{2028}}\x{{2029}}\x{{85}}\x0b\x0c\x1c-\x1e]'), lambda x: {strip_sql('x')}), lambda x: x <> '')"
 
 
-@query(f"SELECT id, r.cleaned, coalesce(nullif({strip_sql('rewrite')}, ''), query) AS used FROM {values_sql(['id', 'query', 'rewrite'], _REWRITES)} JOIN {values_sql(['id', 'cleaned'], _CLEAN)} AS r USING (id)")
+@query(f"SELECT id, coalesce({_LINES}[1], '') AS cleaned, coalesce(nullif({strip_sql('rewrite')}, ''), query) AS used FROM (SELECT *, coalesce(rewrite, '') AS r FROM (SELECT * FROM {values_sql(['id', 'query', 'rewrite'], _REWRITES)} UNION ALL {_ANSWERED_SQL}))")
 def rewrite_fallback(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = spark.createDataFrame(_REWRITES, "id int, query string, rewrite string")
+    """Fixed cases, and the texts of all conversations as a model may wrap them."""
+    t, k = F.col("text"), F.col("turn") % 5
+    wrapped = F.when(k == 0, F.concat(F.lit("```text\n“"), t, F.lit("”\n```"))).when(k == 1, F.concat(F.lit('"'), t, F.lit('"'))).when(k == 2, F.concat(F.lit("\n \n"), t)).when(k == 3, F.lit("  ")).otherwise(t)
+    rows = spark.createDataFrame(_REWRITES, "id long, query string, rewrite string").unionAll(table(spark, sf_dir, "conversations").select(1000 + F.col("conv_id") * 1000 + F.col("turn"), "role", wrapped))
     return rows.select("id", J.clean_rewrite(F.col("rewrite")).alias("cleaned"), J.rewrite_or_query(F.col("rewrite"), F.col("query")).alias("used"))
 
 
 _RAW = [(1, "{'context_recall': 0.4204, 'context_precision': 0.4181}"), (2, "nothing"), (3, None)]
 
 
-@query(f"SELECT id, TRY_CAST(nullif(regexp_extract(raw, '''context_recall'': ([0-9.]+)', 1), '') AS DOUBLE) AS recall FROM {values_sql(['id', 'raw'], _RAW)}")
+@query(f"SELECT id, TRY_CAST(nullif(regexp_extract(raw, '''context_recall'': ([0-9.]+)', 1), '') AS DOUBLE) AS recall FROM (SELECT * FROM {values_sql(['id', 'raw'], _RAW)} UNION ALL SELECT 1000 + event_id, '{{''context_precision'': 0.5, ''context_recall'': ' || (event_id % 1000) || '.' || (event_id % 7) || '}}' FROM events)".replace("{{", "{").replace("}}", "}"))
 def raw_metric(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.createDataFrame(_RAW, "id int, raw string").select("id", J.raw_metric(F.col("raw"), "context_recall").alias("recall"))
+    """Fixed cases, and a metrics text for each event."""
+    number = F.concat((F.col("event_id") % 1000).cast("string"), F.lit("."), (F.col("event_id") % 7).cast("string"))
+    told = F.concat(F.lit("{'context_precision': 0.5, 'context_recall': "), number, F.lit("}"))
+    rows = spark.createDataFrame(_RAW, "id long, raw string").unionAll(table(spark, sf_dir, "events").select(1000 + F.col("event_id"), told))
+    return rows.select("id", J.raw_metric(F.col("raw"), "context_recall").alias("recall"))
 
 
 _FIELDS = [(1, None, "甲", None), (2, " ", "", "x"), (3, "q", "y", "z"), (4, None, None, None)]
 
 
-@query(f"SELECT id, coalesce({', '.join(f'nullif({strip_sql(c)}, {chr(39) * 2})' for c in ('a', 'b', 'c'))}, '') AS query FROM {values_sql(['id', 'a', 'b', 'c'], _FIELDS)}")
+@query(f"SELECT id, coalesce({', '.join(f'nullif({strip_sql(c)}, {chr(39) * 2})' for c in ('a', 'b', 'c'))}, '') AS query FROM (SELECT * FROM {values_sql(['id', 'a', 'b', 'c'], _FIELDS)} UNION ALL SELECT 1000 + conv_id * 1000 + turn, CASE WHEN turn % 3 = 0 THEN text END, CASE WHEN turn % 3 = 1 THEN ' ' || text ELSE ' ' END, role FROM conversations)")
 def field_coalesce(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.createDataFrame(_FIELDS, "id int, a string, b string, c string").select("id", X.first_filled(F.col("a"), F.col("b"), F.col("c")).alias("query"))
+    """Fixed cases, and texts of all conversations in one of three fields."""
+    k = F.col("turn") % 3
+    rows = table(spark, sf_dir, "conversations").select(1000 + F.col("conv_id") * 1000 + F.col("turn"), F.when(k == 0, F.col("text")), F.when(k == 1, F.concat(F.lit(" "), "text")).otherwise(F.lit(" ")), "role")
+    return spark.createDataFrame(_FIELDS, "id long, a string, b string, c string").unionAll(rows).select("id", X.first_filled(F.col("a"), F.col("b"), F.col("c")).alias("query"))

@@ -12,13 +12,14 @@ from quarry.functions import providers as M
 from quarry.functions import text as X
 from quarry.operators import chunk as C
 from quarry.operators import corpus as K
+from quarry.operators import generate as G
 from quarry.operators import metrics as E
 from quarry.operators import posttrain as P
 from quarry.operators import retrieve as R
 from quarry.operators import sampling as N
 from quarry.plans.base import WS, query, strip_sql, table
 from quarry.plans.retrieval import tokens_sql
-from quarry.sources import readers, sinks
+from quarry.sources import keyed, readers, sinks
 
 _PAIRS = "(SELECT u.conv_id, u.turn, u.text AS query, a.text AS answer FROM conversations AS u JOIN conversations AS a ON a.conv_id = u.conv_id AND a.turn = u.turn + 1 WHERE u.role = 'user' AND a.role = 'assistant')"
 
@@ -261,6 +262,18 @@ def upsert_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sinks.upsert(old, changed, "doc_id", "seq")
 
 
+@query("SELECT doc_id, CASE WHEN doc_id % 50 = 0 THEN 'new' ELSE lang END AS lang FROM documents UNION ALL SELECT doc_id + 1000000, 'put in' FROM documents WHERE doc_id % 50 = 0")
+def upsert_in_place(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A table in folders by key: changed and new rows replace their folders only."""
+    path, docs = _folder(spark, "keyed"), table(spark, sf_dir, "documents").select("doc_id", "lang")
+    keyed.create(docs, path, "doc_id", 16)
+    some = docs.where("doc_id % 50 = 0")
+    changed = some.select("doc_id", F.explode(F.array(F.lit("old"), F.lit("new"))).alias("lang")).withColumn("seq", F.when(F.col("lang") == "new", 2).otherwise(1))
+    added = some.select(F.col("doc_id") + 1_000_000, F.lit("put in").alias("lang"), F.lit(1).alias("seq"))
+    keyed.upsert(changed.unionAll(added), path, "doc_id", "seq", buckets=16)
+    return keyed.read(spark, path)
+
+
 @query("SELECT doc_id, CASE WHEN doc_id % 2 = 0 THEN 'first' ELSE 'second' END AS run FROM documents")
 def append_and_resume(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, path = table(spark, sf_dir, "documents").select("doc_id"), _folder(spark, "append")
@@ -302,6 +315,38 @@ def candidates_and_verdicts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.select("conv_id", "turn", "cand_a", "cand_b", "verdict")
 
 
+class _Nth:
+    """Answers with the word of the prompt at a place, as a model's JSON with text around it."""
+
+    def __init__(self, place: int) -> None:
+        self.place = place
+
+    def __call__(self, prompts: list[str]) -> list[str]:
+        words = [p.split(" ") for p in prompts]
+        return ['Sure: {"instruction": "%s"}' % w[self.place] if len(w) > self.place and w[self.place].isalnum() else "no" for w in words]
+
+
+_N_WORDS = 60
+
+
+@query(
+    f"""WITH w AS (SELECT item_id, string_split(text, ' ') AS l FROM benchmark),
+r AS (SELECT item_id, k AS round, l[k + 1] AS word FROM (SELECT item_id, l, unnest(range(0, 100)) AS k FROM w) WHERE regexp_full_match(l[k + 1], '[\\p{{L}}\\p{{N}}]{{4,}}')),
+f AS (SELECT word, min(round * 1000000000 + item_id) AS first FROM r GROUP BY word ORDER BY first LIMIT {_N_WORDS})
+SELECT CAST(first // 1000000000 AS INTEGER) AS round, CAST(first % 1000000000 AS BIGINT) AS item_id, word AS instruction FROM f"""
+)
+def generated_until_60(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rounds of generation over all items until there are 60 different valid results."""
+    items = table(spark, sf_dir, "benchmark").select("item_id", "text")
+
+    def propose(k: int) -> DataFrame:
+        raw = M.generate(items, "text", lambda: _Nth(k))
+        return raw.select("item_id", J.json_field(J.json_object(F.col("output"), False), "instruction").alias("instruction")).where(F.length("instruction") >= 4)
+
+    found = G.generate_until(spark, _folder(spark, "rounds"), _N_WORDS, propose, F.col("instruction"), "item_id")
+    return found.select("round", "item_id", "instruction")
+
+
 @query(f"SELECT conv_id, turn, CAST(length(query) - length(answer) AS DOUBLE) AS score FROM {_PAIRS}")
 def cross_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     return M.score_pairs(_pairs(spark, sf_dir), "query", "answer", lambda: _by_length).select("conv_id", "turn", "score")

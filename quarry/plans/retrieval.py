@@ -145,16 +145,20 @@ def rrf_debug(spark: SparkSession, sf_dir: str) -> DataFrame:
     return top.select("query_id", "score", F.col("ranks")["bm25"].alias("bm25_rank"), F.col("ranks")["dense"].alias("dense_rank"), "rank")
 
 
-_FUSION = [("bm25", 0, 1, "a"), ("bm25", 0, 2, "b"), ("bm25", 0, 3, ""), ("bm25", 0, 4, " c　"), ("dense", 1, 1, "c"), ("dense", 1, 2, "a"), ("dense", 1, 3, "b\n"), ("dense", 1, 4, "b")]
+# Two rankings of each item's first words, with a blank, a repeat and spaces around: (source, order, rank, word, before, after)
+_FUSION = [("bm25", 0, 1, 1, "", ""), ("bm25", 0, 2, 2, "", ""), ("bm25", 0, 3, 0, " ", ""), ("bm25", 0, 4, 3, " ", "　"), ("dense", 1, 1, 3, "", ""), ("dense", 1, 2, 1, "", ""), ("dense", 1, 3, 2, "", "\n"), ("dense", 1, 4, 2, "", "")]
+_FUSED_ROWS = f"(SELECT item_id AS query_id, src, src_order, rank, before || CASE WHEN word = 0 THEN '' ELSE string_split(text, ' ')[word] END || after AS text FROM benchmark, {values_sql(['src', 'src_order', 'rank', 'word', 'before', 'after'], _FUSION)})"
 
 
 @query(
-    f"SELECT key, round(sum(1.0::DOUBLE / (60 + rank)), 9) AS score, CAST(row_number() OVER (ORDER BY round(sum(1.0::DOUBLE / (60 + rank)), 9) DESC, min(src_order * 1000 + rank)) AS INTEGER) AS rank"
-    f" FROM (SELECT *, {strip_sql('text')} AS key FROM {values_sql(['src', 'src_order', 'rank', 'text'], _FUSION)}) WHERE key <> '' GROUP BY key"
+    f"SELECT query_id, key, round(sum(1.0::DOUBLE / (60 + rank)), 9) AS score, CAST(row_number() OVER (PARTITION BY query_id ORDER BY round(sum(1.0::DOUBLE / (60 + rank)), 9) DESC, min(src_order * 1000 + rank)) AS INTEGER) AS rank"
+    f" FROM (SELECT *, {strip_sql('text')} AS key FROM {_FUSED_ROWS}) WHERE key <> '' GROUP BY query_id, key"
 )
 def rrf_blanks_and_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = spark.createDataFrame([(1, *r) for r in _FUSION], "query_id int, src string, src_order int, rank int, text string")
-    return R.rrf(rows).select(X.strip(F.col("text")).alias("key"), "score", "rank")
+    places = F.array(*[F.struct(*[F.lit(v).alias(n) for n, v in zip(("src", "src_order", "rank", "word", "before", "after"), r, strict=True)]) for r in _FUSION])
+    rows = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), F.split("text", " ").alias("l"), F.explode(places).alias("p")).select("query_id", "l", "p.*")
+    word = F.when(F.col("word") == 0, F.lit("")).otherwise(F.get("l", F.col("word") - 1))
+    return R.rrf(rows.withColumn("text", F.concat("before", word, "after"))).select("query_id", X.strip(F.col("text")).alias("key"), "score", "rank")
 
 
 _COVER = f"round(CAST(len(list_intersect(list_distinct({tokens_sql('q')}), {tokens_sql('d')})) AS DOUBLE) / len(list_distinct({tokens_sql('q')})), 6)"
@@ -191,6 +195,36 @@ def ir_recall_precision(spark: SparkSession, sf_dir: str) -> DataFrame:
     return m.select("query_id", F.round("context_precision", 6).alias("context_precision"), "context_recall")
 
 
+_WORDS = f"(SELECT query_id, rank, {tokens_sql('d.text')} AS toks FROM {_BM25} JOIN documents AS d USING (doc_id))"
+_CLAIMS = f"""(SELECT query_id, claim, toks, len(toks) AS n, least(len(toks), 3) AS m FROM (SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY i) - 1 AS claim, toks FROM
+ (SELECT query_id, i, {tokens_sql('s')} AS toks FROM (SELECT item_id AS query_id, unnest(l) AS s, generate_subscripts(l, 1) AS i FROM (SELECT item_id, string_split_regex(regexp_replace(text, '([.!?。！？])', '\\1' || chr(10), 'g'), '[\\r\\n]+') AS l FROM benchmark))) WHERE len(toks) > 0))"""
+_ATTRIBUTED = f"""WITH c AS MATERIALIZED (SELECT * FROM {_CLAIMS}),
+w AS MATERIALIZED (SELECT * FROM {_WORDS}),
+g AS (SELECT query_id, claim, n, m, i, list_aggregate(toks[i : i + m - 1], 'string_agg', ' ') AS gram FROM (SELECT *, unnest(range(1, CAST(n - m + 2 AS BIGINT))) AS i FROM c)),
+h AS (SELECT query_id, rank, m, i, list_aggregate(toks[i : i + m - 1], 'string_agg', ' ') AS gram FROM (SELECT *, unnest(range(1, CAST(len(toks) - m + 2 AS BIGINT))) AS i FROM w, (VALUES (1), (2), (3)) AS s(m) WHERE len(toks) >= m)),
+d AS (SELECT g.query_id, claim, rank, h.i - g.i AS diagonal, g.i, g.m, g.i - row_number() OVER (PARTITION BY g.query_id, claim, rank, h.i - g.i ORDER BY g.i) AS island FROM g JOIN h ON h.query_id = g.query_id AND h.m = g.m AND h.gram = g.gram),
+r AS (SELECT query_id, claim, max(words) AS longest FROM (SELECT query_id, claim, count(*) + any_value(m) - 1 AS words FROM d GROUP BY query_id, claim, rank, diagonal, island) GROUP BY ALL),
+a AS (SELECT query_id, claim, n, coalesce(longest, 0) AS longest FROM c LEFT JOIN r USING (query_id, claim))
+SELECT query_id, CAST(claim AS INTEGER) AS claim, CAST(n AS INTEGER) AS n_words, CAST(longest AS BIGINT) AS longest, CAST(longest >= ceil(n * 0.6::DOUBLE) AS INTEGER) AS attributed FROM a"""
+
+
+def _attributed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Claims of each item, sought in the ten documents that BM25 finds for it."""
+    claims = R.claims_of(table(spark, sf_dir, "benchmark"), "item_id")
+    return R.attributed_claims(claims, _with_text(_bm25(spark, sf_dir), spark, sf_dir))
+
+
+@query(_ATTRIBUTED)
+def claims_attributed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _attributed(spark, sf_dir)
+
+
+@query(f"SELECT query_id, count(*) AS claims, sum(attributed)::BIGINT AS attributed, round(avg(attributed), 9) AS context_recall FROM ({_ATTRIBUTED}) GROUP BY query_id")
+def claims_recall(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Context recall of each item: the part of its claims that its contexts bear out."""
+    return _attributed(spark, sf_dir).groupBy("query_id").agg(F.count(F.lit(1)).alias("claims"), F.sum("attributed").alias("attributed"), F.round(F.avg("attributed"), 9).alias("context_recall"))
+
+
 @query()
 def rewrite_rag_offline(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The whole flow with offline stand-ins: rewrite, two rankings, fusion, rerank, prompt, answer, judgement."""
