@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quarry.llm.common import slices, stored
+from quarry.llm.common import crc_sql, slices, stored
 
 BLANK_CHARS = " \t\n\x0b\f\r"
 #: Fixed signs: role initials s, u, a and others (o), in four kinds: sound, truncated, blank, duplicate.
@@ -274,3 +274,45 @@ def repaired_digests(repaired: DataFrame) -> DataFrame:
             yield batch()
 
     return repaired.mapInArrow(run, f"conv_id {kind}, repaired_sha256 string")
+
+
+def _relaxed_sql(costs: str) -> str:
+    """Costs of the four states after up to two insertions."""
+    once = "[least(c[1], 3 + c[3]), least(c[2], 3 + c[3]), least(c[3], 3 + c[4]), least(c[4], 3 + c[3])]"
+    return f"list_transform([list_transform([{costs}], lambda c: {once})[1]], lambda c: {once})[1]"
+
+
+_BARE_SQL = "rtrim(text, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13))"
+_EXTRA_SQL = "(CASE WHEN g <> lower(g) THEN 3 ELSE 0 END)"
+#: Costs before a row with sign g, from the costs n behind it: delete, keep, rerole.
+_STEP_SQL = f"""[least(4 + n[1], CASE lower(g) WHEN 's' THEN n[2] WHEN 'u' THEN n[3] ELSE 99999999 END + {_EXTRA_SQL}, CASE WHEN g <> 'x' THEN n[3] + 3 + {_EXTRA_SQL} ELSE 99999999 END),
+ least(4 + n[2], CASE lower(g) WHEN 'u' THEN n[3] ELSE 99999999 END + {_EXTRA_SQL}, CASE WHEN g <> 'x' THEN n[3] + 3 + {_EXTRA_SQL} ELSE 99999999 END),
+ least(4 + n[3], CASE lower(g) WHEN 'a' THEN n[4] ELSE 99999999 END + {_EXTRA_SQL}, CASE WHEN g <> 'x' THEN n[4] + 3 + {_EXTRA_SQL} ELSE 99999999 END),
+ least(4 + n[4], CASE lower(g) WHEN 'u' THEN n[3] ELSE 99999999 END + {_EXTRA_SQL}, CASE WHEN g <> 'x' THEN n[3] + 3 + {_EXTRA_SQL} ELSE 99999999 END)]"""
+ORACLE_SQL = f"""
+WITH RECURSIVE s AS (SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text, {crc_sql("(coalesce(CAST(conv_id AS VARCHAR), ' ') || ':' || coalesce(CAST(turn AS VARCHAR), ' '))")} % 20 AS k FROM conversations),
+d AS (SELECT conv_id, turn, CASE WHEN k = 4 THEN 'user' ELSE role END AS role, CASE k WHEN 1 THEN '' WHEN 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text FROM s, (VALUES (1), (2)) AS t(times) WHERE k <> 0 AND (times = 1 OR k = 3)),
+o AS (SELECT *, {_BARE_SQL} AS bare, CASE WHEN left(role, 1) IN ('s', 'u', 'a') THEN left(role, 1) ELSE 'o' END AS r, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, sha256(octet_length(encode(role)) || ':' || role || text)) AS i FROM d),
+f AS MATERIALIZED (SELECT *, CASE WHEN bare = '' THEN 'b' WHEN row_number() OVER (PARTITION BY conv_id, role, text ORDER BY i) > 1 THEN 'd' WHEN right(bare, 1) NOT IN ('.', '!', '?') THEN 't' ELSE '' END AS fault,
+  lag(r) OVER (PARTITION BY conv_id ORDER BY i) || r AS pair FROM o),
+g AS MATERIALIZED (SELECT conv_id, list(CASE WHEN fault IN ('b', 'd') THEN 'x' WHEN fault = 't' THEN upper(r) ELSE r END ORDER BY i) AS sig, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps,
+  count_if(fault = 'b') AS blank, count_if(fault = 'd') AS duplicate, count_if(fault = 't') AS truncated, count_if(pair NOT IN ('su', 'ua', 'au')) AS illegal FROM f GROUP BY conv_id),
+sigs AS MATERIALIZED (SELECT DISTINCT sig FROM g),
+c AS (SELECT sig, len(sig) + 1 AS i, {_relaxed_sql('[0, 99999999, 99999999, 0]')} AS n FROM sigs
+  UNION ALL SELECT sig, i - 1, {_relaxed_sql(_STEP_SQL)} FROM (SELECT sig, i, n, sig[i - 1] AS g FROM c WHERE i > 1)),
+cost AS MATERIALIZED (SELECT * FROM c),
+w AS (SELECT sig, CAST(1 AS BIGINT) AS i, 0 AS st, n[1] AS rest, '' AS audit FROM cost WHERE i = 1
+  UNION ALL SELECT sig, CASE WHEN e = 'I' THEN i ELSE i + 1 END, CASE e WHEN 'D' THEN st WHEN 'K' THEN CASE lower(g) WHEN 's' THEN 1 WHEN 'u' THEN 2 ELSE 3 END ELSE nx END, rest - CASE e WHEN 'D' THEN 4 WHEN 'I' THEN 3 WHEN 'K' THEN x ELSE 3 + x END, audit || e FROM
+  (SELECT *, CASE WHEN g IS NOT NULL AND 4 + after[st + 1] = rest THEN 'D' WHEN 3 + now[nx + 1] = rest THEN 'I'
+     WHEN (lower(g) = 's' AND st = 0 AND x + after[2] = rest) OR (lower(g) = 'u' AND st <> 2 AND x + after[3] = rest) OR (lower(g) = 'a' AND st = 2 AND x + after[4] = rest) THEN 'K' ELSE 'R' END AS e FROM
+   (SELECT w.*, w.sig[w.i] AS g, CASE WHEN w.sig[w.i] <> lower(w.sig[w.i]) THEN 3 ELSE 0 END AS x, CASE st WHEN 2 THEN 3 ELSE 2 END AS nx, a.n AS now, b.n AS after
+    FROM w JOIN cost AS a ON a.sig = w.sig AND a.i = w.i LEFT JOIN cost AS b ON b.sig = w.sig AND b.i = w.i + 1 WHERE w.rest > 0 OR w.i <= len(w.sig) OR w.st NOT IN (0, 3)))),
+audits AS MATERIALIZED (SELECT sig, arg_max(audit, length(audit)) AS audit FROM w GROUP BY sig),
+e AS (SELECT sig, j, edit, CAST(sum(CAST(edit <> 'I' AS INTEGER)) OVER (PARTITION BY sig ORDER BY j) AS BIGINT) AS i, sum(CAST(edit <> 'D' AS INTEGER)) OVER (PARTITION BY sig ORDER BY j) AS p FROM (SELECT sig, unnest(string_split(audit, '')) AS edit, generate_subscripts(string_split(audit, ''), 1) AS j FROM audits WHERE audit <> '')),
+first AS (SELECT sig, max(CASE WHEN edit = 'K' AND lower(sig[i]) = 's' THEN 1 ELSE 0 END) AS system FROM e WHERE p = 1 AND edit <> 'D' GROUP BY sig),
+lines AS (SELECT g.conv_id, sha256(string_agg(CASE WHEN edit = 'K' THEN f.role WHEN (p - system) % 2 = 1 THEN 'user' ELSE 'assistant' END || ':' || CASE WHEN edit = 'I' THEN '' ELSE f.text END, chr(10) ORDER BY j)) AS digest
+  FROM g JOIN e ON e.sig = g.sig AND edit <> 'D' JOIN first ON first.sig = g.sig LEFT JOIN f ON f.conv_id IS NOT DISTINCT FROM g.conv_id AND f.i = e.i AND edit <> 'I' GROUP BY g.conv_id)
+SELECT a.conv_id, coalesce(g.gaps, 0)::BIGINT AS gaps, coalesce(g.blank, 0)::BIGINT AS blank, coalesce(g.duplicate, 0)::BIGINT AS duplicate, coalesce(g.truncated, 0)::BIGINT AS truncated, coalesce(g.illegal, 0)::BIGINT AS illegal,
+  coalesce(cost.n[1], 0)::BIGINT AS cost, coalesce(audits.audit, '') AS audit, coalesce(lines.digest, sha256('')) AS repaired_sha256
+FROM (SELECT DISTINCT conv_id FROM conversations) AS a LEFT JOIN g ON g.conv_id IS NOT DISTINCT FROM a.conv_id LEFT JOIN audits ON audits.sig = g.sig LEFT JOIN cost ON cost.sig = g.sig AND cost.i = 1 LEFT JOIN lines ON lines.conv_id IS NOT DISTINCT FROM a.conv_id
+"""

@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quarry.llm.common import Shipped, stored
+from quarry.llm.common import Shipped, crc_sql, stored
 from quarry.operators.order import numbered
 from quarry.operators.retrieve import small
 
@@ -205,12 +205,6 @@ def tampered(docs: DataFrame) -> dict[str, Column]:
     return {"n_chars": F.when(hit, F.col("n_chars").cast("decimal(20,0)") + 1).otherwise(F.col("n_chars").cast("decimal(20,0)"))}
 
 
-def _crc_sql(text: str) -> str:
-    """DuckDB SQL for the unsigned crc32 of an ASCII text."""
-    step = "list_reduce([xor(c, b)] || CAST(range(8) AS BIGINT[]), lambda x, i: CASE WHEN x % 2 = 1 THEN xor(x // 2, 3988292384) ELSE x // 2 END)"
-    return f"xor(list_reduce([4294967295] || list_transform(string_split({text}, ''), lambda s: CAST(ascii(s) AS BIGINT)), lambda c, b: {step}), 4294967295)"
-
-
 def _field_sql(c: str) -> str:
     return f"CASE WHEN {c} IS NULL THEN '-' ELSE octet_length(encode(CAST({c} AS VARCHAR))) || ':' || CAST({c} AS VARCHAR) END"
 
@@ -227,7 +221,7 @@ UNION ALL SELECT tree, lv + 1, idx // 2, sha256(string_agg(h, '' ORDER BY idx)),
 
 ORACLE_SQL = f"""
 WITH RECURSIVE d AS (SELECT doc_id, CASE WHEN lang IS NULL THEN '' ELSE '+' || lang END AS tree, {_leaf_sql('n_chars')} AS leaf,
-  {_leaf_sql('(n_chars + CASE WHEN ' + _crc_sql('CAST(doc_id AS VARCHAR)') + ' % 7 = 0 THEN 1 ELSE 0 END)')} AS claimed FROM documents),
+  {_leaf_sql('(n_chars + CASE WHEN ' + crc_sql('CAST(doc_id AS VARCHAR)') + ' % 7 = 0 THEN 1 ELSE 0 END)')} AS claimed FROM documents),
 r AS MATERIALIZED (SELECT *, row_number() OVER w - 1 AS idx, leaf AS h, count(*) OVER (PARTITION BY tree) AS n FROM d WINDOW w AS (PARTITION BY tree ORDER BY doc_id NULLS FIRST, leaf)),
 one AS MATERIALIZED (WITH RECURSIVE t AS ({_levels_sql('r')}) SELECT * FROM t),
 s AS MATERIALIZED (SELECT '' AS tree, tree AS grp, h, row_number() OVER (ORDER BY encode(tree)) - 1 AS idx, count(*) OVER () AS n FROM one WHERE n = 1),

@@ -97,4 +97,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_decontaminate": decontaminate.ORACLE_SQL, "op6_warc": warc.ORACLE_SQL, "op11_merkle": merkle.ORACLE_SQL}
+    return {"op2_decontaminate": decontaminate.ORACLE_SQL, "op6_warc": warc.ORACLE_SQL, "op11_merkle": merkle.ORACLE_SQL, "op13_conversations": conversations.ORACLE_SQL}
