@@ -2,14 +2,10 @@
 
 from __future__ import annotations
 
-import json
-import re
 from functools import reduce
 
-import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from quarry.functions.text import first_filled, remove_invisible, squeeze, strip
 
@@ -44,51 +40,37 @@ def json_field(obj: Column, name: str) -> Column:
     return F.coalesce(F.get_json_object(obj, f"$['{name}']"), F.lit(""))
 
 
-def balanced_object(text: str | None) -> str | None:
-    """The first {...} whose brackets balance, quotes not looked at."""
-    depth, start = 0, -1
-    for m in re.finditer(r"[{}]", text or ""):
-        if m[0] == "{":
-            start, depth = (m.start(), 1) if start < 0 else (start, depth + 1)
-        elif start >= 0:
-            depth -= 1
-            if not depth:
-                return text[start : m.end()]
-    return None
+def balanced(c: Column) -> Column:
+    """The first {...} whose brackets balance, quotes not looked at; null without. A fold over the text cut at its brackets."""
+    state = lambda text, depth, done: F.struct(text.alias("text"), depth.cast("int").alias("depth"), done.alias("done"))
 
+    def step(held: Column, piece: Column) -> Column:
+        depth = held["depth"] + F.when(piece == "{", 1).when((piece == "}") & (held["depth"] > 0), -1).otherwise(0)
+        begun = (held["depth"] > 0) | (piece == "{")
+        parts = F.when(begun, F.concat(held["text"], F.array(piece))).otherwise(held["text"])
+        return F.when(held["done"], held).otherwise(state(parts, depth, (piece == "}") & (held["depth"] == 1)))
 
-# Fixed pairs of typographic quotes and the plain ones
-QUOTES = str.maketrans({"“": '"', "”": '"', "‘": "'", "’": "'"})
-
+    pieces = F.regexp_extract_all(c, F.lit(r"[{}]|[^{}]+"), F.lit(0))
+    begin = state(F.array().cast("array<string>"), F.lit(0), F.lit(False))
+    return F.aggregate(pieces, begin, step, lambda held: F.when(held["done"], F.array_join(held["text"], "")))
 
-def lenient_json(text: str | None) -> dict | list | None:
-    """JSON with a code fence, typographic or single quotes, or text after its end."""
-    s = re.sub(r"\s*```$", "", re.sub(r"(?i)^```(?:json)?\s*", "", (text or "").strip())).translate(QUOTES)
-    s = s[: s.rfind("}") + 1] or s
-    for attempt in (s, s.replace("'", '"') if '"' not in s else None):
-        try:
-            return json.loads(attempt) if attempt else None
-        except json.JSONDecodeError:
-            continue
-    return None
 
+# Fixed pairs of typographic quotes and the plain ones
+QUOTES = ("“”‘’", "\"\"''")
 
-@F.pandas_udf(T.StringType())
-def lenient_object(c: pd.Series) -> pd.Series:
-    """The first balanced object, else the whole text, leniently parsed; as strict JSON, or null. A regex can't balance brackets."""
-
-    def one(text: str | None) -> str | None:
-        found = lenient_json(balanced_object(text)) if text else None
-        found = found if found is not None else lenient_json(text)
-        return json.dumps(found, ensure_ascii=False, separators=(",", ":")) if isinstance(found, dict) else None
 
-    return c.map(one)
+def _lenient(c: Column) -> Column:
+    """The text as a JSON object, if it is one but for a code fence, typographic or single quotes, or what stands behind its end; else null."""
+    bare = F.regexp_replace(F.regexp_replace(strip(c), r"\A(?i:```(?:json)?)\s*", ""), r"\s*```\z", "")
+    plain = F.translate(bare, *QUOTES)
+    ended = F.regexp_extract(plain, r"(?s)\A.*\}", 0)
+    single = F.when(~F.contains(ended, F.lit('"')), F.replace(ended, F.lit("'"), F.lit('"')))
+    return F.when(is_json_object(ended), ended).when(is_json_object(single), single)
 
 
-@F.pandas_udf(T.StringType())
-def balanced(c: pd.Series) -> pd.Series:
-    """The first {...} whose brackets balance; null without. A regex can't balance brackets."""
-    return c.map(balanced_object)
+def lenient_object(c: Column) -> Column:
+    """The first balanced object, else the whole text, as a strict JSON object, or null."""
+    return F.coalesce(_lenient(balanced(c)), _lenient(c))
 
 
 def normalise_qa(query: Column, answer: Column) -> Column:

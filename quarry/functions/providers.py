@@ -219,6 +219,26 @@ def token_counter(make: Callable[[], Callable[[list[str]], list[int]]]):
     return run
 
 
+def tokenizer_counts(path: str, batch: int = 512):
+    """Token counts by a tokenizer file (without special tokens), for token_counter."""
+
+    def make() -> Callable[[list[str]], list[int]]:
+        import os
+
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"
+        from tokenizers import Tokenizer
+
+        tokenizer = Tokenizer.from_file(path)
+
+        def count(texts: list[str]) -> list[int]:
+            parts = (texts[i : i + batch] for i in range(0, len(texts), batch))
+            return [len(x) for some in parts for x in tokenizer.encode_batch_fast(some, add_special_tokens=False)]
+
+        return count
+
+    return token_counter(make)
+
+
 def progress(df: DataFrame, error: str | None = None, name: str = "progress") -> tuple[DataFrame, Observation]:
     """df, and an observation of its rows and errors, that is there when an action on df has run."""
     seen = Observation(name)

@@ -59,14 +59,27 @@ def path_columns(df: DataFrame, path_col: str, root: str) -> DataFrame:
     return out.withColumns({"title": X.title_of(F.element_at(F.split("rel_path", "/"), -1)), "law_group": X.path_group(F.col("rel_path")), "doc_id": X.short_sha1(F.col("rel_path"), 12)})
 
 
+def _digest(value: str) -> Column:
+    """Stands for a text of any length as a key; null is a value of its own."""
+    return F.coalesce(F.sha2(F.encode(F.col(value).cast("string"), "utf-8"), 256), F.lit(""))
+
+
 def ordered_distinct(df: DataFrame, value: str, position: str) -> DataFrame:
-    """Each value once, with the position where it came first; partial minima before the shuffle."""
-    return df.groupBy(value).agg(F.min(position).alias(position))
+    """Each value once, with the position where it came first.
+
+    Rows are compared by digests; a task keeps the first row of each before the shuffle, so a text that many
+    rows share moves once a task.
+    """
+    rows = df.select(value, position, _digest(value).alias("_digest"))
+    return first_wins(rows, F.col("_digest"), F.col(position)).select(value, position)
 
 
 def distinct_until(df: DataFrame, value: str, position: str, n: int) -> DataFrame:
-    """The first n different values by the position where each came first; a top-k plan."""
-    return ordered_distinct(df, value, position).orderBy(position, value).limit(n)
+    """The first n different values by the position where each came first: digests find them, and only these n texts are looked up."""
+    rows = df.select(value, position, _digest(value).alias("_digest"))
+    firsts = rows.groupBy("_digest").agg(F.min(position).alias(position)).orderBy(position, "_digest").limit(n)
+    found = rows.join(F.broadcast(firsts), ["_digest", position])
+    return first_wins(found, F.col("_digest"), F.col(position)).select(value, position)
 
 
 def head(df: DataFrame, n: int, *order: str | Column) -> DataFrame:

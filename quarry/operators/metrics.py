@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from quarry.operators.order import running_sums
+
 
 def label_counts(df: DataFrame, label: str) -> DataFrame:
     return df.groupBy(label).agg(F.count(F.lit(1)).alias("n"))
@@ -77,12 +79,12 @@ def running_rate(df: DataFrame, flag: Column, position: str, by: str) -> DataFra
 def running_every(df: DataFrame, flag: Column, position: str, every: int, warn: float = 0.3) -> DataFrame:
     """(upto, seen, rate, warned): the share of flagged rows after every so many positions (from 1), and whether it is above warn.
 
-    Rows are summed by stretches first; only their sums, a row for each stretch, are run through.
+    Rows are summed by stretches first; these sums, a row for each stretch, are run through by partitions of their range.
     """
     stretch = F.floor((F.col(position) - 1) / every).cast("long")
     sums = df.groupBy(stretch.alias("s")).agg(F.count(F.lit(1)).alias("n"), F.count_if(flag).alias("k"), F.max(position).alias("upto"))
-    w = Window.orderBy("s").rowsBetween(Window.unboundedPreceding, 0)
-    out = sums.select("upto", F.sum("n").over(w).alias("seen"), _ratio(F.sum("k").over(w), F.sum("n").over(w)).alias("rate"))
+    run = running_sums(sums, ["s"], {"seen": "n", "hits": "k"})
+    out = run.select("upto", "seen", _ratio(F.col("hits"), F.col("seen")).alias("rate"))
     return out.withColumn("warned", F.col("rate") > warn)
 
 

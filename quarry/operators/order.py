@@ -43,3 +43,19 @@ def numbered(df: DataFrame, order: list[str], within: list[str] | tuple[str, ...
         out = out.withColumn(total, F.col("_total"))
     return out.drop("_part", "_at", "_of", *own.values(), "_start", "_before", "_total")
 
+
+def running_sums(df: DataFrame, order: list[str], sums: dict[str, str]) -> DataFrame:
+    """df with running sums of columns (name -> column) by an order that tells rows apart; null counts as 0.
+
+    Like numbered(): partitions by range, whose totals (a row for each) give what lies before, so no task holds all rows.
+    """
+    spark = df.sparkSession
+    placed = scratch(df.repartitionByRange(*order).withColumn("_part", F.spark_partition_id()), "running")
+    totals = placed.groupBy("_part").agg(*[F.coalesce(F.sum(c), F.lit(0)).cast("long").alias(n) for n, c in sums.items()])
+    found = sorted(map(tuple, totals.collect()))
+    before = [list(accumulate((r[k + 1] for r in found), initial=0)) for k in range(len(sums))]
+    known = spark.createDataFrame([(r[0], *[b[i] for b in before]) for i, r in enumerate(found)], "_part int, " + ", ".join(f"_before{k} long" for k in range(len(sums))))
+    w = Window.partitionBy("_part").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    out = placed.join(F.broadcast(known), "_part")
+    out = out.withColumns({n: F.coalesce(F.sum(c).over(w), F.lit(0)) + F.col(f"_before{k}") for k, (n, c) in enumerate(sums.items())})
+    return out.drop("_part", *[f"_before{k}" for k in range(len(sums))])

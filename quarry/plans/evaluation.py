@@ -205,9 +205,12 @@ def length_hist(spark: SparkSession, sf_dir: str) -> DataFrame:
 _TOK = "len(list_filter(regexp_split_to_array({0}, '[\\s\\x0b]+'), lambda x: x <> ''))"
 
 
-@query(f"SELECT conv_id, turn, {_TOK.format('query')} AS prompt_tokens, {_TOK.format('answer')} AS chosen_tokens, {_TOK.format('query')} + {_TOK.format('answer')} AS prompt_chosen_tokens FROM {_PAIRS}")
+_BRIEF = "(CASE WHEN turn % 4 = 1 THEN 2 ELSE 0 END)"  # some prompts have an input, `Be brief.`
+
+
+@query(f"SELECT conv_id, turn, {_TOK.format('query')} + {_BRIEF} AS prompt_tokens, {_TOK.format('answer')} AS chosen_tokens, {_TOK.format('query')} + {_BRIEF} + {_TOK.format('answer')} AS prompt_chosen_tokens FROM {_PAIRS}")
 def token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = qa_pairs(spark, sf_dir).select("conv_id", "turn", F.col("query").alias("instruction"), F.lit("").alias("input"), F.col("answer").alias("chosen"), F.col("query").alias("rejected"))
+    rows = qa_pairs(spark, sf_dir).select("conv_id", "turn", F.col("query").alias("instruction"), F.when(F.col("turn") % 4 == 1, "Be brief.").otherwise("").alias("input"), F.col("answer").alias("chosen"), F.col("query").alias("rejected"))
     t = P.token_counts(rows, M.whitespace_tokens)
     return t.select("conv_id", "turn", *[F.col(c).cast("long").alias(c) for c in ("prompt_tokens", "chosen_tokens", "prompt_chosen_tokens")])
 

@@ -285,7 +285,7 @@ def append_and_resume(spark: SparkSession, sf_dir: str) -> DataFrame:
 def results_by_parameters(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = _folder(spark, "parameters")
     sinks.by_parameters(table(spark, sf_dir, "benchmark").select("item_id"), path, topk=10, retriever="bm25")
-    return sinks.cached(spark.read.parquet(path), _folder(spark, "cached"))
+    return sinks.cached(spark.read.parquet(path), _folder(spark, "cached"), topk=10)
 
 
 # Providers with plain stand-ins
@@ -361,3 +361,144 @@ def counted_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("SELECT item_id, 'x|' || text AS output FROM benchmark")
 def generated_until_valid(spark: SparkSession, sf_dir: str) -> DataFrame:
     return M.generate_valid(table(spark, sf_dir, "benchmark").select("item_id", "text"), "text", lambda: _Echo("x"), lambda t: t.startswith("x|")).select("item_id", "output")
+
+
+def _two_numbers(texts: list[str]) -> list[list[float]]:
+    return [[float(len(t)), float(t.count("e"))] for t in texts]
+
+
+@query("SELECT item_id, CAST(length(text) AS DOUBLE) AS length, CAST(length(text) - length(replace(text, 'e', '')) AS DOUBLE) AS es FROM benchmark")
+def embedded_items(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """An embedding provider called in batches, each text with its own vector."""
+    v = M.embed(lambda: _two_numbers, 7)(F.col("text"))
+    return table(spark, sf_dir, "benchmark").select("item_id", v.alias("v")).select("item_id", F.col("v")[0].cast("double").alias("length"), F.col("v")[1].cast("double").alias("es"))
+
+
+_POOLED = "list_transform(range(1, 9), lambda j: (e[j] + e[16 + j] + e[48 + j]) / 3)"
+
+
+@query(f"SELECT vec_id, round(sqrt(list_sum(list_transform(p, lambda x: x * x))), 6) AS norm, round(p[1] / sqrt(list_sum(list_transform(p, lambda x: x * x))), 6) AS first FROM (SELECT vec_id, {_POOLED} AS p FROM (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings))")
+def pooled_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A vector as eight token vectors of eight numbers, of which a mask keeps three: their mean, and its length and direction."""
+    tokens = F.transform(F.sequence(F.lit(0), F.lit(7)), lambda i: F.slice("embedding", i * 8 + 1, 8))
+    pooled = table(spark, sf_dir, "embeddings").select("vec_id", M.mean_pool(tokens, F.array(*map(F.lit, (1, 0, 1, 0, 0, 0, 1, 0)))).alias("p"))
+    norm = F.sqrt(F.aggregate("p", F.lit(0.0), lambda s, x: s + x * x))
+    return pooled.select("vec_id", F.round(norm, 6).alias("norm"), F.round(M.l2_normalise(F.col("p"))[0], 6).alias("first"))
+
+
+def _by_digits(prompts: list[str]) -> list[str]:
+    return ["label: %d" % (len(p) % 2) if len(p) % 3 else "none" for p in prompts]
+
+
+_JUDGED_LENGTH = "(length(query) + length(answer) + 9)"
+
+
+@query(f"SELECT conv_id, turn, CASE WHEN {_JUDGED_LENGTH} % 3 > 0 THEN 'label: ' || ({_JUDGED_LENGTH} % 2) ELSE 'none' END AS judge_raw, CASE WHEN {_JUDGED_LENGTH} % 3 > 0 THEN CAST({_JUDGED_LENGTH} % 2 AS INTEGER) END AS judge_label FROM {_PAIRS}")
+def judged_answers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Answers judged 1, 0 or not at all, by a provider asked with a rendered template."""
+    rows = _pairs(spark, sf_dir).withColumn("LLM_answer", F.lit("same"))
+    return M.judge(rows, "{query}\n{answer}\n= {LLM_answer}?", lambda: _by_digits).select("conv_id", "turn", "judge_raw", "judge_label")
+
+
+@query(
+    f"SELECT 'law/g' || page_id % 7 || '/' || title || '（2020-01-02）.md' AS rel_path, title, 'g' || page_id % 7 AS law_group, left(sha1('law/g' || page_id % 7 || '/' || title || '（2020-01-02）.md'), 12) AS doc_id, md5('第一条 ' || coalesce(html, '')) AS text_md5,"
+    " sha1(encode('第一条 ' || coalesce(html, '')) || '\\xFF'::BLOB) AS file_sha1 FROM (SELECT *, '法' || page_id AS title FROM pages)"
+)
+def markdown_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A tree of Markdown files, one for each page, with a byte that is no UTF-8, beside hidden and other files."""
+    root = _folder(spark, "tree")
+    group, title = F.concat(F.lit("g"), (F.col("page_id") % 7).cast("string")), F.concat(F.lit("法"), F.col("page_id").cast("string"))
+    content = F.concat(F.encode(F.concat(F.lit("第一条 "), F.coalesce("html", F.lit(""))), "utf-8"), F.unhex(F.lit("FF")))
+    pages = table(spark, sf_dir, "pages").select(group.alias("g"), title.alias("t"), content.alias("content"))
+    sinks.files(pages.select(F.concat(F.lit("nested/law/"), "g", F.lit("/"), "t", F.lit("（2020-01-02）.md")).alias("path"), "content"), root)
+    sinks.files(pages.limit(3).select(F.concat(F.lit("nested/law/.git/"), "t", F.lit(".md")).alias("path"), "content"), root)
+    sinks.files(pages.limit(3).select(F.concat(F.lit("nested/law/"), "t", F.lit(".txt")).alias("path"), "content"), root)
+    found = readers.markdown_tree(spark, readers.nested_root(spark, root, "nested"))
+    return found.select("rel_path", "title", "law_group", "doc_id", F.md5("text").alias("text_md5"), "file_sha1")
+
+
+@query("SELECT event_type, event_id, event_type || '_' || (event_id // 100) || '.jsonl' AS file_name FROM events WHERE event_type IN ('click', 'view') AND event_id % 10 <> 0")
+def labelled_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Files named by label, of which rows with another label, broken lines and files of other labels are left out."""
+    folder = _folder(spark, "labelled")
+    label = F.when(F.col("event_id") % 10 == 0, F.lit("other")).otherwise(F.col("event_type"))
+    line = F.to_json(F.struct(label.alias("event_type"), "event_id"))
+    lines = table(spark, sf_dir, "events").select("event_type", F.floor(F.col("event_id") / 100).alias("part"), "event_id", F.when(F.col("event_id") % 20 == 0, F.concat(line, line)).otherwise(line).alias("line"))
+    whole = lines.groupBy("event_type", "part").agg(F.array_join(F.array_sort(F.collect_list("line")), "\n").alias("content"))  # a hundred lines at most
+    sinks.files(whole.select(F.concat("event_type", F.lit("_"), F.col("part").cast("string"), F.lit(".jsonl")).alias("path"), "content"), folder)
+    schema = T.StructType([T.StructField("event_type", T.StringType()), T.StructField("event_id", T.LongType())])
+    return readers.partitioned_jsonl(spark, folder, {"click": "click", "view": "view"}, schema, "event_type")
+
+
+@query("SELECT count(*) AS rows FROM benchmark")
+def checked_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A table whose columns and number of rows are checked where it is used."""
+    items = K.require_columns(table(spark, sf_dir, "benchmark"), "item_id", "text")
+    return K.require_count(items, items.count()).agg(F.count(F.lit(1)).alias("rows"))
+
+
+@query("SELECT item_id, 'Ask: ' || text || chr(10) || '{{kept}} and {other}' AS prompt FROM benchmark")
+def prompts_of_a_template(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A template read from a file, its place checked and filled."""
+    folder = _folder(spark, "template")
+    sinks.files(spark.createDataFrame([("ask.txt", "Ask: {text}\n{{{{kept}}}} and {other}")], "path string, content string").select("path", F.encode("content", "utf-8").alias("content")), folder)
+    template = readers.template(spark, f"{folder}/ask.txt", ["{text}"])
+    return table(spark, sf_dir, "benchmark").select("item_id", X.render(template, {"text": F.col("text")}).alias("prompt"))
+
+
+class _Failing:
+    """Fails for every prompt once, and for some always."""
+
+    def __init__(self) -> None:
+        self.asked: set[str] = set()
+
+    def __call__(self, prompts: list[str]) -> list[str]:
+        return [x for x in self.each(prompts) if isinstance(x, str)]
+
+    def each(self, prompts: list[str]) -> list[str | Exception]:
+        first = [p for p in prompts if p not in self.asked]
+        self.asked.update(first)
+        return [ValueError(f"{len(p)} characters") if p in first or len(p) % 5 == 0 else f"<{p}>" for p in prompts]
+
+
+@query("SELECT item_id, CASE WHEN length(text) % 5 = 0 THEN '' ELSE '<' || text || '>' END AS output, CASE WHEN length(text) % 5 = 0 THEN 'ValueError: ' || length(text) || ' characters' END AS error FROM benchmark")
+def retried_prompts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Prompts asked in batches of three at a rate for the whole job, each again until it is answered or given up."""
+    items = table(spark, sf_dir, "benchmark").select("item_id", "text")
+    return M.generate(items, "text", _Failing, batch=3, retry=M.Retry(3, 0.0), pace=M.Pace(1000, 4)).select("item_id", "output", "error")
+
+
+@query("SELECT count(*) AS rows, count_if(length(text) % 5 = 0)::BIGINT AS errors, count(*) AS timed FROM benchmark")
+def progress_of_a_run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows and errors as an observation saw them while the rows were written, and as the timed run counted them."""
+    path = _folder(spark, "progress")
+    seen, told = M.progress(retried_prompts(spark, sf_dir), "error", f"progress-{path[-8:]}")
+
+    def run() -> int:
+        seen.write.parquet(path)
+        return spark.read.parquet(path).count()
+
+    timed = M.throughput(run)
+    return spark.createDataFrame([(told.get["rows"], told.get["errors"], timed["rows"])], "rows long, errors long, timed long")
+
+
+def _tokenizer() -> str | None:
+    """A public tokenizer's file, where the machine has one."""
+    try:
+        import public_tokenizers
+    except ImportError:
+        return None
+    return public_tokenizers.path("byte_bpe_50k.json")
+
+
+if _tokenizer():
+
+    @query()
+    def tokenizer_lengths(spark: SparkSession, sf_dir: str) -> DataFrame:
+        """Token counts of prompts and answers by a tokenizer, and their summary for each field."""
+        count = M.tokenizer_counts(_tokenizer())
+        rows = _pairs(spark, sf_dir).select("conv_id", "turn", F.col("query").alias("instruction"), F.lit("Be brief.").alias("input"), F.col("answer").alias("chosen"), F.col("query").alias("rejected"))
+        counted = P.token_counts(rows, count)
+        fields = ("prompt_tokens", "chosen_tokens", "rejected_tokens", "prompt_chosen_tokens", "prompt_rejected_tokens")
+        long = counted.select(F.explode(F.array(*[F.struct(F.lit(f).alias("field"), F.col(f).alias("n")) for f in fields])).alias("x")).select("x.*")
+        return E.length_summary(long, "n", "field")

@@ -41,9 +41,22 @@ def json_document(df: DataFrame, path: str, order: list[str] | None = None) -> N
     rows.mapInArrow(run, "value string").write.mode("overwrite").text(path)
 
 
-def cached(df: DataFrame, path: str, refresh: bool = False) -> DataFrame:
-    """The table at path; written from df first, if it isn't there (contexts of a retrieval, say, that many evaluations read)."""
+def cache_key(df: DataFrame, **parameters: object) -> str:
+    """A name for what df computes with these parameters: its plan, schema and parameters, not its rows."""
+    from hashlib import md5
+
+    told = [str(df.semanticHash()), df.schema.json(), *(f"{k}={parameters[k]!r}" for k in sorted(parameters))]
+    return md5("|".join(told).encode()).hexdigest()
+
+
+def cached(df: DataFrame, path: str, refresh: bool = False, **parameters: object) -> DataFrame:
+    """The table that df gave before, kept in a folder of path for each plan and parameters; written first, if it isn't there.
+
+    So contexts of a retrieval can be read by many evaluations, and another query, setting or model never gets them.
+    Whoever changes the rows behind a plan passes a version among the parameters, or refresh.
+    """
     spark = df.sparkSession
+    path = f"{path.rstrip('/')}/{cache_key(df, **parameters)}"
     if refresh or not exists(spark, f"{path}/_SUCCESS"):
         df.write.mode("overwrite").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
@@ -104,6 +117,38 @@ def append_missing(todo: DataFrame, path: str, key: str, transform) -> DataFrame
     return spark.read.parquet(path)
 
 
+def files(df: DataFrame, folder: str, path_col: str = "path", content_col: str = "content") -> int:
+    """One file for each row, under its path below the folder, with the bytes of its content; returns their number.
+
+    Files are reached by pyarrow's file systems. A file gets its name when it is whole, so tasks may run again.
+    """
+    from collections.abc import Iterator
+
+    import pyarrow as pa
+
+    from quarry.sources.arrays import opened
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import os
+
+        target, base = opened(folder)
+        n = 0
+        for b in batches:
+            for path, content in zip(b.column("path").to_pylist(), b.column("content").to_pylist(), strict=True):
+                whole = f"{base.rstrip('/')}/{path}"
+                parent, name = whole.rsplit("/", 1)
+                target.create_dir(parent, recursive=True)
+                own = f"{parent}/.{name}.{os.getpid()}"
+                with target.open_output_stream(own) as out:
+                    out.write(content or b"")
+                target.move(own, whole)
+                n += 1
+        yield pa.RecordBatch.from_arrays([pa.array([n], pa.int64())], ["n"])
+
+    rows = df.select(F.col(path_col).alias("path"), F.col(content_col).cast("binary").alias("content"))
+    return rows.mapInArrow(run, "n long").agg(F.sum("n")).first()[0] or 0
+
+
 def by_parameters(df: DataFrame, path: str, **parameters: object) -> None:
     """Results with their parameters as columns that name the folders."""
     for k, v in parameters.items():

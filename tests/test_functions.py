@@ -44,10 +44,13 @@ def test_json(spark):
     assert one(spark, '{"better":"a"}', J.better_of_two) == "A"
     assert one(spark, 'x {"better":"B"} y', J.better_of_two) == "B"
     assert one(spark, '{"a":1}{"a":2}', J.json_object) is None
-    assert J.balanced_object('a {"x": {"y": 1}} {') == '{"x": {"y": 1}}'
-    assert J.lenient_json("```json\n{“a”: 1} trailing\n```") == {"a": 1}
-    assert J.lenient_json("{'a': 1}") == {"a": 1}
-    assert J.lenient_json("nothing") is None
+    for text, want in (('a {"x": {"y": 1}} {', '{"x": {"y": 1}}'), ("} {a{b}c}{", "{a{b}c}"), ("{ {", None), ("", None), (None, None), ("no", None), ("}{}{}", "{}")):
+        assert one(spark, text, J.balanced) == want
+    lenient = lambda t: (lambda x: None if x is None else json.loads(x))(one(spark, t, J.lenient_object))
+    assert lenient("```json\n{“a”: 1} trailing\n```") == {"a": 1}
+    assert lenient("```JSON {'a': {'b': '}'}}``` ") == {"a": {"b": "}"}}  # the balanced part is none, the whole text is
+    assert lenient("{'a': 1}") == lenient('so {"a": 1} and {"b": 2}') == {"a": 1}
+    assert lenient("nothing") is lenient("[1]") is lenient(None) is None
 
 
 def test_splitter():

@@ -283,6 +283,35 @@ def test_only_failed_prompts_are_asked_again():
     assert texts == ["BAD"] and errors == [None]
 
 
+def test_counts_of_a_tokenizer(spark, small):
+    tokenizers, files = pytest.importorskip("tokenizers"), pytest.importorskip("public_tokenizers")
+    path = files.path("byte_bpe_50k.json")
+    tokenizer = tokenizers.Tokenizer.from_file(path)
+    rows = spark.read.parquet(f"{small}/benchmark.parquet").unionAll(spark.createDataFrame([(-1, ""), (-2, None), (-3, "日本 \n x")], "item_id long, text string"))
+    for r in rows.select("text", M.tokenizer_counts(path, 7)(F.col("text")).alias("n")).collect():
+        assert r["n"] == len(tokenizer.encode(r["text"] or "", add_special_tokens=False).ids)
+
+
+def test_cached_by_plan_and_parameters(spark, tmp_path):
+    df, other = spark.range(5).where("id < 3"), spark.range(5).where("id < 4")
+    path = str(tmp_path / "cache")
+    assert sinks.cached(df, path, k=1).count() == 3
+    assert sinks.cached(other, path, k=1).count() == 4
+    assert sinks.cached(spark.range(5).where("id < 3"), path, k=2).count() == 3
+    assert len(list((tmp_path / "cache").iterdir())) == 3
+    sinks.cached(spark.range(5).where("id < 3"), path, k=1)
+    assert len(list((tmp_path / "cache").iterdir())) == 3
+
+
+def test_running_sums(spark):
+    df = spark.range(500).select((F.col("id") * 7 % 500).alias("p"), F.when(F.col("id") % 3 == 0, None).otherwise(F.col("id") % 5).alias("v"))
+    rows = sorted((r["p"], r["v"] or 0, r["s"]) for r in O.running_sums(df, ["p"], {"s": "v"}).collect())
+    total = 0
+    for _, v, s in rows:
+        total += v
+        assert s == total
+
+
 # Splitter
 
 
