@@ -7,13 +7,17 @@ of their own, with blank lines where browsers put margins; list items are marked
 indented; the cells of a table are aligned in columns.
 
 Defined cases: null gives null, an empty text an empty text; unclosed comments, tags and
-elements last to the end of the text. <details> counts as open. Elements deeper than
-DEEPEST are laid out as their ancestor at that depth.
+elements last to the end of the text. <details> counts as open. Rules of the page's own
+<style> that name a tag, class or id hide and show elements as inline styles do; other
+selectors, media rules and style sheets are not read. Columns are padded to any width, unless that
+makes a table more than PADDED times as long as its page (then to the widest that doesn't);
+indentation grows for DEEPEST levels of lists and quotes.
 """
 
 from __future__ import annotations
 
 import re
+import sys
 import unicodedata
 from collections.abc import Iterator
 from html import unescape
@@ -25,7 +29,8 @@ from pyspark.sql import functions as F
 from quarry.llm.common import slices
 
 DEEPEST = 256
-WIDEST_PAD = 40  # columns are padded to this width at most
+#: Characters that a table's padding may take: so many for each of the page, and LEAST_PADDED in any case.
+PADDED, LEAST_PADDED = 64, 1 << 20
 MOST_SPAN = 1000  # HTML's own limit of colspan
 
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -84,33 +89,28 @@ class Builder:
     def __init__(self) -> None:
         self.root = Node("html", {})
         self.open = [self.root]
-        self.within: dict[str, int] = {"html": 1}
+        self.within: dict[str, list[int]] = {"html": [0]}  # places of the open elements by tag
 
     def text(self, text: str) -> None:
         self.open[-1].children.append(text)
 
     def _pop(self) -> None:
-        self.within[self.open.pop().tag] -= 1
+        self.within[self.open.pop().tag].pop()
 
     def _push(self, tag: str, attributes: dict[str, str]) -> None:
         node = Node(tag, attributes)
         self.open[-1].children.append(node)
-        if tag not in VOID and len(self.open) < DEEPEST:
+        if tag not in VOID:
+            self.within.setdefault(tag, []).append(len(self.open))
             self.open.append(node)
-            self.within[tag] = self.within.get(tag, 0) + 1
 
     def _close(self, tags: set[str], bounds: frozenset[str] | set[str]) -> None:
         """End the nearest open element of these, if no bound stands before it."""
-        if not any(self.within.get(t) for t in tags):
-            return
-        for k in range(len(self.open) - 1, 0, -1):
-            tag = self.open[k].tag
-            if tag in tags:
-                while len(self.open) > k:
-                    self._pop()
-                return
-            if tag in bounds:
-                return
+        last = lambda some: max((at[-1] for t in some if (at := self.within.get(t))), default=0)
+        k = last(tags)
+        if k and k >= last(bounds):
+            while len(self.open) > k:
+                self._pop()
 
     def start(self, tag: str, attributes: dict[str, str]) -> None:
         if tag in ("html", "body"):
@@ -173,13 +173,12 @@ def parse(text: str) -> Node:
             attributes, at = _attributes(text, m.end())
             b.start(tag, attributes)
             if tag in _RAW_END:
-                inner = b.open[-1].children[-1] if b.open[-1].tag != tag else b.open[-1]
+                inner = b.open[-1]
                 end = _RAW_END[tag].search(text, at)
                 stop = end.start() if end else size
                 inner.children.append(unescape(text[at:stop]) if tag in RAW_ESCAPED else text[at:stop])
                 at = (text.find(">", stop) + 1 or size) if end else size
-                if inner is b.open[-1]:
-                    b.end(tag)
+                b.end(tag)
         else:
             b.text("<")
             at += 1
@@ -207,6 +206,52 @@ def _blank_invisible(root: Node) -> None:
         stack += [(x, seen) for x in node.children if isinstance(x, Node)]
 
 
+_COMMENT = re.compile(r"/\*.*?(?:\*/|\Z)", re.S)
+_AT_RULE = re.compile(r"@[^{};]*(?:;|\{(?:[^{}]*\{[^{}]*\})*[^{}]*\}?)")
+_RULE = re.compile(r"([^{}]+)\{([^{}]*)\}?")
+_SELECTOR = re.compile(r"(\*|[a-zA-Z][\w-]*)?((?:[.#][\w-]+)*)")
+_SHOWN = {"display": re.compile(r"(?:^|;)\s*display\s*:\s*([a-z-]+)", re.I), "visibility": re.compile(r"(?:^|;)\s*visibility\s*:\s*([a-z-]+)", re.I)}
+
+
+def style_rules(css: str) -> list[tuple[tuple[int, int, int], str | None, frozenset[str], frozenset[str], dict[str, str]]]:
+    """(weight, tag, ids, classes, declarations) of the rules that show or hide what a tag, ids and classes name."""
+    out = []
+    for selectors, body in _RULE.findall(_AT_RULE.sub("", _COMMENT.sub("", css))):
+        told = {k: found[-1].lower() for k, x in _SHOWN.items() if (found := x.findall(body))}
+        for one in selectors.split(",") if told else ():
+            m = _SELECTOR.fullmatch(one.strip())
+            if m and m[0]:
+                names = re.findall(r"[.#][\w-]+", m[2])
+                ids, classes = (frozenset(x[1:] for x in names if x[0] == sign) for sign in "#.")
+                tag = None if m[1] in (None, "*") else m[1].lower()
+                out.append(((len(ids), len(classes), int(tag is not None)), tag, ids, classes, told))
+    return sorted(out, key=lambda r: r[0])  # of equal weights the later rule wins
+
+
+def _apply_styles(root: Node) -> None:
+    """Write what the page's rules say into the elements' own styles, which go before them."""
+    css, every, stack = [], [], [root]
+    while stack:
+        node = stack.pop()
+        every.append(node)
+        if node.tag == "style":
+            css.append("".join(x for x in node.children if isinstance(x, str)))
+        stack += [x for x in reversed(node.children) if isinstance(x, Node)]
+    rules = style_rules("\n".join(css))
+    if not any(r[4].get("display") == "none" or "visibility" in r[4] for r in rules):
+        return
+    for node in every:
+        a, told = node.attributes, {}
+        mine = frozenset(a.get("class", "").split())
+        for _, tag, ids, classes, declared in rules:
+            if (tag is None or tag == node.tag) and ids <= {a.get("id", "")} and classes <= mine:
+                told |= declared
+        own = a.get("style", "")
+        more = [f"{k}:{v}" for k, v in told.items() if not _SHOWN[k].search(own)]
+        if more:
+            a["style"] = ";".join([*more, own])
+
+
 class Layout:
     """Lines of text; breaks and margins are kept until text follows."""
 
@@ -286,10 +331,18 @@ def _rows(table: Node) -> tuple[list[Node], list[Node]]:
     return parts["thead"] + parts["tbody"] + parts["tfoot"], rest
 
 
-def _table(table: Node, out: Layout, depth: int) -> None:
+def _padded(widths: dict[int, int], rows: int, most: int) -> dict[int, int]:
+    """The widths, cut to the widest for which rows of them stay below so many characters."""
+    widest = max(widths.values(), default=0)
+    while widest and rows * sum(min(w, widest) for w in widths.values()) > most:
+        widest //= 2
+    return {k: min(w, widest) for k, w in widths.items()}
+
+
+def _table(table: Node, out: Layout, most: int) -> None:
     rows, rest = _rows(table)
     for node in rest:  # captions, and what stands outside of cells
-        _render(node if isinstance(node, Node) else _holder(node), out, depth + 1)
+        _render(node if isinstance(node, Node) else _holder(node), out, most)
         out.break_line()
     grid: list[list[list[str]]] = []
     held: dict[int, int] = {}  # columns that a cell above still fills, with the rows left
@@ -303,18 +356,19 @@ def _table(table: Node, out: Layout, depth: int) -> None:
             while held.get(at):
                 at += 1
             inner = Layout()
-            _render(cell if isinstance(cell, Node) else _holder(cell), inner, depth + 1)
+            _render(cell if isinstance(cell, Node) else _holder(cell), inner, most)
             inner.break_line()
             cells[at] = inner.lines
             wide, tall = (_span(cell, "colspan"), _span(cell, "rowspan")) if isinstance(cell, Node) else (1, 1)
             if wide == 1:
-                widths[at] = max(widths.get(at, 0), min(WIDEST_PAD, max(map(_width, inner.lines), default=0)))
+                widths[at] = max(widths.get(at, 0), max(map(_width, inner.lines), default=0))
             for k in range(at, at + wide):
                 if tall > 1:
                     held[k] = tall
             at += wide
         held = {k: n - 1 for k, n in held.items() if n > 1}
         grid.append([cells.get(k, []) for k in range(max(cells, default=-1) + 1)])
+    widths = _padded(widths, sum(max(map(len, row), default=0) for row in grid), most)
     for row in grid:
         for k in range(max(map(len, row), default=0)):
             line = [c[k] if k < len(c) else "" for c in row]
@@ -330,9 +384,23 @@ def _holder(text: str) -> Node:
     return node
 
 
-def _render(top: Node, out: Layout, depth: int = 0) -> None:
-    """Lay out a node; only tables within tables call this again."""
-    numbers: list[int | None] = []
+def _number(node: Node, name: str) -> int | None:
+    value = node.attributes.get(name, "").strip()
+    return int(value) if re.fullmatch(r"[+-]?[0-9]{1,9}", value) else None
+
+
+def _numbering(node: Node) -> list[int] | None:
+    """The next number and the step of a list, None for one without numbers."""
+    if node.tag != "ol":
+        return None
+    back, start = "reversed" in node.attributes, _number(node, "start")
+    items = sum(isinstance(x, Node) and x.tag == "li" for x in node.children) if back and start is None else 1
+    return [items if start is None else start, -1 if back else 1]
+
+
+def _render(top: Node, out: Layout, most: int) -> None:
+    """Lay out a node; only tables within tables call this again. most: characters that a table's padding may take."""
+    numbers: list[list[int] | None] = []
     stack: list[tuple[Node, Iterator, bool]] = []
 
     def enter(node: Node) -> None:
@@ -347,14 +415,14 @@ def _render(top: Node, out: Layout, depth: int = 0) -> None:
         elif tag in BLOCK:
             out.break_line()
         if tag in ("ul", "ol", "menu", "dir"):
-            start = node.attributes.get("start", "1")
-            numbers.append(int(start) if tag == "ol" and start.isascii() and start.isdigit() and len(start) < 9 else 1 if tag == "ol" else None)
+            numbers.append(_numbering(node))
             out.lead.append("  " if len(numbers) > 1 and len(out.lead) < DEEPEST else "")
         elif tag == "li":
             mark = "- "
             if numbers and numbers[-1] is not None:
-                mark = f"{numbers[-1]}. "
-                numbers[-1] += 1
+                own = _number(node, "value")
+                at, step = numbers[-1] if own is None else (own, numbers[-1][1])
+                mark, numbers[-1] = f"{at}. ", [at + step, step]
             out.lead.append(mark)
         elif tag in ("blockquote", "dd"):
             out.lead.append("  " if len(out.lead) < DEEPEST else "")
@@ -389,9 +457,9 @@ def _render(top: Node, out: Layout, depth: int = 0) -> None:
                 out.text(child)
         elif hidden(child):
             continue
-        elif child.tag == "table" and depth < 8:
+        elif child.tag == "table":
             out.margin()
-            _table(child, out, depth)
+            _table(child, out, most)
             out.margin()
         else:
             enter(child)
@@ -402,9 +470,17 @@ def to_text(html: str | None) -> str | None:
     if html is None:
         return None
     out, root = Layout(), parse(html)
-    if "visibility" in html.lower():
+    low = html.lower()
+    if "<style" in low:
+        _apply_styles(root)
+    if "visibility" in low:
         _blank_invisible(root)
-    _render(root, out)
+    limit, wanted = sys.getrecursionlimit(), 3 * low.count("<table") + 1000  # calls of Python functions take no stack of C
+    sys.setrecursionlimit(max(limit, wanted))
+    try:
+        _render(root, out, max(LEAST_PADDED, PADDED * len(html)))
+    finally:
+        sys.setrecursionlimit(limit)
     out.break_line()
     return "\n".join(out.lines)
 
