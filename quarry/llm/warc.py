@@ -2,9 +2,12 @@
 
 Each record is a gzip member of its own. A reading task owns a range of bytes: it looks
 for the gzip magic inside it, takes a candidate for a record if it decodes to a WARC
-header, its checksum holds and another member or the end of the file follows, and reads
-the records that start inside its range to their end, even beyond it. So any cut of a
-file into ranges gives every record exactly once.
+header, its checksum holds and it doesn't lie inside an earlier record, and reads the records
+that start inside its range to their end, even beyond it. So any cut of a file into
+ranges gives every record exactly once. Whether an earlier record holds a candidate is told by
+the members before it: back from one to that which ends where it begins, for LOOK_BACK bytes.
+(A payload may itself be an archive whose members deflate left as they are; one of more than
+LOOK_BACK bytes is taken for records where a range begins inside it.)
 
 Files are reached by pyarrow's file systems (local or shared paths, object stores, HDFS
 where libhdfs is installed). A task writes under a name of its own attempt and renames
@@ -23,12 +26,15 @@ from pyarrow import fs as pafs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarry.llm.common import slices
+from quarry.llm.common import slices, stored
 
 #: Payloads from this size on are stored once and revisited.
 LEAST_SHARED = 100
 RANGE_BYTES = 4 << 20
-SALTS = 16
+#: Compressed bytes before a range whose members tell whether its first candidate is a record.
+LOOK_BACK = 64 << 10
+#: Payloads that a larger part of all rows shares (so at most as many payloads) are joined by broadcast, the others by key.
+MOST_COMMON = 1000
 MAGIC = b"\x1f\x8b\x08"
 DATE = "2000-01-01T00:00:00Z"  # of records without a date of their own
 _STEP = 1 << 20
@@ -92,12 +98,17 @@ def write(pages: DataFrame, directory: str, id_col: str = "page_id", uri_col: st
     # Only ids and digests are grouped; the shuffle below carries compressed records.
     slim = rows.select("id", F.sha2(payload, 256).alias("digest"), F.octet_length(payload).alias("size")).where(F.col("size") >= LEAST_SHARED)
     shared = slim.groupBy("digest").agg(F.min("id").alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1")
-    salted = shared.select("digest", "first", F.explode(F.array(*map(F.lit, range(SALTS)))).alias("salt"))
+    shared = stored(shared, "payloads")
+    least = max(2, -(-pages.count() // MOST_COMMON))
+    common = shared.where(F.col("n") >= least).select("digest", F.col("first").alias("common"))  # MOST_COMMON rows at most
+    rare = shared.where(F.col("n") < least).select(F.col("digest").alias("key"), F.col("first").alias("rare"))
     made = rows.mapInArrow(_members, f"id {kind}, uri string, size long, digest string, member binary")
-    made = made.withColumn("salt", F.pmod(F.xxhash64("id", "uri"), F.lit(SALTS)).cast("int"))
-    # A small payload matches nothing: a key of its own keeps its many copies apart
-    made = made.withColumn("key", F.when(F.col("size") >= LEAST_SHARED, F.col("digest")).otherwise(F.concat(F.lit("-"), F.xxhash64("id", "uri").cast("string"))))
-    joined = made.join(salted.withColumnRenamed("digest", "key"), ["key", "salt"], "left").select("id", "uri", "size", "digest", "first", F.when(F.col("first").isNull() | F.col("id").isNull() | (F.col("id") == F.col("first")), F.col("member")).alias("member"))
+    made = made.join(F.broadcast(common), "digest", "left")
+    # A common or small payload matches nothing among the rare ones: a key of its own keeps its many copies apart
+    alone = F.concat(F.lit("-"), F.xxhash64("id", "uri").cast("string"))
+    made = made.withColumn("key", F.when((F.col("size") >= LEAST_SHARED) & F.col("common").isNull(), F.col("digest")).otherwise(alone))
+    joined = made.join(rare, "key", "left").withColumn("first", F.coalesce("common", "rare"))
+    joined = joined.select("id", "uri", "size", "digest", "first", F.when(F.col("first").isNull() | F.col("id").isNull() | (F.col("id") == F.col("first")), F.col("member")).alias("member"))
     target, path = open_fs(directory)
     target.create_dir(path, recursive=True)
 
@@ -175,6 +186,34 @@ def _padding(view: _Bytes, at: int) -> int:
             return at
 
 
+def _held_by_earlier(source, place: int, size: int) -> bool:
+    """Whether the member at that place of a file lies inside a record that begins before it."""
+    begins, low, data = place, place, b""
+    at = 0  # where the search goes on, from the end of data to its start
+    while True:
+        at = data.rfind(MAGIC, 0, at)
+        if at < 0:
+            if not low:
+                return False
+            step = min(low, LOOK_BACK)
+            # A magic may lie across the border of two parts
+            data, low, at = source.read_at(min(step + len(MAGIC) - 1, place - low + step), low - step), low - step, step + len(MAGIC) - 1
+            continue
+        view = _Bytes(source, low + at, low + at + (16 << 10), size)
+        try:
+            found = _decode(view, 0)
+        except DamagedRecord:
+            found = None
+        if found is None:
+            continue
+        if low + at + found[1] > begins:
+            return True
+        if low + at + _padding(view, found[1]) == begins:
+            begins = low + at
+        if place - low - at >= LOOK_BACK:
+            return False
+
+
 def records_in(source, start: int, end: int, size: int, damaged: list[str] | None = None) -> Iterator[bytes]:
     """The decoded members that start in [start, end) of an open file.
 
@@ -200,7 +239,7 @@ def records_in(source, start: int, end: int, size: int, damaged: list[str] | Non
                 tell(str(e))
                 at, due = at + 1, -1
                 continue
-        if found is None and mine:
+        if found is None and mine or mine and at != due and start + at > 0 and _held_by_earlier(source, start + at, size):
             at += 1
             continue
         if due >= 0 and at != due and (due < len(view.data) and (mine or view.start + due < end or not _begins(view, due))):

@@ -70,3 +70,35 @@ def test_visibility():
         "<p style='display:none'>no<b style='visibility:visible'>no</b></p>c": "c",
     }
     assert {k: html.to_text(k) for k in cases} == cases
+
+
+@pytest.mark.parametrize("inner", [1, 2, 30])
+def test_members_inside_a_payload_are_no_records(inner):
+    """A payload that is an archive itself, kept as it is by deflate: its members begin like records."""
+    import zlib
+
+    held = b"".join(warc.member(warc.record(90 + k, "in", "0" * 64, 40, bytes([97 + k]) * 40)) for k in range(inner))
+    outer = warc.record(7, "out", "0" * 64, len(held), b"x" * 50 + held + b"y" * 50)
+    z = zlib.compressobj(0, zlib.DEFLATED, 31)
+    data = members()[0] + z.compress(outer) + z.flush() + members()[1]
+    assert held[:200] in data
+    for step in (10, 33, 100, 777, 10_000):
+        found = all_records(data, step)
+        assert [len(list(warc.parse(r))) for r in found] == [1, 1, 1], step
+        assert found[1] == outer
+
+
+def test_common_and_rare_payloads(spark, tmp_path):
+    """Payloads of many rows are joined by broadcast, others by key: each has one response and the rest revisits."""
+    rows = [(k, f"u{k}", "a" * 200 if k % 3 == 0 else "b" * 150 + str(k // 10) if k % 3 == 1 else "short") for k in range(3000)] + [(None, None, "a" * 200), (5000, "x", None)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    warc.write(pages, f"file://{tmp_path}/w")
+    got = {r["page_id"]: (r["record_type"], r["refers_to"]) for r in warc.read(spark, f"file://{tmp_path}/w", payload=False).collect() if r["page_id"]}
+    first = {}
+    for k, _, html in rows:
+        if k is not None:
+            first.setdefault(html, k)
+    for k, _, html in rows:
+        if k is not None:
+            revisit = len(html or "") >= 100 and first[html] != k
+            assert got[str(k)] == (("revisit", str(first[html])) if revisit else ("response", None)), k
