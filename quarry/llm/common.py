@@ -13,6 +13,7 @@ import pyarrow as pa
 from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from quarry.sources.storage import shared_folder
 
@@ -120,6 +121,21 @@ def fresh(name: str, columns: list[str]) -> str:
     return name
 
 
+#: What a null id counts as: the least integer; the empty text where ids are of another type.
+NO_ID = -(1 << 63)
+
+
+def id_kind(df: DataFrame, id_col: str) -> str:
+    """Spark's name for the type that an operator takes ids as: integers as long, all others as their text."""
+    return "long" if isinstance(df.schema[id_col].dataType, T.IntegralType) else "string"
+
+
+def id_of(df: DataFrame, id_col: str) -> Column:
+    """The id as a long or as text, never null."""
+    kind = id_kind(df, id_col)
+    return F.coalesce(F.col(id_col).cast(kind), F.lit(NO_ID if kind == "long" else ""))
+
+
 def crc_bucket(doc_id: Column, modulus: int) -> Column:
     """crc32 of the id written as text, modulo modulus; null ids count as empty text."""
     return F.crc32(F.encode(F.coalesce(doc_id.cast("string"), F.lit("")), "utf-8")) % modulus

@@ -23,6 +23,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from quarry.llm.common import id_kind
+from quarry.operators.order import numbered
+
 EXACT_HASHES = 8  # of 64 bits each: two lanes a hash
 WORDS = 32  # packed sums; each holds two sketch lanes
 LANES = 2 * WORDS
@@ -131,9 +134,13 @@ def fingerprint_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str
     """One row a document: its fingerprint, that of its half-edited text, and likenesses to that and to the next document.
 
     Rows that repeat (equal id and text) each get their row. Other columns are ignored. Empty table: no rows.
+    Ids that aren't integers take their places by range partitions first.
     """
     base = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    led = with_next(base, "doc_id", [F.col("text")], ["text"]).withColumn("change", edited(F.col("text"), F.coalesce("next_text", F.lit(""))))
+    key = "doc_id"
+    if id_kind(docs, id_col) != "long":
+        base, key = numbered(base, ["doc_id", "text"], name="at"), "at"
+    led = with_next(base, key, [F.col("text")], ["text"]).withColumn("change", edited(F.col("text"), F.coalesce("next_text", F.lit(""))))
     here = F.struct(F.lit(0).alias("edit"), F.col("text").alias("t"), F.length("text").cast("long").alias("n_chars"), F.unhex(F.sha2(F.encode("change", "utf-8"), 256)).alias("sha"))
     there = F.struct(F.lit(1).alias("edit"), F.col("change").alias("t"), F.lit(None).cast("long").alias("n_chars"), F.lit(None).cast("binary").alias("sha"))
     both = led.select("bucket", "place", "guest", "doc_id", F.explode(F.when(F.col("guest"), F.array(here)).otherwise(F.array(here, there))).alias("x"))

@@ -28,10 +28,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from quarry.llm.common import fresh, slices, stored
+from quarry.llm.common import fresh, id_kind, id_of, slices, stored
 
 GRAM, WINDOW = 30, 50
-NO_ID = -(1 << 63)
 
 _RUN = pa.struct([("first", pa.int32()), ("last", pa.int32())])
 _GRAM = pa.struct([("gram", pa.int64()), ("first", pa.int32()), ("last", pa.int32()), ("before", pa.list_(pa.int64())), ("after", pa.list_(pa.int64()))])
@@ -118,10 +117,10 @@ def _keys(side: str):
 def repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, text_hash, first, last, source_id, source_first): runs of non-blank lines, numbered from 0, that repeat earlier ones.
 
-    source_id is null for repeats inside the document. Null and blank texts have no lines; a null id counts as the least.
+    source_id is null for repeats inside the document. Null and blank texts have no lines; a null id counts as the least. Ids that aren't integers are compared as texts.
     """
-    rows = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID)).alias("id"), F.xxhash64(F.col(text_col)).alias("text_hash"), F.col(text_col).alias("text"))
-    scanned = stored(rows.mapInArrow(_scan, "id long, text_hash long, own array<struct<first:int,last:int>>, grams array<struct<gram:long,first:int,last:int,before:array<long>,after:array<long>>>"), "lines")
+    rows = docs.select(id_of(docs, id_col).alias("id"), F.xxhash64(F.col(text_col)).alias("text_hash"), F.col(text_col).alias("text"))
+    scanned = stored(rows.mapInArrow(_scan, f"id {id_kind(docs, id_col)}, text_hash long, own array<struct<first:int,last:int>>, grams array<struct<gram:long,first:int,last:int,before:array<long>,after:array<long>>>"), "lines")
     grams = scanned.select("id", "text_hash", F.explode("grams").alias("g")).select("id", "text_hash", "g.*")
     shared = grams.groupBy("gram").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("gram")
     keyed = grams.join(shared, "gram").select("id", "text_hash", "first", "last", F.explode(F.concat(_keys("before"), _keys("after"))).alias("k")).select("id", "text_hash", "first", "last", "k.*")
@@ -131,7 +130,7 @@ def repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     back, on = (F.when(F.col("side") == x, F.col("x.depth")).otherwise(0) for x in ("before", "after"))
     outside = (F.col("id") != F.col("x.s.id")) | (F.col("text_hash") != F.col("x.s.text_hash"))
     crossed = deepest.select("id", "text_hash", (F.col("first") - back).alias("first"), (F.col("last") + on).alias("last"), F.when(outside, F.col("x.s.id")).alias("source_id"), F.when(outside, F.col("x.s.first") - back).alias("source_first"))
-    own = scanned.select("id", "text_hash", F.explode("own").alias("r")).select("id", "text_hash", "r.first", "r.last", F.lit(None).cast("long").alias("source_id"), F.lit(None).cast("int").alias("source_first"))
+    own = scanned.select("id", "text_hash", F.explode("own").alias("r")).select("id", "text_hash", "r.first", "r.last", F.lit(None).cast(id_kind(docs, id_col)).alias("source_id"), F.lit(None).cast("int").alias("source_first"))
     return crossed.unionByName(own)
 
 
@@ -147,12 +146,14 @@ def remove(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", leng
     """docs without their repeated runs: same columns, texts cut (length_col, if given, is set anew).
 
     A document all of whose lines are deleted goes, unless keep_empty; others, blank and null ones too, stay.
-    counts: names of two more columns, the numbers of non-blank lines and of deleted lines.
+    counts: names of two more columns, the numbers of non-blank lines and of deleted lines; docs must not have them yet.
     """
+    if clashing := {c.lower() for c in counts or ()} & {c.lower() for c in docs.columns}:
+        raise ValueError(f"docs has columns {', '.join(sorted(clashing))} already; name the counts otherwise")
     found = repeats(docs, id_col, text_col).groupBy("id", "text_hash").agg(F.collect_list(F.struct("first", "last")).alias("runs"))
     key, hashed, runs = (fresh(x, docs.columns) for x in ("_id", "_text_hash", "_runs"))
     found = found.select(F.col("id").alias(key), F.col("text_hash").alias(hashed), F.col("runs").alias(runs))
-    rows = docs.withColumns({key: F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID)), hashed: F.xxhash64(F.col(text_col))})
+    rows = docs.withColumns({key: id_of(docs, id_col), hashed: F.xxhash64(F.col(text_col))})
     rows = rows.join(found, [key, hashed], "left").select(*docs.columns, runs)
     at, length_at = docs.columns.index(text_col), docs.columns.index(length_col) if length_col else None
     schema = docs.schema

@@ -20,14 +20,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quarry.llm.common import fresh, slices, stored
+from quarry.llm.common import NO_ID, fresh, id_kind, id_of, slices, stored
 from quarry.llm.graph import components
 
 SHINGLE, SEED, FAR = 3, 42, 3
 BLOCKS, AGREE = 6, 3
 #: Rows of a bucket that one task compares directly.
 SPLIT = 2048
-NO_ID = -(1 << 63)
 
 
 def bit_blocks(bits: list[int], n: int) -> list[int]:
@@ -74,8 +73,8 @@ def _simhash_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBat
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, text_hash, fp): a row for each row of docs; null ids as the least long, null text as empty."""
-    rows = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID)).alias("id"), F.xxhash64(F.col(text_col)).alias("text_hash"), F.col(text_col).alias("text"))
-    return rows.mapInArrow(_simhash_batches, "id long, text_hash long, fp long")
+    rows = docs.select(id_of(docs, id_col).alias("id"), F.xxhash64(F.col(text_col)).alias("text_hash"), F.col(text_col).alias("text"))
+    return rows.mapInArrow(_simhash_batches, f"id {id_kind(docs, id_col)}, text_hash long, fp long")
 
 
 def _stars(reached: list[np.ndarray], ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -242,15 +241,16 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     Fingerprints are linked, not ids: component is the least fingerprint reachable, and
     component_id the smallest id of its rows. Null text counts as empty (fingerprint 0). A
-    null id is NO_ID, and no component is named by it unless it has no other id. Rows that
+    null id is NO_ID (ids that aren't integers are texts, null the empty one), and no component is named by it unless it has no other id. Rows that
     repeat give repeated rows; rows that share an id but not a text are rows of their own.
     Other columns are ignored. Empty table: no rows.
     """
     rows = stored(fingerprints(docs, id_col, text_col), "simhash")
-    fps = rows.groupBy("fp").agg(F.min(F.when(F.col("id") != NO_ID, F.col("id"))).alias("id"))
+    none = F.lit(NO_ID if id_kind(docs, id_col) == "long" else "")
+    fps = rows.groupBy("fp").agg(F.min(F.when(F.col("id") != none, F.col("id"))).alias("id"))
     label = components(links(fps.select(F.col("fp").alias("id"), "fp"))).select(F.col("node").alias("fp"), "component")
     named = fps.join(label, "fp", "left").select("fp", "id", F.coalesce("component", "fp").alias("component"))
-    least = named.groupBy("component").agg(F.coalesce(F.min("id"), F.lit(NO_ID)).alias("component_id"))
+    least = named.groupBy("component").agg(F.coalesce(F.min("id"), none).alias("component_id"))
     return rows.join(named.select("fp", "component").join(least, "component"), "fp").select("id", "text_hash", "fp", "component", "component_id")
 
 
@@ -260,7 +260,7 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     least = found.groupBy("component").agg(F.min(F.struct("id", "text_hash")).alias("x"))
     key, hashed = fresh("_id", docs.columns), fresh("_text_hash", docs.columns)
     chosen = least.select(F.col("x.id").alias(key), F.col("x.text_hash").alias(hashed))
-    rows = docs.withColumns({key: F.coalesce(F.col(id_col).cast("long"), F.lit(NO_ID)), hashed: F.xxhash64(F.col(text_col))})
+    rows = docs.withColumns({key: id_of(docs, id_col), hashed: F.xxhash64(F.col(text_col))})
     return rows.join(chosen, [key, hashed]).dropDuplicates([key, hashed]).select(*docs.columns)
 
 

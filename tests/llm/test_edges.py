@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from quarry.llm import decontaminate, fingerprint, html, langid, lines, packing, quality, simhash, toxicity, warc
+from quarry.llm import decontaminate, fingerprint, html, langid, lines, packing, quality, similar, simhash, toxicity, warc
 
 PARA = "one two three four five six seven eight nine ten eleven twelve thirteen fourteen fifteen sixteen seventeen eighteen nineteen twenty"
 EDGES = [
@@ -148,3 +148,19 @@ def test_number_signs_are_no_letters(spark):
     assert langid.words_of("² ½ ① Ⅷ 12 _ x²y") == ["x", "y"]
     model = langid.fit(spark.createDataFrame([(1, "the house", "en")], "doc_id long, text string, lang string"))
     assert langid.label(model, "² ½ ①")[0] == "und"
+
+
+def test_ids_of_other_types(spark, docs):
+    """Text ids give what the integers of the same order give; the count columns must not clash."""
+    some = docs.where("doc_id IS NOT NULL").dropDuplicates(["doc_id"]).select("doc_id", "text")
+    named = some.withColumn("doc_id", F.format_string("d%03d", "doc_id"))
+    number = lambda c: F.substring(c, 2, 9).cast("long")
+    plain = lambda df: sorted(map(str, df.collect()))
+    assert plain(lines.remove(some, keep_empty=True)) == plain(lines.remove(named, keep_empty=True).withColumn("doc_id", number("doc_id")))
+    assert plain(simhash.keep_one(some)) == plain(simhash.keep_one(named).withColumn("doc_id", number("doc_id")))
+    assert plain(similar.keep_one(some)) == plain(similar.keep_one(named).withColumn("doc_id", number("doc_id")))
+    assert plain(fingerprint.fingerprint_documents(some)) == plain(fingerprint.fingerprint_documents(named).withColumn("doc_id", number("doc_id")))
+    found = simhash.near_duplicates(named).select(number("id").alias("id"), number("component_id").alias("component_id"))
+    assert plain(simhash.near_duplicates(some).select("id", "component_id")) == plain(found)
+    with pytest.raises(ValueError, match="n_lines"):
+        lines.remove(some.withColumn("N_Lines", F.lit(1)), counts=("n_lines", "n_removed"))
