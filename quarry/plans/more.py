@@ -20,6 +20,7 @@ from quarry.operators import sampling as N
 from quarry.plans.base import WS, query, strip_sql, table
 from quarry.plans.retrieval import tokens_sql
 from quarry.sources import keyed, readers, sinks
+from quarry.streaming import state
 
 _PAIRS = "(SELECT u.conv_id, u.turn, u.text AS query, a.text AS answer FROM conversations AS u JOIN conversations AS a ON a.conv_id = u.conv_id AND a.turn = u.turn + 1 WHERE u.role = 'user' AND a.role = 'assistant')"
 
@@ -213,6 +214,17 @@ def jsonl_line_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return readers.jsonl_counted(spark, path, ["item_id", "text"])
 
 
+@query("SELECT item_id, text, (SELECT count(*) FROM benchmark) * 3 AS lines, (SELECT count(*) FROM benchmark) AS bad, (SELECT count(*) FROM benchmark) AS missing FROM benchmark")
+def jsonl_rows_and_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Good rows and the counts of the others from one scan."""
+    path, kept = _folder(spark, "lines"), _folder(spark, "good")
+    good = F.to_json(F.struct("item_id", "text"))
+    table(spark, sf_dir, "benchmark").select(F.explode(F.array(good, F.to_json(F.struct("item_id")), F.concat(good, good))).alias("value")).write.text(path)
+    rows, seen = readers.jsonl_observed(spark, path, _ITEM, ["item_id", "text"])
+    rows.write.parquet(kept)
+    return spark.read.parquet(kept).select("item_id", "text", *[F.lit(seen.get[c]).cast("long").alias(c) for c in ("lines", "bad", "missing")])
+
+
 @query("SELECT item_id, text FROM benchmark UNION ALL SELECT item_id, text FROM benchmark")
 def json_array_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One file, read in ranges of 4 kB, as an array and as one that may be wrapped."""
@@ -250,9 +262,9 @@ def text_index_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sinks.open_text_index(spark, path).terms.select("term", "df")
 
 
-@query("SELECT vec_id, label FROM embeddings")
+@query("SELECT vec_id, label, CAST(embedding[1] AS DOUBLE) AS first, CAST(embedding[64] AS DOUBLE) AS last, len(embedding)::INTEGER AS dims FROM embeddings")
 def vector_index_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return sinks.vector_index(table(spark, sf_dir, "embeddings"), _folder(spark, "vectors"), 64).where(F.size("embedding") == 64).select("vec_id", "label")
+    return sinks.vector_index(table(spark, sf_dir, "embeddings"), _folder(spark, "vectors"), 64).select("vec_id", "label", F.col("embedding")[0].cast("double").alias("first"), F.col("embedding")[63].cast("double").alias("last"), F.size("embedding").alias("dims"))
 
 
 @query("SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN 'new' ELSE lang END AS lang FROM documents")
@@ -288,6 +300,37 @@ def results_by_parameters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sinks.cached(spark.read.parquet(path), _folder(spark, "cached"), topk=10)
 
 
+# Streams
+
+
+def _streamed(spark: SparkSession, sf_dir: str, make) -> DataFrame:
+    """What a stateful query makes of the events, fed in three files, each a batch of its own; the query is started anew for the last one."""
+    source, out, progress = (_folder(spark, x) for x in ("stream-in", "stream-out", "stream-checkpoint"))
+    events = table(spark, sf_dir, "events").select("event_id", "user_id", "event_type")
+    low, high = events.agg(F.min("event_id"), F.max("event_id")).first()
+    third = F.floor((F.col("event_id") - low) * 3 / (high - low + 1))
+    for parts in ((0, 1), (2,)):
+        for k in parts:
+            events.where(third == k).repartition(1).write.mode("append").parquet(source)
+        stream = spark.readStream.schema(events.schema).option("maxFilesPerTrigger", 1).parquet(source)
+        run = make(stream).writeStream.format("parquet").option("path", out).option("checkpointLocation", progress).outputMode("append").trigger(availableNow=True).start()
+        run.awaitTermination()
+    return spark.read.parquet(out)
+
+
+@query("SELECT user_id, event_id, event_type FROM events WHERE user_id IS NOT NULL QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY event_id) = 1")
+def streamed_first_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first event of each user, from a stream with the users seen as its state."""
+    return _streamed(spark, sf_dir, lambda s: state.first_of_keys(s, "user_id", "event_id")).select("user_id", "event_id", "event_type")
+
+
+@query("SELECT user_id, event_id, count(*) OVER w AS seen, round(avg(CAST(event_type = 'click' AS DOUBLE)) OVER w, 9) AS rate FROM events WINDOW w AS (PARTITION BY user_id ORDER BY event_id ROWS UNBOUNDED PRECEDING)")
+def streamed_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The running rate of clicks of each user, from a stream with the sums as its state."""
+    found = _streamed(spark, sf_dir, lambda s: state.running_rates(s, F.col("event_type") == "click", "event_id", "user_id"))
+    return found.select("user_id", "event_id", "seen", F.round("rate", 9).alias("rate"))
+
+
 # Providers with plain stand-ins
 
 

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -74,6 +74,17 @@ def jsonl_counted(spark: SparkSession, path: str | list[str], required: list[str
     return spark.read.text(path).agg(F.count(F.lit(1)).alias("lines"), F.count_if(~ok).alias("bad"), F.count_if(ok & ~F.coalesce(has, F.lit(False))).alias("missing"), F.count_if(ok & F.coalesce(has, F.lit(False))).alias("good"))
 
 
+def jsonl_observed(spark: SparkSession, path: str | list[str], schema: T.StructType, required: list[str]) -> tuple[DataFrame, Observation]:
+    """Good rows, and the counters of jsonl_counted as an observation that is there when an action has read all of them: one scan for both."""
+    value = X.strip(F.col("value"))
+    keys = F.when(J.is_json_object(value), F.json_object_keys(value))
+    kind = F.when(keys.isNull(), 0).when(F.size(F.array_except(F.array(*map(F.lit, required)), keys)) > 0, 1).otherwise(2)
+    seen = Observation()
+    told = [F.count(F.lit(1)).alias("lines"), *[F.count_if(F.col("kind") == k).alias(n) for k, n in enumerate(("bad", "missing", "good"))]]
+    rows = spark.read.text(path).select("value", F.explode(F.array(kind)).alias("kind")).observe(seen, *told)
+    return rows.where("kind = 2").select(F.from_json(value, schema).alias("r")).select("r.*"), seen
+
+
 def json_array(spark: SparkSession, path: str, schema: T.StructType, required: list[str] = (), range_bytes: int = arrays.RANGE_BYTES) -> DataFrame:
     """Rows of a file that holds one JSON array, or of all files of a folder; a file is read by a task for each range of bytes."""
     return require_columns(arrays.rows(spark, path, schema, range_bytes=range_bytes), *required)
