@@ -22,6 +22,8 @@ from quarry.sources.readers import exists
 VECTOR_ROWS, QUERY_ROWS, BLOCK_BYTES = 4096, 1024, 64 << 20
 #: The centroids are fitted on so many vectors for each cell at most, in so many rounds.
 SAMPLE_PER_CELL, ROUNDS, MOST_CELLS = 64, 10, 4096
+#: How many candidates a search needs is measured with so many vectors as queries, for this part of their exact neighbours.
+MEASURED, REACHED, NEIGHBOURS = 200, 0.95, 10
 
 
 def unit(m: np.ndarray) -> np.ndarray:
@@ -132,10 +134,12 @@ def ivf_index(vectors: DataFrame, path: str, cells: int | None = None, id_col: s
 
     cells: the square root of the number of vectors by default, at most MOST_CELLS. Centroids are fitted
     on SAMPLE_PER_CELL vectors a cell, taken by hash; all vectors are put into lists. Lists are dealt
-    by range of (cell, id), so that a cell of any size is written by as many tasks as it needs.
+    by range of (cell, id), so that a cell of any size is written by as many tasks as it needs. The number
+    of candidates that a search needs is measured and kept (`tuned`): it follows the data, since vectors
+    without clusters lie near the borders of many cells.
     """
     spark = vectors.sparkSession
-    if not recreate and exists(spark, f"{path}/centroids/_SUCCESS"):
+    if not recreate and exists(spark, f"{path}/tuned/_SUCCESS"):
         return
     rows = vectors.select(F.col(id_col).alias("id"), F.col(vector_col).cast("array<float>").alias("v")).where(F.aggregate("v", F.lit(0.0), lambda s, x: s + x * x) > 0)
     n = rows.count()
@@ -155,22 +159,51 @@ def ivf_index(vectors: DataFrame, path: str, cells: int | None = None, id_col: s
     sizes = spark.read.schema(f"id {kind}, v array<float>, cell int").parquet(f"{path}/lists").groupBy("cell").agg(F.count(F.lit(1)).alias("size"))
     known = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(c)], "cell int, v array<double>")
     known.join(sizes, "cell").write.mode("overwrite").parquet(f"{path}/centroids")
+    _measure(spark, path, kind, seed)
+
+
+def _cells(centres: DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Numbers, centroids and sizes of the cells (MOST_CELLS rows)."""
+    got = sorted((r["cell"], r["v"], r["size"]) for r in centres.collect())
+    return np.array([x[0] for x in got], np.int32), np.array([x[1] for x in got] or [[0.0]]), np.array([x[2] for x in got], np.int64)
+
+
+def _order(vectors: np.ndarray, centres: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For each vector the places of the cells from the nearest on, and how many vectors the nearer ones hold."""
+    order = np.argsort(-(unit(vectors) @ centres.T), axis=1, kind="stable")
+    return order, np.cumsum(sizes[order], axis=1) - sizes[order]
+
+
+def _measure(spark: SparkSession, path: str, kind: str, seed: int) -> None:
+    """Write how many candidates bring MEASURED vectors, as queries, REACHED of their exact neighbours."""
+    lists = spark.read.schema(f"id {kind}, v array<float>, cell int").parquet(f"{path}/lists")
+    asked = lists.orderBy(shuffle_key("id", seed + 1), "id").limit(MEASURED).select("id", "v")
+    exact = knn(lists, asked, NEIGHBOURS, "id", "v")
+    where = exact.join(lists.select(F.col("id").alias("vec_id"), "cell"), "vec_id").select("query_id", "cell").collect()  # MEASURED * NEIGHBOURS rows
+    cells, centres, sizes = _cells(spark.read.parquet(f"{path}/centroids"))
+    queries = {r["id"]: r["v"] for r in asked.collect()}
+    place = {c: i for i, c in enumerate(cells.tolist())}
+    names = {q: i for i, q in enumerate(queries)}
+    needed = []
+    if where:
+        order, before = _order(np.array(list(queries.values()), dtype=np.float64), centres, sizes)
+        rank = np.argsort(order, axis=1)
+        needed = sorted(int(before[names[r["query_id"]], rank[names[r["query_id"]], place[r["cell"]]]]) + 1 for r in where)
+    enough = needed[min(len(needed) - 1, int(REACHED * len(needed)))] if needed else 1
+    spark.createDataFrame([(REACHED, NEIGHBOURS, enough)], "reached double, neighbours int, candidates long").write.mode("overwrite").parquet(f"{path}/tuned")
 
 
 def probes(centres: DataFrame, queries: DataFrame, num_candidates: int, id_col: str, vector_col: str) -> DataFrame:
     """(id, v, cell): each query with the cells nearest to it, until these hold num_candidates vectors."""
-    got = sorted((r["cell"], r["v"], r["size"]) for r in centres.collect())  # MOST_CELLS rows
     kind = queries.schema[id_col].dataType.simpleString()
-    cells, m, sizes = np.array([x[0] for x in got], np.int32), np.array([x[1] for x in got] or [[0.0]]), np.array([x[2] for x in got])
-    shared = queries.sparkSession.sparkContext.broadcast((cells, m, sizes))
+    shared = queries.sparkSession.sparkContext.broadcast(_cells(centres))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cells, m, sizes = shared.value
         for b in batches:
             if not len(cells) or not b.num_rows:
                 continue
-            order = np.argsort(-(unit(_matrix(b.column("v"))) @ m.T), axis=1, kind="stable")
-            before = np.cumsum(sizes[order], axis=1) - sizes[order]
+            order, before = _order(_matrix(b.column("v")), m, sizes)
             at, place = np.nonzero(before < num_candidates)
             columns = [b.column("id").take(pa.array(at)), b.column("v").take(pa.array(at)), pa.array(cells[order[at, place]])]
             yield pa.RecordBatch.from_arrays(columns, ["id", "v", "cell"])
@@ -179,8 +212,12 @@ def probes(centres: DataFrame, queries: DataFrame, num_candidates: int, id_col:
     return real.mapInArrow(run, f"id {kind}, v array<float>, cell int")
 
 
-def ivf_search(spark: SparkSession, path: str, queries: DataFrame, k: int = 10, num_candidates: int = 1000, id_col: str = "vec_id", vector_col: str = "embedding", exclude_self: bool = True) -> DataFrame:
-    """(query_id, vec_id, score, rank) by the inverted file at path: only lists that a query probes are read."""
+def ivf_search(spark: SparkSession, path: str, queries: DataFrame, k: int = NEIGHBOURS, num_candidates: int | None = None, id_col: str = "vec_id", vector_col: str = "embedding", exclude_self: bool = True) -> DataFrame:
+    """(query_id, vec_id, score, rank) by the inverted file at path: only lists that a query probes are read.
+
+    num_candidates: the nearest cells are probed until they hold so many vectors; by default what the index measured.
+    """
+    num_candidates = num_candidates or spark.read.parquet(f"{path}/tuned").first()["candidates"]
     kind = queries.schema[id_col].dataType.simpleString()
     asked = probes(spark.read.parquet(f"{path}/centroids"), queries, num_candidates, id_col, vector_col)
     wanted = [r[0] for r in asked.select("cell").distinct().collect()]  # MOST_CELLS at most

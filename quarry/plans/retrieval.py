@@ -90,16 +90,12 @@ def knn_top10(spark: SparkSession, sf_dir: str) -> DataFrame:
     return R.knn(v, v.where("vec_id % 25 = 0"))  # the query set, against all vectors
 
 
-#: Vectors of the probed cells for each query. Recall against the exact search is measured by ivf_recall.
-NUM_CANDIDATES = 1000
-
-
 def _ivf(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     """Neighbours by the inverted file, and exact ones, of every vector whose id is divisible by 100."""
     v, path = table(spark, sf_dir, "embeddings"), sinks.scratch_path(spark, "vector-index")
     queries = v.where("vec_id % 100 = 0")
     V.ivf_index(v, path)
-    return V.ivf_search(spark, path, queries, num_candidates=NUM_CANDIDATES), V.knn(v, queries)
+    return V.ivf_search(spark, path, queries), V.knn(v, queries)
 
 
 @query()

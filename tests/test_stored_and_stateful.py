@@ -71,6 +71,18 @@ def test_neighbours_of_odd_vectors(spark):
     assert blocks[0] == blocks[1]
 
 
+def test_candidates_follow_the_data(spark, tmp_path):
+    """Vectors in clusters need a small part of all candidates for the same recall; the index measures it."""
+    rng = random.Random(1)
+    middles = [[rng.gauss(0, 1) for _ in range(16)] for _ in range(20)]
+    rows = [(i, [x + rng.gauss(0, 0.1) for x in middles[i % 20]]) for i in range(2000)]
+    v, path = spark.createDataFrame(rows, "vec_id long, embedding array<float>"), f"file://{tmp_path}/clusters"
+    V.ivf_index(v, path, cells=40)
+    assert spark.read.parquet(f"{path}/tuned").first()["candidates"] < 500
+    q = v.where("vec_id % 20 = 3")
+    assert V.recall(V.ivf_search(spark, path, q), V.knn(v, q)).first()["recall"] >= 0.9
+
+
 def test_empty_cells(spark, tmp_path):
     v = spark.createDataFrame([], "vec_id long, embedding array<float>")
     V.ivf_index(v, f"file://{tmp_path}/none")
