@@ -79,7 +79,7 @@ def test_candidates_follow_the_data(spark, tmp_path):
     v, path = spark.createDataFrame(rows, "vec_id long, embedding array<float>"), f"file://{tmp_path}/clusters"
     V.ivf_index(v, path, cells=40)
     assert spark.read.parquet(f"{path}/tuned").first()["candidates"] < 500
-    q = v.where("vec_id % 20 = 3")
+    q = v.where("vec_id % 7 = 3")
     assert V.recall(V.ivf_search(spark, path, q), V.knn(v, q)).first()["recall"] >= 0.9
 
 
