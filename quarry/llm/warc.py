@@ -27,6 +27,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quarry.llm.common import slices, stored
+from quarry.sources.arrays import opened as open_fs
 
 #: Payloads from this size on are stored once and revisited.
 LEAST_SHARED = 100
@@ -42,12 +43,6 @@ _STEP = 1 << 20
 RECORD = "record_id string, record_type string, target_uri string, page_id string, payload_bytes long, payload_digest string, refers_to string, payload binary"
 
 
-def open_fs(uri: str) -> tuple[pafs.FileSystem, str]:
-    if uri.startswith("file:/") and not uri.startswith("file://"):
-        uri = "file://" + uri[5:]
-    return pafs.FileSystem.from_uri(uri)
-
-
 def member(data: bytes) -> bytes:
     z = zlib.compressobj(5, zlib.DEFLATED, 31)
     return z.compress(data) + z.flush()
