@@ -72,10 +72,6 @@ def index_text(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     return of_tokens(tokenised(docs, id_col, text_col))
 
 
-#: A search of documents without an index looks for so many different query terms inside each row.
-MOST_TERMS = 20_000
-
-
 def _relevant(source: TextIndex | Corpus, terms: DataFrame, few: bool) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Postings of the queries' terms, the terms' df, and the statistics."""
     if isinstance(source, Corpus):
@@ -96,16 +92,19 @@ def _relevant(source: TextIndex | Corpus, terms: DataFrame, few: bool) -> tuple[
 
 
 def _of_corpus(source: Corpus, terms: DataFrame, few: bool) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """One pass over the texts: lengths, and counts of the wanted tokens; what is stored grows with the hits."""
+    """One pass over the texts: postings of the wanted terms, and one of no term for each document, which tells its length.
+
+    A token that isn't wanted goes before anything is counted or stored, so what is stored grows with the hits. doc_id tells documents apart.
+    """
     toks = tokenised(source.docs, source.id_col, source.text_col)
-    wanted = [r[0] for r in terms.select("term").distinct().limit(MOST_TERMS + 1).collect()] if few else []
-    if few and len(wanted) <= MOST_TERMS:
-        inside = F.filter("toks", lambda t: t.isin(wanted)) if wanted else F.array().cast("array<string>")
-        held = scratch(toks.select("doc_id", "dl", inside.alias("toks")), "tokens")
-        found = of_tokens(held)
-        return found.postings, found.terms, held.agg(F.count(F.lit(1)).alias("n_docs"), F.avg("dl").alias("avgdl"))
-    index = of_tokens(scratch(toks, "tokens"))
-    return _relevant(index, terms, few)
+    if not few:
+        return _relevant(of_tokens(scratch(toks, "tokens")), terms, few)
+    wanted = terms.select("term").distinct().unionAll(terms.sparkSession.createDataFrame([("",)], "term string"))
+    every = toks.select("doc_id", "dl", F.explode(F.concat(F.array(F.lit("")), "toks")).alias("term"))
+    hits = every.join(F.broadcast(wanted), "term", "left_semi")
+    held = scratch(hits.groupBy("doc_id", "dl", "term").agg(F.count(F.lit(1)).alias("tf")), "postings")
+    found = held.where("term <> ''")
+    return found, found.groupBy("term").agg(F.count(F.lit(1)).alias("df")), held.where("term = ''").agg(F.count(F.lit(1)).alias("n_docs"), F.avg("dl").alias("avgdl"))
 
 
 def bm25(index: TextIndex | Corpus, queries: DataFrame, cfg: RetrievalConfig = RetrievalConfig(), id_col: str = "query_id", text_col: str = "text", k: int | None = None) -> DataFrame:
