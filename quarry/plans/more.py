@@ -239,11 +239,9 @@ def wrapped_array_of_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = _folder(spark, "wrapped")
     page = T.StructType([T.StructField("page_id", T.LongType()), T.StructField("url", T.StringType()), T.StructField("html", T.StringType())])
     pages = table(spark, sf_dir, "pages").select("page_id", "url", "html")
-    sinks.json_document(pages, f"{path}/plain", ["page_id"])
-    lines = spark.read.text(f"{path}/plain").select("value", F.lit(1).alias("part"))
-    around = spark.createDataFrame([('{"examples": [1, "]"], "note": {"items": [{"no": "\\\\"}]}, "items":', 0), ("}", 2)], "value string, part int")
-    lines.unionByName(around).repartition(1).sortWithinPartitions("part", F.expr("CASE WHEN value = ']' THEN 2 WHEN value LIKE '[%' THEN 0 ELSE 1 END")).select("value").write.text(f"{path}/whole")
-    return readers.wrapped_array(spark, f"{path}/whole", page, 1 << 16)
+    around = ('{"examples": [1, "]"], "note": {"items": [{"no": "\\\\"}]}, "items":\n', "\n}")
+    sinks.json_document(pages, path, ["page_id"], around)
+    return readers.wrapped_array(spark, path, page, 1 << 16)
 
 
 @query("SELECT page_id AS item_id, CASE WHEN page_id % 2 = 0 THEN 'say \"hi\", \"\"you\"' || chr(10) || html ELSE html END AS text FROM pages")

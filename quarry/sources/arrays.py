@@ -138,6 +138,7 @@ def _elements(held: pa.NativeFile, r: dict) -> Iterator[tuple]:
     in_string, depth, offset = r["in_string"], r["depth"], r["start"]
     begun: int | None = None
     parts: list[bytes] = []
+    ahead = _BACK  # what is read beyond the range doubles, so a small range doesn't read much for its last element
     while True:
         m = Marks(data, escaped)
         real = m.real(in_string)
@@ -167,7 +168,7 @@ def _elements(held: pa.NativeFile, r: dict) -> Iterator[tuple]:
         if offset > size:
             raise ValueError(f"{r['path']}: the list that begins at byte {r['open']} doesn't end")
         escaped = (len(tail) - len(tail.rstrip(b"\\"))) % 2 == 1 if tail.strip(b"\\") else (len(tail) % 2 == 1) != escaped
-        data = held.read_at(min(_STEP, size + 1 - offset), offset)
+        data, ahead = held.read_at(min(ahead, size + 1 - offset), offset), min(2 * ahead, _STEP)
 
 
 def elements(spark: SparkSession, path: str, wrapped: bool = False, range_bytes: int = RANGE_BYTES) -> DataFrame:
@@ -182,11 +183,12 @@ def elements(spark: SparkSession, path: str, wrapped: bool = False, range_bytes:
         raise FileNotFoundError(path)
     files = [info] if info.is_file else [f for f in source.get_file_info(pafs.FileSelector(base)) if f.is_file and not f.base_name.startswith(("_", "."))]
     files = sorted((f.path, f.size) for f in files if f.size)
+    tasks = max(4 * spark.sparkContext.defaultParallelism, sum(size for _, size in files) // RANGE_BYTES)
     cuts = [(k, p, s, min(s + range_bytes, size), size) for k, (p, size) in enumerate(files) for s in range(0, size, range_bytes)]
     if not cuts:
         raise ValueError(f"{path}: no list of rows found")
     kinds = "file int, path string, start long, end long, size long"
-    ranges = spark.createDataFrame(cuts, kinds).repartition(min(len(cuts), 10_000), "file", "start")
+    ranges = spark.createDataFrame(cuts, kinds).repartition(min(len(cuts), tasks), "file", "start")
     found = {(r[0], r[1]): r[2:] for r in _mapped(ranges, path, _changes, "file int, start long, odd boolean, outside long, inside long").collect()}  # a row for each range
     states, now = [], {}
     for k, p, s, e, size in cuts:
@@ -198,11 +200,13 @@ def elements(spark: SparkSession, path: str, wrapped: bool = False, range_bytes:
         if in_string or depth:
             raise ValueError(f"{files[k][0]}: strings or brackets don't close")
     heads = [source.open_input_file(name).read(_BACK).removeprefix(b"\xef\xbb\xbf").lstrip()[:1] == b"[" for name, _ in files]
-    placed = spark.createDataFrame([(*s, heads[s[0]]) for s in states], f"{kinds}, in_string boolean, depth int, array boolean").repartition(min(len(cuts), 10_000), "file", "start")
+    placed = spark.createDataFrame([(*s, heads[s[0]]) for s in states], f"{kinds}, in_string boolean, depth int, array boolean").repartition(min(len(cuts), tasks), "file", "start")
     marks: dict[int, list[tuple]] = {}
     for r in _mapped(placed, path, _lists, "file int, what string, key string, at long").collect():  # a few rows for each range
         marks.setdefault(r[0], []).append(tuple(r[1:]))
-    wanted = []
+    wanted, of_file = [], {}
+    for s in states:
+        of_file.setdefault(s[0], []).append(s)
     for k, (name, _) in enumerate(files):
         mine = marks.get(k, [])
         opens = sorted((("", *LIST_KEYS).index(key), at) for what, key, at in mine if what == "open")
@@ -211,9 +215,9 @@ def elements(spark: SparkSession, path: str, wrapped: bool = False, range_bytes:
         rank, start = opens[0]
         level = 2 if rank else 1
         close = min(at for what, _, at in mine if what == "close" and at > start)
-        wanted += [(*s[:4], close, s[5], s[6], start, level) for s in states if s[0] == k and s[3] > start and s[2] <= close]
+        wanted += [(*s[:4], close, s[5], s[6], start, level) for s in of_file[k] if s[3] > start and s[2] <= close]
     asked = spark.createDataFrame(wanted, "file int, path string, start long, end long, close long, in_string boolean, depth int, open long, base int")
-    return _mapped(asked.repartition(min(len(wanted), 10_000), "file", "start"), path, _elements, "file int, at long, text string")
+    return _mapped(asked.repartition(min(len(wanted), tasks), "file", "start"), path, _elements, "file int, at long, text string")
 
 
 def rows(spark: SparkSession, path: str, schema: T.StructType, wrapped: bool = False, range_bytes: int = RANGE_BYTES) -> DataFrame:

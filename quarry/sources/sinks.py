@@ -6,11 +6,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quarry.operators.corpus import resume, upsert_latest
-from quarry.operators.retrieve import TextIndex, bucket_of, of_tokens, small, tokenised
+from quarry.operators.retrieve import TextIndex, bucket_of, of_tokens, tokenised
 from quarry.sources.readers import exists
 from quarry.sources.storage import scratch, scratch_path, shared_folder  # noqa: F401
 
-MOST_ROWS_ONE_FILE = 100_000
+#: Rows of one JSON document.
+ROWS_ONE_FILE = 100_000
 
 
 def jsonl(df: DataFrame, path: str, mode: str = "overwrite") -> None:
@@ -18,27 +19,39 @@ def jsonl(df: DataFrame, path: str, mode: str = "overwrite") -> None:
     df.write.mode(mode).json(path)
 
 
-def json_document(df: DataFrame, path: str, order: list[str] | None = None) -> None:
-    """One JSON array in one file, a line for each row: for results of at most MOST_ROWS_ONE_FILE rows, written by one task as they come."""
+def json_document(df: DataFrame, path: str, order: list[str] | None = None, around: tuple[str, str] = ("", "")) -> None:
+    """A JSON array, a line for each row, with the text `around` before and after it; in the order given.
+
+    Up to ROWS_ONE_FILE rows are one document in one file. More are dealt by ranges of the order to as many files as
+    they need, each a whole document of its own, so that no task writes all of them.
+    """
     from collections.abc import Iterator
 
     import pyarrow as pa
 
+    head, tail = around
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        lead = "["
+        lead = head + "["
         for b in batches:
             lines = []
             for row in b.column(0).to_pylist():
                 lines.append(lead + row)
                 lead = ","
             yield pa.RecordBatch.from_arrays([pa.array(lines, pa.string())], ["value"])
-        yield pa.RecordBatch.from_arrays([pa.array(["[]" if lead == "[" else "]"], pa.string())], ["value"])
+        yield pa.RecordBatch.from_arrays([pa.array([("]" if lead == "," else lead + "]") + tail], pa.string())], ["value"])
 
-    if not small(df, MOST_ROWS_ONE_FILE):
-        raise ValueError("too many rows for one document; write JSONL")
+    n = df.count()
+    if not n:  # Spark makes no partition of no rows
+        return df.sparkSession.createDataFrame([(f"{head}[]{tail}",)], "value string").coalesce(1).write.mode("overwrite").text(path)
+    files = -(-n // ROWS_ONE_FILE)
     rows = df.select(F.to_json(F.struct("*")).alias("value"), *(order or []))
-    rows = (rows.repartition(1).sortWithinPartitions(*order) if order else rows.repartition(1)).select("value")
-    rows.mapInArrow(run, "value string").write.mode("overwrite").text(path)
+    if order and files > 1:
+        rows = rows.repartitionByRange(files, *order).sortWithinPartitions(*order)
+    else:
+        rows = rows.repartition(files)
+        rows = rows.sortWithinPartitions(*order) if order else rows
+    rows.select("value").mapInArrow(run, "value string").write.mode("overwrite").text(path)
 
 
 def cache_key(df: DataFrame, **parameters: object) -> str:
