@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quarry.operators.corpus import resume, upsert_latest
-from quarry.operators.retrieve import TextIndex, bucket_of, of_tokens, tokenised
+from quarry.operators.retrieve import TextIndex, counted_terms, of_tokens, placed_postings, tokenised
 from quarry.sources.readers import exists
 from quarry.sources.storage import scratch, scratch_path, shared_folder  # noqa: F401
 
@@ -91,14 +91,11 @@ def text_index(docs: DataFrame, path: str, recreate: bool = False, buckets: int
     """
     spark = docs.sparkSession
     if recreate or not exists(spark, f"{path}/stats/_SUCCESS"):
-        toks = scratch(tokenised(docs, **columns), "tokens")  # read for postings, terms and lengths
-        made = of_tokens(toks)
-        bucket = bucket_of(F.col("term"), buckets)
-        placed = made.postings.withColumn("bucket", bucket).repartitionByRange("bucket", "term", "doc_id").sortWithinPartitions("bucket", "term", "doc_id")
-        placed.write.mode("overwrite").partitionBy("bucket").parquet(f"{path}/postings")
+        held = scratch(counted_terms(tokenised(docs, **columns)), "counted")  # read for ranges, postings and lengths
+        placed_postings(held, buckets).write.mode("overwrite").partitionBy("bucket").parquet(f"{path}/postings")
         counted = spark.read.parquet(f"{path}/postings").groupBy("bucket", "term").agg(F.count(F.lit(1)).alias("df"))
         counted.repartitionByRange("bucket", "term").sortWithinPartitions("bucket", "term").write.mode("overwrite").partitionBy("bucket").parquet(f"{path}/terms")
-        made.stats.withColumn("buckets", F.lit(buckets)).write.mode("overwrite").parquet(f"{path}/stats")
+        held.agg(F.count(F.lit(1)).alias("n_docs"), F.avg("dl").alias("avgdl")).withColumn("buckets", F.lit(buckets)).write.mode("overwrite").parquet(f"{path}/stats")
     return open_text_index(spark, path)
 
 
