@@ -35,7 +35,7 @@ def deduplicate_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def deduplicate_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of documents that share 0.8 and more of their five-word shingles, step by step, that with the smallest id stays."""
+    """Of documents that SimHash fingerprints or banded minima lead to, and that share 0.8 and more of their five-word shingles, step by step, that with the smallest id stays."""
     bounded_batches(spark)
     return similar.keep_one(docs)
 

@@ -236,6 +236,11 @@ def links(fps: DataFrame) -> DataFrame:
     return out
 
 
+def reached(fps: DataFrame) -> DataFrame:
+    """(fp, component) for every fingerprint with a link; component is the least one that steps of FAR bits reach. fps: (fp), each once."""
+    return components(links(fps.select(F.col("fp").alias("id"), "fp"))).select(F.col("node").alias("fp"), "component")
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, text_hash, fp, component, component_id): a row for each row of docs.
 
@@ -248,8 +253,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     rows = stored(fingerprints(docs, id_col, text_col), "simhash")
     none = F.lit(NO_ID if id_kind(docs, id_col) == "long" else "")
     fps = rows.groupBy("fp").agg(F.min(F.when(F.col("id") != none, F.col("id"))).alias("id"))
-    label = components(links(fps.select(F.col("fp").alias("id"), "fp"))).select(F.col("node").alias("fp"), "component")
-    named = fps.join(label, "fp", "left").select("fp", "id", F.coalesce("component", "fp").alias("component"))
+    named = fps.join(reached(fps), "fp", "left").select("fp", "id", F.coalesce("component", "fp").alias("component"))
     least = named.groupBy("component").agg(F.coalesce(F.min("id"), none).alias("component_id"))
     return rows.join(named.select("fp", "component").join(least, "component"), "fp").select("id", "text_hash", "fp", "component", "component_id")
 

@@ -1,13 +1,16 @@
-"""Near-duplicates by Jaccard similarity of word shingles: banded minima, then an exact check.
+"""Near-duplicates: SimHash and banded minima lead to candidates, then word shingles are compared exactly.
 
 A document is the set of its runs of `shingle` words (A-Z and ASCII white space folded; a
-shorter text is one shingle, a blank one the empty set). Equal sets are folded first.
-BANDS keys of ROWS minima each lead to candidates; two sets of similarity 0.8 share a key
-with probability 1 - (1 - 0.8**4)**24, more than 0.99999, and more above. Sets that share
-a key are linked to the least of them, not expanded into pairs. The components of these
-links are candidate groups; a group's texts are brought together once, and there sets that
-share a key are compared exactly. Sets already reached aren't compared again, so a large
-group of near copies costs about one comparison each.
+shorter text is one shingle, a blank one the empty set). Equal sets of equal fingerprints
+are folded first. Fingerprints, their links at FAR bits and the components of these are
+those of `simhash`; two texts that it links are always compared. Its distance leads to few
+of the pairs near the limit, so BANDS keys of ROWS minima each lead to candidates as well;
+two sets of similarity 0.8 share such a key with probability 1 - (1 - 0.8**4)**24, more than
+0.99999, and more above. Sets that share a key or a component are linked to the least of
+them, not expanded into pairs. The components of these links are candidate groups; a group's
+texts are brought together once, and there sets that share a key, or whose fingerprints are
+close, are compared exactly. Sets already reached aren't compared again, so a large group of
+near copies costs about one comparison each.
 """
 
 from __future__ import annotations
@@ -24,6 +27,7 @@ from pyspark.sql import functions as F
 
 from quarry.llm.common import drop_path, fresh, id_kind, id_of, shared_path, slices, stored
 from quarry.llm.graph import components
+from quarry.llm.simhash import FAR, reached, simhash
 from quarry.llm.warc import open_fs
 
 SHINGLE, LEAST = 5, 0.8
@@ -71,12 +75,14 @@ def _mark(size: int):
         import xxhash
 
         for b in slices(batches, name="similar"):
-            same, keys = [], []
+            same, keys, fps = [], [], []
             for text in b.column("text").to_pylist():
                 found = shingles(text, size)
                 same.append(xxhash.xxh64_intdigest(found.tobytes(), SEED))
                 keys.append(band_keys(found))
-            yield pa.RecordBatch.from_arrays([b.column("id"), b.column("text_hash"), pa.array(np.array(same, np.uint64).view(np.int64)), pa.array(keys, pa.list_(pa.int64()))], ["id", "text_hash", "same", "keys"])
+                fps.append(simhash(text))
+            same, fps = (pa.array(np.array(x, np.uint64).view(np.int64)) for x in (same, fps))
+            yield pa.RecordBatch.from_arrays([b.column("id"), b.column("text_hash"), same, fps, pa.array(keys, pa.list_(pa.int64()))], ["id", "text_hash", "same", "fp", "keys"])
 
     return run
 
@@ -98,8 +104,11 @@ def _leads(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield _pairs(same[leads != same], leads[leads != same])
 
 
-def close_sets(sets: np.ndarray, ends: np.ndarray, keys: np.ndarray, least: float) -> list[np.ndarray]:
-    """Index groups (of two and more) connected by steps of at least that similarity; set i is sets[ends[i]:ends[i + 1]] and has keys[i]."""
+def close_sets(sets: np.ndarray, ends: np.ndarray, keys: np.ndarray, fps: np.ndarray, least: float) -> list[np.ndarray]:
+    """Index groups (of two and more) connected by steps of at least that similarity; set i is sets[ends[i]:ends[i + 1]] and has keys[i] and fps[i].
+
+    The last key is a component of fingerprints; of its sets those are compared whose fingerprints differ in FAR bits at most.
+    """
     n, sizes = len(keys), np.diff(ends)
     bucket = np.unique(keys.ravel(), return_inverse=True)[1].reshape(keys.shape)
     order = np.argsort(bucket.ravel(), kind="stable")
@@ -117,6 +126,7 @@ def close_sets(sets: np.ndarray, ends: np.ndarray, keys: np.ndarray, least: floa
             for k in bucket[u]:
                 left[k] = left[k][new[left[k]]]
                 others.append(left[k])
+            others[-1] = others[-1][np.bitwise_count(fps[others[-1]] ^ fps[u]) <= FAR]
             others = np.unique(np.concatenate(others))
             others = others[np.minimum(sizes[others], sizes[u]) >= least * np.maximum(sizes[others], sizes[u]) - 1e-9]
             part = (np.cumsum(sizes[others]) - 1) // PART
@@ -139,11 +149,13 @@ class _Group:
     def __init__(self, directory: str) -> None:
         target, base = open_fs(directory)
         self.path = f"{base}/{uuid.uuid4().hex}" if isinstance(target, pafs.LocalFileSystem) else None
-        self.names, self.keys, self.ends, self.held, self.n, self.file = [], [], [0], [], 0, None
+        self.names, self.fps, self.keys, self.ends, self.held, self.n, self.file = [], [], [], [0], [], 0, None
 
-    def add(self, name: int, found: np.ndarray) -> None:
+    def add(self, name: int, found: np.ndarray, fp: int = 0, near: int | None = None) -> None:
+        """fp, near: the set's fingerprint and its component, where there are any."""
         self.names.append(name)
-        self.keys.append(band_keys(found))
+        self.fps.append(fp)
+        self.keys.append(np.append(band_keys(found), name if near is None else near))
         self.ends.append(self.ends[-1] + len(found))
         self.held.append(found)
         self.n += len(found)
@@ -162,7 +174,7 @@ class _Group:
             sets = np.memmap(self.path, np.uint64, "r")
             os.remove(self.path)  # the mapping keeps it
         names, a, b = np.array(self.names, np.int64), [], []
-        for group in close_sets(sets, np.array(self.ends), np.array(self.keys), least):
+        for group in close_sets(sets, np.array(self.ends), np.array(self.keys), np.array(self.fps, np.int64).view(np.uint64), least):
             a.append(names[group[1:]])
             b.append(np.full(len(group) - 1, names[group[0]]))
         return _pairs(np.concatenate(a), np.concatenate(b)) if a else _pairs(names[:0], names[:0])
@@ -170,16 +182,16 @@ class _Group:
 
 def _links(size: int, least: float, directory: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """From (blob, same, text), sorted: links that the exact check leaves."""
+        """From (blob, same, fp, near, text), sorted: links that the exact check leaves."""
         blob, group = None, _Group(directory)
         for b in slices(batches):
-            for at, same, text in zip(b.column("blob").to_pylist(), b.column("same").to_pylist(), b.column("text").to_pylist(), strict=True):
+            for at, same, fp, near, text in zip(*(b.column(c).to_pylist() for c in ("blob", "same", "fp", "near", "text")), strict=True):
                 if at != blob:
                     if len(group.names) > 1:
                         yield group.links(least)
                     blob, group = at, _Group(directory)
-                if not group.names or group.names[-1] != same:
-                    group.add(same, shingles(text, size))
+                if not group.names or (group.names[-1], group.fps[-1]) != (same, fp):
+                    group.add(same, shingles(text, size), fp, near)
         if len(group.names) > 1:
             yield group.links(least)
 
@@ -192,12 +204,15 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     Null text counts as empty, and all empty texts as equal; a null id counts as the least id. Ids that aren't integers are compared as texts.
     """
     rows = docs.select(id_of(docs, id_col).alias("id"), F.xxhash64(F.col(text_col)).alias("text_hash"), F.col(text_col).alias("text"))
-    marked = stored(rows.mapInArrow(_mark(shingle), f"id {id_kind(docs, id_col)}, text_hash long, same long, keys array<long>"), "shingles")
-    sets = stored(marked.groupBy("same").agg(F.min(F.struct("id", "text_hash")).alias("x"), F.first("keys").alias("keys")), "sets")
-    keyed = sets.select("same", F.explode("keys").alias("key")).repartition(F.col("key")).sortWithinPartitions("key", "same")
+    marked = stored(rows.mapInArrow(_mark(shingle), f"id {id_kind(docs, id_col)}, text_hash long, same long, fp long, keys array<long>"), "shingles")
+    sets = stored(marked.where(F.size("keys") > 0).groupBy("same", "fp").agg(F.min(F.struct("id", "text_hash")).alias("x"), F.first("keys").alias("keys")), "sets")
+    near = reached(sets.select("fp").distinct()).withColumnRenamed("component", "near")
+    named = stored(sets.select("x", "same", "fp").join(near, "fp", "left").withColumn("near", F.coalesce("near", "fp")), "near")
+    keyed = sets.select("same", F.explode("keys").alias("key")).unionAll(named.select("same", F.col("near").alias("key")))
+    keyed = keyed.repartition(F.col("key")).sortWithinPartitions("key", "same")
     blobs = components(keyed.mapInArrow(_leads, "a long, b long"))
-    wanted = sets.join(blobs.select(F.col("node").alias("same"), F.col("component").alias("blob")), "same").select("x.id", "x.text_hash", "same", "blob")
-    texts = rows.join(wanted, ["id", "text_hash"]).select("blob", "same", "text").repartition(F.col("blob")).sortWithinPartitions("blob", "same")
+    wanted = named.join(blobs.select(F.col("node").alias("same"), F.col("component").alias("blob")), "same").select("x.id", "x.text_hash", "same", "fp", "near", "blob")
+    texts = rows.join(wanted, ["id", "text_hash"]).select("blob", "same", "fp", "near", "text").repartition(F.col("blob")).sortWithinPartitions("blob", "same", "fp")
     directory = shared_path(docs.sparkSession, "groups")
     label = components(texts.mapInArrow(_links(shingle, least, directory), "a long, b long"))
     drop_path(docs.sparkSession, directory)  # what tasks that were lost left there

@@ -5,7 +5,7 @@ import random
 import numpy as np
 
 import corpus_pipeline
-from quarry.llm import similar
+from quarry.llm import simhash, similar
 
 
 def plain_set(text):
@@ -70,3 +70,24 @@ def test_sets_in_a_file(monkeypatch, tmp_path):
     monkeypatch.setattr(similar, "PART", 300)
     assert links() == want
     assert np.array_equal(similar.shingles("a B\tc"), similar.shingles("A b c"))
+
+
+def test_candidates_by_fingerprints(spark, monkeypatch):
+    """Texts that SimHash links are compared, whatever their minima are; those that are less alike than 0.8 stay."""
+    rng, rows, close = random.Random(1), [], set()
+    for case in range(40):
+        base = [f"w{rng.randrange(10**6)}" for _ in range(400)]
+        k = 2 + case % 8
+        at = rng.sample(range(10, 390, 10), k)
+        texts = " ".join(base), " ".join(f"new{case}" if i in at else w for i, w in enumerate(base))
+        rows += [(2 * case + n, t) for n, t in enumerate(texts)]
+        if (simhash.simhash(texts[0]) ^ simhash.simhash(texts[1])).bit_count() <= 3:
+            close.add((2 * case + 1, k))
+    assert {k for _, k in close} >= {2, 9}
+    monkeypatch.setattr(similar, "BANDS", 1)
+    monkeypatch.setattr(similar, "ROWS", 256)
+    monkeypatch.setattr(similar, "_FLIP", np.random.default_rng(1).integers(0, 1 << 63, (256, 1), np.uint64))
+    monkeypatch.setattr(similar, "_TIMES", similar._FLIP | np.uint64(1))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r.doc_id for r in corpus_pipeline.deduplicate_documents(spark, docs, "").collect()}
+    assert got == {i for i, _ in rows} - {i for i, k in close if k < 9}
