@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from quarry.functions import parse as J
 from quarry.functions import text as X
+from quarry.functions.providers import TokenCounter
 from quarry.operators.corpus import filled
 
 
@@ -60,7 +61,9 @@ def position_bias(df: DataFrame, verdict: Column) -> DataFrame:
 def token_counts(df: DataFrame, count) -> DataFrame:
     """Token counts of the fields of preference pairs and of prompt + answer; count: Column -> Column."""
     prompt = X.prompt_of(F.col("instruction"), F.col("input"))
-    out = df.select("*", count(prompt).alias("prompt_tokens"), count(F.col("chosen")).alias("chosen_tokens"), count(F.col("rejected")).alias("rejected_tokens"))
+    texts = prompt, F.col("chosen"), F.col("rejected")
+    counts = count.several(*texts) if isinstance(count, TokenCounter) else F.array(*map(count, texts))
+    out = df.select("*", *[counts[k].alias(name) for k, name in enumerate(("prompt_tokens", "chosen_tokens", "rejected_tokens"))])
     return out.withColumns({"prompt_chosen_tokens": F.col("prompt_tokens") + F.col("chosen_tokens"), "prompt_rejected_tokens": F.col("prompt_tokens") + F.col("rejected_tokens")})
 
 
