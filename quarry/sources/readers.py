@@ -104,10 +104,10 @@ def csv(spark: SparkSession, path: str, schema: T.StructType, required: list[str
 
 
 def partitioned_jsonl(spark: SparkSession, folder: str, labels: dict[str, str], schema: T.StructType, label_col: str) -> DataFrame:
-    """Files <prefix>_*.jsonl; rows whose label is that of their file, with file_name."""
+    """Files <prefix>_*.jsonl; rows whose label is that of their file, with file_name. The folder is listed as one path, not file by file."""
     out = None
     for prefix, label in labels.items():
-        text = spark.read.text(f"{folder.rstrip('/')}/{prefix}_*.jsonl").select(X.strip(F.col("value")).alias("v"), F.col("_metadata.file_name").alias("file_name"))
+        text = spark.read.option("pathGlobFilter", f"{prefix}_*.jsonl").text(folder).select(X.strip(F.col("value")).alias("v"), F.col("_metadata.file_name").alias("file_name"))
         rows = text.where(J.is_json_object(F.col("v"))).select(F.from_json("v", schema).alias("r"), "file_name").select("r.*", "file_name")
         rows = rows.where(F.col(label_col) == label)
         out = rows if out is None else out.unionByName(rows)

@@ -142,12 +142,14 @@ def files(df: DataFrame, folder: str, path_col: str = "path", content_col: str =
         import os
 
         target, base = opened(folder)
-        n = 0
+        n, made = 0, set()
         for b in batches:
             for path, content in zip(b.column("path").to_pylist(), b.column("content").to_pylist(), strict=True):
                 whole = f"{base.rstrip('/')}/{path}"
                 parent, name = whole.rsplit("/", 1)
-                target.create_dir(parent, recursive=True)
+                if parent not in made:
+                    target.create_dir(parent, recursive=True)
+                    made.add(parent)
                 own = f"{parent}/.{name}.{os.getpid()}"
                 with target.open_output_stream(own) as out:
                     out.write(content or b"")
