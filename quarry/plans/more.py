@@ -302,15 +302,14 @@ def results_by_parameters(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _streamed(spark: SparkSession, sf_dir: str, make) -> DataFrame:
-    """What a stateful query makes of the events, fed in three files, each a batch of its own; the query is started anew for the last one."""
+    """What a stateful query makes of the events, fed in three parts, each a batch of its own; the query is started anew for each."""
     source, out, progress = (_folder(spark, x) for x in ("stream-in", "stream-out", "stream-checkpoint"))
     events = table(spark, sf_dir, "events").select("event_id", "user_id", "event_type")
     low, high = events.agg(F.min("event_id"), F.max("event_id")).first()
     third = F.floor((F.col("event_id") - low) * 3 / (high - low + 1))
-    for parts in ((0, 1), (2,)):
-        for k in parts:
-            events.where(third == k).repartition(1).write.mode("append").parquet(source)
-        stream = spark.readStream.schema(events.schema).option("maxFilesPerTrigger", 1).parquet(source)
+    for k in range(3):
+        events.where(third == k).write.mode("append").parquet(source)
+        stream = spark.readStream.schema(events.schema).parquet(source)
         run = make(stream).writeStream.format("parquet").option("path", out).option("checkpointLocation", progress).outputMode("append").trigger(availableNow=True).start()
         run.awaitTermination()
     return spark.read.parquet(out)
